@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from barloom.llm.chat import op8_role_machine_chat
 from barloom.llm.jpeg import op3_baseline_jpeg
 from barloom.llm.language_id import op10_subword_language_id
+from barloom.llm.minhash import op7_hyperminhash_dedup
 from barloom.llm.packing import op4_best_fit_packing
 from barloom.llm.speculative_bpe import op6_speculative_bpe
 from barloom.llm.token_store import op2_zstd_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_zstd_token_store, op3_baseline_jpeg, op4_best_fit_packing, op6_speculative_bpe, op8_role_machine_chat, op10_subword_language_id)}
+    return {f.__name__: f for f in (op2_zstd_token_store, op3_baseline_jpeg, op4_best_fit_packing, op6_speculative_bpe, op7_hyperminhash_dedup, op8_role_machine_chat, op10_subword_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
