@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm.chat import op8_role_machine_chat
+from barloom.llm.embedding_dedup import op9_hyperplane_embedding_dedup
 from barloom.llm.jpeg import op3_baseline_jpeg
 from barloom.llm.language_id import op10_subword_language_id
 from barloom.llm.minhash import op7_hyperminhash_dedup
@@ -16,7 +17,7 @@ from barloom.llm.token_store import op2_zstd_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_zstd_token_store, op3_baseline_jpeg, op4_best_fit_packing, op6_speculative_bpe, op7_hyperminhash_dedup, op8_role_machine_chat, op10_subword_language_id)}
+    return {f.__name__: f for f in (op2_zstd_token_store, op3_baseline_jpeg, op4_best_fit_packing, op6_speculative_bpe, op7_hyperminhash_dedup, op8_role_machine_chat, op9_hyperplane_embedding_dedup, op10_subword_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
