@@ -1,8 +1,9 @@
 """Encoding with the tokenizers library, once per distinct chunk of text.
 
-A tokenizer whose pre-tokenizer never joins text over a blank is applied to each distinct chunk once; the ids of a
-text are the ids of its chunks in order. A text with a special token's string, and any tokenizer of another kind,
-goes to the library whole. Both ways give the library's ids for the whole text.
+Where a tokenizer's pre-tokenizer never joins text over a blank, a text's ids are the ids of its chunks in order. Each
+distinct chunk is cut into the pre-tokenizer's words once, and the library's BPE model encodes each distinct word
+once. A text with a special token's string, and any tokenizer of another kind, goes to the library whole. Both ways
+give the library's ids for the whole text.
 """
 
 from __future__ import annotations
@@ -10,36 +11,58 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
+import unicodedata
+from array import array
 
 import numpy as np
+import regex
 
 #: Unicode White_Space, as the tokenizers' patterns have it (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: One optional blank and what follows up to the next white space; of white space, all but the last character.
 BYTE_CHUNKS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 WORD_CHUNKS = re.compile(f"[^{WHITE}]+")
+#: Words inside a chunk of each kind: the tokenizers' own patterns, for text whose only white space is a first blank.
+BYTE_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^ \p{L}\p{N}]+")
+PUNCTUATION = frozenset(string.punctuation)
 
 
-def chunking(spec: dict) -> re.Pattern | None:
-    """The pattern of chunks that can be encoded alone, or None where texts must be encoded whole."""
+def byte_characters() -> dict[int, int]:
+    """Byte-level BPE's character of each byte: itself where it's printable Latin-1, else the next one from U+0100."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(0x100, 0x200))
+    return {b: b if b in shown else next(hidden) for b in range(256)}
+
+
+def lower_nfc(text: str) -> str:
+    """NFC, then lower case of each character alone (no final sigma), as the tokenizers' normalizers do it."""
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+def chunking(spec: dict) -> tuple[re.Pattern, regex.Pattern, bool] | None:
+    """Patterns of chunks and of words in them, and whether texts are normalized; None where texts go in whole."""
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-    if spec.get("truncation") or spec.get("padding") or spec.get("post_processor"):
+    if spec.get("truncation") or spec.get("padding") or spec.get("post_processor") or spec["model"]["type"] != "BPE":
         return None
     if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-        return BYTE_CHUNKS
+        return BYTE_CHUNKS, BYTE_WORDS, False
     parts = pre.get("pretokenizers", [])
-    if pre.get("type") == "Sequence" and parts and parts[0].get("type") == "Split":
-        split = parts[0]
-        steps = {x["type"] for x in (norm or {}).get("normalizers", [norm] if norm else [])}
-        if split["behavior"] == "Removed" and split["invert"] and r"[^\s" in str(split["pattern"]) and steps <= {"NFC", "Lowercase", "Replace"}:
-            return WORD_CHUNKS
+    if [x["type"] for x in parts] == ["Split", "ByteLevel"] and norm and norm["type"] == "Sequence":
+        split, steps = parts[0], [x["type"] for x in norm["normalizers"]]
+        pattern = split["pattern"].get("Regex", "")
+        if split["behavior"] == "Removed" and split["invert"] and pattern.endswith(r"|[^\s\p{L}\p{N}]+") and steps == ["NFC", "Replace", "Lowercase"]:
+            return WORD_CHUNKS, regex.compile(pattern.replace(r"[^\s\p{L}", r"[^\p{L}")), True
     return None
 
 
 class ChunkEncoder(dict):
-    """Maps a chunk to its ids as little-endian bytes; `encode_bytes` maps a text. Holds at most `max_chunks` chunks."""
+    """Maps a chunk or a word to its ids as little-endian bytes.
+
+    Holds about `max_chunks` of them and as many of the generation before, from which those still in use come back.
+    """
 
-    def __init__(self, path: str, max_chunks: int = 600_000) -> None:
+    def __init__(self, path: str, max_chunks: int = 250_000) -> None:
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -47,37 +70,58 @@ class ChunkEncoder(dict):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks = chunking(spec)
+        self.model = self.tokenizer.model
+        self.kind = chunking(spec)
         self.specials = [x["content"] for x in spec.get("added_tokens", [])]
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype(f"={self.code}").newbyteorder("<")
+        self.characters = byte_characters()
         self.max_chunks = max_chunks
+        self.older: dict[str, bytes] = {}
+
+    def _words(self, chunk: str) -> list[str]:
+        if self.kind[2]:
+            chunk = lower_nfc(chunk)
+        core = chunk[1:] if chunk[0] == " " else chunk
+        if core.isalpha() or core.isspace() or not core:
+            return [chunk]
+        if core[-1] in PUNCTUATION and core[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.kind[1].findall(chunk)
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        self[chunk] = out = np.array(ids, dtype=self.dtype).tobytes()
+        out = self.older.get(chunk)
+        if out is not None:
+            self[chunk] = out
+            return out
+        out = b""
+        for word in self._words(chunk):
+            ids = self.get(word) or self.older.get(word) if word != chunk or not self.kind[2] else None
+            if ids is None:
+                tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.characters))
+                ids = array(self.code, [t.id for t in tokens]).tobytes()
+                if word != chunk and not self.kind[2]:
+                    self[word] = ids
+            out += ids
+        self[chunk] = out
         return out
 
-    def _learn(self, parts: list[list[str]]) -> None:
-        new = list({c for p in parts for c in p if c not in self})
-        if len(self) + len(new) > self.max_chunks:
-            self.clear()
-            new = list({c for p in parts for c in p})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for chunk, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self[chunk] = np.array(e.ids, dtype=self.dtype).tobytes()
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian integers of `dtype`."""
-        if self.chunks is None:
-            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=self.dtype).tobytes() for t in texts]
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.specials)}
-        find = self.chunks.findall
-        parts = [[] if i in whole else find(t) for i, t in enumerate(texts)]
-        self._learn(parts)
-        out = [b"".join(map(self.__getitem__, p)) for p in parts]
-        for i in whole:
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        if self.kind is None:
+            return [self._whole(t) for t in texts]
+        find, get, out = self.kind[0].findall, self.__getitem__, []
+        for t in texts:
+            if any(s in t for s in self.specials):
+                out.append(self._whole(t))
+            else:
+                out.append(b"".join(map(get, find(t))))
+            if len(self) > self.max_chunks:
+                self.older = dict(self)
+                self.clear()
         return out
 
 
