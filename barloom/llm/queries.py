@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm.brown import op5_brown_class_bigrams
 from barloom.llm.chat import op8_role_machine_chat
+from barloom.llm.cotraining import op1_cotraining_quality
 from barloom.llm.embedding_dedup import op9_hyperplane_embedding_dedup
 from barloom.llm.jpeg import op3_baseline_jpeg
 from barloom.llm.language_id import op10_subword_language_id
@@ -18,7 +19,7 @@ from barloom.llm.token_store import op2_zstd_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_zstd_token_store, op3_baseline_jpeg, op4_best_fit_packing, op5_brown_class_bigrams, op6_speculative_bpe, op7_hyperminhash_dedup, op8_role_machine_chat, op9_hyperplane_embedding_dedup, op10_subword_language_id)}
+    return {f.__name__: f for f in (op1_cotraining_quality, op2_zstd_token_store, op3_baseline_jpeg, op4_best_fit_packing, op5_brown_class_bigrams, op6_speculative_bpe, op7_hyperminhash_dedup, op8_role_machine_chat, op9_hyperplane_embedding_dedup, op10_subword_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
