@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm.common import text_steps, texts_of
-from barloom.llm.tokens import WORD_CHUNKS, byte_characters, lower_nfc
+from barloom.llm.tokens import PUNCTUATION, WORD_CHUNKS, byte_characters, lower_nfc
 
 NEVER = np.iinfo(np.int64).max
 
@@ -29,7 +30,7 @@ NEVER = np.iinfo(np.int64).max
 class SpeculativeBpe:
     """Encoder and decoder for a tokenizers file of word BPE with a suffix at word ends."""
 
-    def __init__(self, path: str, max_chunks: int = 500_000) -> None:
+    def __init__(self, path: str, max_chunks: int = 200_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -47,27 +48,31 @@ class SpeculativeBpe:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.left, self.right = np.full(size, -1), np.full(size, -1)
         self.rank = np.full(size, -1)
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merge: dict[int, int] = {}  # left * size + right -> rank
+        self.made: list[int] = []  # token of each rank
         ends = np.zeros(size, bool)
         for s, i in vocab.items():
             ends[i] = len(s) > 1 and s.endswith(self.suffix) and len(s) == len(self.suffix) + 1
         for r, (a, b) in enumerate(merges):
             x, y, z = vocab[a], vocab[b], vocab[a + b]
-            self.merge.setdefault((x, y), (r, z))
+            self.merge.setdefault(x * size + y, r)
+            self.made.append(z)
             if self.rank[z] < 0:
                 self.left[z], self.right[z], self.rank[z], ends[z] = x, y, r, ends[y]
         self.inner = {s: i for s, i in vocab.items() if not ends[i]}
         self.final = {s[: -len(self.suffix)]: i for s, i in vocab.items() if ends[i]}
         self.longest = max(map(len, self.inner))
         self.size = size
-        keys = np.array([x * size + y for x, y in self.merge], np.int64)
+        keys = np.array([*self.merge], np.int64)
         order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], np.array([r for r, _ in self.merge.values()], np.int64)[order]
+        self.keys, self.ranks = keys[order], np.array([*self.merge.values()], np.int64)[order]
         self.whole = self._whole()
         self.characters = byte_characters()
         strings = {i: s for s, i in vocab.items()} | {i: s for s, i in self.specials.items()}
         self.strings = [strings.get(i, "").encode() for i in range(size)]
         self.ids_of: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.ids_of_word: dict[str, bytes] = {}
         self.max_chunks = max_chunks
         self.checked = self.failed = 0
 
@@ -131,12 +136,20 @@ class SpeculativeBpe:
 
     def merge_exactly(self, word: str) -> list[int]:
         """BPE by the rule: the lowest rank first, the leftmost of equal ones."""
-        ids = [self.inner[c] for c in word[:-1]] + [self.final[word[-1]]]
-        while len(ids) > 1:
-            r, at = min((self.merge.get(p, (NEVER, 0))[0], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)))
+        ids, size, rank = [self.inner[c] for c in word[:-1]], self.size, self.merge.get
+        ids.append(self.final[word[-1]])
+        ranks = [rank(x * size + y, NEVER) for x, y in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            r = min(ranks)
             if r == NEVER:
                 break
-            ids[at : at + 2] = [self.merge[ids[at], ids[at + 1]][1]]
+            at = ranks.index(r)
+            ids[at] = z = self.made[r]
+            del ids[at + 1], ranks[at]
+            if at:
+                ranks[at - 1] = rank(ids[at - 1] * size + z, NEVER)
+            if at < len(ranks):
+                ranks[at] = rank(z * size + ids[at + 1], NEVER)
         return ids
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
@@ -156,34 +169,48 @@ class SpeculativeBpe:
         return ids
 
     def _words(self, chunk: str) -> list[str | int]:
-        """A chunk's words in byte-level characters; special tokens as ids."""
+        """A chunk's words in lower case; special tokens as ids."""
+        if not any(s in chunk for s in self.specials):
+            text = lower_nfc(chunk)
+            if text.isalpha():
+                return [text]
+            if text[-1] in PUNCTUATION and text[:-1].isalpha():
+                return [text[:-1], text[-1]]
+            return self.split.findall(text)
         out: list[str | int] = []
-        for part in self.special.split(chunk) if self.specials else [chunk]:
-            if part in self.specials:
-                out.append(self.specials[part])
-                continue
-            for w in self.split.findall(lower_nfc(part)):
-                out.append(w.encode().decode("latin-1").translate(self.characters))
+        for part in self.special.split(chunk):
+            out += [self.specials[part]] if part in self.specials else self.split.findall(lower_nfc(part))
         return out
 
     def _learn(self, chunks: list[str]) -> None:
+        code = "H" if self.dtype.itemsize == 2 else "I"
         parts = [self._words(c) for c in chunks]
-        words = list({w for p in parts for w in p if isinstance(w, str)})
-        known = dict(zip(words, self.encode_words(words), strict=True)) if words else {}
+        words = list({w for p in parts for w in p if isinstance(w, str) and w not in self.ids_of_word})
+        if words:
+            ids = self.encode_words([w.encode().decode("latin-1").translate(self.characters) for w in words])
+            self.ids_of_word.update(zip(words, [array(code, x).tobytes() for x in ids], strict=True))
+        get = self.ids_of_word.__getitem__
         for c, p in zip(chunks, parts, strict=True):
-            ids = [i for w in p for i in (known[w] if isinstance(w, str) else (w,))]
-            self.ids_of[c] = np.array(ids, self.dtype).tobytes()
+            self.ids_of[c] = get(p[0]) if len(p) == 1 and isinstance(p[0], str) else b"".join([get(w) if isinstance(w, str) else array(code, [w]).tobytes() for w in p])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of whole texts. Chunks seen before are looked up, at most `max_chunks` of them."""
+        """Ids of whole texts. Chunks and words seen before are looked up, in two generations of `max_chunks` each."""
         parts = [WORD_CHUNKS.findall(t) for t in texts]
-        new = list({c for p in parts for c in p if c not in self.ids_of})
-        if len(new) + len(self.ids_of) > self.max_chunks:
-            self.ids_of.clear()
-            new = list({c for p in parts for c in p})
-        self._learn(new)
+        new, older = set(), self.older
+        for p in parts:
+            new.update([c for c in p if c not in self.ids_of])
+        if older:
+            back = {c: older[c] for c in new if c in older}
+            self.ids_of.update(back)
+            new.difference_update(back)
+        self._learn(list(new))
         get = self.ids_of.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), self.dtype) for p in parts]
+        out = [np.frombuffer(b"".join(map(get, p)), self.dtype) for p in parts]
+        if len(self.ids_of) > self.max_chunks:
+            self.older, self.ids_of = self.ids_of, {}
+        if len(self.ids_of_word) > self.max_chunks:
+            self.ids_of_word = {}
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids as UTF-8, special tokens included."""
@@ -207,7 +234,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(tokenizer)
-        for b in text_steps(batches):
+        for b in text_steps(batches, 2 << 20):
             ids = bpe.encode(texts_of(b))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([bpe.decode(x).decode() for x in ids], pa.string())], names=["doc_id", "ids", "decoded"]
@@ -221,7 +248,7 @@ def digest_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(tokenizer)
-        for b in text_steps(batches):
+        for b in text_steps(batches, 2 << 20):
             ids = bpe.encode(texts_of(b))
             yield pa.RecordBatch.from_arrays(
                 [
