@@ -79,7 +79,7 @@ def carry_forward(bars: DataFrame, size: int = 65_536) -> DataFrame:
     firsts = b.groupBy("symbol", "s").agg(F.min("idx").alias("first"))
     after = firsts.withColumn("after", F.lead("first").over(Window.partitionBy("symbol").orderBy("s"))).select("symbol", "s", "after")
     nxt = F.coalesce(F.lead("idx").over(Window.partitionBy("symbol", "s").orderBy("idx")), F.col("after"), F.col("idx") + 1)
-    filled = b.join(after, ["symbol", "s"]).withColumn("at", F.explode(F.sequence("idx", nxt - 1)))
+    filled = b.join(after, ["symbol", "s"]).withColumn("next", nxt).withColumn("at", F.explode(F.sequence("idx", F.col("next") - 1)))
     own = F.col("at") == F.col("idx")
     price = lambda c: F.when(own, F.col(c)).otherwise(F.col("close")).alias(c)
     return filled.select("symbol", F.col("at").alias("new"), price("open"), price("high"), price("low"), F.col("close"), F.when(own, F.col("volume")).otherwise(F.lit(0.0)).alias("volume")).withColumnRenamed("new", "idx")
