@@ -83,7 +83,7 @@ LINES = (
     ("Total Profit", "total_profit", 2), ("Total Return [%]", "total_return_pct", 4), ("Benchmark Return [%]", "benchmark_pct", 4), ("Position Coverage [%]", "coverage_pct", 4),
     ("Max. Drawdown [%]", "max_drawdown_pct", 4), ("Avg. Drawdown [%]", "avg_drawdown_pct", 4), ("Max. Drawdown Duration", "max_drawdown_ms", None), ("Avg. Drawdown Duration", "avg_drawdown_ms", None),
     ("Num. Trades", "num_trades", 0), ("Win Rate [%]", "win_rate_pct", 4), ("Best Trade [%]", "best_trade_pct", 4), ("Worst Trade [%]", "worst_trade_pct", 4), ("Avg. Trade [%]", "avg_trade_pct", 4),
-    ("Max. Trade Duration", "max_trade_ms", None), ("Avg. Trade Duration", "avg_trade_ms", None), ("Expectancy", "expectancy", 4), ("SQN", "sqn", 5), ("Gross Exposure", "gross_exposure", 5),
+    ("Max. Trade Duration", "max_trade_ms", None), ("Avg. Trade Duration", "avg_trade_ms", None), ("Expectancy", "expectancy", 4), ("SQN", "sqn", 5), ("Gross Exposure", "gross_exposure", 4),
     ("Sharpe Ratio", "sharpe", 5), ("Sortino Ratio", "sortino", 5), ("Calmar Ratio", "calmar", 5),
 )
 
