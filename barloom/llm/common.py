@@ -64,3 +64,17 @@ def text_steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> It
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """Texts of a batch; a null one is empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
+
+
+def smallest_hashes(df: DataFrame, key: str, n: int) -> list[int]:
+    """The n distinct keys of smallest hashes, to sample by.
+
+    Of many keys, only those below a bound that about 3 n of them meet are sorted, so that what partitions send to
+    the driver doesn't grow with their number.
+    """
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
+    h = F.xxhash64(key)
+    total = keys.count()
+    if total > 4 * n:
+        keys = keys.where(h < int(-(2**63) + 3 * n / total * 2**64))
+    return [r[0] for r in keys.orderBy(h, key).limit(n).collect()]

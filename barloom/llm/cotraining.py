@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import text_steps, texts_of
+from barloom.llm.common import smallest_hashes, text_steps, texts_of
 
 #: Bounds of the sample: labelled rows, unlabelled pool, rows that a view may teach per class and round.
 LABELLED, POOL, TAUGHT = 6000, 4000, 200
@@ -205,10 +205,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    sampled = ids.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).collect()
-    pool = ids.join(marks, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POOL).collect()
-    y_of = {r["doc_id"]: r["y"] for r in sampled}
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in [*y_of, *(r["doc_id"] for r in pool)]], "doc_id long")
+    spark = docs.sparkSession
+    frame = lambda keys: spark.createDataFrame([(i,) for i in keys], "doc_id long")
+    sampled = smallest_hashes(ids.join(marks, "doc_id"), "doc_id", LABELLED)
+    pool = smallest_hashes(ids.join(marks, "doc_id", "left_anti"), "doc_id", POOL)
+    y_of = {r["doc_id"]: r["y"] for r in marks.join(F.broadcast(frame(sampled)), "doc_id").collect()}  # LABELLED rows
+    wanted = frame([*y_of, *pool])
     got = _features(docs.join(F.broadcast(wanted), "doc_id", "left_semi")).dropDuplicates(["doc_id"]).collect()  # LABELLED + POOL rows
     got.sort(key=lambda r: r["doc_id"])
     view = lambda rows, name, size: np.array([np.frombuffer(bytes(r[name])) for r in rows]).reshape(len(rows), size)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import doc_hash, text_steps, texts_of
+from barloom.llm.common import doc_hash, smallest_hashes, text_steps, texts_of
 
 BUCKETS, WIDTH = 1 << 16, 16
 #: Bounds of the training sample: labelled documents, and distinct subwords of each (those of smallest hashes).
@@ -142,8 +142,7 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed:
 def train(docs: DataFrame, usable: F.Column) -> Model | None:
     """Fit on TRAIN_DOCS usable rows with a language, those of smallest hashes of ids; None if there are none."""
     rows = docs.where(usable & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    keys = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS).collect()
-    ids = [r[0] for r in keys if r[0] is not None]
+    ids = smallest_hashes(rows, "doc_id", TRAIN_DOCS)
     if not ids:
         return None
 

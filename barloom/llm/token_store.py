@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import materialize, remove, scratch_path, text_steps, texts_of
+from barloom.llm.common import materialize, remove, scratch_path, smallest_hashes, text_steps, texts_of
 from barloom.llm.tokens import encoder
 
 #: Documents and bytes of each that the dictionary is trained on (a bounded sample; compression stays lossless).
@@ -45,8 +45,7 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     """A dictionary from the documents with the smallest hashes of their ids; empty where there are too few."""
-    keys = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICT_DOCS)
-    wanted = list({r[0] for r in keys.collect()})
+    wanted = smallest_hashes(docs, "doc_id", DICT_DOCS)
     if not wanted:
         return b""
 

@@ -80,8 +80,6 @@ class ChunkEncoder(dict):
         self.older: dict[str, bytes] = {}
 
     def _words(self, chunk: str) -> list[str]:
-        if self.kind[2]:
-            chunk = lower_nfc(chunk)
         core = chunk[1:] if chunk[0] == " " else chunk
         if core.isalpha() or core.isspace() or not core:
             return [chunk]
@@ -89,20 +87,21 @@ class ChunkEncoder(dict):
             return [chunk[:-1], chunk[-1]]
         return self.kind[1].findall(chunk)
 
+    def _ids(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.characters))
+        return array(self.code, [t.id for t in tokens]).tobytes()
+
     def __missing__(self, chunk: str) -> bytes:
         out = self.older.get(chunk)
-        if out is not None:
-            self[chunk] = out
-            return out
-        out = b""
-        for word in self._words(chunk):
-            ids = self.get(word) or self.older.get(word) if word != chunk or not self.kind[2] else None
-            if ids is None:
-                tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.characters))
-                ids = array(self.code, [t.id for t in tokens]).tobytes()
-                if word != chunk and not self.kind[2]:
-                    self[word] = ids
-            out += ids
+        if out is None:
+            text = lower_nfc(chunk) if self.kind[2] else chunk
+            words = self._words(text)
+            if len(words) == 1:
+                out = self._ids(words[0])
+            elif text is chunk or text.isascii():  # each word's ids are those of it as a chunk
+                out = b"".join([self[w] for w in words])
+            else:
+                out = b"".join([self._ids(w) for w in words])
         self[chunk] = out
         return out
 
