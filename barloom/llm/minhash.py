@@ -9,8 +9,8 @@ from all registers, corrected for chance collisions, drop hopeless candidates, a
 Steps, so that no group's pairs are written out:
 1. Texts of one shingle set become one node, that of the smallest doc_id.
 2. In each band's bucket, every node is tried against the bucket's smallest node; components follow.
-3. Buckets whose nodes still are of several components are tried in full, as blocks of at most BLOCK nodes against
-   the nodes outside of the bucket's largest component; only links come out.
+3. Buckets whose nodes still are of several components are tried in full, as blocks of about BLOCK nodes against
+   blocks of the nodes outside of the bucket's largest component; only links come out.
 """
 
 from __future__ import annotations
@@ -190,10 +190,15 @@ def _verify_blocks(members: DataFrame, regs: DataFrame, sets: DataFrame, percent
     """Links between different components inside buckets of `members` (bucket, node, component)."""
     sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     tops = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("top"), F.sum("n").alias("total"))
-    rows = members.join(tops, "bucket").withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
-    # a node stands in one block of its bucket; outside of the largest component it is also tried against every block
-    own = rows.select("bucket", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "node", "component", F.lit(False).alias("probe"))
-    probes = rows.where("component <> top").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "component", F.lit(True).alias("probe"))
+    odd = sizes.join(tops, "bucket").where("component <> top").groupBy("bucket").agg(F.sum("n").alias("odd"))
+    ceil = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    rows = members.join(tops, "bucket").join(odd, "bucket").withColumns({"blocks": ceil("total"), "sides": ceil("odd")})
+    # a node stands in one block of its bucket, and outside of the largest component in one side as well; every block
+    # meets every side, so that a group holds about BLOCK nodes and BLOCK probes, however large the bucket is
+    part = lambda n: F.pmod(F.xxhash64("node", "bucket"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = rows.select("bucket", part("blocks").alias("block"), every("sides").alias("side"), "node", "component", F.lit(False).alias("probe"))
+    probes = rows.where("component <> top").select("bucket", every("blocks").alias("block"), part("sides").alias("side"), "node", "component", F.lit(True).alias("probe"))
     each = own.unionByName(probes).join(regs.select("node", "registers", "n_shingles"), "node").join(sets, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,17 +231,17 @@ def _verify_blocks(members: DataFrame, regs: DataFrame, sets: DataFrame, percent
 
         for b in text_steps(batches, 32 << 20):
             found: list[tuple[int, int]] = []
-            cols = [b.column(i).to_pylist() for i in range(6)]
-            for i, (bucket, block, node, comp, probe, n) in enumerate(zip(*cols, strict=True)):
-                if (bucket, block) != key:
+            cols = [b.column(i).to_pylist() for i in range(7)]
+            for i, (bucket, block, side, node, comp, probe, n) in enumerate(zip(*cols, strict=True)):
+                if (bucket, block, side) != key:
                     found += links()
-                    key, group = (bucket, block), []
-                group.append((node, comp, probe, np.frombuffer(b.column(6)[i].as_buffer(), np.uint16), n, np.frombuffer(b.column(7)[i].as_buffer(), np.uint64)))
+                    key, group = (bucket, block, side), []
+                group.append((node, comp, probe, np.frombuffer(b.column(7)[i].as_buffer(), np.uint16), n, np.frombuffer(b.column(8)[i].as_buffer(), np.uint64)))
             yield batch(found)
         yield batch(links())
 
-    ordered = each.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-    return ordered.select("bucket", "block", "node", "component", "probe", "n_shingles", "registers", "hashes").mapInArrow(run, "a long, b long").distinct()
+    ordered = each.repartition("bucket", "block", "side").sortWithinPartitions("bucket", "block", "side")
+    return ordered.select("bucket", "block", "side", "node", "component", "probe", "n_shingles", "registers", "hashes").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
