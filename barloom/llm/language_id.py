@@ -7,13 +7,13 @@ and a text's logits are a mean over its words, whatever its length.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ LOST, HIGHEST = 0.001, 0.4
 MAX_WORDS = 400_000
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def subwords(word: str) -> list[int]:
