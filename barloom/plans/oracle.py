@@ -257,6 +257,37 @@ def metrics_sql() -> dict[str, str]:
     }
 
 
+def recursive_supertrend(n: int = 5, mult: float = 3.0) -> str:
+    """Row by row over each symbol's bars."""
+    s = atr(Steps(), n).add(mid="(high + low) * 0.5").add(ok="mid IS NOT NULL AND close IS NOT NULL AND atr IS NOT NULL", u=f"mid + {mult} * atr", l=f"mid - {mult} * atr")
+    start = "close >= mid AS up, u AS upper, l AS lower"
+    follow = """CASE WHEN NOT n.ok THEN NULL WHEN NOT p.ok THEN n.close >= n.mid WHEN p.up THEN n.close >= CASE WHEN n.l > p.lower OR p.close < p.lower THEN n.l ELSE p.lower END
+      ELSE n.close > CASE WHEN n.u < p.upper OR p.close > p.upper THEN n.u ELSE p.upper END END AS up,
+    CASE WHEN NOT n.ok OR NOT p.ok OR n.u < p.upper OR p.close > p.upper THEN n.u ELSE p.upper END AS upper,
+    CASE WHEN NOT n.ok OR NOT p.ok OR n.l > p.lower OR p.close < p.lower THEN n.l ELSE p.lower END AS lower"""
+    walk = f"walk AS (SELECT symbol, idx, ok, close, {start} FROM {s.name} WHERE idx = (SELECT min(idx) FROM r WHERE r.symbol = {s.name}.symbol) UNION ALL SELECT n.symbol, n.idx, n.ok, n.close, {follow} FROM walk p JOIN {s.name} n ON n.symbol = p.symbol AND n.idx = p.idx + 1)"
+    return f"WITH RECURSIVE {', '.join(p.replace(f'{s.name} AS (', f'{s.name} AS MATERIALIZED (') if p.startswith(f'{s.name} AS') else p for p in s.parts)}, {walk} SELECT symbol, idx, round(CASE WHEN ok THEN CASE WHEN up THEN lower ELSE upper END END, 6) AS value FROM walk"
+
+
+def service_sql() -> dict[str, str]:
+    from barloom.plans.queries import FIRST_MINUTE, NOW_MINUTE
+
+    minutes = EVENT_BARS.replace("3600000", "60000")
+    minutes = minutes[: minutes.index("\nb AS")].rstrip(",")
+    return {
+        "ref_upsert_changed": "SELECT CAST(c_custkey % 4 + 1 AS INTEGER) AS market_id, c_name AS symbol, 'DISABLED' AS status, CAST(c_mktsegment = 'BUILDING' AS INTEGER) AS is_tradable FROM customer WHERE c_acctbal < 0 UNION ALL SELECT CAST(s_suppkey % 4 + 1 AS INTEGER), s_name, 'ENABLED', 1 FROM supplier",
+        "plan_backfill_tasks": f"""WITH b AS (SELECT event_type AS symbol, min(epoch_ms(ts) // 60000) AS lo FROM events WHERE event_type IS NOT NULL GROUP BY ALL)
+SELECT * FROM (SELECT 1 AS market_id, symbol, 'historical_backfill' AS reason, {FIRST_MINUTE}::BIGINT AS start_minute, lo AS end_minute FROM b
+UNION ALL SELECT 1, symbol, 'scheduler_tail', {NOW_MINUTE - 180}, {NOW_MINUTE} FROM b UNION ALL SELECT 2, n_name, 'bootstrap', {FIRST_MINUTE + 60}, {NOW_MINUTE} FROM nation) WHERE start_minute < end_minute""",
+        "stream_gap_tracker": """WITH m AS (SELECT event_type AS symbol, epoch_ms(ts) // 60000 AS minute, event_id FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL),
+p AS (SELECT *, max(minute) OVER (PARTITION BY symbol ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM m),
+k AS (SELECT *, CASE WHEN last IS NULL OR minute = last + 1 THEN 'accepted' WHEN minute = last THEN 'duplicate' WHEN minute < last THEN 'out_of_order' ELSE 'gap' END AS kind FROM p)
+SELECT symbol, kind, minute, CASE WHEN kind = 'gap' THEN last + 1 END AS start_minute, CASE WHEN kind = 'gap' THEN minute END AS end_minute FROM k""",
+        "stream_rollup": f"WITH {minutes} SELECT symbol, idx // 2 AS idx, round(first(open ORDER BY idx), 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low, round(last(close ORDER BY idx), 6) AS close, round(sum(volume), 6) AS volume FROM r GROUP BY symbol, idx // 2 HAVING count(*) = 2",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out = {f"ind_{i.replace('.', '_')}": s.value() for i, s in indicator_steps().items()}
-    return out | signal_sql() | bars_sql() | metrics_sql()
+    out["ind_trend_supertrend"] = recursive_supertrend()
+    return out | signal_sql() | bars_sql() | metrics_sql() | service_sql()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -9,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import epoch_ms
-from barloom.operators import bars, execution, metrics, search, signals
+from barloom.operators import bars, execution, metrics, reference_data, search, signals
 from barloom.operators.indicators import registry, registry_rows
+from barloom.streaming import live
 
 HOUR, DAY = 3_600_000, 86_400_000
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,7 +184,69 @@ def search_queries() -> dict[str, Query]:
     }
 
 
+def _shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary one where none is set (tests)."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        top = f"file://{tempfile.mkdtemp(prefix='barloom-')}"
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/barloom/{name}-{uuid.uuid4().hex}"
+
+
+def _streamed(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """All that a stream's source has by now, through its state, as a table."""
+    at = _shared_folder(spark, name)
+    live.write_batches(stream, f"{at}/rows", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows/batch=*")
+
+
+def stream_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a glob, because a stream's plain path must be a folder
+    events = spark.readStream.schema(_read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    minute = F.floor(epoch_ms("ts") / 60_000).cast("long")
+    return _streamed(spark, live.track_gaps(events.where("event_type is not null and ts is not null").select(F.col("event_type").alias("symbol"), minute.alias("minute"), F.col("event_id").alias("seq"))), "gaps")
+
+
+def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute bars as a stream, rolled up to pairs of minutes that are both there."""
+    at = _shared_folder(spark, "minutes")
+    minutes = event_bars(spark, sf_dir, 60_000).select("symbol", F.col("idx").cast("long").alias("minute"), *bars.OHLCV, F.col("idx").cast("long").alias("seq"))
+    minutes.write.parquet(at)
+    return _rounded(_streamed(spark, live.rollup_strict_stream(spark.readStream.schema(minutes.schema).parquet(at), 2), "pairs"))
+
+
+def _market(key: str) -> F.Column:
+    return (F.col(key) % 4 + 1).cast("int").alias("market_id")
+
+
+def upsert_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as instruments: those in the red are switched off, and suppliers are asked for as new ones."""
+    c, s = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "supplier")
+    on, off = F.lit("ENABLED").alias("status"), F.when(F.col("c_acctbal") < 0, "DISABLED").otherwise("ENABLED").alias("status")
+    building = (F.col("c_mktsegment") == "BUILDING").cast("int").alias("is_tradable")
+    current = c.select(_market("c_custkey"), F.col("c_name").alias("symbol"), on, building, F.lit(1).alias("updated_at"))
+    target = c.select(_market("c_custkey"), F.col("c_name").alias("symbol"), off, building).unionByName(s.select(_market("s_suppkey"), F.col("s_name").alias("symbol"), on, F.lit(1).alias("is_tradable")))
+    return reference_data.changed_rows(target, current, ["status", "is_tradable"])
+
+
+FIRST_MINUTE, NOW_MINUTE = 19_722 * 1440, 19_730 * 1440
+
+
+def backfill_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types as instruments of market 1 with minutes, nations as instruments of market 2 without any."""
+    seen = _read(spark, sf_dir, "events").where("event_type is not null").groupBy(F.lit(1).alias("market_id"), F.col("event_type").alias("symbol"))
+    minute = F.floor(epoch_ms("ts") / 60_000).cast("long")
+    bounds = seen.agg(F.min(minute).alias("min_minute"), F.max(minute).alias("max_minute"))
+    instruments = bounds.select("market_id", "symbol").unionByName(_read(spark, sf_dir, "nation").select(F.lit(2).alias("market_id"), F.col("n_name").alias("symbol")))
+    earliest = spark.createDataFrame([(1, FIRST_MINUTE), (2, FIRST_MINUTE + 60)], "market_id int, earliest_minute long")
+    return reference_data.backfill_tasks(instruments, bounds, earliest, NOW_MINUTE, 180)
+
+
+def service_queries() -> dict[str, Query]:
+    return {"ref_upsert_changed": upsert_changed, "plan_backfill_tasks": backfill_tasks, "stream_gap_tracker": stream_gaps, "stream_rollup": stream_rollup}
+
+
 def queries() -> dict[str, Query]:
     from barloom.plans.indicator_ids import IDS
 
-    return bar_queries() | {f"ind_{i.replace('.', '_')}": _indicator(i) for i in IDS} | signal_queries() | search_queries()
+    return bar_queries() | {f"ind_{i.replace('.', '_')}": _indicator(i) for i in IDS} | signal_queries() | search_queries() | service_queries()

@@ -1,7 +1,7 @@
 """Live candles: gap tracking, strict rollup and run states as keyed state, and sinks by micro-batch.
 
-State is one small tuple a key. Rows of a key are taken in the order of `seq` within an Arrow chunk of a micro-batch;
-what is late is decided by the state alone, so nothing that a repair would accept is dropped by a watermark.
+State is one small tuple a key. A key's rows of a micro-batch are taken in the order of `seq` (a source's options bound a
+micro-batch); what is late is decided by the state alone, so nothing that a repair would accept is dropped by a watermark.
 """
 
 from __future__ import annotations
@@ -35,9 +35,8 @@ def _keyed(stream: DataFrame, key: str, step: Callable[[tuple | None, str, pd.Da
 
     def run(k: tuple, chunks: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         now = held.get if held.exists else None
-        for chunk in chunks:
-            now, rows = step(now, k[0], chunk.sort_values("seq", kind="stable"))
-            yield pd.DataFrame(rows, columns=names)
+        now, rows = step(now, k[0], pd.concat(chunks).sort_values("seq", kind="stable"))
+        yield pd.DataFrame(rows, columns=names)
         if now is not None:
             held.update(now)
 
