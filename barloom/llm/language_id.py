@@ -22,7 +22,8 @@ from barloom.llm.common import doc_hash, smallest_hashes, text_steps, texts_of
 BUCKETS, WIDTH = 1 << 16, 16
 #: Bounds of the training sample: labelled documents, and distinct subwords of each (those of smallest hashes).
 TRAIN_DOCS, TRAIN_SUBWORDS = 4000, 1500
-EPOCHS, RATE, CALIBRATION_SHARE = 6, 0.5, 0.2
+#: Passes over the sample, and updates that a small one gets at least.
+EPOCHS, LEAST_STEPS, RATE, CALIBRATION_SHARE = 6, 6000, 0.5, 0.2
 #: Share of rightly named calibration documents that a rejection threshold may lose, and its upper limit.
 LOST, HIGHEST = 0.001, 0.4
 MAX_WORDS = 400_000
@@ -108,8 +109,9 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed:
     train = order[len(held) :] if len(order) > len(held) else order
     emb = rng.uniform(-0.1, 0.1, (BUCKETS, WIDTH))
     out, bias = np.zeros((WIDTH, len(languages))), np.zeros(len(languages))
-    steps, at = EPOCHS * len(train), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // max(len(train), 1)))
+    steps, at = epochs * len(train), 0
+    for _ in range(epochs):
         for i in rng.permutation(train):
             ids, counts = features[i]
             if not len(ids):
