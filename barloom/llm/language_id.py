@@ -7,6 +7,7 @@ and a text's logits are a mean over its words, whatever its length.
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +30,7 @@ LOST, HIGHEST = 0.001, 0.4
 MAX_WORDS = 400_000
 UNKNOWN = "und"
 
+_EDGES = string.punctuation + string.digits
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
@@ -65,6 +67,10 @@ class _Words(dict):
         self.table = np.zeros((1024, model.logits.shape[1] + 1))
 
     def __missing__(self, chunk: str) -> int:
+        core = chunk.strip(_EDGES)
+        if core != chunk:  # marks and digits at the ends are in no subword
+            self[chunk] = row = self[core]
+            return row
         if self.used == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         ids = chunk_subwords(chunk)
