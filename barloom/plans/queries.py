@@ -201,18 +201,15 @@ def _streamed(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 
 
 def stream_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a glob, because a stream's plain path must be a folder
-    events = spark.readStream.schema(_read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
     minute = F.floor(epoch_ms("ts") / 60_000).cast("long")
-    return _streamed(spark, live.track_gaps(events.where("event_type is not null and ts is not null").select(F.col("event_type").alias("symbol"), minute.alias("minute"), F.col("event_id").alias("seq"))), "gaps")
+    rows = _read(spark, sf_dir, "events").where("event_type is not null and ts is not null").select(F.col("event_type").alias("symbol"), minute.alias("minute"), F.col("event_id").alias("seq"))
+    return _streamed(spark, live.track_gaps(live.in_order(spark, rows, _shared_folder(spark, "events"))), "gaps")
 
 
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minute bars as a stream, rolled up to pairs of minutes that are both there."""
-    at = _shared_folder(spark, "minutes")
     minutes = event_bars(spark, sf_dir, 60_000).select("symbol", F.col("idx").cast("long").alias("minute"), *bars.OHLCV, F.col("idx").cast("long").alias("seq"))
-    minutes.write.parquet(at)
-    return _rounded(_streamed(spark, live.rollup_strict_stream(spark.readStream.schema(minutes.schema).parquet(at), 2), "pairs"))
+    return _rounded(_streamed(spark, live.rollup_strict_stream(live.in_order(spark, minutes, _shared_folder(spark, "minutes")), 2), "pairs"))
 
 
 def _market(key: str) -> F.Column:

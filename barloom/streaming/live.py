@@ -1,7 +1,8 @@
 """Live candles: gap tracking, strict rollup and run states as keyed state, and sinks by micro-batch.
 
-State is one small tuple a key. A key's rows of a micro-batch are taken in the order of `seq` (a source's options bound a
-micro-batch); what is late is decided by the state alone, so nothing that a repair would accept is dropped by a watermark.
+State is one small tuple a key. A key's rows of a micro-batch are taken in the order of `seq`; a live source's options bound
+a micro-batch, and `in_order` bounds it for a table. What is late is decided by the state alone, so nothing that a repair
+would accept is dropped by a watermark.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,6 +18,28 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 GAP_EVENTS = "symbol string, kind string, minute long, start_minute long, end_minute long"
 BARS = "symbol string, idx long, open double, high double, low double, close double, volume double"
 RUN_EVENTS = "run_id string, kind string, minute long, start_minute long, end_minute long, state string"
+#: Rows of a table's micro-batch at most, and of those that a step takes and gives at once.
+TRIGGER_ROWS, STEP_ROWS = 1 << 20, 1 << 16
+
+
+def in_order(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
+    """A table as a stream in the order of `seq`, in micro-batches of at most TRIGGER_ROWS rows, by way of files in `path`.
+
+    The file source takes files by their time of change, so the files get times in the order of their names.
+    """
+    order = F.col("seq").asc_nulls_last()
+    rest = [c for c in rows.columns if c != "seq"]
+    files = max(1, -(-rows.count() // TRIGGER_ROWS))
+    rows.repartitionByRange(files, order).sortWithinPartitions(order, *rest).write.option("maxRecordsPerFile", TRIGGER_ROWS).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((f for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
+    first = max((f.getModificationTime() for f in parts), default=0) - 1000 * len(parts)
+    for k, f in enumerate(parts):
+        fs.setTimes(f.getPath(), first + 1000 * k, -1)
+    written = spark.read.schema(rows.schema).parquet(path)
+    most = written.groupBy(F.col("_metadata.file_path")).count().agg(F.max("count")).first()[0] or 1
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, TRIGGER_ROWS // most)).option("maxFileAge", "36500d").parquet(path)
 
 
 def observe(last: int | None, minute: int) -> tuple[int, tuple[str, int | None, int | None]]:
@@ -35,8 +58,10 @@ def _keyed(stream: DataFrame, key: str, step: Callable[[tuple | None, str, pd.Da
 
     def run(k: tuple, chunks: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         now = held.get if held.exists else None
-        now, rows = step(now, k[0], pd.concat(chunks).sort_values("seq", kind="stable"))
-        yield pd.DataFrame(rows, columns=names)
+        group = pd.concat(chunks).sort_values("seq", kind="stable")
+        for at in range(0, len(group), STEP_ROWS):
+            now, rows = step(now, k[0], group.iloc[at : at + STEP_ROWS])
+            yield pd.DataFrame(rows, columns=names)
         if now is not None:
             held.update(now)
 

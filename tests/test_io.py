@@ -112,3 +112,29 @@ def test_windowed_bars_stream(spark, tmp_path):
     s = stream(spark, tmp_path, [rows], "symbol string, ts string, price double, volume double, seq long").withColumn("ts", F.col("ts").cast("timestamp"))
     got = ran(spark, tmp_path, live.windowed_bars(s, "1 minute", "10 seconds").select("symbol", "open", "close")).collect()
     assert ("a", 1.0, 3.0) in [tuple(r)[:3] for r in got]
+
+
+def test_a_table_streams_in_order_in_bounded_micro_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "TRIGGER_ROWS", 40)
+    monkeypatch.setattr(live, "STEP_ROWS", 16)
+    minutes = [(k * 7) % 150 if k % 5 == 0 else k for k in range(150)]
+    rows = [("hot" if k % 3 else "cold", m, k) for k, m in enumerate(minutes)]
+    df = spark.createDataFrame(rows[::-1], "symbol string, minute long, seq long").repartition(5)
+    got = ran(spark, tmp_path, live.track_gaps(live.in_order(spark, df, f"{tmp_path}/files")))
+    want, last = [], {}
+    for symbol, m, _ in rows:
+        last[symbol], (kind, a, b) = live.observe(last.get(symbol), m)
+        want.append((symbol, kind, m, a, b))
+    assert sorted(map(str, (tuple(r)[:5] for r in got.collect()))) == sorted(map(str, want))
+    sizes = [r["count"] for r in got.groupBy("batch").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) <= 40
+
+
+def test_the_registered_streams_bound_their_micro_batches(spark, monkeypatch):
+    from barloom.plans import queries
+
+    monkeypatch.setattr(live, "TRIGGER_ROWS", 300)
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_type is not null and ts is not null").count()
+    got = queries.stream_gaps(spark, "/root/testdata/sf0.001")
+    sizes = [r["count"] for r in got.groupBy(F.input_file_name().substr(F.lit(1), F.instr(F.input_file_name(), "/part-"))).count().collect()]
+    assert events > 600 and sum(sizes) == events and max(sizes) <= 300
