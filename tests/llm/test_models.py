@@ -94,6 +94,46 @@ def test_brown_scores(spark, monkeypatch):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def test_brown_clusters_words_beyond_the_head(spark, monkeypatch):
+    """Four classes of words that all end alike, most of them outside the head, the broadcast table or 64 bytes."""
+    for name, n in (("WORDS", 60), ("HEAD", 40), ("END_ID", 40), ("IDS", 41 + brown.ENDINGS)):
+        monkeypatch.setattr(brown, name, n)
+    r = random.Random(9)
+    groups = [[f"{p}{i}{'long' * 20 if i % 5 == 0 else ''}zz" for i in range(100)] for p in ("noun", "verb", "adj", "part")]
+    rows = [(i, " ".join(r.choice(groups[k % 4]) for k in range(r.randint(10, 60)))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = F.coalesce(doc_hash("doc_id") % 5 == 1, F.lit(False))
+    unseen = [x for x in brown.score_documents(docs, ~held, held).collect() if x["held_out"]]
+    assert len(unseen) > 20 and sum(x["score"] - x["base_score"] for x in unseen) > 0.3 * sum(x["n_tokens"] for x in unseen)
+
+
+def test_brown_classes_grow_with_the_vocabulary():
+    assert [brown.class_count(n) for n in (0, 6000, 400_000)] == [64, 64, 256] and brown.class_count(10**7) > 700
+
+
+def test_a_word_goes_to_its_best_class():
+    r = np.random.default_rng(4)
+    size, classes, words = 12, 10, 30
+    stream = r.integers(words, size=4000)
+    stream = stream[np.append(True, stream[1:] != stream[:-1])]
+
+    def table(kinds):
+        t = np.zeros((size, size))
+        np.add.at(t, (kinds[stream[:-1]], kinds[stream[1:]]), 1)
+        return t
+
+    for w in (3, 17):
+        kinds = r.integers(classes, size=words)
+        kinds[w] = classes + 1  # no class yet, so that what others have doesn't change
+        around = np.zeros((2, size), np.int64)
+        np.add.at(around, (0, kinds[stream[:-1][stream[1:] == w]]), 1)
+        np.add.at(around, (1, kinds[stream[1:][stream[:-1] == w]]), 1)
+        d, k = np.nonzero(around)
+        got = brown.best_classes(np.zeros(len(d), int), d, k, around[d, k], kinds[[w]].astype(np.int64), table(kinds), classes, np.array([w]))
+        moved = [brown.likelihood(table(np.where(np.arange(words) == w, c, kinds))) for c in range(classes)]
+        assert moved[got[0]] == pytest.approx(max(moved), rel=1e-12)  # two empty classes are alike
+
+
 def test_brown_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = brown.score_documents(docs, F.lit(False), F.lit(True)).collect()
