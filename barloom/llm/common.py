@@ -1,44 +1,19 @@
-"""Shared helpers: scratch tables in the cluster's shared folder, and text as Arrow batches."""
+"""Shared helpers: text as Arrow batches, samples by hash, and names that no column has."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: UTF-8 bytes of text that a Python task handles at once.
-STEP_BYTES = 8 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='barloom-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/barloom/{name}-{uuid.uuid4().hex}"
-
+from barloom.sources.scratch import materialize, remove, scratch_path, shared_dir
 
-def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: later jobs neither recompute nor lose it."""
-    spark = df.sparkSession
-    path = path or scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialize", "remove", "scratch_path", "shared_dir", "table", "doc_hash", "text_steps", "texts_of", "smallest_hashes", "unused"]
 
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table through Hadoop's file system."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+#: UTF-8 bytes of text that a Python task handles at once.
+STEP_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,3 +53,16 @@ def smallest_hashes(df: DataFrame, key: str, n: int) -> list[int]:
     if total > 4 * n:
         keys = keys.where(h < int(-(2**63) + 3 * n / total * 2**64))
     return [r[0] for r in keys.orderBy(h, key).limit(n).collect()]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores until no column of `df` is called so in any case."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
+def check_unused(df: DataFrame, name: str) -> None:
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"there is a column {name} already; name the result otherwise")
