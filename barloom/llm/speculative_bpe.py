@@ -12,6 +12,7 @@ word's end. Decoding without a decoder in the file is tokens joined by a blank,
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from array import array
 from collections.abc import Iterator
@@ -22,15 +23,17 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm.common import text_steps, texts_of
-from barloom.llm.tokens import PUNCTUATION, WORD_CHUNKS, byte_characters, lower_nfc
+from barloom.llm.tokens import PUNCTUATION, WORD_CHUNKS, byte_characters, lower_nfc, windows
 
 NEVER = np.iinfo(np.int64).max
+#: Characters from which a text is encoded window by window.
+LONG = 1 << 20
 
 
 class SpeculativeBpe:
     """Encoder and decoder for a tokenizers file of word BPE with a suffix at word ends."""
 
-    def __init__(self, path: str, max_chunks: int = 200_000) -> None:
+    def __init__(self, path: str, max_chunks: int = 200_000, max_bytes: int = 32 << 20) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -61,7 +64,7 @@ class SpeculativeBpe:
                 self.left[z], self.right[z], self.rank[z], ends[z] = x, y, r, ends[y]
         self.inner = {s: i for s, i in vocab.items() if not ends[i]}
         self.final = {s[: -len(self.suffix)]: i for s, i in vocab.items() if ends[i]}
-        self.longest = max(map(len, self.inner))
+        self.longest, self.longest_final = max(map(len, self.inner)), max(map(len, self.final))
         self.size = size
         keys = np.array([*self.merge], np.int64)
         order = np.argsort(keys)
@@ -73,7 +76,7 @@ class SpeculativeBpe:
         self.ids_of: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.ids_of_word: dict[str, bytes] = {}
-        self.max_chunks = max_chunks
+        self.max_chunks, self.max_bytes, self.bytes = max_chunks, max_bytes, 0
         self.checked = self.failed = 0
 
     def _pair_ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -119,14 +122,15 @@ class SpeculativeBpe:
         return whole
 
     def propose(self, word: str) -> list[int]:
-        """Greedy longest match; the last token must hold the word's end."""
+        """Greedy longest match; the last token must hold the word's end. Takes time in proportion to the word's length."""
         out, at, n = [], 0, len(word)
         final, inner = self.final, self.inner
         while True:
-            token = final.get(word[at:])
-            if token is not None:
-                out.append(token)
-                return out
+            if n - at <= self.longest_final:
+                token = final.get(word[at:])
+                if token is not None:
+                    out.append(token)
+                    return out
             for stop in range(min(n - 1, at + self.longest), at, -1):
                 token = inner.get(word[at:stop])
                 if token is not None:
@@ -135,22 +139,30 @@ class SpeculativeBpe:
             at = stop
 
     def merge_exactly(self, word: str) -> list[int]:
-        """BPE by the rule: the lowest rank first, the leftmost of equal ones."""
+        """BPE by the rule: the lowest rank first, the leftmost of equal ones.
+
+        Tokens are a linked list and pairs wait in a heap by rank and place; one whose tokens have changed is passed over.
+        """
         ids, size, rank = [self.inner[c] for c in word[:-1]], self.size, self.merge.get
         ids.append(self.final[word[-1]])
-        ranks = [rank(x * size + y, NEVER) for x, y in zip(ids, ids[1:], strict=False)]
-        while ranks:
-            r = min(ranks)
-            if r == NEVER:
-                break
-            at = ranks.index(r)
-            ids[at] = z = self.made[r]
-            del ids[at + 1], ranks[at]
-            if at:
-                ranks[at - 1] = rank(ids[at - 1] * size + z, NEVER)
-            if at < len(ranks):
-                ranks[at] = rank(z * size + ids[at + 1], NEVER)
-        return ids
+        n = len(ids)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i) for i in range(n - 1) if (r := rank(ids[i] * size + ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or rank(ids[i] * size + ids[j]) != r:
+                continue
+            ids[i], ids[j] = self.made[r], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (more := rank(ids[i] * size + ids[k])) is not None:
+                    heapq.heappush(heap, (more, i))
+            if (h := before[i]) >= 0 and (more := rank(ids[h] * size + ids[i])) is not None:
+                heapq.heappush(heap, (more, h))
+        return [x for x in ids if x >= 0]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of words in byte-level characters."""
@@ -191,10 +203,17 @@ class SpeculativeBpe:
             self.ids_of_word.update(zip(words, [array(code, x).tobytes() for x in ids], strict=True))
         get = self.ids_of_word.__getitem__
         for c, p in zip(chunks, parts, strict=True):
-            self.ids_of[c] = get(p[0]) if len(p) == 1 and isinstance(p[0], str) else b"".join([get(w) if isinstance(w, str) else array(code, [w]).tobytes() for w in p])
+            self.ids_of[c] = got = get(p[0]) if len(p) == 1 and isinstance(p[0], str) else b"".join([get(w) if isinstance(w, str) else array(code, [w]).tobytes() for w in p])
+            self.bytes += 2 * (len(c) + len(got))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of whole texts. Chunks and words seen before are looked up, in two generations of `max_chunks` each."""
+        """Ids of whole texts; long ones are taken window by window."""
+        short = [t for t in texts if len(t) <= LONG]
+        some = iter(self._encode(short))
+        return [next(some) if len(t) <= LONG else np.concatenate([self._encode([w])[0] for w in windows(t)]) for t in texts]
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Chunks and words seen before are looked up, in two generations of `max_chunks` or `max_bytes` each."""
         parts = [WORD_CHUNKS.findall(t) for t in texts]
         new, older = set(), self.older
         for p in parts:
@@ -206,10 +225,13 @@ class SpeculativeBpe:
         self._learn(list(new))
         get = self.ids_of.__getitem__
         out = [np.frombuffer(b"".join(map(get, p)), self.dtype) for p in parts]
-        if len(self.ids_of) > self.max_chunks:
+        full = self.bytes > self.max_bytes
+        if full or len(self.ids_of) > self.max_chunks:
             self.older, self.ids_of = self.ids_of, {}
-        if len(self.ids_of_word) > self.max_chunks:
+        if full or len(self.ids_of_word) > self.max_chunks:
             self.ids_of_word = {}
+        if full:
+            self.bytes = 0
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -262,6 +284,7 @@ def digest_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def op6_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text of `documents`; a null text has no ids, and null ids and repeated rows come back each."""
     import public_tokenizers
 
     return digest_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))

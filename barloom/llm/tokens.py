@@ -14,6 +14,7 @@ import re
 import string
 import unicodedata
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import regex
@@ -23,11 +24,26 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 #: One optional blank and what follows up to the next white space; of white space, all but the last character.
 BYTE_CHUNKS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 WORD_CHUNKS = re.compile(f"[^{WHITE}]+")
+_CUT = re.compile(f"(?<=[^{WHITE}])[{WHITE}]")
+#: Characters of a text that are cut into chunks at once (a longer chunk stays whole).
+WINDOW = 1 << 20
 #: Words inside a chunk of each kind: the tokenizers' own patterns, for text whose only white space is a first blank.
 BYTE_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^ \p{L}\p{N}]+")
 PUNCTUATION = frozenset(string.punctuation)
 
 
+def windows(text: str, size: int = WINDOW) -> Iterator[str]:
+    """`text` in parts of about `size` characters. Parts begin where chunks of either kind do, so theirs are the whole text's."""
+    at = 0
+    while len(text) - at > size:
+        cut = _CUT.search(text, at + size)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 def byte_characters() -> dict[int, int]:
     """Byte-level BPE's character of each byte: itself where it's printable Latin-1, else the next one from U+0100."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -59,10 +75,11 @@ def chunking(spec: dict) -> tuple[re.Pattern, regex.Pattern, bool] | None:
 class ChunkEncoder(dict):
     """Maps a chunk or a word to its ids as little-endian bytes.
 
-    Holds about `max_chunks` of them and as many of the generation before, from which those still in use come back.
+    Holds about `max_chunks` of them or `max_bytes` (and a text's window), and as many of the generation before, from which
+    those still in use come back.
     """
 
-    def __init__(self, path: str, max_chunks: int = 250_000) -> None:
+    def __init__(self, path: str, max_chunks: int = 250_000, max_bytes: int = 32 << 20) -> None:
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -76,7 +93,7 @@ class ChunkEncoder(dict):
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype(f"={self.code}").newbyteorder("<")
         self.characters = byte_characters()
-        self.max_chunks = max_chunks
+        self.max_chunks, self.max_bytes, self.bytes = max_chunks, max_bytes, 0
         self.older: dict[str, bytes] = {}
 
     def _words(self, chunk: str) -> list[str]:
@@ -103,6 +120,7 @@ class ChunkEncoder(dict):
             else:
                 out = b"".join([self._ids(w) for w in words])
         self[chunk] = out
+        self.bytes += len(chunk) + len(out)
         return out
 
     def _whole(self, text: str) -> bytes:
@@ -117,12 +135,18 @@ class ChunkEncoder(dict):
             if any(s in t for s in self.specials):
                 out.append(self._whole(t))
             else:
-                out.append(b"".join(map(get, find(t))))
-            if len(self) > self.max_chunks:
-                self.older = dict(self)
-                self.clear()
+                parts = []
+                for w in windows(t):
+                    parts.append(b"".join(map(get, find(w))))
+                    self._forget()
+                out.append(parts[0] if len(parts) == 1 else b"".join(parts))
         return out
 
+    def _forget(self) -> None:
+        if len(self) > self.max_chunks or self.bytes > self.max_bytes:
+            self.older, self.bytes = dict(self), 0
+            self.clear()
+
 
 _encoders: dict[str, ChunkEncoder] = {}
 
