@@ -24,9 +24,10 @@ from barloom.llm.tokens import encoder
 #: Bins that a task keeps open; tokens that a task packs in the first round; tasks of a round that become one.
 OPEN_BINS, TASK_TOKENS, FAN_IN = 256, 8 << 20, 8
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-KEYS = ["doc_id", "piece", "start", "length", "ids_crc32"]
-PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, ids binary"
+#: A piece's columns; `row` numbers the documents, whatever their ids are.
+KEYS = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
+PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, sequence_id long, offset long, open boolean"
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
@@ -37,15 +38,17 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataF
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        row = TaskContext.get().partitionId() << 40
         for b in text_steps(batches):
             rows = []
             for doc, raw in zip(b.column(0).to_pylist(), enc.encode_bytes(texts_of(b)), strict=True):
                 ids = np.append(np.frombuffer(raw, enc.dtype).astype("<u4"), np.uint32(end_id))
                 for k, at in enumerate(range(0, len(ids), size)):
                     part = ids[at : at + size]
-                    rows.append((doc, k, at, len(part), zlib.crc32(part), part.astype(enc.dtype).tobytes()))
+                    rows.append((doc, k, at, len(part), zlib.crc32(part), row, part.astype(enc.dtype).tobytes()))
+                row += 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
                 names=[*KEYS, "ids"],
             )
 
@@ -95,7 +98,10 @@ class OpenBins:
 
 
 def pack(pieces: DataFrame, size: int, open_bins: int = OPEN_BINS, task_tokens: int = TASK_TOKENS) -> DataFrame:
-    """Place every piece: the columns of KEYS with sequence_id and offset. `pieces` must be a written table."""
+    """Place every piece: the columns of KEYS with sequence_id and offset. `pieces` must be a written table.
+
+    Null doc_ids and repeated rows are placed each; without pieces there are no sequences.
+    """
     todo = pieces.select(*KEYS)
     total = todo.agg(F.sum("length")).first()[0] or 0
     tasks, step, done = max(1, -(-total // task_tokens)), 0, []
@@ -125,7 +131,7 @@ def pack(pieces: DataFrame, size: int, open_bins: int = OPEN_BINS, task_tokens:
 
         def frame(out: list[tuple]) -> pd.DataFrame:
             f = pd.DataFrame(out, columns=[*KEYS, "sequence_id", "offset", "open"])
-            return f.astype({"doc_id": "Int64", "piece": "int32"} | dict.fromkeys(("start", "length", "ids_crc32", "sequence_id", "offset"), "int64") | {"open": "bool"})
+            return f.astype({"doc_id": "Int64", "piece": "int32"} | dict.fromkeys(("start", "length", "ids_crc32", "row", "sequence_id", "offset"), "int64") | {"open": "bool"})
 
         order = F.xxhash64(*KEYS)
         placed = materialize(todo.repartition(tasks).sortWithinPartitions(order, *KEYS).mapInPandas(place, PLACED), f"packed{step}")
@@ -140,23 +146,29 @@ def pack(pieces: DataFrame, size: int, open_bins: int = OPEN_BINS, task_tokens:
 
 
 def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
-    """The packed sequences themselves: sequence_id, its number of tokens and its ids (as `pieces` has them).
+    """The packed sequences themselves: sequence_id, n_tokens, ids (little-endian, as wide as `pieces` has them), the
+    doc_ids in them, and their pieces (doc_id, row, piece, start, length, offset) in order.
 
-    A sequence has at most `size` pieces, so no group is unbounded.
+    Pieces meet their places by `row` and `piece`, so documents with null or repeated ids are there each. A sequence has
+    at most `size` pieces, so no group is unbounded.
     """
-    joined = placed.join(pieces.select("doc_id", "piece", "ids_crc32", "ids").distinct(), ["doc_id", "piece", "ids_crc32"])
-    each = F.array_sort(F.collect_list(F.struct("offset", "length", "ids")))
+    joined = placed.join(pieces.select("row", "piece", "ids"), ["row", "piece"])
+    each = F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "row", "piece", "start", "ids")))
     got = joined.groupBy("sequence_id").agg(each.alias("p"))
-    return got.select("sequence_id", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("n_tokens"), F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
+    ids = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["ids"])), ""))
+    where = F.transform("p", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["row"].alias("row"), x["piece"].alias("piece"), x["start"].alias("start"), x["length"].alias("length"), x["offset"].alias("offset")))
+    n = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["length"])
+    return got.select("sequence_id", n.alias("n_tokens"), ids.alias("ids"), F.array_distinct(F.transform("p", lambda x: x["doc_id"])).alias("doc_ids"), where.alias("pieces"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """Pieces with their ids (a written table) and each piece's place."""
+    """Pieces with their ids (a written table) and each piece's place. Other columns of `docs` are ignored."""
     pieces = materialize(cut_pieces(docs, tokenizer, end_id, size), "pieces")
     return pieces, pack(pieces, size)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each piece's place; a null text is the end id alone, and null ids and repeated rows are packed each."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

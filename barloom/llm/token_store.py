@@ -17,6 +17,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -26,8 +27,11 @@ from pyspark.sql import functions as F
 from barloom.llm.common import materialize, remove, scratch_path, smallest_hashes, text_steps, texts_of
 from barloom.llm.tokens import encoder
 
-#: Documents and bytes of each that the dictionary is trained on (a bounded sample; compression stays lossless).
-DICT_DOCS, DICT_DOC_BYTES, DICT_BYTES = 1000, 16 << 10, 64 << 10
+#: Documents that the dictionary is trained on, bytes of a span of one, spans of a longer one (at hashed places of the
+#: whole array), and the dictionary's bytes. The sample bounds ratios only; compression is lossless.
+DICT_DOCS, SPAN_BYTES, SPANS, DICT_BYTES = 1000, 16 << 10, 4, 64 << 10
+#: Ranges of ids at most that a lookup's filter has.
+RANGES = 64
 BLOCK_BYTES = 1 << 20
 LEVEL = 3
 
@@ -40,29 +44,41 @@ DOCS = "doc_id long, start long, n_tokens long, ids binary"
 
 
 def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
+    """A trained dictionary, or raw content, as the bytes' first ones tell."""
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
+def _spans(ids: bytes, width: int) -> bytes:
+    """A document's serialized ids; of a long one SPANS spans, one at a hashed place of each of as many equal parts."""
+    if len(ids) <= SPANS * SPAN_BYTES:
+        return ids
+    part = len(ids) // SPANS
+    at = [(k * part + zlib.crc32(ids[k * part : (k + 1) * part]) % (part - SPAN_BYTES + 1)) // width * width for k in range(SPANS)]
+    return b"".join(ids[i : i + SPAN_BYTES] for i in at)
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
-    """A dictionary from the documents with the smallest hashes of their ids; empty where there are too few."""
+    """A dictionary from the documents with the smallest hashes of their ids; raw content where there are too few to train on.
+
+    Of the rows of one id the least serialized array counts, so the sample doesn't depend on any order.
+    """
     wanted = smallest_hashes(docs, "doc_id", DICT_DOCS)
     if not wanted:
         return b""
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([end_id], dtype=enc.dtype).tobytes()
+        end, width = np.array([end_id], dtype=enc.dtype).tobytes(), enc.dtype.itemsize
         for b in text_steps(batches):
-            # a training sample is one span of a document's serialized ids, at an even place so that ids stay whole
-            out = [(x + end) for x in enc.encode_bytes(texts_of(b))]
-            yield pa.RecordBatch.from_pydict({"x": pa.array([x[:DICT_DOC_BYTES] for x in out], pa.binary())})
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([_spans(x + end, width) for x in enc.encode_bytes(texts_of(b))], pa.binary())], names=["doc_id", "x"])
 
-    rows = docs.where(F.col("doc_id").isin(wanted)).select("text").mapInArrow(ids, "x binary").limit(2 * DICT_DOCS).collect()
-    samples = sorted(bytes(r[0]) for r in rows)
+    rows = docs.where(F.col("doc_id").isin(wanted)).select("doc_id", "text").mapInArrow(ids, "doc_id long, x binary").groupBy("doc_id").agg(F.min("x").alias("x")).collect()  # DICT_DOCS rows
+    samples = sorted(bytes(r["x"]) for r in rows)
+    parts = [x[i : i + SPAN_BYTES] for x in samples for i in range(0, len(x), SPAN_BYTES)]
     try:
-        return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(DICT_BYTES, parts).as_bytes()
     except (zstandard.ZstdError, MemoryError):
-        return b""
+        return b"".join(parts)[:DICT_BYTES]
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
@@ -131,19 +147,33 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
     spark.createDataFrame([(bytearray(data), sha, width)], "dictionary binary, dict_sha256 string, id_bytes int").coalesce(1).write.parquet(f"{path}/dictionary")
 
 
-def _read_blocks(spark: SparkSession, path: str, doc_ids: list[int] | None, ids: bool) -> DataFrame:
+def id_ranges(ids: Iterable[int], most: int = RANGES) -> list[tuple[int, int]]:
+    """At most so many ranges [low, high] that hold all of `ids`, cut at the widest gaps between them."""
+    x = np.unique(np.fromiter(ids, np.int64))
+    if not len(x):
+        return []
+    cuts = np.sort(np.argsort(-np.diff(x.astype(float)), kind="stable")[: most - 1])
+    return [(int(a[0]), int(a[-1])) for a in np.split(x, cuts + 1)]
+
+
+def _read_blocks(spark: SparkSession, path: str, wanted: DataFrame | None, ranges: list[tuple[int, int]] | None, ids: bool) -> DataFrame:
     head = spark.read.parquet(f"{path}/dictionary").first()
     data, sha, width = bytes(head[0]), head[1], head[2]
     if hashlib.sha256(data).hexdigest() != sha:
         raise ValueError(f"{path}: the dictionary doesn't have its SHA-256")
     bases = {r[0]: r[1] for r in spark.read.schema("part int, base long").parquet(f"{path}/parts").collect()}
-    wanted = None if doc_ids is None else set(doc_ids)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    if wanted is not None:
+    if ranges is not None:
         near = F.lit(False)
-        for x in sorted(wanted):
-            near |= (F.col("first_doc_id") <= x) & (F.col("last_doc_id") >= x)
+        for low, high in ranges:
+            near |= (F.col("first_doc_id") <= high) & (F.col("last_doc_id") >= low)
         blocks = blocks.where(near)
+    if wanted is None:
+        blocks = blocks.withColumn("keep", F.lit(None).cast("array<long>"))
+    else:
+        # the index alone tells which blocks hold wanted documents; only their payloads are moved
+        there = blocks.select("part", "block", F.explode("doc_ids").alias("doc_id")).join(wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id")
+        blocks = blocks.join(there.groupBy("part", "block").agg(F.collect_set("doc_id").alias("keep")), ["part", "block"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor(dict_data=_dictionary(data))
@@ -154,8 +184,9 @@ def _read_blocks(spark: SparkSession, path: str, doc_ids: list[int] | None, ids:
                 if row["dict_sha256"].as_py() != sha:
                     raise ValueError(f"{path}: a block was written with another dictionary")
                 payload, offsets = row["payload"].as_buffer(), row["offsets"].as_py()
-                docs = row["doc_ids"].as_py()
-                keep = [i for i, d in enumerate(docs) if wanted is None or d in wanted]
+                docs, some = row["doc_ids"].as_py(), row["keep"].as_py()
+                some = some if some is None else set(some)
+                keep = [i for i, d in enumerate(docs) if some is None or d in some]
                 starts, base = row["starts"].as_py(), bases[row["part"].as_py()]
                 raw = [np.frombuffer(unzip.decompress(payload[offsets[i] : offsets[i + 1]]), kind).astype("<u4") for i in keep]
                 yield pa.RecordBatch.from_arrays(
@@ -164,21 +195,29 @@ def _read_blocks(spark: SparkSession, path: str, doc_ids: list[int] | None, ids:
                     names=["doc_id", "start", "n_tokens", "ids" if ids else "ids_crc32"],
                 )
 
-    names = ["part", "dict_sha256", "doc_ids", "starts", "offsets", "payload"]
+    names = ["part", "dict_sha256", "doc_ids", "starts", "offsets", "payload", "keep"]
     return blocks.select(*names).mapInArrow(unpack, DOCS if ids else "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def read_documents(spark: SparkSession, path: str, doc_ids: Iterable[int] | None = None) -> DataFrame:
-    """Documents of a store with their ids (little-endian unsigned 32-bit); only blocks that may hold `doc_ids` are read."""
-    return _read_blocks(spark, path, None if doc_ids is None else list(doc_ids), True)
+def read_documents(spark: SparkSession, path: str, doc_ids: Iterable[int] | DataFrame | None = None) -> DataFrame:
+    """Documents of a store with their ids (little-endian unsigned 32-bit): all, or those of `doc_ids`.
+
+    A lookup reads the index of blocks that may hold one of at most RANGES ranges of ids, and the payloads of those that do.
+    `doc_ids` may be a DataFrame with a doc_id column, of any size. Ids that aren't there, and null ones, give no rows.
+    """
+    if doc_ids is None or isinstance(doc_ids, DataFrame):
+        return _read_blocks(spark, path, doc_ids, None, True)
+    some = [int(i) for i in doc_ids if i is not None]
+    return _read_blocks(spark, path, spark.createDataFrame(pd.DataFrame({"doc_id": np.array(some, np.int64)}), "doc_id long"), id_ranges(some), True)
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and the checksum of every document's ids, from the stored bytes."""
-    return _read_blocks(spark, path, None, False)
+    return _read_blocks(spark, path, None, None, False)
 
 
 def op2_zstd_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and digest, read back; a null text has its end id alone, and null ids come first."""
     import public_tokenizers
 
     path = scratch_path(spark, "token-store")
