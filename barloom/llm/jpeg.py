@@ -29,7 +29,8 @@ from barloom.llm.common import materialize, text_steps, texts_of
 FREQUENT = b" enatirosdhlucmg.pb,fyvw\nq!j\xc3\xb3kzxT*"
 RANKED = np.array([*FREQUENT, *(b for b in range(256) if b not in FREQUENT)], np.uint8)
 RESTART = 16
-STEP_BYTES = 6 << 20
+#: Bytes of text that are encoded or decoded at once, and segments.
+STEP_BYTES, STEP_SEGMENTS = 3 << 20, 4096
 #: Huffman codes: number of codes of each length 1..16, and the symbols (sizes in bits; for AC also 0x00 EOB, 0xF0 ZRL).
 DC_LENGTHS, DC_SYMBOLS = (0, 0, 7, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0), (3, 4, 5, 2, 1, 6, 7, 8, 0, 9, 10)
 AC_LENGTHS, AC_SYMBOLS = (0, 3, 1, 1, 1, 1, 1, 0, 1, 1, 0, 0, 0, 0, 0, 0), (2, 3, 1, 4, 5, 6, 7, 8, 0x00, 0xF0)
@@ -85,19 +86,46 @@ def _header(wide: int, high: int, n_bytes: int, payload: int) -> bytes:
 
 
 def encode(texts: list[bytes]) -> list[bytes]:
-    """A baseline JPEG for each text, whose coefficients are the text and zero bytes up to a multiple of 64."""
-    shapes, parts = [], []
-    for t in texts:
+    """A baseline JPEG for each text, whose coefficients are the text and zero bytes up to a multiple of 64.
+
+    Long texts are cut between segments, so that about STEP_BYTES are worked on at once.
+    """
+    files: list[list[bytes]] = []
+    todo: list[tuple[int, bytes, int, bool]] = []  # file, bytes of whole blocks, number of the first segment, whether the last part
+    held = 0
+    per = RESTART * 64
+
+    def flush() -> None:
+        for (i, _, _, last), raw in zip(todo, _scans([x[1:] for x in todo]), strict=True):
+            files[i] += [raw, b"\xff\xd9"] if last else [raw]
+        todo.clear()
+
+    for i, t in enumerate(texts):
         blocks = max(1, -(-len(t) // 64))
         wide, high = grid(blocks)
         if wide > 8191:
             raise ValueError("a payload of over 4 GB doesn't fit a JPEG")
-        shapes.append((wide, high, len(t), blocks * 64))
-        parts.append(t.ljust(blocks * 64, b"\0").ljust(wide * high * 64, b" "))
-    if not texts:
+        files.append([_header(wide, high, len(t), blocks * 64)])
+        total, step = wide * high * 64, STEP_BYTES // per * per
+        for at in range(0, total, step):
+            size = min(step, total - at)
+            part = t[at : at + size]
+            part = part.ljust(min(size, max(0, blocks * 64 - at)), b"\0").ljust(size, b" ")
+            todo.append((i, part, at // per, at + size == total))
+            held += size
+            if held >= STEP_BYTES:
+                flush()
+                held = 0
+    flush()
+    return [b"".join(f) for f in files]
+
+
+def _scans(parts: list[tuple[bytes, int, bool]]) -> list[bytes]:
+    """Entropy-coded segments of each (bytes of whole blocks, number of the first segment, whether the file ends here)."""
+    if not parts:
         return []
-    coef = COEFFICIENT[np.frombuffer(b"".join(parts), np.uint8)].astype(np.int64).reshape(-1, 64)
-    counts = np.array([w * h for w, h, _, _ in shapes])
+    coef = COEFFICIENT[np.frombuffer(b"".join(p[0] for p in parts), np.uint8)].astype(np.int64).reshape(-1, 64)
+    counts = np.array([len(p[0]) // 64 for p in parts])
     first = np.repeat(np.cumsum(counts) - counts, counts)
     local = np.arange(len(coef)) - first
     starts = np.flatnonzero(local % RESTART == 0)  # of segments, in blocks
@@ -122,9 +150,11 @@ def encode(texts: list[bytes]) -> list[bytes]:
     data = packed[:total].astype(np.uint8)
     fill = seg_bytes * 8 - (seg_end - seg_from)
     data[seg_at + seg_bytes - 1] |= ((1 << fill) - 1).astype(np.uint8)
-    # stuffing after each 0xFF, and restart markers between the segments of a file
-    order = local[starts] // RESTART
-    last = np.append(order[1:] == 0, True)
+    # stuffing after each 0xFF, and restart markers after all segments of a file but its last
+    of_part = np.repeat(np.arange(len(parts)), -(-counts // RESTART))
+    order = local[starts] // RESTART + np.array([p[1] for p in parts])[of_part]
+    end_of_part = np.append(of_part[1:] != of_part[:-1], True)
+    last = end_of_part & np.array([p[2] for p in parts])[of_part]
     room = np.where(last, 0, 2)
     ff = data == 0xFF
     place = np.cumsum(ff) - ff + np.arange(total) + np.repeat(np.cumsum(room) - room, seg_bytes)
@@ -133,11 +163,11 @@ def encode(texts: list[bytes]) -> list[bytes]:
     tail = seg_at + seg_bytes - 1
     after = place[tail] + 1 + ff[tail]
     out[after[~last]], out[after[~last] + 1] = 0xFF, (0xD0 + order[~last] % 8).astype(np.uint8)
-    cuts, raw, begin, files = after[last], out.tobytes(), 0, []
-    for shape, end in zip(shapes, cuts.tolist(), strict=True):
-        files.append(_header(*shape) + raw[begin:end] + b"\xff\xd9")
+    cuts, raw, begin, scans = (after + room)[end_of_part], out.tobytes(), 0, []
+    for end in cuts.tolist():
+        scans.append(raw[begin:end])
         begin = end
-    return files
+    return scans
 
 
 @dataclass
@@ -278,33 +308,49 @@ def _decode_segments(segments: list[bytes], blocks: np.ndarray, pattern: list[in
 
 
 def decode(files: list[bytes]) -> list[tuple[Parsed, np.ndarray]]:
-    """Each file's markers and its blocks' coefficients in scan order, (blocks, 64) in zigzag order, DC values absolute."""
+    """Each file's markers and its blocks' coefficients in scan order, (blocks, 64) in zigzag order, DC values absolute.
+
+    About STEP_SEGMENTS segments or STEP_BYTES are decoded at once, of many files or of a part of one.
+    """
     parsed = [parse(f) for f in files]
     groups: dict[tuple, list[int]] = {}
     for i, p in enumerate(parsed):
         groups.setdefault((tuple(p.pattern()), tuple((p.huffman[c[4]], p.huffman[c[5]]) for c in p.components)), []).append(i)
     out: list = [None] * len(files)
     for (pattern, codes), members in groups.items():
-        segments, blocks = [], []
+        tables = [(_lookup(*a), _lookup(*b)) for a, b in codes]
+        todo: list[tuple[int, int, bytes, int]] = []  # file, first block, segment, blocks
+        held = 0
+
+        def flush(todo: list = todo, pattern: tuple = pattern, tables: list = tables) -> None:
+            if not todo:
+                return
+            coef = _decode_segments([x[2] for x in todo], np.array([x[3] for x in todo]), list(pattern), tables)
+            for c in set(pattern):
+                mine = np.flatnonzero(np.array([pattern[j % len(pattern)] for j in range(coef.shape[1])]) == c)
+                coef[:, mine, 0] = np.cumsum(coef[:, mine, 0], axis=1)
+            for k, (i, at, _, n) in enumerate(todo):
+                out[i][1][at : at + n] = coef[k, :n]
+            todo.clear()
+
         for i in members:
             p, (across, down) = parsed[i], parsed[i].mcus()
             per = p.restart or across * down
             counts = [min(per, across * down - at) * len(pattern) for at in range(0, across * down, per)]
             if len(counts) != len(p.segments):
                 raise ValueError("restart markers are missing")
-            segments += p.segments
-            blocks += counts
-        coef = _decode_segments(segments, np.array(blocks), list(pattern), [(_lookup(*a), _lookup(*b)) for a, b in codes])
-        for c in set(pattern):
-            mine = np.flatnonzero(np.array([pattern[j % len(pattern)] for j in range(coef.shape[1])]) == c)
-            coef[:, mine, 0] = np.cumsum(coef[:, mine, 0], axis=1)
-        at = 0
-        for i in members:
-            n = len(parsed[i].segments)
-            own = coef[at : at + n]
-            full = own[:-1].reshape(-1, 64) if n == 1 or blocks[at] == own.shape[1] else own[:-1, : blocks[at]].reshape(-1, 64)
-            out[i] = (parsed[i], np.concatenate([full, own[-1, : blocks[at + n - 1]]]))
-            at += n
+            if sum(counts) > 32 * sum(map(len, p.segments)) + 64:
+                raise ValueError("a scan is too short for its blocks")
+            out[i] = (p, np.empty((sum(counts), 64), np.int16))
+            first = 0
+            for s, n in zip(p.segments, counts, strict=True):
+                todo.append((i, first, s, n))
+                first += n
+                held += len(s) + 64
+                if len(todo) >= STEP_SEGMENTS or held >= STEP_BYTES:
+                    flush()
+                    held = 0
+        flush()
     return out
 
 
@@ -328,14 +374,19 @@ def payload_of(p: Parsed, coef: np.ndarray) -> tuple[bytes, int]:
     if note is None:
         raise ValueError("the file holds no payload")
     n_bytes, size = struct.unpack(">QQ", note[7:])
-    c = coef.reshape(-1).astype(np.int64)
-    return RANKED[2 * np.abs(c) - 2 + (c < 0)][:size].tobytes(), n_bytes
+    c = coef.reshape(-1)
+    if size > len(c) or n_bytes > size:
+        raise ValueError("the payload is longer than the scan")
+    rank = 2 * np.abs(c) - 2 + (c < 0)
+    if ((rank < 0) | (rank > 255)).any():
+        raise ValueError("a coefficient stands for no byte")
+    return RANKED[rank[:size]].tobytes(), n_bytes
 
 
 MEDIA = "doc_id long, media binary"
 FEATURES = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, feature string, width int, height int, thumbnail_sha256 string"
+    "media_sha256 string, feature string, width int, height int, thumbnail_sha256 string, error string"
 )
 
 
@@ -343,28 +394,57 @@ def store_media(docs: DataFrame) -> DataFrame:
     """doc_id and a JPEG of each row's whole text. A null text is an empty one; repeated rows and null ids stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_steps(batches, STEP_BYTES):
+        for b in text_steps(batches, 2 * STEP_BYTES):
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(encode([t.encode() for t in texts_of(b)]), pa.binary())], names=["doc_id", "media"])
 
     return docs.select("doc_id", "text").mapInArrow(run, MEDIA)
 
 
+def _decode_each(files: list[bytes | None]) -> list[tuple[Parsed, np.ndarray] | str]:
+    """What `decode` gives for each file, or why it can't be read."""
+    try:
+        return list(decode(files))
+    except Exception:  # noqa: BLE001  one of them is broken: find out which
+        out: list = []
+        for f in files:
+            try:
+                out += decode([f]) if f is not None else ["no file"]
+            except Exception as e:  # noqa: BLE001
+                out.append(f"{type(e).__name__}: {e}"[:200])
+        return out
+
+
 def media_features(media: DataFrame) -> DataFrame:
-    """Digests and the thumbnail's features of every stored file, from its bytes."""
+    """Digests and the thumbnail's features of every stored file, from its bytes.
+
+    A null or broken file, and one that holds no payload, gives a row with its doc_id, what could be read, and the reason in
+    `error`; repeated rows and null ids stay.
+    """
+
+    def features(doc: int | None, f: bytes | None, got: tuple[Parsed, np.ndarray] | str) -> tuple:
+        stored = (None, None) if f is None else (len(f), hashlib.sha256(f).hexdigest())
+        if isinstance(got, str):
+            return (doc, None, None, None, None, *stored, None, None, None, None, got)
+        p, coef = got
+        small = thumbnail(p, coef)
+        sha = hashlib.sha256(struct.pack(">II", *small.shape) + small.tobytes()).hexdigest()
+        seen = (f"{p.width}x{p.height}:{sha[:16]}", p.width, p.height, sha)
+        try:
+            payload, n = payload_of(p, coef)
+        except ValueError as e:
+            return (doc, None, None, None, None, *stored, *seen, f"ValueError: {e}")
+        return (doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *stored, *seen, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_steps(batches, STEP_BYTES // 2):
-            files, rows = b.column(1).to_pylist(), []
-            for doc, f, (p, coef) in zip(b.column(0).to_pylist(), files, decode(files), strict=True):
-                payload, n = payload_of(p, coef)
-                small = thumbnail(p, coef)
-                sha = hashlib.sha256(struct.pack(">II", *small.shape) + small.tobytes()).hexdigest()
-                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(f), hashlib.sha256(f).hexdigest(), f"{p.width}x{p.height}:{sha[:16]}", p.width, p.height, sha))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+        for b in text_steps(batches, STEP_BYTES):
+            files = b.column(1).to_pylist()
+            rows = [features(*r) for r in zip(b.column(0).to_pylist(), files, _decode_each(files), strict=True)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in FEATURES.split(", ")])
 
-    return media.mapInArrow(run, FEATURES)
+    return media.select("doc_id", "media").mapInArrow(run, FEATURES)
 
 
 def op3_baseline_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a stored JPEG, and what its bytes say; a null text is an empty one."""
     return media_features(materialize(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media"))
