@@ -2,11 +2,13 @@
 
 A text's vector is the mean of the embeddings of all subwords of its words (the word and its character 2- to 4-grams,
 hashed into BUCKETS). Because softmax's input is linear in that mean, each distinct word's sum of logits is looked up
-and a text's logits are a mean over its words, whatever its length.
+and a text's logits are a mean over its words, whatever its length. Beside them the mean logarithm of the subwords'
+frequencies in training tells how familiar a text is: text of no learned language has rare subwords.
 """
 
 from __future__ import annotations
 
+import pickle
 import string
 import zlib
 from collections.abc import Iterator
@@ -18,16 +20,17 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import doc_hash, smallest_hashes, text_steps, texts_of
+from barloom.llm.common import check_unused, doc_hash, smallest_hashes, text_steps, texts_of
+from barloom.llm.tokens import windows
 
 BUCKETS, WIDTH = 1 << 16, 16
-#: Bounds of the training sample: labelled documents, and distinct subwords of each (those of smallest hashes).
-TRAIN_DOCS, TRAIN_SUBWORDS = 4000, 1500
+#: Bound of the training sample: labelled documents, each with all of its subwords.
+TRAIN_DOCS = 4000
 #: Passes over the sample, and updates that a small one gets at least.
 EPOCHS, LEAST_STEPS, RATE, CALIBRATION_SHARE = 6, 6000, 0.5, 0.2
-#: Share of rightly named calibration documents that a rejection threshold may lose, and its upper limit.
-LOST, HIGHEST = 0.001, 0.4
-MAX_WORDS = 400_000
+#: Share of rightly named calibration documents that each of the two thresholds may lose, and the least threshold of scores.
+LOST, LOWEST = 0.001, 0.3
+MAX_WORDS, MAX_BYTES = 400_000, 32 << 20
 UNKNOWN = "und"
 
 _EDGES = string.punctuation + string.digits
@@ -49,24 +52,28 @@ def chunk_subwords(chunk: str) -> list[int]:
 
 @dataclass
 class Model:
-    """Logits of each subword before averaging, bias, temperature, threshold of rejection, and the languages."""
+    """Logits of each subword before averaging, the logarithm of its frequency, bias, temperature, least score and least
+    familiarity of an accepted text, and the languages."""
 
     logits: np.ndarray
+    rarity: np.ndarray
     bias: np.ndarray
     temperature: float
     threshold: float
+    familiar: float
     languages: list[str]
 
 
 class _Words(dict):
-    """Row of each chunk in a growing table of summed logits and numbers of subwords."""
+    """Row of each chunk in a growing table of summed logits, summed log frequencies and numbers of subwords."""
 
     def __init__(self, model: Model) -> None:
         super().__init__()
-        self.model, self.used = model, 0
-        self.table = np.zeros((1024, model.logits.shape[1] + 1))
+        self.model, self.used, self.bytes = model, 0, 0
+        self.table = np.zeros((1024, model.logits.shape[1] + 2))
 
     def __missing__(self, chunk: str) -> int:
+        self.bytes += len(chunk)
         core = chunk.strip(_EDGES)
         if core != chunk:  # marks and digits at the ends are in no subword
             self[chunk] = row = self[core]
@@ -75,29 +82,38 @@ class _Words(dict):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         ids = chunk_subwords(chunk)
         if ids:
-            self.table[self.used, :-1] = self.model.logits[ids].sum(0)
+            self.table[self.used, :-2] = self.model.logits[ids].sum(0)
+            self.table[self.used, -2] = self.model.rarity[ids].sum()
             self.table[self.used, -1] = len(ids)
         self[chunk] = self.used
         self.used += 1
         return self.used - 1
 
 
-def predict(model: Model, words: _Words, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the best language, -1 for a text without letters, and its calibrated probability (0 there)."""
-    best, score = np.full(len(texts), -1), np.zeros(len(texts))
+def predict(model: Model, words: _Words, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the best language, -1 for a text without letters, its calibrated probability (0 there), and familiarity."""
+    best, score, familiar = np.full(len(texts), -1), np.zeros(len(texts)), np.full(len(texts), -np.inf)
     for i, t in enumerate(texts):
-        parts = t.lower().split()
-        if not parts:
-            continue
-        rows = np.fromiter(map(words.__getitem__, parts), np.int64, len(parts))
-        total = words.table[rows].sum(0)
+        total = np.zeros(words.table.shape[1])
+        for w in windows(t):
+            parts = w.lower().split()
+            if parts:
+                rows = np.fromiter(map(words.__getitem__, parts), np.int64, len(parts))
+                total += words.table[rows].sum(0)
         if total[-1] == 0:
             continue
-        z = (total[:-1] / total[-1] + model.bias) / model.temperature
+        z = (total[:-2] / total[-1] + model.bias) / model.temperature
         p = np.exp(z - z.max())
         best[i] = int(p.argmax())
         score[i] = p.max() / p.sum()
-    return best, score
+        familiar[i] = total[-2] / total[-1]
+    return best, score, familiar
+
+
+def least(values: np.ndarray, lost: float = LOST) -> float:
+    """A threshold that loses the share `lost` of `values`; further down where they are too few to tell."""
+    low, middle = np.quantile(values, [lost, 0.5])
+    return float(low - (middle - low) / (1 + len(values) * lost))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -106,7 +122,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 7) -> Model:
-    """Train on (subword, count) pairs of documents; the last CALIBRATION_SHARE of them calibrate."""
+    """Train on (subword, share) pairs of documents; CALIBRATION_SHARE of them calibrate scores and set the thresholds."""
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels], np.int64)
     rng = np.random.default_rng(seed)
@@ -119,36 +135,50 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed:
     steps, at = epochs * len(train), 0
     for _ in range(epochs):
         for i in rng.permutation(train):
-            ids, counts = features[i]
+            ids, share = features[i]
             if not len(ids):
                 continue
             rate = RATE * (1 - at / max(steps, 1))
             at += 1
-            w = (counts / counts.sum())[:, None]
-            h = (emb[ids] * w).sum(0)
+            h = share @ emb[ids]
             g = _softmax((h @ out + bias)[None])[0]
             g[y[i]] -= 1
             back = out @ g
             out -= rate * np.outer(h, g)
             bias -= rate * g
-            emb[ids] -= rate * 20 * w * back  # a mean over many subwords moves each a little
+            emb[ids] -= np.outer(share, rate * 20 * back)  # a mean over many subwords moves each a little
     logits = emb @ out
-    model = Model(logits, bias, 1.0, 0.0, languages)
+    seen = np.zeros(BUCKETS)
+    for i in train:
+        seen[features[i][0]] += features[i][1]
+    rarity = np.log((seen + 1e-3) / (seen + 1e-3).sum())
+    model = Model(logits, rarity, bias, 1.0, 0.0, -np.inf, languages)
     known = [i for i in (held if len(held) else order) if len(features[i][0])]
     if known:
-        z = np.array([(logits[features[i][0]] * (features[i][1] / features[i][1].sum())[:, None]).sum(0) + bias for i in known])
-        right = y[known]
-        loss = [(-np.log(_softmax(z / t)[np.arange(len(right)), right] + 1e-12).mean(), t) for t in np.geomspace(0.05, 20, 60)]
-        model.temperature = float(min(loss)[1])
+        z = np.array([features[i][1] @ logits[features[i][0]] + bias for i in known])
+        right, n = y[known], len(known)
+        sure = (n + 1) / (n + 2)  # Platt's target, or separable rows would sharpen scores without end
+
+        def loss(t: float) -> float:
+            p = _softmax(z / t)[np.arange(n), right]
+            return float(-(sure * np.log(p + 1e-12) + (1 - sure) * np.log(1 - p + 1e-12)).mean())
+
+        model.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
         p = _softmax(z / model.temperature)
-        good = p.max(1)[p.argmax(1) == right]
+        good = np.flatnonzero(p.argmax(1) == right)
         if len(good):
-            model.threshold = float(min(HIGHEST, np.quantile(good, LOST)))
+            top = np.clip(p.max(1)[good], 1e-12, 1 - 1e-12)
+            model.threshold = max(LOWEST, float(1 / (1 + np.exp(-least(np.log(top / (1 - top)))))))
+            model.familiar = least(np.array([features[known[k]][1] @ rarity[features[known[k]][0]] for k in good]))
     return model
 
 
 def train(docs: DataFrame, usable: F.Column) -> Model | None:
-    """Fit on TRAIN_DOCS usable rows with a language, those of smallest hashes of ids; None if there are none."""
+    """Fit on TRAIN_DOCS usable rows with a language, those of smallest hashes of ids; None if there are none.
+
+    Of the rows of one id that of the least hash of text and language counts, so the sample doesn't depend on any order.
+    Null ids, null languages and, as they have no subwords, letterless texts teach nothing.
+    """
     rows = docs.where(usable & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     ids = smallest_hashes(rows, "doc_id", TRAIN_DOCS)
     if not ids:
@@ -158,53 +188,58 @@ def train(docs: DataFrame, usable: F.Column) -> Model | None:
         for b in text_steps(batches):
             out = []
             for t in texts_of(b):
-                hashes, counts = np.unique(np.array([h for c in t.lower().split() for h in chunk_subwords(c)], np.int64), return_counts=True)
-                if len(hashes) > TRAIN_SUBWORDS:
-                    keep = np.argsort((hashes * 2654435761) & 0xFFFFFFFF)[:TRAIN_SUBWORDS]
-                    hashes, counts = hashes[keep], counts[keep]
-                out.append((hashes.astype("<u4").tobytes(), counts.astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int64()), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["lang", "doc_id", "h", "n"])
+                counts = np.zeros(BUCKETS, np.int64)
+                for w in windows(t):
+                    counts += np.bincount([h for c in w.lower().split() for h in chunk_subwords(c)], minlength=BUCKETS).astype(np.int64)
+                hashes = np.flatnonzero(counts)
+                share = counts[hashes] / max(1, counts.sum())
+                out.append((hashes.astype("<u2").tobytes(), share.astype("<f4").tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["lang", "h", "n"])
 
-    got = rows.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", "text").mapInArrow(features, "lang string, doc_id long, h binary, n binary").limit(2 * TRAIN_DOCS).collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], r["lang"], bytes(r["h"])))
-    return fit([(np.frombuffer(bytes(r["h"]), "<u4").astype(np.int64), np.frombuffer(bytes(r["n"]), "<u4").astype(float)) for r in got], [r["lang"] for r in got])
+    one = F.min_by(F.struct("lang", "text"), F.struct(F.xxhash64("lang", "text"), "lang", "text")).alias("r")
+    chosen = rows.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(one).select("r.lang", "r.text")
+    got = chosen.mapInArrow(features, "lang string, h binary, n binary").collect()  # TRAIN_DOCS rows of at most 6 x BUCKETS bytes
+    got = sorted(got, key=lambda r: (r["lang"], bytes(r["h"]), bytes(r["n"])))
+    return fit([(np.frombuffer(bytes(r["h"]), "<u2").astype(np.int32), np.frombuffer(bytes(r["n"]), "<f4")) for r in got], [r["lang"] for r in got])
 
 
-_models: dict[int, tuple[Model, _Words]] = {}
+RESULT = "struct<lang_pred:string,score:double,lang_accepted:boolean>"
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """`docs` with lang_pred, score and lang_accepted (not rejected by the calibrated threshold).
+def identify(docs: DataFrame, model: Model | None, to: str = "language") -> DataFrame:
+    """`docs` with a column `to` of lang_pred, score and lang_accepted (neither threshold rejects it).
 
-    A null or letterless text is `und` with score 0 and is rejected; so is everything without a model (no labels).
+    A null or letterless text is `und` with score 0 and is rejected; so is everything without a model (no labels). All
+    columns of `docs` come back as they are, with repeated rows; a name for `to` that is taken is an error.
     """
-    import pickle
-
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(pickle.dumps(model))  # BUCKETS x languages doubles
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "lang_accepted")]
-    names = [f.name for f in kept]
+    check_unused(docs, to)
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # BUCKETS x (languages + 1) doubles
+    names, text = docs.columns, docs.columns.index("text")
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("lang_accepted", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(shared.value)
         words = m and _Words(m)
         for b in text_steps(batches):
-            texts = texts_of(b)
-            best, score = predict(m, words, texts) if m else (np.full(len(texts), -1), np.zeros(len(texts)))
-            if words and len(words) > MAX_WORDS:
-                words = _Words(m)
-            label = [m.languages[i] if i >= 0 else UNKNOWN for i in best]
-            ok = [bool(i >= 0 and s >= m.threshold) for i, s in zip(best, score, strict=True)] if m else [False] * len(texts)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())], names=[*names, "lang_pred", "score", "lang_accepted"])
+            texts = [t or "" for t in b.column(text).to_pylist()]
+            if m:
+                best, score, familiar = predict(m, words, texts)
+                if len(words) > MAX_WORDS or words.bytes > MAX_BYTES:
+                    words = _Words(m)
+                rows = [(m.languages[i] if i >= 0 else UNKNOWN, float(s), bool(i >= 0 and s >= m.threshold and f >= m.familiar)) for i, s, f in zip(best, score, familiar, strict=True)]
+            else:
+                rows = [(UNKNOWN, 0.0, False)] * len(texts)
+            parts = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kind)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays(parts, fields=list(kind))], names=[*names, to])
 
-    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
+    from pyspark.sql.types import StructType, _parse_datatype_string
 
-    schema = StructType([*kept]).add("lang_pred", StringType()).add("score", DoubleType()).add("lang_accepted", BooleanType())
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(to, _parse_datatype_string(RESULT)))
 
 
 def op10_subword_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language, by a model of the rows that aren't held out; null ids are in training, unlabelled."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, F.coalesce(doc_hash("doc_id") % 5 != 0, F.lit(True)))
     got = identify(docs.select("doc_id", "text"), model)
-    return got.select("doc_id", F.coalesce(doc_hash("doc_id") % 5 == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "lang_accepted")
+    return got.select("doc_id", F.coalesce(doc_hash("doc_id") % 5 == 0, F.lit(False)).alias("held_out"), "language.*")
