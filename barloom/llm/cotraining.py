@@ -2,8 +2,11 @@
 
 The text view has shares and moments of a text's characters and words, its repetition, and the hashed shapes of its
 words; the metadata view has source, language and length as the row states them. Both are logistic regressions. In each round
-each view labels the unlabelled pool, and its most confident labels (calibrated, a bounded number of each class) join
-the other view's training rows. Held-back labelled rows calibrate both views, weigh them and set the threshold.
+each view labels all unlabelled documents, and its most confident labels (calibrated, a bounded number of each class)
+join the other view's training rows. Labelled rows are dealt into four parts: one trains, one calibrates the views, one
+weighs them, and one sets the threshold.
+
+Views are computed once a document and written beside it; rounds and the final scores read them.
 """
 
 from __future__ import annotations
@@ -12,23 +15,26 @@ import math
 import pickle
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import smallest_hashes, text_steps, texts_of
+from barloom.llm.common import check_unused, materialize, smallest_hashes, text_steps, unused
+from barloom.llm.tokens import windows
 
-#: Bounds of the sample: labelled rows, unlabelled pool, rows that a view may teach per class and round.
-LABELLED, POOL, TAUGHT = 6000, 4000, 200
-ROUNDS, CONFIDENT, HELD = 4, 0.97, 0.3
+#: Bound of the sample of labelled rows, and rows that a view teaches the other per class and round.
+LABELLED, TAUGHT = 6000, 200
+ROUNDS, CONFIDENT = 4, 0.97
+#: Shares of the labelled rows that train, calibrate each view, weigh both, and set the threshold.
+PARTS = (0.64, 0.12, 0.12, 0.12)
 SHAPES, PLACES = 32, 64
 #: Share of good held-back documents that the threshold may reject, and its limits.
 LOST, LOWEST, HIGHEST = 0.002, 0.02, 0.5
-MAX_WORDS = 300_000
+MAX_WORDS, MAX_BYTES = 300_000, 32 << 20
 
 _SHAPE = ((re.compile(r"[^\W\d_a-zà-ÿß]+"), "A"), (re.compile(r"[^\W\d_A]+"), "a"), (re.compile(r"\d+"), "0"))
 #: Per word: characters, letters, capitals, digits, other marks, marks at its end; then its shape.
@@ -51,13 +57,14 @@ class _Words(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.table, self.shape, self.used = np.zeros((1024, _PER_WORD)), np.zeros(1024, np.int64), 0
+        self.table, self.shape, self.used, self.bytes = np.zeros((1024, _PER_WORD)), np.zeros(1024, np.int64), 0, 0
 
     def __missing__(self, word: str) -> int:
         if self.used == len(self.table):
             self.table, self.shape = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.shape, np.zeros_like(self.shape)])
         self.table[self.used], self.shape[self.used] = word_features(word)
         self[word] = self.used
+        self.bytes += len(word)
         self.used += 1
         return self.used - 1
 
@@ -67,11 +74,10 @@ TEXT_SIZE = 15 + SHAPES
 
 def text_view(words: _Words, text: str) -> np.ndarray:
     """Features of a whole text; zeros where it has no words."""
-    parts = text.split()
     out = np.zeros(TEXT_SIZE)
-    if not parts:
+    rows = np.concatenate([np.fromiter(map(words.__getitem__, w.split()), np.int32) for w in windows(text)])
+    if not len(rows):
         return out
-    rows = np.fromiter(map(words.__getitem__, parts), np.int64, len(parts))
     n = len(rows)
     sums = words.table[rows].sum(0)
     ids, counts = np.unique(rows, return_counts=True)
@@ -85,12 +91,18 @@ def text_view(words: _Words, text: str) -> np.ndarray:
     return out
 
 
-def metadata_view(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
-    """Source and language hashed, and the length's octave."""
-    out = np.zeros(2 * PLACES + 26)
-    out[zlib.crc32((source or "").encode()) % PLACES] = 1
-    out[PLACES + zlib.crc32((lang or "").encode()) % PLACES] = 1
-    out[2 * PLACES + min(25, int(max(n_chars or 0, 0)).bit_length())] = 1
+META_SIZE = 2 * PLACES + 26
+
+
+def metadata_places(source: str | None, lang: str | None, n_chars: int | None) -> tuple[int, int, int]:
+    """The places of a row's source, language and length's octave that are one in its metadata view."""
+    return zlib.crc32((source or "").encode()) % PLACES, PLACES + zlib.crc32((lang or "").encode()) % PLACES, 2 * PLACES + min(25, int(max(n_chars or 0, 0)).bit_length())
+
+
+def metadata_views(places: np.ndarray) -> np.ndarray:
+    """(rows, META_SIZE) of (rows, 3) places."""
+    out = np.zeros((len(places), META_SIZE))
+    np.put_along_axis(out, places.astype(np.int64), 1, axis=1)
     return out
 
 
@@ -152,101 +164,179 @@ class Model:
         return _expit(self.mix.margin(np.column_stack([self.text.log_odds(text), self.meta.log_odds(meta)])))
 
 
-def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, seed: int = 11) -> Model:
-    """`y`: 0 or 1 of the labelled rows. Without both classes among rows to train on and to hold back, only a prior."""
+def _least(log_odds: np.ndarray) -> float:
+    """The probability that the share LOST of these log odds lies under; further down where they are too few to tell."""
+    low, middle = np.quantile(log_odds, [LOST, 0.5])
+    return float(_expit(np.array(low - (middle - low) / (1 + len(log_odds) * LOST))))
+
+
+def deal(y: np.ndarray, seed: int = 11) -> list[np.ndarray] | None:
+    """Rows of each part of PARTS, both classes alike; None if a part would lack one."""
+    r = np.random.default_rng(seed)
+    edges = np.cumsum(PARTS)[:-1]
+    dealt = [np.split(rows := r.permutation(np.flatnonzero(y == c)), np.round(edges * len(rows)).astype(int)) for c in (0, 1)]
+    parts = [np.sort(np.concatenate(p)) for p in zip(*dealt, strict=True)]
+    return parts if all(len(p) for rows in dealt for p in rows) else None
+
+
+#: What a view teaches: rows' views (text, meta) and labels.
+Taught = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: From both views' regressions: what text teaches meta, and what meta teaches text. It remembers what it has taught.
+Teach = Callable[[Logistic, Logistic], tuple[Taught, Taught]]
+
+
+def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, teach: Teach, rounds: int = ROUNDS) -> Model:
+    """`y`: 0 or 1 of the labelled rows. With too few of a class for each part of them, only a prior."""
     prior = float(y.mean()) if len(y) else 1.0
-    order = np.random.default_rng(seed).permutation(len(y))
-    held, train = order[: int(len(y) * HELD)], order[int(len(y) * HELD) :]
-    if len(np.unique(y[held])) < 2 or len(np.unique(y[train])) < 2:
+    parts = deal(y)
+    if parts is None:
         return Model(None, None, None, 0.0, prior)
-    views = {"text": (text, pool_text), "meta": (meta, pool_meta)}
-    extra = {v: (np.empty(0, np.int64), np.empty(0)) for v in views}  # pool rows and labels that the other view gave
-    models: dict[str, Logistic] = {}
-    for k in range(ROUNDS + 1):
-        for v, (x, pool) in views.items():
-            rows, labels = extra[v]
-            models[v] = Logistic().fit(np.vstack([x[train], pool[rows]]), np.concatenate([y[train], labels]))
-            models[v].calibrate(x[held], y[held])
-        if k == ROUNDS or not len(pool_text):
+    train, calibrate, weigh, last = parts
+    x_text, x_meta = text[train], meta[train]
+    y_text = y_meta = y[train]
+    taught = 0
+    for k in range(rounds + 1):
+        views = Logistic().fit(x_text, y_text), Logistic().fit(x_meta, y_meta)
+        for v, x in zip(views, (text, meta), strict=True):
+            v.calibrate(x[calibrate], y[calibrate])
+        if k == rounds:
             break
-        for v, other in (("text", "meta"), ("meta", "text")):
-            p = _expit(models[v].log_odds(views[v][1]))
-            rows, labels = extra[other]
-            free = np.setdiff1d(np.arange(len(p)), rows)
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                best = free[np.argsort(-sure[free], kind="stable")][:TAUGHT]
-                best = best[sure[best] >= CONFIDENT]
-                rows, labels = np.append(rows, best), np.append(labels, np.full(len(best), label))
-            extra[other] = (rows, labels)
-    odds = np.column_stack([models["text"].log_odds(text[held]), models["meta"].log_odds(meta[held])])
-    mix = Logistic().fit(odds, y[held], ridge=1.0)
-    good = _expit(mix.margin(odds))[y[held] == 1]
-    threshold = float(np.clip(np.quantile(good, LOST), LOWEST, HIGHEST))
-    return Model(models["text"], models["meta"], mix, threshold, prior, sum(len(r) for r, _ in extra.values()))
-
-
-FEATURES = "doc_id long, text_view binary, meta_view binary"
-
-
-def _features(docs: DataFrame) -> DataFrame:
+        of_text, of_meta = teach(*views)
+        x_meta, y_meta = np.vstack([x_meta, of_text[1]]), np.concatenate([y_meta, of_text[2]])
+        x_text, y_text = np.vstack([x_text, of_meta[0]]), np.concatenate([y_text, of_meta[2]])
+        taught += len(of_text[2]) + len(of_meta[2])
+    odds = lambda rows: np.column_stack([views[0].log_odds(text[rows]), views[1].log_odds(meta[rows])])
+    mix = Logistic().fit(odds(weigh), y[weigh], ridge=1.0)
+    good = mix.margin(odds(last))[y[last] == 1]
+    return Model(*views, mix, float(np.clip(_least(good), LOWEST, HIGHEST)), prior, taught)
+
+
+VIEWS = "struct<text:binary,meta:binary>"
+
+
+def with_views(docs: DataFrame, to: str = "views", keep: list[str] | None = None) -> DataFrame:
+    """`docs` (its columns `keep`, or all) with a column `to` of both views.
+
+    A null text counts as an empty one; null metadata is a value of its own; null ids and repeated rows stay.
+    """
+    check_unused(docs, to)
+    names = docs.columns if keep is None else keep
+    fields = [docs.schema[n] for n in names]
+    there = len(names)
+    read = [F.col(n).cast(t).alias(unused(docs, f"_{n}")) for n, t in (("text", "string"), ("source", "string"), ("lang", "string"), ("n_chars", "long"))]
+    inputs = docs.select(*(F.col(f"`{n}`") for n in names), *read)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for b in text_steps(batches):
-            meta = [metadata_view(*r).tobytes() for r in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_view(words, t).tobytes() for t in texts_of(b)], pa.binary()), pa.array(meta, pa.binary())], names=["doc_id", "text_view", "meta_view"])
+            texts, *rest = (b.column(there + k).to_pylist() for k in range(4))
+            meta = pa.array([np.array(metadata_places(*r), "<u2").tobytes() for r in zip(*rest, strict=True)], pa.binary())
+            text = pa.array([text_view(words, t or "").astype("<f4").tobytes() for t in texts], pa.binary())
+            if len(words) > MAX_WORDS or words.bytes > MAX_BYTES:
+                words = _Words()
+            yield pa.RecordBatch.from_arrays([*b.columns[:there], pa.StructArray.from_arrays([text, meta], ["text", "meta"])], names=[*names, to])
+
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    return inputs.mapInArrow(run, StructType(fields).add(to, _parse_datatype_string(VIEWS)))
+
+
+def _matrices(text: list[bytes], meta: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(text), "<f4").reshape(-1, TEXT_SIZE).astype(float), metadata_views(np.frombuffer(b"".join(meta), "<u2").reshape(-1, 3))
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long")).mapInArrow(run, FEATURES)
+TEACHING = "view string, label double, sure double, doc_id long, text binary, meta binary"
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on bounded samples: rows of smallest hashes of ids among the labelled, and among the others.
+def _most_confident(pool: DataFrame, text: Logistic, meta: Logistic, given: dict[str, set[int]], taught: int) -> list:
+    """The `taught` most confident rows of each view and label that the view hasn't given yet; ties by id, then views."""
+    models = {"text": text, "meta": meta}
 
-    Of labels of one doc_id the mean decides (half is good); null labels and ids don't count.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, texts, metas = (b.column(k).to_pylist() for k in range(3))
+            views = dict(zip(models, _matrices(texts, metas), strict=True))
+            for name, m in models.items():
+                p = _expit(m.log_odds(views[name]))
+                for label, sure in ((1.0, p), (0.0, 1 - p)):
+                    at = [i for i in np.flatnonzero(sure >= CONFIDENT).tolist() if ids[i] not in given[name]]
+                    if len(at) > taught:  # rows of equal confidence as the last one are left for the ranking
+                        edge = np.sort(sure[at])[-taught]
+                        at = [i for i in at if sure[i] >= edge]
+                    n = len(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in (([name] * n, pa.string()), ([label] * n, pa.float64()), (sure[at], pa.float64()), ([ids[i] for i in at], pa.int64()), ([texts[i] for i in at], pa.binary()), ([metas[i] for i in at], pa.binary()))], names=[x.split()[0] for x in TEACHING.split(", ")])
+
+    best = Window.partitionBy("view", "label").orderBy(F.desc("sure"), "doc_id", "text", "meta")
+    return pool.mapInArrow(run, TEACHING).withColumn("k", F.row_number().over(best)).where(F.col("k") <= taught).collect()  # 4 x taught rows
+
+
+def train(featured: DataFrame, labels: DataFrame, views: str = "views") -> Model:
+    """Fit on LABELLED labelled rows, those of smallest hashes of ids, and on what the views teach each other over all others.
+
+    `featured` is a written table of `with_views`. Of labels of one doc_id the mean decides (half is good); null labels
+    and ids don't count. Of rows of one id, the least by both views is its document here.
     """
-    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    spark = docs.sparkSession
-    frame = lambda keys: spark.createDataFrame([(i,) for i in keys], "doc_id long")
-    sampled = smallest_hashes(ids.join(marks, "doc_id"), "doc_id", LABELLED)
-    pool = smallest_hashes(ids.join(marks, "doc_id", "left_anti"), "doc_id", POOL)
-    y_of = {r["doc_id"]: r["y"] for r in marks.join(F.broadcast(frame(sampled)), "doc_id").collect()}  # LABELLED rows
-    wanted = frame([*y_of, *pool])
-    got = _features(docs.join(F.broadcast(wanted), "doc_id", "left_semi")).dropDuplicates(["doc_id"]).collect()  # LABELLED + POOL rows
-    got.sort(key=lambda r: r["doc_id"])
-    view = lambda rows, name, size: np.array([np.frombuffer(bytes(r[name])) for r in rows]).reshape(len(rows), size)
-    known, rest = [r for r in got if r["doc_id"] in y_of], [r for r in got if r["doc_id"] not in y_of]
-    sizes = {"text_view": TEXT_SIZE, "meta_view": 2 * PLACES + 26}
-    return cotrain(*(view(known, n, s) for n, s in sizes.items()), np.array([y_of[r["doc_id"]] for r in known], float), *(view(rest, n, s) for n, s in sizes.items()))
-
-
-def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with quality_score (0 to 1) and quality_accepted.
-
-    A null text counts as an empty one; null metadata is a value of its own; ids don't matter, and repeated rows are
-    scored alike. Without a model of two classes all rows have the labels' mean as score and are accepted.
+    spark = featured.sparkSession
+    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
+    rows = featured.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{views}`").alias("v"))
+    sampled = smallest_hashes(rows.select("doc_id").join(marks, "doc_id", "left_semi"), "doc_id", LABELLED)
+    frame = F.broadcast(spark.createDataFrame([(i,) for i in sampled], "doc_id long"))
+    known = sorted(rows.join(frame, "doc_id").join(marks, "doc_id").groupBy("doc_id").agg(F.min("v").alias("v"), F.first("y").alias("y")).collect(), key=lambda r: r["doc_id"])  # LABELLED rows
+    pool = materialize(rows.join(marks, "doc_id", "left_anti").groupBy("doc_id").agg(F.min("v").alias("v")).select("doc_id", "v.*"), "quality-pool")
+    given: dict[str, set[int]] = {"text": set(), "meta": set()}
+
+    def teach(text: Logistic, meta: Logistic) -> tuple[Taught, Taught]:
+        got = sorted(_most_confident(pool, text, meta, given, TAUGHT), key=lambda r: (r["view"], r["label"], r["k"]))
+        out = []
+        for name in ("text", "meta"):
+            mine = [r for r in got if r["view"] == name]
+            given[name].update(r["doc_id"] for r in mine)
+            out.append((*_matrices([bytes(r["text"]) for r in mine], [bytes(r["meta"]) for r in mine]), np.array([r["label"] for r in mine])))
+        return out[0], out[1]
+
+    text, meta = _matrices([bytes(r["v"]["text"]) for r in known], [bytes(r["v"]["meta"]) for r in known])
+    return cotrain(text, meta, np.array([r["y"] for r in known], float), teach)
+
+
+def score(featured: DataFrame, model: Model, views: str = "views", to: str = "quality") -> DataFrame:
+    """`featured` with a column `to` of score (0 to 1) and accepted in place of the views.
+
+    Ids don't matter, and repeated rows are scored alike. Without a model of two classes all rows have the labels' mean as
+    score and are accepted.
     """
-    from pyspark.sql.types import BooleanType, DoubleType, StructType
-
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # a few thousand numbers
-    kept = [f for f in docs.schema.fields if f.name not in ("quality_score", "quality_accepted")]
-    names = [f.name for f in kept]
-    at = [names.index(n) for n in ("text", "source", "lang", "n_chars")]
+    check_unused(featured, to)
+    shared = featured.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # a few thousand numbers
+    at = featured.columns.index(views)
+    names = [n for n in featured.columns if n != views]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, words = pickle.loads(shared.value), _Words()
+        m = pickle.loads(shared.value)
         for b in text_steps(batches):
-            text = np.array([text_view(words, t) for t in texts_of(b, names[at[0]])])
-            meta = np.array([metadata_view(*r) for r in zip(*(b.column(k).to_pylist() for k in at[1:]), strict=True)])
-            p = m.probability(text, meta)
-            if len(words) > MAX_WORDS:
-                words = _Words()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array(p >= m.threshold)], names=[*names, "quality_score", "quality_accepted"])
+            v = b.column(at)
+            p = m.probability(*_matrices(v.field("text").to_pylist(), v.field("meta").to_pylist()))
+            rest = [c for k, c in enumerate(b.columns) if k != at]
+            yield pa.RecordBatch.from_arrays([*rest, pa.StructArray.from_arrays([pa.array(p, pa.float64()), pa.array(p >= m.threshold, pa.bool_())], ["score", "accepted"])], names=[*names, to])
+
+    from pyspark.sql.types import StructType, _parse_datatype_string
 
-    return docs.select(*names).mapInArrow(run, StructType([*kept]).add("quality_score", DoubleType()).add("quality_accepted", BooleanType()))
+    kept = StructType([f for f in featured.schema.fields if f.name != views])
+    return featured.mapInArrow(run, kept.add(to, _parse_datatype_string("struct<score:double,accepted:boolean>")))
+
+
+def classify(docs: DataFrame, labels: DataFrame, to: str = "quality", keep: list[str] | None = None) -> DataFrame:
+    """Train on `docs` and `labels`, and score all of `docs`: its columns (or those of `keep`) and `to`, as `score` has it.
+
+    All columns come back as they are; a name for `to` that is taken is an error. An empty table gives an empty result.
+    """
+    check_unused(docs, to)
+    views = unused(docs, "views")
+    featured = materialize(with_views(docs, views, keep), "quality-views")
+    return score(featured, train(featured, labels, views), views, to)
 
 
 def op1_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    out = classify(docs, model)
-    return out.select("doc_id", F.col("quality_score").alias("score"), F.col("quality_accepted").alias("kept"))
+    """Every document's quality; a null text counts as an empty one, and null ids and repeated rows are scored each."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    return classify(docs, labels, keep=["doc_id"]).select("doc_id", F.col("quality.score").alias("score"), F.col("quality.accepted").alias("kept"))

@@ -127,6 +127,42 @@ def test_broken_files_are_refused():
             jpeg.decode([bad])
 
 
+def test_broken_and_null_files_give_rows_with_a_reason(spark):
+    good, colour = jpeg.encode([b"some text"])[0], colour_file(4, 1)[0]
+    rows = [(1, bytearray(good)), (2, None), (3, bytearray(b"GIF89a")), (4, bytearray(good[:60])), (5, bytearray(colour)), (None, bytearray(good)), (6, bytearray(good[:-8] + b"\xff\xd9")), (7, bytearray())]
+    got = {r["doc_id"]: r for r in jpeg.media_features(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert len(got) == len(rows) and got[1]["error"] is None and got[1]["n_bytes"] == got[None]["n_bytes"] == 9
+    for i in (2, 3, 4, 7):
+        assert got[i]["error"] and got[i]["payload_sha256"] is None and got[i]["feature"] is None, i
+    assert got[5]["feature"].startswith("40x27:") and "payload" in got[5]["error"] and got[2]["media_bytes"] is None and got[3]["media_bytes"] == 6
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    """The parts' scans make the file that is made at once, and a text of 24 MB takes little memory."""
+    import subprocess
+    import sys
+
+    texts = [b"x" * 5000, b"", bytes(range(256)) * 40, b"y" * 3072]
+    whole = jpeg.encode(texts)
+    monkeypatch.setattr(jpeg, "STEP_BYTES", 2048)
+    monkeypatch.setattr(jpeg, "STEP_SEGMENTS", 3)
+    assert jpeg.encode(texts) == whole
+    for t, (p, coef) in zip(texts, jpeg.decode(whole), strict=True):
+        assert jpeg.payload_of(p, coef)[0][: len(t)] == t
+    code = """if 1:
+        import resource
+        from barloom.llm import jpeg
+        t = b"some words of a long text, " * 900_000
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        (f,) = jpeg.encode([t])
+        ((p, coef),) = jpeg.decode([f])
+        assert jpeg.payload_of(p, coef)[0][: len(t)] == t
+        print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+    """
+    used = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+    assert int(used.stdout) < 500_000
+
+
 def test_op3_operator(spark):
     rows = [(i, t.decode("latin-1"), "en") for i, t in enumerate(TEXTS)] + [(90, None, None), (1, "twice", "en"), (1, "twice", "en"), (None, "x", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, media string")

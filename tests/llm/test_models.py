@@ -30,9 +30,13 @@ def is_held(i, k):
 
 def test_languages_of_held_out_documents(spark):
     rows = language_rows() + [(900, None, "aa"), (901, "12 34 !", "bb"), (902, "", None), (903, "Ka" * 40_000, None), (None, "schentum", None), (0, "schentum", None)]
-    docs = spark.createDataFrame([(*x, "s", "clash") for x in rows], "doc_id long, text string, lang string, source string, score string")
+    docs = spark.createDataFrame([(*x, "s", "clash") for x in rows], "doc_id long, text string, lang string, source string, Score string")
     model = language_id.train(docs, F.coalesce(doc_hash("doc_id") % 5 != 0, F.lit(True)))
-    got = language_id.identify(docs, model).collect()
+    whole = language_id.identify(docs, model)
+    assert whole.drop("language").exceptAll(docs).count() == 0 and docs.exceptAll(whole.drop("language")).count() == 0
+    with pytest.raises(ValueError):
+        language_id.identify(docs, model, "SCORE")
+    got = whole.select("doc_id", "text", "lang", "source", "language.*").collect()
     assert len(got) == len(rows) and got[0]["source"] == "s"
     held = [r for r in got if r["lang"] and (r["doc_id"] or 0) < 900 and is_held(r["doc_id"], 0)]
     assert held and sum(r["lang_pred"] == r["lang"] for r in held) >= 0.98 * len(held)
@@ -48,15 +52,38 @@ def test_a_prediction_depends_on_the_text_alone(spark):
     model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
     one = language_id.identify(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), model)
     two = language_id.identify(spark.createDataFrame([(-i, t, "zz") for i, t, _ in rows], "doc_id long, text string, lang string"), model)
-    key = lambda df: {r["text"]: (r["lang_pred"], r["score"]) for r in df.collect()}
+    key = lambda df: {r["text"]: (r["lang_pred"], r["score"]) for r in df.select("text", "language.*").collect()}
     assert key(one) == key(two)
 
 
+def test_text_of_an_unlearned_language_is_rejected(spark):
+    """Its letters are known, but not how it puts them together; nearly all clean held-out documents stay."""
+    rows = language_rows(700, 5)
+    model = language_id.train(spark.createDataFrame(rows[:500], "doc_id long, text string, lang string"), F.lit(True))
+    r = random.Random(6)
+    other = [(1000 + i, " ".join("".join(r.choices(["zbo", "fyk", "vej", "pux", "qwi"], k=r.randint(2, 4))) for _ in range(40)), None) for i in range(100)]
+    got = language_id.identify(spark.createDataFrame(rows[500:] + other, "doc_id long, text string, lang string"), model).select("doc_id", "language.lang_accepted").collect()
+    assert np.mean([x["lang_accepted"] for x in got if x["doc_id"] < 1000]) >= 0.97
+    assert np.mean([x["lang_accepted"] for x in got if x["doc_id"] >= 1000]) <= 0.05
+
+
+def test_training_sees_whole_texts_and_no_order(spark):
+    """What tells the languages apart stands at the ends of long texts; rows of one id give one sample, however they lie."""
+    r = random.Random(8)
+    same = [sentence(r, "aa", 3000) for _ in range(4)]
+    rows = [(i, f"{same[i % 4]} {sentence(r, lang, 1500)}", lang) for i in range(40) for lang in [("bb", "cc")[i % 2]]]
+    docs = spark.createDataFrame([*rows, (0, "other text", "aa"), (0, "other text", "aa")], "doc_id long, text string, lang string")
+    one, two = (language_id.train(d, F.lit(True)) for d in (docs, docs.orderBy(F.desc("text")).repartition(3)))
+    assert (one.logits == two.logits).all() and one.threshold == two.threshold and one.languages == two.languages
+    ends = spark.createDataFrame([(i, sentence(r, lang, 50), lang) for i in range(20) for lang in [("bb", "cc")[i % 2]]], "doc_id long, text string, lang string")
+    assert all(x["lang"] == x["lang_pred"] for x in language_id.identify(ends, one).select("lang", "language.*").collect())
+
+
 def test_languages_without_labels_or_rows(spark):
     schema = "doc_id long, text string, lang string"
     empty = spark.createDataFrame([], schema)
     assert language_id.train(empty, F.lit(True)) is None
-    got = language_id.identify(spark.createDataFrame([(1, "text", None)], schema), None).first()
+    got = language_id.identify(spark.createDataFrame([(1, "text", None)], schema), None).first()["language"]
     assert (got["lang_pred"], got["score"], got["lang_accepted"]) == ("und", 0.0, False)
     assert language_id.identify(empty, None).count() == 0
 
@@ -185,9 +212,11 @@ def test_cotraining_on_held_out_documents(spark):
     more = [(900, None, None, None, None), (901, "", "aa", "src1", 0), (902, "ka " * 100_000, "aa", "src1", 300_000), (None, rows[0][1], "aa", "src1", 50), rows[0]]
     docs = spark.createDataFrame([(*x, "clash") for x in rows + more], "doc_id long, text string, lang string, source string, n_chars long, quality string")
     marks = spark.createDataFrame([*labels, (1, None, 0), (None, 1, 0), (5000, 1, 0)], "doc_id long, quality int, toxic int")
-    model = cotraining.train(docs, marks)
-    assert model.taught > 0
-    got = cotraining.classify(docs, model).collect()
+    whole = cotraining.classify(docs, marks, "judged")
+    assert whole.drop("judged").exceptAll(docs).count() == 0 and docs.exceptAll(whole.drop("judged")).count() == 0
+    with pytest.raises(ValueError):
+        cotraining.classify(docs, marks, "Quality")
+    got = whole.select("doc_id", F.col("judged.score").alias("quality_score"), F.col("judged.accepted").alias("quality_accepted")).collect()
     assert len(got) == len(rows) + len(more)
     unseen = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 900 and not r["doc_id"] % 2]
     good = {i: not t.startswith(("BUY", "NOW", "$", "click", "99")) for i, t, *_ in rows}
@@ -201,6 +230,51 @@ def test_cotraining_on_held_out_documents(spark):
 @pytest.mark.parametrize("labels", [[], [(1, 1, 0), (2, 1, 0)]])
 def test_quality_without_two_classes(spark, labels):
     docs = spark.createDataFrame([(i, "some text", "aa", "s", 9) for i in range(5)], "doc_id long, text string, lang string, source string, n_chars long")
-    model = cotraining.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    assert all(r["quality_accepted"] and r["quality_score"] == 1.0 for r in cotraining.classify(docs, model).collect())
-    assert cotraining.classify(docs.limit(0), model).count() == 0
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert all(r["quality"]["accepted"] and r["quality"]["score"] == 1.0 for r in cotraining.classify(docs, marks).collect())
+    assert cotraining.classify(docs.limit(0), marks).count() == 0
+
+
+def plain_cotraining(docs, marks):
+    """Co-training over lists: every unlabelled document is in the pool, and each view takes its best by sorting them all."""
+    words = cotraining._Words()
+    meta = lambda d: cotraining.metadata_views(np.array([cotraining.metadata_places(*d[2:])]))[0]
+    view = {d[0]: (cotraining.text_view(words, d[1] or "").astype("<f4").astype(float), meta(d)) for d in docs}
+    known, pool = sorted(i for i in view if i in marks), sorted(i for i in view if i not in marks)
+    given = (set(), set())
+
+    def teach(*models):
+        out = []
+        for k, m in enumerate(models):
+            p = {i: float(cotraining._expit(m.log_odds(view[i][k][None]))[0]) for i in pool}
+            mine = []
+            for label, sure in ((0.0, {i: 1 - x for i, x in p.items()}), (1.0, p)):
+                best = sorted((-s, i) for i, s in sure.items() if s >= cotraining.CONFIDENT and i not in given[k])[: cotraining.TAUGHT]
+                mine += [(i, label) for _, i in best]
+            given[k].update(i for i, _ in mine)
+            size = (cotraining.TEXT_SIZE, cotraining.META_SIZE)
+            out.append((*(np.array([view[i][v] for i, _ in mine]).reshape(-1, size[v]) for v in (0, 1)), np.array([x for _, x in mine])))
+        return out
+
+    stack = lambda k: np.array([view[i][k] for i in known])
+    model = cotraining.cotrain(stack(0), stack(1), np.array([marks[i] for i in known], float), teach)
+    return model, {i: float(model.probability(v[0][None], v[1][None])[0]) for i, v in view.items()}
+
+
+def test_cotraining_against_plain_lists(spark, monkeypatch):
+    monkeypatch.setattr(cotraining, "TAUGHT", 15)
+    rows, labels = quality_rows(300, 7)
+    model, want = plain_cotraining(rows, {i: q for i, q, _ in labels})
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = cotraining.classify(docs, marks).select("doc_id", "quality.*").collect()
+    assert model.taught > 40
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-6) and r["accepted"] == (want[r["doc_id"]] >= model.threshold)
+
+
+def test_labelled_rows_are_dealt_into_parts_of_both_classes():
+    y = np.array([1.0] * 90 + [0.0] * 10)
+    parts = cotraining.deal(y)
+    assert sorted(np.concatenate(parts).tolist()) == list(range(100)) and all(0 < y[p].mean() < 1 for p in parts)
+    assert cotraining.deal(np.array([1.0] * 90 + [0.0] * 2)) is None

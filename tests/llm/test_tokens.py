@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from barloom.llm import packing, speculative_bpe, token_store
-from barloom.llm.tokens import ChunkEncoder
+from barloom.llm.tokens import ChunkEncoder, windows
 
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, frame binary"
@@ -52,6 +52,26 @@ def test_exact_merging_agrees_where_checks_pass():
     assert bpe.encode_words(words) == [bpe.merge_exactly(w) for w in words]
 
 
+def test_long_words_and_texts():
+    """A megabyte without a blank takes seconds, and windows of a long text give its ids."""
+    import base64
+    import time
+
+    r = random.Random(5)
+    lib, bpe = Tokenizer.from_file(WORD), speculative_bpe.SpeculativeBpe(WORD, max_bytes=1 << 20)
+    began = time.time()
+    for word in (base64.b64encode(r.randbytes(750_000)).decode(), "a" * 1_000_000, "中文字" * 100_000):
+        assert bpe.encode([word])[0].tolist() == lib.encode(word, add_special_tokens=False).ids
+        assert bpe.bytes <= (1 << 20) + 8 * len(word.encode())
+    assert time.time() - began < 90
+    text = " ".join(r.choice(BITS) for _ in range(400_000))
+    assert len(list(windows(text))) > 1 and "".join(windows(text)) == text
+    assert bpe.encode([text])[0].tolist() == lib.encode(text, add_special_tokens=False).ids
+    text = text.replace("<|endoftext|>", "end")
+    enc = ChunkEncoder(BYTE, max_bytes=1 << 16)
+    assert np.frombuffer(enc.encode_bytes([text])[0], enc.dtype).tolist() == Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids
+
+
 def test_op6_operator(spark):
     lib = Tokenizer.from_file(WORD)
     got = {}
@@ -82,10 +102,31 @@ def test_token_store(spark, tmp_path, size):
         assert (g["doc_id"], g["start"], g["n_tokens"], g["ids_crc32"]) == (doc if known else None, at, n, crc)
         at += n
     if size:
-        few = token_store.read_documents(spark, path, [7, 501]).collect()
+        few = token_store.read_documents(spark, path, [7, 501, None, 10**9]).collect()
         assert {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in few} == {r["doc_id"]: ids(r).tolist() for r in rows if r["doc_id"] in (7, 501)}
 
 
+def test_many_documents_are_read_by_their_ids(spark, tmp_path):
+    docs, path, lib = spark.range(30_000).selectExpr("id * 3 AS doc_id", "concat('number ', id) AS text"), f"file://{tmp_path}/many", Tokenizer.from_file(BYTE)
+    token_store.write_store(docs, path, BYTE, 2)
+    wanted = [*range(0, 60_000, 6), 1, 2]
+    got = token_store.read_documents(spark, path, wanted).collect()
+    assert sorted(r["doc_id"] for r in got) == wanted[:-2]
+    assert all(np.frombuffer(bytes(r["ids"]), "<u4").tolist() == [*lib.encode(f"number {r['doc_id'] // 3}", add_special_tokens=False).ids, 2] for r in got[:50])
+    assert token_store.read_documents(spark, path, spark.createDataFrame([(9,), (9,), (None,)], "doc_id int")).count() == 1
+    assert token_store.read_documents(spark, path, []).count() == 0
+    assert token_store.id_ranges([5, 1, 2, 99, 100, 7], 3) == [(1, 2), (5, 7), (99, 100)]
+
+
+def test_dictionary_samples_and_raw_content(spark):
+    long = bytes(range(256)) * 4096
+    got = token_store._spans(long, 2)
+    assert len(got) == token_store.SPANS * token_store.SPAN_BYTES and all(got[i : i + token_store.SPAN_BYTES] in long for i in range(0, len(got), token_store.SPAN_BYTES))
+    few = spark.createDataFrame([(1, "a few words"), (1, "other words"), (2, None)], "doc_id long, text string")
+    data = token_store.train_dictionary(few, BYTE, 2)
+    assert data and data == token_store.train_dictionary(few.orderBy("text"), BYTE, 2) and token_store._dictionary(data) is not None
+
+
 def test_open_bins_take_the_tightest_and_close_the_fullest():
     b = packing.OpenBins(10, 2)
     assert b.add("a", 6) == [] and b.add("b", 7) == []
@@ -118,6 +159,13 @@ def test_packing(spark, tokens):
             at += n
         assert at <= 256
     assert len(by) <= 1.2 * sum(w[3] for w in want) / 256 + 2
-    whole = packing.sequences(pieces, placed.where("doc_id is not null")).collect()
-    assert all(len(r["ids"]) == 2 * r["n_tokens"] for r in whole)
+    # every document, null and repeated ids too, comes back from the sequences
+    back = {}
+    for r in packing.sequences(pieces, placed).collect():
+        ids = np.frombuffer(bytes(r["ids"]), "<u2")
+        assert len(ids) == r["n_tokens"] <= 256 and {p["doc_id"] for p in r["pieces"]} == {*r["doc_ids"]}
+        for p in r["pieces"]:
+            back.setdefault((p["row"], p["doc_id"]), {})[p["start"]] = ids[p["offset"] : p["offset"] + p["length"]].tolist()
+    got = sorted((key((d,)), [x for at in sorted(parts) for x in parts[at]]) for (_, d), parts in back.items())
+    assert got == sorted((key((r["doc_id"],)), [*lib.encode(r["text"] or "", add_special_tokens=False).ids, 1]) for r in docs.collect())
     assert packing.pack(pieces.limit(0), 256).count() == 0
