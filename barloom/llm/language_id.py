@@ -30,6 +30,8 @@ TRAIN_DOCS = 4000
 EPOCHS, LEAST_STEPS, RATE, CALIBRATION_SHARE = 6, 6000, 0.5, 0.2
 #: Share of rightly named calibration documents that each of the two thresholds may lose, and the least threshold of scores.
 LOST, LOWEST = 0.001, 0.3
+#: Rightly named calibration documents without which nothing but a low score is rejected: fewer say nothing of the rest.
+ENOUGH = 20
 MAX_WORDS, MAX_BYTES = 400_000, 32 << 20
 UNKNOWN = "und"
 
@@ -166,7 +168,9 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed:
         model.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
         p = _softmax(z / model.temperature)
         good = np.flatnonzero(p.argmax(1) == right)
-        if len(good):
+        if len(good) < ENOUGH:
+            model.threshold = LOWEST
+        else:
             top = np.clip(p.max(1)[good], 1e-12, 1 - 1e-12)
             model.threshold = max(LOWEST, float(1 / (1 + np.exp(-least(np.log(top / (1 - top)))))))
             model.familiar = least(np.array([features[known[k]][1] @ rarity[features[known[k]][0]] for k in good]))

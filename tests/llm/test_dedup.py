@@ -68,8 +68,11 @@ def near_texts(seed=5):
     return dict(enumerate(out))
 
 
-@pytest.mark.parametrize("words", [4, 5])
-def test_near_duplicates_against_all_pairs(spark, words):
+@pytest.mark.parametrize(("words", "limits"), [(4, {}), (5, {}), (5, {"HOPEFUL": 0, "COPIES": 2, "MOST_BITS": 64, "CHUNK_BITS": 64})])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, words, limits):
+    """With other limits too: sets in all blocks, salted copies, and a bitset that lets nearly every document pass."""
+    for name, n in limits.items():
+        monkeypatch.setattr(minhash, name, n)
     texts = near_texts()
     sets, links = every_pair(texts, words)
     low = components(texts, links)
@@ -79,9 +82,11 @@ def test_near_duplicates_against_all_pairs(spark, words):
     assert len(got) == len(texts)
 
 
-def test_a_large_bucket_of_many_components_is_tried_in_full(spark, monkeypatch):
+@pytest.mark.parametrize("hopeful", [4, 0])
+def test_a_large_bucket_of_many_components_is_tried_in_full(spark, monkeypatch, hopeful):
     """Texts that all share half of their shingles stand in many common buckets; pairs of them link there."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "HOPEFUL", hopeful)
     r = random.Random(9)
     common = [f"c{i}" for i in range(80)]
     texts = {}
@@ -100,6 +105,11 @@ def test_near_duplicates_of_odd_rows(spark):
     rows = [(1, text), (1, text), (None, text), (None, None), (2, None), (9, text.upper()), (4, "x " * 200_000)]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, True), (0, 0, True), (1, 1, True), (1, 1, True), (2, 2, True), (4, 4, True), (9, 1, False)]
+    # a doc_id of several texts joins the groups of all of them
+    words = [[f"{p}{i}" for i in range(30)] for p in "xyz"]
+    rows = [(3, " ".join(words[0])), (5, " ".join(words[0])), (5, " ".join(words[1])), (7, " ".join(words[1])), (5, " ".join(words[2])), (8, " ".join(words[2])), (9, "else")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(3, 3), (5, 3), (5, 3), (5, 3), (7, 3), (8, 3), (9, 9)]
     empty = minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"))
     assert empty.count() == 0 and empty.columns == ["doc_id", "n_shingles", "component_id", "kept"]
 

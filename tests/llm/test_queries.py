@@ -172,28 +172,41 @@ def test_pipeline(spark, documents):
         assert after.items() <= before.items() and len(after) >= 0.5 * len(before)
     low = components(before, every_pair(before, 5)[1])
     assert set(after) == {i for i in before if low[i] == i}
-    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
-    lengths = defaultdict(int)
-    for r in out:
-        lengths[r["doc_id"]] += r["length"]
     _, ids = library_ids("word_bpe_49k.json", [t or "" for t in after.values()])
-    assert lengths == {i: len(x) + 1 for i, x in zip(after, ids, strict=True)}
+    assert rebuilt(corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()) == sorted((i, [*x, 1]) for i, x in zip(after, ids, strict=True))
+
+
+def rebuilt(sequences):
+    """(doc_id, ids) of every document, from the packed sequences alone."""
+    back = defaultdict(dict)
+    for r in sequences:
+        ids = np.frombuffer(bytes(r["ids"]), "<u2")
+        assert len(ids) == r["n_tokens"] <= 4096 and {p["doc_id"] for p in r["pieces"]} == {*r["doc_ids"]}
+        for p in r["pieces"]:
+            back[p["row"], p["doc_id"]][p["start"]] = ids[p["offset"] : p["offset"] + p["length"]].tolist()
+    return sorted(((doc, [x for at in sorted(parts) for x in parts[at]]) for (_, doc), parts in back.items()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def test_pipeline_stages_of_odd_tables(spark, tmp_path):
+    """All columns keep their values, whatever they are called; rows of one id and texts of null ids are documents each."""
     import corpus_pipeline
 
-    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, kept int"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, Score string, kept int, language double, quality_score string, row string, views int"
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
-    words = "several plain words that make a text of some length here"
-    rows = [(1, words, "en", "s", 9, "x", 1), (1, words, "en", "s", 9, "x", 1), (2, words, None, None, None, None, None), (None, words, "en", "s", 9, "x", 1), (3, None, "en", None, 0, None, None)]
-    for data, ends in ((rows, {1, 2, None}), ([], set())):
+    words, other = "several plain words that make a text of some length here", "wholly different ones stand in this one, which shares an id with others"
+    more = ("USER1", 1, 0.5, "mine", "r", None)
+    rows = [(1, words, "en", "s", 9, *more), (1, words, "en", "s", 9, *more), (2, words, None, None, None, *[None] * 6), (None, words, "en", "s", 9, *more), (3, None, "en", None, 0, *[None] * 6), (1, other, "en", "t", 9, *more), (None, other + " yes indeed", "en", "s", 9, *more), (None, "a third text of this table with a null id", "en", "s", 9, *more)]
+    want = [{*rows} - {rows[4]}, {*rows} - {rows[4]}, {rows[0], rows[5], rows[7]}]
+    for data, ends in ((rows, want), ([], [set()] * 3)):
         docs = spark.createDataFrame(data, schema)
-        for name, stage in corpus_pipeline.STAGES:
+        for (name, stage), end in zip(corpus_pipeline.STAGES, [*ends, None], strict=True):
             got = stage(spark, docs, str(tmp_path))
             if name != "best_fit_packing":
-                assert got.columns == docs.columns
-                docs = spark.createDataFrame(got.collect(), schema)
-        ids = {r["doc_id"] for r in docs.collect()}
-        assert ids == ends - {2} and {r["doc_id"] for r in got.collect()} == ids
+                assert got.columns == docs.columns and got.schema == docs.schema
+                rows_ = [tuple(r) for r in got.collect()]
+                assert {*rows_} == end, name
+                docs = spark.createDataFrame(rows_, schema)
+        assert len(rows_) == len(ends[-1])
+        _, ids = library_ids("word_bpe_49k.json", [r[1] for r in rows_])
+        assert rebuilt(got.collect()) == sorted(((r[0], [*x, 1]) for r, x in zip(rows_, ids, strict=True)), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
