@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, quality classifier, near-duplicate removal, packing.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and works on all that its predecessor kept.
-All but the last return the columns of documents.
+All but the last return the columns of documents, each with the values it came with: what a stage adds for itself has a
+name that no column of the table has.
 """
 
 from __future__ import annotations
@@ -10,36 +11,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import cotraining, language_id, minhash, packing
-from barloom.llm.common import materialize
+from barloom.llm.common import materialize, unused
 
 #: SQL can't express trained models and sketches; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has letters and whose language the calibrated model doesn't reject."""
-    model = language_id.train(docs, F.lit(True))
-    return language_id.identify(docs, model).where("lang_accepted").select(*docs.columns)
+    """Documents whose text has letters and is in a language that the calibrated model knows. Repeated rows stay."""
+    to = unused(docs, "language")
+    found = language_id.identify(docs, language_id.train(docs, F.lit(True)), to)
+    return found.where(F.col(f"{to}.lang_accepted")).drop(to)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that both views together don't reject."""
-    model = cotraining.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return cotraining.classify(docs, model).where("quality_accepted").select(*docs.columns)
+    """Documents that both views together don't reject. Repeated rows stay."""
+    to = unused(docs, "quality")
+    found = cotraining.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), to)
+    return found.where(F.col(f"{to}.accepted")).drop(to)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates, that of the smallest doc_id; of repeated rows one."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One row of each component of near-duplicate texts: that of the smallest doc_id (nulls last).
+
+    Each row is a document of its own, so texts that share a doc_id stay apart, and copies with null ids go like others;
+    of rows that share id and component the one of the smallest hash of its text stays, then the first one of the table.
+    Rows without words are no copies of each other and stay.
+    """
+    row = unused(docs, "row")
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    found = minhash.near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), row)
+    ranked = keyed.select(row, order.alias("order")).join(found, row)
+    kept = ranked.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col(f"first.{row}").alias(row))
+    return keyed.join(kept, row, "left_semi").drop(row).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each piece's place in a sequence of at most 4096 tokens, and its ids."""
+    """Sequences of at most 4096 token ids: their ids (16-bit, little-endian), the doc_ids in them, and each piece's place."""
     import public_tokenizers
 
     pieces, placed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return placed
+    return packing.sequences(pieces, placed)
 
 
 STAGES = [("language_id", identify_language), ("quality_classifier", classify_quality), ("minhash_near_dedup", drop_near_duplicates), ("best_fit_packing", pack_sequences)]
