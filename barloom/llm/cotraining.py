@@ -34,7 +34,7 @@ PARTS = (0.64, 0.12, 0.12, 0.12)
 SHAPES, PLACES = 32, 64
 #: Share of good held-back documents that the threshold may reject, and its limits.
 LOST, LOWEST, HIGHEST = 0.002, 0.02, 0.5
-MAX_WORDS, MAX_BYTES = 300_000, 32 << 20
+MAX_WORDS, MAX_BYTES = 200_000, 32 << 20
 
 _SHAPE = ((re.compile(r"[^\W\d_a-zà-ÿß]+"), "A"), (re.compile(r"[^\W\d_A]+"), "a"), (re.compile(r"\d+"), "0"))
 #: Per word: characters, letters, capitals, digits, other marks, marks at its end; then its shape.
@@ -228,7 +228,7 @@ def with_views(docs: DataFrame, to: str = "views", keep: list[str] | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for b in text_steps(batches):
+        for b in text_steps(batches, 2 << 20):
             texts, *rest = (b.column(there + k).to_pylist() for k in range(4))
             meta = pa.array([np.array(metadata_places(*r), "<u2").tobytes() for r in zip(*rest, strict=True)], pa.binary())
             text = pa.array([text_view(words, t or "").astype("<f4").tobytes() for t in texts], pa.binary())

@@ -10,8 +10,7 @@ from __future__ import annotations
 
 import pickle
 import string
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,24 +31,38 @@ EPOCHS, LEAST_STEPS, RATE, CALIBRATION_SHARE = 6, 6000, 0.5, 0.2
 LOST, LOWEST = 0.001, 0.3
 #: Rightly named calibration documents without which nothing but a low score is rejected: fewer say nothing of the rest.
 ENOUGH = 20
-MAX_WORDS, MAX_BYTES = 400_000, 32 << 20
+MAX_WORDS, MAX_BYTES = 200_000, 32 << 20
 UNKNOWN = "und"
 
 _EDGES = string.punctuation + string.digits
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
-def subwords(word: str) -> list[int]:
-    """Hashes of a lower-case word and its character 2- to 4-grams, with marks at both ends."""
-    w = f"<{word}>"
-    out = [zlib.crc32(w.encode()) % BUCKETS]
+_PRIME, _SPREAD = np.uint32(16777619), np.uint32(2654435761)
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of each lower-case word, with marks at both ends, and of its character 2- to 4-grams; all words at once."""
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    owner = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(codes))
+    left = np.repeat(np.cumsum(sizes), sizes) - place  # characters to a word's end, this one included
+    powers = np.cumprod(np.full(int(sizes.max(initial=1)), _PRIME, np.uint32), dtype=np.uint32)
+    whole = np.bincount(owner, (codes * powers[left - 1]).astype(np.float64), len(words)).astype(np.int64).astype(np.uint32)
+    owners, hashes = [np.arange(len(words))], [whole]
+    h = codes
     for n in (2, 3, 4):
-        out += [zlib.crc32(w[i : i + n].encode()) % BUCKETS for i in range(len(w) - n + 1)]
-    return out
+        h = h[:-1] * _PRIME + codes[n - 1 :] if len(h) else h
+        inside = left[: len(h)] >= n
+        owners.append(owner[: len(h)][inside])
+        hashes.append(h[inside] + np.uint32(n))
+    return np.concatenate(owners), (np.concatenate(hashes) * _SPREAD) >> np.uint32(16)
 
 
-def chunk_subwords(chunk: str) -> list[int]:
-    return [h for w in _LETTERS.findall(chunk) for h in subwords(w)]
+def letters(chunk: str) -> list[str]:
+    """A chunk's words: runs of letters and their marks."""
+    return [chunk] if chunk.isalpha() else _LETTERS.findall(chunk)
 
 
 @dataclass
@@ -71,44 +84,40 @@ class _Words(dict):
 
     def __init__(self, model: Model) -> None:
         super().__init__()
-        self.model, self.used, self.bytes = model, 0, 0
-        self.table = np.zeros((1024, model.logits.shape[1] + 2))
-
-    def __missing__(self, chunk: str) -> int:
-        self.bytes += len(chunk)
-        core = chunk.strip(_EDGES)
-        if core != chunk:  # marks and digits at the ends are in no subword
-            self[chunk] = row = self[core]
-            return row
-        if self.used == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        ids = chunk_subwords(chunk)
-        if ids:
-            self.table[self.used, :-2] = self.model.logits[ids].sum(0)
-            self.table[self.used, -2] = self.model.rarity[ids].sum()
-            self.table[self.used, -1] = len(ids)
-        self[chunk] = self.used
-        self.used += 1
-        return self.used - 1
+        self.of_bucket = np.column_stack([model.logits, model.rarity, np.ones(BUCKETS)])
+        self.table, self.used, self.bytes = np.zeros((1024, self.of_bucket.shape[1])), 0, 0
+
+    def learn(self, chunks: Iterable[str]) -> None:
+        """Rows for chunks that have none; marks and digits at a chunk's ends are in no subword."""
+        cores = {c: c.strip(_EDGES) for c in chunks if c not in self}
+        new = list({x for x in cores.values() if x not in self})
+        if self.used + len(new) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(len(self.table), len(new)), self.table.shape[1]))])
+        words = [letters(x) for x in new]
+        chunk = np.repeat(np.arange(len(new)), [len(w) for w in words])
+        word, bucket = subwords([w for ws in words for w in ws])
+        for k in range(self.table.shape[1]):
+            self.table[self.used : self.used + len(new), k] = np.bincount(chunk[word], self.of_bucket[bucket, k], len(new))
+        self.update(zip(new, range(self.used, self.used + len(new)), strict=True))
+        self.used += len(new)
+        self.bytes += sum(map(len, cores)) + sum(map(len, new))
+        self.update((c, self[x]) for c, x in cores.items())
 
 
 def predict(model: Model, words: _Words, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index of the best language, -1 for a text without letters, its calibrated probability (0 there), and familiarity."""
+    total = np.zeros((len(texts), words.table.shape[1]))
+    parts = [(i, w.lower().split()) for i, t in enumerate(texts) for w in windows(t)]
+    words.learn({c for _, p in parts for c in p})
+    get = words.__getitem__
+    for i, p in parts:
+        if p:
+            total[i] += words.table[np.fromiter(map(get, p), np.int64, len(p))].sum(0)
     best, score, familiar = np.full(len(texts), -1), np.zeros(len(texts)), np.full(len(texts), -np.inf)
-    for i, t in enumerate(texts):
-        total = np.zeros(words.table.shape[1])
-        for w in windows(t):
-            parts = w.lower().split()
-            if parts:
-                rows = np.fromiter(map(words.__getitem__, parts), np.int64, len(parts))
-                total += words.table[rows].sum(0)
-        if total[-1] == 0:
-            continue
-        z = (total[:-2] / total[-1] + model.bias) / model.temperature
-        p = np.exp(z - z.max())
-        best[i] = int(p.argmax())
-        score[i] = p.max() / p.sum()
-        familiar[i] = total[-2] / total[-1]
+    full = np.flatnonzero(total[:, -1])
+    mean = total[full] / total[full, -1:]
+    p = _softmax((mean[:, :-2] + model.bias) / model.temperature)
+    best[full], score[full], familiar[full] = p.argmax(1), p.max(1), mean[:, -2]
     return best, score, familiar
 
 
@@ -194,7 +203,7 @@ def train(docs: DataFrame, usable: F.Column) -> Model | None:
             for t in texts_of(b):
                 counts = np.zeros(BUCKETS, np.int64)
                 for w in windows(t):
-                    counts += np.bincount([h for c in w.lower().split() for h in chunk_subwords(c)], minlength=BUCKETS).astype(np.int64)
+                    counts += np.bincount(subwords([x for c in w.lower().split() for x in letters(c)])[1], minlength=BUCKETS)
                 hashes = np.flatnonzero(counts)
                 share = counts[hashes] / max(1, counts.sum())
                 out.append((hashes.astype("<u2").tobytes(), share.astype("<f4").tobytes()))
@@ -224,7 +233,7 @@ def identify(docs: DataFrame, model: Model | None, to: str = "language") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(shared.value)
         words = m and _Words(m)
-        for b in text_steps(batches):
+        for b in text_steps(batches, 2 << 20):
             texts = [t or "" for t in b.column(text).to_pylist()]
             if m:
                 best, score, familiar = predict(m, words, texts)

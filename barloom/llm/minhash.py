@@ -38,7 +38,7 @@ SLACK = 0.16
 #: Nodes of a block (about), and hopeful pairs a node up to which a block gives them out.
 BLOCK, HOPEFUL = 256, 4
 #: Cached words and their bytes.
-MAX_WORDS, MAX_BYTES = 300_000, 32 << 20
+MAX_WORDS, MAX_BYTES = 200_000, 32 << 20
 #: Bits of the bitset at most (what it lets pass in vain is dropped by a join), and of one of its chunks.
 MOST_BITS, CHUNK_BITS = 1 << 27, 1 << 15
 #: Copies from which a set's rows are dealt over SALTS keys, and places in the table that tells such sets.
@@ -204,7 +204,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             b = b.filter(b.column(0).is_valid())
             at = _bits_of(b.column(0).cast(pa.int64()).to_numpy(), 8 * len(there))
             b = b.filter(pa.array((there[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(0)))
-            for part in text_steps([b]):
+            for part in text_steps([b], 1 << 20):
                 sets = [s for t in texts_of(part) if len(s := make.shingles(t))]
                 prints = np.array([_print(s) for s in sets], np.uint64).reshape(-1, 2).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*SET, "hashes"])
@@ -229,8 +229,10 @@ def _estimate_pairs(pairs: DataFrame, regs: DataFrame, least: float) -> DataFram
 
 
 def _verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of `pairs` (a, b) whose sets are similar enough. Only sets of their nodes are moved."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_steps(batches, 32 << 20):
+        for b in text_steps(batches, 8 << 20):
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -240,8 +242,8 @@ def _verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
-    left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long").distinct()
+    of = lambda side: sets.join(pairs.select(F.col(side).alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias(side), F.col("hashes").alias(f"h{side}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long").distinct()
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -282,7 +284,7 @@ def _by_group(rows: DataFrame, columns: list[str], found: Callable[[list[tuple]]
         def close() -> list[tuple]:
             return [(*key, *r) for r in found(group)] if group else []
 
-        for b in text_steps(batches, 32 << 20):
+        for b in text_steps(batches, 8 << 20):
             out: list[tuple] = []
             cols = [b.column(i).to_pylist() for i in range(7)]
             for i, (bucket, block, side, *row) in enumerate(zip(*cols, strict=True)):
@@ -338,7 +340,7 @@ def _verify_blocks(members: DataFrame, regs: DataFrame, sets: DataFrame, percent
     schema = "bucket long, block int, side int, a long, b long"
     slim = regs.select("node", "registers", "n_shingles")
     found = materialize(_by_group(each.join(slim, "node"), columns, pairs, schema), "block-pairs")
-    few = found.where("a is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    few = materialize(found.where("a is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "few-pairs")
     full = each.join(found.where("a is null").select(*GROUP), GROUP, "left_semi").join(slim, "node").join(sets, "node")
     many = _by_group(full, [*columns, "hashes"], links, schema).select("a", "b").distinct()
     return _verify_pairs(few, sets, percent).unionByName(many)
