@@ -42,9 +42,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
     found = minhash.near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), row)
+    found = materialize(found, "components")
     ranked = keyed.select(row, order.alias("order")).join(found, row)
     kept = ranked.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col(f"first.{row}").alias(row))
-    return keyed.join(kept, row, "left_semi").drop(row).select(*docs.columns)
+    gone = materialize(found.join(kept, row, "left_anti").select(row), "copies")  # broadcast if the table is small
+    return keyed.join(gone, row, "left_anti").drop(row)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
