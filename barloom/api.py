@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barloom.operators import execution, metrics, search
 from barloom.operators.indicators import registry, registry_rows
 from barloom.operators.signals import evaluate
+from barloom.sources.scratch import materialize
 
 RUNTIME_DEFAULTS = {"warmup_bars": 200, "top_k": 300, "preselect": 20_000, "max_variants": search.MOST_VARIANTS, "max_bytes": search.MOST_BYTES}
 
@@ -23,19 +24,28 @@ def estimate(parts: Sequence[search.Part], bars: int, stop_losses: Sequence = (N
     return search.estimate(parts, bars, len(search.risk_variants(stop_losses, take_profits)))
 
 
-def compute(bars: DataFrame, indicator: str, axes: Mapping[str, Sequence] | None = None, most_variants: int = search.MOST_VARIANTS) -> DataFrame:
-    """(symbol, idx, variant, value float) of every grid point; guarded before any job runs."""
+def compute(bars: DataFrame, indicator: str, axes: Mapping[str, Sequence] | None = None, most_variants: int = search.MOST_VARIANTS, most_bytes: int = search.MOST_BYTES) -> DataFrame:
+    """(symbol, idx, variant, value float) of every grid point; guarded, by the number of bars too, before any of them is computed."""
     part = search.Part(indicator, axes or {})
-    points = part.points()
-    search.enforce_guards({"variants": len(points), "bytes": 0}, most_variants)
-    each = [registry()[indicator](bars, **p).select("symbol", "idx", F.lit(i).cast("long").alias("variant"), F.col("value").cast("float").alias("value")) for i, p in enumerate(points)]
-    return reduce(DataFrame.unionByName, each)
+    search.enforce_guards(search.estimate([part], 0), most_variants, most_bytes)
+    search.enforce_guards(search.estimate([part], bars.count()), most_variants, most_bytes)
+    points, columns = part.points(), bars.columns
+    out = bars.withColumn("_values", F.array().cast("array<float>"))
+    definition = registry()[indicator]
+    step = search.SHARED if definition.many else 1
+    for at in range(0, len(points), step):
+        names = [f"_v{k}" for k in range(len(points[at : at + step]))]
+        out = definition.values(out, points[at : at + step], names).select(*columns, F.concat("_values", F.array(*(F.col(n).cast("float") for n in names))).alias("_values"))
+        if (at // step + 1) % search.STAGES == 0:
+            out = materialize(out, "values")
+    return out.select("symbol", "idx", F.posexplode("_values").alias("variant", "value")).withColumn("variant", F.col("variant").cast("long"))
 
 
 def backtest(bars: DataFrame, parts: Sequence[search.Part], how: execution.Execution, tf_ms: int, stop_losses: Sequence = (None,), take_profits: Sequence = (None,), preselect: int = 20_000, top_k: int = 300, rank_by: str = "total_return_pct") -> DataFrame:
-    """The best variants of a grid with the best stops."""
+    """The best variants of a grid with the best stops; guarded, by the number of bars too."""
     risks = search.risk_variants(stop_losses, take_profits)
     search.enforce_guards(search.estimate(parts, 0, len(risks)))
+    search.enforce_guards(search.estimate(parts, bars.count(), len(risks)))
     best, signals = search.stage_a(bars, parts, how, tf_ms, preselect, rank_by)
     return search.stage_b(best, signals, risks, how, tf_ms, top_k, rank_by)
 

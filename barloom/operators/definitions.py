@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalars import div, sqrt_floor
 from barloom.operators.indicators import Indicator
-from barloom.operators.scan import Rolling, ewma, linear_scans, ordered_scan, rolled
+from barloom.operators.scan import Rolling, ewma, ordered_scan, rolled, running_sums
 
 O, H, L, C, V = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
 #: Price series by name.
@@ -22,13 +22,15 @@ SOURCES: dict[str, Column] = {"open": O, "high": H, "low": L, "close": C, "hl2":
 SOURCE_AXIS = ("close", "hl2", "hlc3", "ohlc4", "low", "high", "open")
 
 REGISTRY: dict[str, Indicator] = {}
+#: Values of several points of parameters in one pass, as columns of these names.
+Many = Callable[[DataFrame, list[dict], list[str]], DataFrame]
 
 
 def _define(id_: str, outputs: tuple[str, ...] = ("value",), primary: str | None = None, **defaults: object) -> Callable:
-    def add(f: Callable[[DataFrame, dict], DataFrame]) -> Callable:
+    def add(f: Callable[[DataFrame, dict], DataFrame], many: Many | None = None) -> Callable:
         family = id_.split(".")[0] if "." in id_ else "structure"
         series = SOURCE_AXIS if "source" in defaults else ("open", "high", "low", "close", "volume")
-        REGISTRY[id_] = Indicator(id_, family, defaults, f, outputs, primary or outputs[0], series)
+        REGISTRY[id_] = Indicator(id_, family, defaults, f, outputs, primary or outputs[0], series, many)
         return f
 
     return add
@@ -44,7 +46,14 @@ def _windowed(id_: str, value: Callable[[Rolling, dict], Column], back: Callable
     def compute(df: DataFrame, p: dict) -> DataFrame:
         return rolled(_src(df, p), back(p), lambda d, r: d.withColumn("value", value(r, p)), ahead(p))
 
-    _define(id_, **kw)(compute)
+    def many(df: DataFrame, points: list[dict], names: list[str]) -> DataFrame:
+        for source in dict.fromkeys(p.get("source", "close") for p in points):  # their windows share stretches and their sort
+            some = {n: p for n, p in zip(names, points, strict=True) if p.get("source", "close") == source}
+            stages = lambda d, r, some=some: d.withColumns({n: value(r, p) for n, p in some.items()})
+            df = rolled(_src(df, {"source": source}), max(map(back, some.values())), stages, max(map(ahead, some.values())))
+        return df
+
+    _define(id_, **kw)(compute, many)
 
 
 X = F.col("x")
@@ -72,21 +81,22 @@ _windowed("ma.lwma", lambda r, p: r.wma(X, p["window"]), source="close", window=
 _windowed("ma.vwma", lambda r, p: div(r.sum(C * V, p["window"]), r.sum(F.when(C.isNotNull(), V), p["window"])), window=5)
 
 
-def _ema_like(alpha: Callable[[int], float]) -> Callable[[DataFrame, dict], DataFrame]:
-    return lambda df, p: ewma(_src(df, p), ("x", "value", alpha(p["window"])))
+def _ema_like(id_: str, alpha: Callable[[int], float]) -> None:
+    def many(df: DataFrame, points: list[dict], names: list[str]) -> DataFrame:
+        inputs = {f"x_{p['source']}": SOURCES[p["source"]] for p in points}
+        return ewma(df.withColumns(inputs), *((f"x_{p['source']}", n, alpha(p["window"])) for n, p in zip(names, points, strict=True)))
+
+    _define(id_, source="close", window=5)(lambda df, p: ewma(_src(df, p), ("x", "value", alpha(p["window"]))), many)
 
 
 EMA, RMA = (lambda w: 2 / (w + 1)), (lambda w: 1 / w)
-_define("ma.ema", source="close", window=5)(_ema_like(EMA))
-_define("ma.rma", source="close", window=5)(_ema_like(RMA))
-_define("ma.smma", source="close", window=5)(_ema_like(RMA))
+_ema_like("ma.ema", EMA)
+_ema_like("ma.rma", RMA)
+_ema_like("ma.smma", RMA)
 
 
 def _chained(df: DataFrame, p: dict, n: int) -> DataFrame:
-    a, df = EMA(p["window"]), _src(df, p).withColumn("e0", X)
-    for k in range(1, n + 1):
-        df = ewma(df, (f"e{k - 1}", f"e{k}", a))
-    return df
+    return ewma(_src(df, p), *(("x" if k == 1 else f"e{k - 1}", f"e{k}", EMA(p["window"])) for k in range(1, n + 1)))
 
 
 _define("ma.dema", source="close", window=5)(lambda df, p: _chained(df, p, 2).withColumn("value", 2 * F.col("e1") - F.col("e2")))
@@ -344,7 +354,7 @@ _windowed("volatility.bbands_percent_b", _percent_b, source="close", window=5, m
 # Volume
 def _with_ad_line(df: DataFrame) -> DataFrame:
     flow = div((C - L) - (H - C), H - L) * V
-    return linear_scans(df.withColumn("flow", flow), [("flow", "ad", 1.0, 1.0)])
+    return running_sums(df.withColumn("flow", flow), [("flow", "ad")])
 
 
 _define("volume.ad_line")(lambda df, p: _with_ad_line(df).withColumn("value", F.col("ad")))
@@ -353,7 +363,7 @@ _define("volume.ad_line")(lambda df, p: _with_ad_line(df).withColumn("value", F.
 @_define("volume.obv")
 def _obv(df: DataFrame, p: dict) -> DataFrame:
     signed = rolled(df, 1, lambda d, r: d.withColumn("sv", F.signum(C - r.lag(C)) * V))
-    return linear_scans(signed, [("sv", "value", 1.0, 1.0)])
+    return running_sums(signed, [("sv", "value")])
 
 
 @_define("volume.cmf", window=5)

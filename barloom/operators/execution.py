@@ -6,8 +6,11 @@ signal differs from the bar before, and at the last bar whatever is open is clos
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,5 +170,128 @@ def equity_curve(signals: DataFrame, execution: Execution) -> DataFrame:
     return ordered_scan(_prepared(signals), KEYS, ["idx"], ["idx", "close", "signal"], start, step, EQUITY, end)
 
 
+class Accounts:
+    """Many simulations side by side, as arrays: a bar changes all of them at once by the rules of `Account`."""
+
+    def __init__(self, e: Execution, stop_loss: np.ndarray, take_profit: np.ndarray) -> None:
+        n = len(stop_loss)
+        self.e, self.stop_loss, self.take_profit = e, stop_loss, take_profit  # NaN: none
+        self.free, self.safe, self.peak, self.deepest = np.full(n, e.cash), np.zeros(n), np.full(n, -np.inf), np.zeros(n)
+        self.side, self.before, self.count = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+        self.fill, self.qty, self.quote, self.fee, self.won, self.lost = (np.zeros(n) for _ in range(6))
+        self.close: float | None = None
+
+    def leave(self, close: float, who: np.ndarray) -> None:
+        side, quote, e = self.side[who], self.quote[who], self.e
+        got = self.qty[who] * (close * (1 - side * e.slippage))
+        fee = got * e.fee
+        gross = side * (got - quote)
+        net = gross - self.fee[who] - fee
+        locked = np.where(net > 0, net * e.safe_percent / 100, 0.0) if e.sizing == "strategy_compound_profit_lock" else np.zeros(len(net))
+        self.free[who] += quote + gross - fee - locked
+        self.safe[who] += locked
+        self.won[who] += np.maximum(net, 0)
+        self.lost[who] += np.maximum(-net, 0)
+        self.count[who] += 1
+        self.side[who] = 0
+
+    def value(self) -> np.ndarray:
+        return self.free + self.safe + np.where(self.side != 0, self.quote + self.side * (self.qty * self.close - self.quote), 0.0)
+
+    def settle(self) -> np.ndarray:
+        """Count the bar before into peaks and drawdowns."""
+        value = self.value()
+        np.maximum(self.peak, value, out=self.peak)
+        np.maximum(self.deepest, 1 - value / self.peak, out=self.deepest)
+        return value
+
+    def bar(self, close: float, signal: np.ndarray) -> None:
+        if self.close is not None:
+            self.settle()
+        side, fill, e = self.side, self.fill, self.e
+        held = side != 0
+        with np.errstate(invalid="ignore"):
+            out = held & ((side * (close - fill * (1 - side * self.stop_loss)) <= 0) | (side * (close - fill * (1 + side * self.take_profit)) >= 0) | (signal != side))
+        if out.any():
+            self.leave(close, np.flatnonzero(out))
+        quote = self.free if e.sizing != "fixed_quote" else np.minimum(self.free, e.fixed_quote)
+        enter = (self.side == 0) & (signal != self.before) & (signal != 0) & (quote > 0)
+        if e.direction != "long-short":
+            enter &= signal == (1 if e.direction == "long-only" else -1)
+        who = np.flatnonzero(enter)
+        if len(who):
+            way, paid = signal[who], quote[who]
+            self.side[who], self.quote[who], self.fee[who] = way, paid, paid * e.fee
+            self.fill[who] = close * (1 + way * e.slippage)
+            self.qty[who] = paid / self.fill[who]
+            self.free[who] -= paid + self.fee[who]
+        self.before, self.close = signal, close
+
+    def end(self) -> np.ndarray:
+        """Close what is open, and give the last values."""
+        self.leave(self.close, np.flatnonzero(self.side != 0))
+        return self.settle()
+
+
+#: Variants that a task simulates side by side.
+TOGETHER = 2048
+FIGURES = "symbol string, variant long, final double, max_drawdown double, won double, lost double, num_trades long"
+
+
+def figures(variants: DataFrame, signals: DataFrame, execution: Execution) -> DataFrame:
+    """FIGURES of each variant after one pass over its symbol's bars.
+
+    `variants` has symbol, block, variant, points (places in a bar's `signals`, joined by AND) and stops (NULL: the
+    execution's own); a (symbol, block) has at most a few thousand. `signals` has symbol, idx, close and signals, an array.
+    A block's variants come first, then its bars stream by in order: a task holds one batch of them and the accounts.
+    """
+    bars = signals.where("close is not null")
+    blocks = variants.select("symbol", "block").distinct()
+    stop = lambda c: F.coalesce(F.col(c), F.lit(getattr(execution, c)).cast("double")).alias(c)
+    none = lambda kind: F.lit(None).cast(kind)
+    first = variants.select("symbol", "block", F.lit(False).alias("bar"), F.col("variant").alias("at"), none("double").alias("close"), F.col("points"), none("array<byte>").alias("signals"), stop("stop_loss"), stop("take_profit"))
+    rest = bars.join(blocks, "symbol").select("symbol", "block", F.lit(True).alias("bar"), F.col("idx").alias("at"), "close", none("array<int>").alias("points"), "signals", none("double").alias("stop_loss"), none("double").alias("take_profit"))
+    names = ["symbol", "block", "bar", "at", "close", "points", "signals", "stop_loss", "take_profit"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known, accounts, points = None, [], None, None
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if accounts is not None:
+                final, n = accounts.end(), len(known)
+                cols = [pa.array([now[0]] * n, pa.string()), pa.array([k[0] for k in known], pa.int64()), *(pa.array(x) for x in (final, accounts.deepest, accounts.won, accounts.lost, accounts.count))]
+                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in FIGURES.split(", ")])
+
+        for b in batches:
+            at = 0
+            symbols, blocks_, is_bar = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
+            while at < b.num_rows:
+                key = (symbols[at], blocks_[at])
+                if key != now:
+                    yield from finish()
+                    now, known, accounts, points = key, [], None, None
+                to = at
+                while to < b.num_rows and (symbols[to], blocks_[to]) == key and is_bar[to] == is_bar[at]:
+                    to += 1
+                part = b.slice(at, to - at)
+                if not is_bar[at]:
+                    known += zip(*(part.column(k).to_pylist() for k in (3, 5, 7, 8)), strict=True)
+                elif known:
+                    if accounts is None:
+                        stops = np.array([[np.nan if x is None else x for x in k[2:]] for k in known], float)
+                        most = max(len(k[1]) for k in known)
+                        points = np.array([[*k[1], *[k[1][0]] * (most - len(k[1]))] for k in known], np.int64)  # one signal more than once is one
+                        accounts = Accounts(execution, stops[:, 0].copy(), stops[:, 1].copy())
+                    rows = part.column(6).flatten().to_numpy(zero_copy_only=False).reshape(to - at, -1)
+                    for close, row in zip(part.column(4).to_pylist(), rows, strict=True):
+                        each = row[points]
+                        low, high = each.min(1), each.max(1)
+                        accounts.bar(close, np.where(low == 1, 1.0, np.where(high == -1, -1.0, 0.0)))
+                at = to
+        yield from finish()
+
+    return first.unionByName(rest).repartition("symbol", "block").sortWithinPartitions("symbol", "block", "bar", "at").select(*names).mapInArrow(run, FIGURES)
+
+
 def fee_rate(market_id: int) -> float:
     return FEES_PCT[market_id] / 100

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -19,8 +20,10 @@ class Indicator:
     outputs: tuple[str, ...] = ("value",)
     primary: str = "value"
     series: tuple[str, ...] = field(default=("close",))
+    many: Callable[[DataFrame, list[dict], list[str]], DataFrame] | None = None
 
-    def __call__(self, bars: DataFrame, **params: object) -> DataFrame:
+    def parameters(self, params: Mapping) -> dict:
+        """`params` over the defaults, checked."""
         unknown = set(params) - set(self.defaults)
         if unknown:
             raise ValueError(f"{self.id} has no parameter {', '.join(sorted(unknown))}")
@@ -29,8 +32,20 @@ class Indicator:
             if name.endswith("window") or name in ("left", "right", "smoothing", "fast", "slow"):
                 if int(v) != v or not 1 <= v <= 2000:
                     raise ValueError(f"{self.id}: {name} must be a whole number from 1 to 2000, not {v}")
-        extra = [c for c in bars.columns]
-        return self.compute(bars, p).select(*extra, "value")
+        return p
+
+    def __call__(self, bars: DataFrame, **params: object) -> DataFrame:
+        columns = bars.columns
+        return self.compute(bars, self.parameters(params)).select(*columns, "value")
+
+    def values(self, bars: DataFrame, points: Sequence[Mapping], names: list[str]) -> DataFrame:
+        """`bars` with a column of each point's values; in one pass where the definition can."""
+        columns, checked = bars.columns, [self.parameters(p) for p in points]
+        if self.many:
+            return self.many(bars, checked, names).select(*columns, *names)
+        for p, name in zip(checked, names, strict=True):
+            bars = self.compute(bars, p).select(*bars.columns, F.col("value").alias(name))
+        return bars
 
 
 def registry() -> dict[str, Indicator]:

@@ -9,21 +9,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import div
+from barloom.operators.scan import running_max
+from barloom.sources.scratch import materialize
 
 KEYS = ("symbol", "variant")
 DAY_MS, YEAR_DAYS, ZERO = 86_400_000, 365, 1e-12
-_order = lambda: Window.partitionBy(*KEYS).orderBy("idx")
 
 
 def drawdowns(equity: DataFrame, tf_ms: int) -> DataFrame:
-    """Deepest and average drawdown in percent (over all bars), and its episodes' longest and average time in ms."""
-    peak = F.max("equity").over(_order().rowsBetween(Window.unboundedPreceding, 0))
-    d = equity.withColumn("dd", 1 - div(F.col("equity"), peak)).withColumn("down", F.coalesce(F.col("dd") > ZERO, F.lit(False)))
-    d = d.withColumn("begins", (F.col("down") & ~F.coalesce(F.lag("down").over(_order()), F.lit(False))).cast("int")).withColumn("after", F.coalesce(F.lead("idx").over(_order()), F.col("idx")))
-    d = d.withColumn("episode", F.sum("begins").over(_order().rowsBetween(Window.unboundedPreceding, 0)))
-    times = d.where("down").groupBy(*KEYS, "episode").agg(((F.max("after") - F.min("idx")) * tf_ms).alias("ms")).groupBy(*KEYS).agg(F.max("ms").alias("max_drawdown_ms"), F.floor(F.sum("ms") / F.count("ms")).alias("avg_drawdown_ms"))
-    depth = d.groupBy(*KEYS).agg((100 * F.max("dd")).alias("max_drawdown_pct"), (100 * F.avg("dd")).alias("avg_drawdown_pct"))
-    return depth.join(times, list(KEYS), "left")
+    """Deepest and average drawdown in percent (over all bars), and its episodes' longest and average time in ms.
+
+    An episode is known by the last bar before it that was no drawdown; it ends at the next such bar. Running maxima go by
+    stretches, so that a history is many tasks.
+    """
+    keys = list(KEYS)
+    d = running_max(equity, keys, F.col("equity"), "peak", True)
+    d = d.withColumn("dd", 1 - div(F.col("equity"), F.col("peak"))).withColumn("down", F.coalesce(F.col("dd") > ZERO, F.lit(False)))
+    d = running_max(d.select(*keys, "idx", "dd", "down"), keys, F.when(~F.col("down"), F.col("idx")), "episode", False)
+    down, idx = F.col("down"), F.col("idx")
+    ends = d.groupBy(*keys, "episode").agg(F.min(F.when(down, idx)).alias("first"), F.max(F.when(down, idx)).alias("last"), F.min(F.when(~down, idx)).alias("over"))
+    ms = (F.coalesce(F.col("over"), F.col("last")) - F.col("first")) * tf_ms
+    times = ends.where("first is not null").groupBy(*keys).agg(F.max(ms).alias("max_drawdown_ms"), F.floor(F.sum(ms) / F.count("*")).alias("avg_drawdown_ms"))
+    depth = d.groupBy(*keys).agg((100 * F.max("dd")).alias("max_drawdown_pct"), (100 * F.avg("dd")).alias("avg_drawdown_pct"))
+    return depth.join(times, keys, "left")
 
 
 def trade_stats(trades: DataFrame, tf_ms: int) -> DataFrame:
@@ -62,8 +70,12 @@ def benchmark(signals: DataFrame) -> DataFrame:
 
 
 def report(signals: DataFrame, trades: DataFrame, equity: DataFrame, cash: float, tf_ms: int) -> DataFrame:
-    """One row of figures a (symbol, variant); those that need trades are NULL without any."""
+    """One row of figures a (symbol, variant); those that need trades are NULL without any.
+
+    Trades and equity are written first: several aggregates read them, and their state machine is to run once.
+    """
     keys = list(KEYS)
+    trades, equity = materialize(trades, "trades"), materialize(equity, "equity")
     totals = equity.groupBy(*keys).agg(
         F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.max_by("equity", "idx").alias("final_equity"),
         (100 * F.avg(F.col("in_position").cast("double"))).alias("coverage_pct"), F.avg("exposure").alias("gross_exposure"),

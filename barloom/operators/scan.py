@@ -2,17 +2,21 @@
 
 * `rolled`: windows of bounded length. A stretch of SIZE buckets gets copies of the rows before (and after) it that
   its windows reach, so that one symbol's history is many partitions.
-* `linear_scans`: y = decay * y + gain * x, which starts with y = x and starts anew after a missing x. A stretch's
-  effect on y is a line, so stretches are summed up apart, chained (one row a stretch), and then filled in.
+* `linear_scans`: y = decay * y + gain * x, which starts with y = x and starts anew after a missing x. What a row leaves
+  after some rows is less than a double can tell, so a stretch gets copies of as many rows before it, as windows do, and
+  all scans of an indicator, those of others' outputs too, are one pass over it in numpy.
+* `running_sums` and `running_max`: windows inside stretches, and what the stretches before carry over (a row a stretch).
 * `ordered_scan`: any state machine, streamed in order with a carried state; a key's rows meet in one task, in batches.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -75,64 +79,94 @@ def rolled(df: DataFrame, back: int, f: Callable[[DataFrame, Rolling], DataFrame
     return out.where(F.floor(idx / SIZE) == F.col("_s")).drop("_s")
 
 
-def _fill(x: np.ndarray, decay: float, gain: float, y: float) -> np.ndarray:
-    """The scan of x from y on (NaN: nothing yet); NaN in x is missing."""
-    out = np.empty(len(x))
-    for i, v in enumerate(x.tolist()):
-        if v != v:
-            y = v
-        elif y != y:
-            y = v
-        else:
-            y = decay * y + gain * v
-        out[i] = y
+#: What a row's share of y may shrink to before its stretch forgets it, and rows of a block of `recurrence`.
+FORGOTTEN, BLOCK = 1e-19, 256
+
+
+def recurrence(x: np.ndarray, decay: float, gain: float) -> np.ndarray:
+    """The scan of x; NaN in x is missing. Blocks go side by side, and then each gets what the one before carries over."""
+    n = len(x)
+    rows = -(-n // BLOCK)
+    missing = np.isnan(x)
+    starts = missing.copy()
+    starts[1:] |= missing[:-1]
+    starts[:1] = True
+    a, u = np.zeros(rows * BLOCK), np.zeros(rows * BLOCK)
+    a[:n] = np.where(starts, 0.0, decay)
+    u[:n] = np.where(missing, 0.0, np.where(starts, x, gain * x))
+    y, left = u.reshape(rows, BLOCK).T.copy(), a.reshape(rows, BLOCK).T.copy()  # one row a place in the blocks
+    for k in range(1, BLOCK):
+        y[k] += left[k] * y[k - 1]
+        left[k] *= left[k - 1]
+    carry, c = np.empty(rows), 0.0
+    for k, (keep, more) in enumerate(zip(left[-1].tolist(), y[-1].tolist(), strict=True)):
+        carry[k] = c
+        c = keep * c + more
+    out = (y + left * carry).T.ravel()[:n]
+    out[missing] = np.nan
     return out
 
 
+def _memory(decay: float) -> int:
+    """Rows after which a row's share is forgotten."""
+    return 1 if decay <= 0 else math.ceil(math.log(FORGOTTEN) / math.log(decay))
+
+
 def linear_scans(df: DataFrame, scans: Sequence[tuple[str, str, float, float]]) -> DataFrame:
-    """`df` with a column for each (input, output, decay, gain). Rows are one a (symbol, idx)."""
-    names = [s[0] for s in scans]
-    cut = df.withColumn("_s", F.floor(F.col("idx") / SIZE))
-    n = len(scans)
-
-    def sum_up(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        row = [part["symbol"].iloc[0], part["_s"].iloc[0]]
-        slopes, shifts, alone = [], [], []
-        for name, _, decay, gain in scans:
-            x = part[name].to_numpy(float)
-            seeded = _fill(x, decay, gain, np.nan)[-1]
-            alone.append(seeded)
-            if np.isnan(x).any():  # what comes in doesn't reach the end
-                slopes.append(0.0)
-                shifts.append(seeded)
-            else:
-                slopes.append(decay ** len(x))
-                shifts.append(_fill(x, decay, gain, 0.0)[-1])
-        return pd.DataFrame([[*row, slopes, shifts, alone]], columns=["symbol", "_s", "slopes", "shifts", "alone"])
-
-    def chain(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_s")
-        state, rows = np.full(n, np.nan), []
-        for r in part.itertuples():
-            rows.append((r.symbol, r[2], state.tolist()))
-            state = np.where(np.isnan(state), r.alone, np.asarray(r.slopes) * np.nan_to_num(state) + np.asarray(r.shifts))
-        return pd.DataFrame(rows, columns=["symbol", "_s", "carry"])
-
-    def fill(part: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        state = np.full(n, np.nan) if carry.empty else np.asarray(carry["carry"].iloc[0], float)
-        out = part[["symbol", "idx"]].copy()
-        for k, (name, to, decay, gain) in enumerate(scans):
-            y = _fill(part[name].to_numpy(float), decay, gain, state[k])
-            out[to] = pd.Series(y, index=out.index, dtype="Float64").mask(np.isnan(y), pd.NA) if np.isnan(y).any() else y
-        return out
-
-    slim = cut.select("symbol", "idx", "_s", *dict.fromkeys(names))
-    sums = slim.groupBy("symbol", "_s").applyInPandas(sum_up, "symbol string, _s long, slopes array<double>, shifts array<double>, alone array<double>")
-    carries = sums.groupBy("symbol").applyInPandas(chain, "symbol string, _s long, carry array<double>")
-    filled = slim.groupBy("symbol", "_s").cogroup(carries.groupBy("symbol", "_s")).applyInPandas(fill, "symbol string, idx long, " + ", ".join(f"{to} double" for _, to, _, _ in scans))
-    return df.join(filled, ["symbol", "idx"])
+    """`df` with a column for each (input, output, decay, gain), decay below 1; an input may be an output before it."""
+    back: dict[str, int] = {}
+    for name, to, decay, _ in scans:
+        back[to] = back.get(name, 0) + _memory(decay)
+    idx, most = F.col("idx"), max(back.values())
+    columns = df.columns
+
+    def run(part: pa.Table) -> pa.Table:
+        at = part["idx"].to_numpy()
+        part = part.take(pa.array(np.argsort(at, kind="stable")))
+        keep = pa.array(part["idx"].to_numpy() // SIZE == part["_s"][0].as_py())
+        values: dict[str, np.ndarray] = {}
+        for name, to, decay, gain in scans:
+            x = values[name] if name in values else part[name].to_numpy().astype(float)
+            values[to] = recurrence(x, decay, gain)
+        part = part.select(columns).filter(keep)
+        for to, y in values.items():
+            part = part.append_column(to, pa.array(y, from_pandas=True).filter(keep))
+        return part
+
+    schema = StructType([*df.schema.fields])
+    for _, to, _, _ in scans:
+        schema = schema.add(to, "double")
+    cut = df.withColumn("_s", F.explode(F.sequence(F.floor(idx / SIZE), F.floor((idx + most) / SIZE))))
+    return cut.groupBy("symbol", "_s").applyInArrow(run, schema)
+
+
+def running_sums(df: DataFrame, sums: Sequence[tuple[str, str]]) -> DataFrame:
+    """`df` with the sum so far for each (input, output); it is missing where the input is, and starts anew after that."""
+    stretch, before = Window.partitionBy("symbol", "_s").orderBy("idx"), Window.partitionBy("symbol").orderBy("_s")
+    d = df.withColumn("_s", F.floor(F.col("idx") / SIZE))
+    for k, (name, _) in enumerate(sums):
+        x = F.col(name)
+        d = d.withColumn(f"_r{k}", F.count(F.when(x.isNull(), 1)).over(stretch))
+        d = d.withColumn(f"_y{k}", F.when(x.isNotNull(), F.sum(x).over(Window.partitionBy("symbol", "_s", f"_r{k}").orderBy("idx"))))
+    ends = [e for k in range(len(sums)) for e in (F.coalesce(F.max_by(f"_y{k}", "idx"), F.lit(0.0)).alias(f"_e{k}"), F.max(f"_r{k}").alias(f"_n{k}"))]
+    carry = d.groupBy("symbol", "_s").agg(*ends)
+    for k in range(len(sums)):
+        # stretches since the last one with a missing input, that one's rest included
+        carry = carry.withColumn(f"_g{k}", F.count(F.when(F.col(f"_n{k}") > 0, 1)).over(before))
+        carry = carry.withColumn(f"_c{k}", F.sum(f"_e{k}").over(Window.partitionBy("symbol", f"_g{k}").orderBy("_s")))
+        carry = carry.withColumn(f"_c{k}", F.coalesce(F.lag(f"_c{k}").over(before), F.lit(0.0)))
+    d = d.join(carry.select("symbol", "_s", *(f"_c{k}" for k in range(len(sums)))), ["symbol", "_s"])
+    whole = [(F.col(f"_y{k}") + F.when(F.col(f"_r{k}") == 0, F.col(f"_c{k}")).otherwise(0.0)).alias(to) for k, (_, to) in enumerate(sums)]
+    return d.select(*df.columns, *whole)
+
+
+def running_max(df: DataFrame, keys: Sequence[str], value: Column, to: str, inclusive: bool) -> DataFrame:
+    """`df` with the greatest `value` of a key's rows so far, by idx, with or without the row's own."""
+    d = df.withColumns({"_s": F.floor(F.col("idx") / SIZE), "_v": value})
+    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    carry = d.groupBy(*keys, "_s").agg(F.max("_v").alias("_m")).withColumn("_m", F.max("_m").over(before))
+    here = F.max("_v").over(Window.partitionBy(*keys, "_s").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    return d.join(carry, [*keys, "_s"]).withColumn(to, F.greatest(here, "_m")).select(*df.columns, to)
 
 
 def ewma(df: DataFrame, *scans: tuple[str, str, float]) -> DataFrame:

@@ -1,21 +1,29 @@
-"""Search over parameter grids: guards, signals of all variants, simulation, and two stages of ranking."""
+"""Search over parameter grids: guards, signals of all variants, simulation, and two stages of ranking.
+
+A grid is numbers: `spark.range` and mixed radix make its variants, never the driver. A bar's signals of all points of all
+parts are one array column, so that variants are places in it, and blocks of variants are simulated side by side.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 from itertools import product
 from math import prod
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import encode_radix, variant_key
-from barloom.operators import metrics
-from barloom.operators.execution import Execution, equity_curve, trades
-from barloom.operators.signals import LONG, NEUTRAL, SHORT, evaluate
+from barloom.functions.scalars import canonical_json, decode_radix, div
+from barloom.operators.execution import TOGETHER, Execution, figures
+from barloom.operators.indicators import registry
+from barloom.operators.signals import column_signals, evaluate
+from barloom.sources.scratch import materialize
 
 MOST_VARIANTS, MOST_BYTES = 600_000, 5 << 30
+#: Points whose windows are one stage, and stages after which a plan is cut by a table.
+SHARED, STAGES = 64, 16
 #: Ranking columns and whether more is better (fixed values).
 RANKINGS = {"total_return_pct": True, "max_drawdown_pct": False, "return_over_max_drawdown": True, "profit_factor": True}
 
@@ -28,13 +36,22 @@ class Part:
     axes: Mapping[str, Sequence] = field(default_factory=dict)
     signal: Mapping[str, object] = field(default_factory=dict)
 
-    def points(self) -> list[dict]:
-        """All combinations, the last axis fastest, each once."""
+    @property
+    def size(self) -> int:
+        """Number of points; axes are checked."""
         for name, values in self.axes.items():
             if not len(values) or len(set(values)) != len(values):
                 raise ValueError(f"axis {name} of {self.indicator} needs values, each once")
+        return prod(map(len, self.axes.values()))
+
+    @cached_property
+    def _points(self) -> list[dict]:
         return [dict(zip(self.axes, p, strict=True)) for p in product(*self.axes.values())]
 
+    def points(self) -> list[dict]:
+        """All combinations, the last axis fastest, each once."""
+        return self._points if self.size else []
+
 
 def merge_defaults(axes: Mapping[str, Sequence], defaults: Mapping[str, Sequence]) -> dict[str, Sequence]:
     """Default axes, those of a request in place of them."""
@@ -48,8 +65,7 @@ def risk_variants(stop_loss: Sequence[float | None] = (None,), take_profit: Sequ
 
 def estimate(parts: Sequence[Part], bars: int, risks: int = 1) -> dict[str, int]:
     """Number of variants and bytes for so many bars: 28 a bar, 4 a value, and a reserve."""
-    n = prod(len(p.points()) for p in parts)
-    values = sum(len(p.points()) for p in parts)
+    n, values = prod(p.size for p in parts), sum(p.size for p in parts)
     held = 28 * bars + 4 * bars * values
     return {"variants": n * risks, "bytes": held + max(64 << 20, held // 5)}
 
@@ -63,40 +79,48 @@ def enforce_guards(estimated: Mapping[str, int], most_variants: int = MOST_VARIA
 
 
 def grid(spark: SparkSession, parts: Sequence[Part]) -> DataFrame:
-    """(variant, key, part, point): each variant's point of each part. Bounded by the guards."""
-    sizes = [len(p.points()) for p in parts]
-    rows = []
-    for at in product(*(range(n) for n in sizes)):
-        key = variant_key({f"{k}:{p.indicator}": p.points()[i] | dict(p.signal) for k, (p, i) in enumerate(zip(parts, at, strict=True))})
-        rows += [(encode_radix(at, sizes), key, k, i) for k, i in enumerate(at)]
-    return spark.createDataFrame(rows, "variant long, key string, part int, point int")
-
-
-def variant_signals(bars: DataFrame, parts: Sequence[Part], variants: DataFrame) -> DataFrame:
-    """(symbol, idx, close, variant, signal): the conjunction of each variant's parts.
-
-    Each distinct point of a part is computed once; variants pick theirs by a broadcast of the guarded grid.
-    """
-    each = None
-    for k, p in enumerate(parts):
-        for i, point in enumerate(p.points()):
-            s = evaluate(bars, p.indicator, point, **p.signal).select("symbol", "idx", "close", F.lit(k).alias("part"), F.lit(i).alias("point"), "signal")
-            each = s if each is None else each.unionByName(s)
-    if each is None:
+    """(variant, key, points): each variant's point of each part, by number. The key is the SHA-256 of its canonical JSON."""
+    sizes = [p.size for p in parts]
+    out = spark.range(prod(sizes)).select(F.col("id").alias("variant"), *(c.cast("int").alias(f"p{k}") for k, c in enumerate(decode_radix(F.col("id"), sizes))))
+    names = sorted((f"{k}:{p.indicator}", k) for k, p in enumerate(parts))
+    for name, k in names:  # one row a point of a part, so their number is a sum, not a product
+        some = [(i, f"{canonical_json(name, True)}:{canonical_json(point | dict(parts[k].signal), True)}") for i, point in enumerate(parts[k].points())]
+        out = out.join(F.broadcast(spark.createDataFrame(some, f"p{k} int, j{k} string")), f"p{k}")
+    json = F.concat(F.lit("{"), F.concat_ws(",", *(F.col(f"j{k}") for _, k in names)), F.lit("}"))
+    return out.select("variant", F.sha2(json, 256).alias("key"), F.array(*(f"p{k}" for k in range(len(parts)))).alias("points"))
+
+
+def point_signals(bars: DataFrame, parts: Sequence[Part]) -> DataFrame:
+    """(symbol, idx, close, signals): each bar's signals of all points of the first part, then of the second, and so on."""
+    if not parts:
         raise ValueError("a search needs at least one indicator")
-    low, high = F.min("signal"), F.max("signal")
-    joint = F.when(low == LONG, LONG).when(high == SHORT, SHORT).otherwise(NEUTRAL).cast("byte")
-    return each.join(F.broadcast(variants.select("variant", "part", "point")), ["part", "point"]).groupBy("symbol", "variant", "idx").agg(F.first("close").alias("close"), joint.alias("signal"))
-
-
-def score(signals: DataFrame, execution: Execution, tf_ms: int) -> DataFrame:
-    """The four ranking figures of each (symbol, variant)."""
-    t, e = trades(signals, execution), equity_curve(signals, execution)
-    final = e.groupBy("symbol", "variant").agg(F.max_by("equity", "idx").alias("final"))
-    out = final.withColumn("total_return_pct", 100 * (F.col("final") / execution.cash - 1)).drop("final")
-    keys = ["symbol", "variant"]
-    out = out.join(metrics.drawdowns(e, tf_ms).select(*keys, "max_drawdown_pct"), keys).join(metrics.trade_stats(t, tf_ms).select(*keys, "profit_factor", "num_trades"), keys, "left")
-    return out.withColumn("return_over_max_drawdown", F.col("total_return_pct") / F.nullif("max_drawdown_pct", F.lit(0.0))).fillna({"num_trades": 0})
+    columns = bars.columns
+    out, stages = bars.withColumn("_sig", F.array().cast("array<byte>")), 0
+    for p in parts:
+        points, indicator = p.points(), registry()[p.indicator]
+        step = SHARED if indicator.many else 1
+        for at in range(0, len(points), step):
+            some = points[at : at + step]
+            wide = column_signals(out, p.indicator, some, **p.signal) if indicator.many else None
+            if wide is None:
+                for point in some:
+                    s = evaluate(out, p.indicator, point, **p.signal)
+                    out = s.select(*columns, F.concat("_sig", F.array("signal")).alias("_sig"))
+            else:
+                out = wide[0].select(*columns, F.concat("_sig", F.array(*wide[1])).alias("_sig"))
+            stages += 1
+            if stages % STAGES == 0:
+                out = materialize(out, "point-signals")
+    return out.select("symbol", "idx", "close", F.col("_sig").alias("signals"))
+
+
+def score(variants: DataFrame, signals: DataFrame, execution: Execution) -> DataFrame:
+    """The four ranking figures and the number of trades of each (symbol, variant), from one pass over the bars."""
+    f = figures(variants, signals, execution)
+    total, deepest = 100 * (F.col("final") / execution.cash - 1), 100 * F.col("max_drawdown")
+    return f.select(
+        "symbol", "variant", total.alias("total_return_pct"), deepest.alias("max_drawdown_pct"), div(F.col("won"), F.col("lost")).alias("profit_factor"), "num_trades", div(total, deepest).alias("return_over_max_drawdown")
+    )
 
 
 def ranking(primary: str, secondary: str | None = None) -> list[Column]:
@@ -111,26 +135,29 @@ def ranking(primary: str, secondary: str | None = None) -> list[Column]:
 
 
 def stage_a(bars: DataFrame, parts: Sequence[Part], execution: Execution, tf_ms: int, preselect: int = 20_000, primary: str = "total_return_pct", secondary: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The best `preselect` variants without stops, and the signals of all."""
-    from dataclasses import replace
-
-    variants = grid(bars.sparkSession, parts)
-    signals = variant_signals(bars, parts, variants)
-    keys = variants.select("variant", "key").distinct()
-    scored = score(signals, replace(execution, stop_loss=None, take_profit=None), tf_ms).join(F.broadcast(keys), "variant")
-    return scored.orderBy(*ranking(primary, secondary)).limit(preselect), signals
+    """The best `preselect` variants without stops, and the signals of all points; both are written, as stage B reads them again."""
+    signals = materialize(point_signals(bars, parts), "search-signals")
+    sizes = [p.size for p in parts]
+    firsts = [sum(sizes[:k]) for k in range(len(sizes))]
+    places = F.array(*(F.col("points")[k] + F.lit(n) for k, n in enumerate(firsts)))
+    variants = grid(bars.sparkSession, parts).select("variant", "key", places.alias("points"), F.floor(F.col("variant") / TOGETHER).alias("block"))
+    stops = [F.lit(None).cast("double").alias(c) for c in ("stop_loss", "take_profit")]
+    blocks = -(-prod(sizes) // TOGETHER)
+    every = signals.select("symbol").distinct().select("symbol", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))  # every symbol runs every variant
+    every = every.select("symbol", F.explode(F.sequence(F.col("b") * TOGETHER, F.least((F.col("b") + 1) * TOGETHER, F.lit(prod(sizes))) - 1)).alias("variant"))
+    each = every.join(variants.select("variant", "points", "block", *stops), "variant")
+    scored = score(each, signals, replace(execution, stop_loss=None, take_profit=None)).join(variants.select("variant", "key", "points"), "variant")
+    return materialize(scored.orderBy(*ranking(primary, secondary)).limit(preselect), "shortlist"), signals
 
 
 def stage_b(shortlist: DataFrame, signals: DataFrame, risks: Sequence[tuple[float | None, float | None]], execution: Execution, tf_ms: int, top_k: int = 300, primary: str = "total_return_pct", secondary: str | None = None) -> DataFrame:
-    """The best `top_k` of the shortlist with every pair of stops. A variant's new id counts its pairs too."""
-    spark = shortlist.sparkSession
-    pairs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(risks)], "risk int, stop_loss double, take_profit double")
-    chosen = shortlist.select("symbol", "variant", "key").join(F.broadcast(pairs))
-    run = signals.join(F.broadcast(chosen), ["symbol", "variant"]).withColumn("variant", F.col("variant") * len(risks) + F.col("risk"))
-    names = chosen.select("symbol", (F.col("variant") * len(risks) + F.col("risk")).alias("variant"), "key", "risk", "stop_loss", "take_profit")
-    scored = score(run.select("symbol", "variant", "idx", "close", "signal", "stop_loss", "take_profit"), execution, tf_ms)
+    """The best `top_k` of the shortlist with every pair of stops, None being none. A variant's new id counts its pairs too."""
+    pairs = F.array(*(F.struct(F.lit(i).alias("risk"), F.lit(a).cast("double").alias("stop_loss"), F.lit(b).cast("double").alias("take_profit")) for i, (a, b) in enumerate(risks)))
+    chosen = shortlist.select("symbol", "variant", "key", "points", F.explode(pairs).alias("r")).select("symbol", (F.col("variant") * len(risks) + F.col("r.risk")).alias("variant"), "key", "points", "r.*")
+    blocks = F.floor(F.col("variant") / TOGETHER).alias("block")
+    scored = score(chosen.select("symbol", "variant", "points", "stop_loss", "take_profit", blocks), signals, replace(execution, stop_loss=None, take_profit=None))
     order = ranking(primary, secondary)
-    return scored.join(F.broadcast(names), ["symbol", "variant"]).orderBy(*order, F.asc("risk")).limit(top_k)
+    return scored.join(chosen.drop("points"), ["symbol", "variant"]).orderBy(*order, F.asc("risk")).limit(top_k)
 
 
 def merge_top(best: DataFrame | None, more: DataFrame, k: int, primary: str, secondary: str | None = None) -> DataFrame:

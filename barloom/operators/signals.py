@@ -6,7 +6,7 @@ sides hold.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,8 @@ RULES: dict[str, tuple[str, ...]] = {
 }
 #: Parameters that a rule can't do without.
 REQUIRED = {"threshold_band": ("long_threshold", "short_threshold"), "delta_sign": ("long_periods", "short_periods"), "candle_body_direction": ("threshold",), "threshold_centered": ("threshold",)}
+#: Other names of a rule's threshold in requests (fixed values).
+OTHER_NAMES = {"min_body_pct": "threshold", "min_body_atr": "threshold", "abs_threshold": "threshold"}
 #: Indicators that a rule reads besides its own.
 DEPENDS = {"pivots": ("pivot_low", "pivot_high")}
 
@@ -46,6 +48,11 @@ def rule_of(indicator: str) -> str:
     raise ValueError(f"{indicator} has no signal rule")
 
 
+def own_names(params: Mapping) -> dict:
+    """A request's signal parameters by this library's names."""
+    return {OTHER_NAMES.get(k, k): v for k, v in params.items()}
+
+
 def check_parameters(rule: str, params: dict) -> None:
     missing = [p for p in REQUIRED.get(rule, ()) if params.get(p) is None]
     if missing:
@@ -97,7 +104,7 @@ def evaluate(bars: DataFrame, indicator: str, indicator_params: dict | None = No
     """`bars` with `signal`, by the rule of the indicator."""
     from barloom.operators.indicators import registry
 
-    defs, rule, ip = registry(), rule_of(indicator), indicator_params or {}
+    defs, rule, ip, params = registry(), rule_of(indicator), indicator_params or {}, own_names(params)
     check_parameters(rule, params)
     columns = bars.columns
     out = defs[indicator](bars, **ip)
@@ -127,6 +134,26 @@ def evaluate(bars: DataFrame, indicator: str, indicator_params: dict | None = No
     return out.withColumn("signal", s).select(*columns, "signal")
 
 
+def column_signals(bars: DataFrame, indicator: str, points: Sequence[dict], **params: object) -> tuple[DataFrame, list[Column]] | None:
+    """`bars` with a column of each point's values, and a signal column of each; None for rules that read more than those."""
+    from barloom.operators.definitions import SOURCES
+    from barloom.operators.indicators import registry
+
+    rule, params = rule_of(indicator), own_names(params)
+    check_parameters(rule, params)
+    names = [f"_v{k}" for k in range(len(points))]
+    rules: dict[str, Callable[[Column, dict], Column]] = {
+        "compare_price_to_output": lambda v, p: compare_price_to_output(SOURCES[str(p.get("source", "close"))], v, indicator == "volume.vwap_deviation"),
+        "threshold_band": lambda v, p: threshold_band(v, params["long_threshold"], params["short_threshold"]),
+        "sign": lambda v, p: sign(v),
+        "compare_volume_to_output": lambda v, p: compare_volume_to_output(F.col("volume"), v),
+        "threshold_centered": lambda v, p: threshold_centered(v, params["threshold"]),
+    }
+    if rule not in rules:
+        return None
+    return registry()[indicator].values(bars, points, names), [rules[rule](F.col(n), p) for n, p in zip(names, points, strict=True)]
+
+
 def conjunction(signals: DataFrame, keys: Sequence[str] = ("symbol", "idx")) -> DataFrame:
     """Long where all signals of a key are long, short where all are short. `signals` is long: a row a signal."""
     low, high = F.min("signal"), F.max("signal")

@@ -269,6 +269,116 @@ def recursive_supertrend(n: int = 5, mult: float = 3.0) -> str:
     return f"WITH RECURSIVE {', '.join(p.replace(f'{s.name} AS (', f'{s.name} AS MATERIALIZED (') if p.startswith(f'{s.name} AS') else p for p in s.parts)}, {walk} SELECT symbol, idx, round(CASE WHEN ok THEN CASE WHEN up THEN lower ELSE upper END END, 6) AS value FROM walk"
 
 
+CARRIED = EVENT_BARS + f""",
+c AS (SELECT symbol, idx, last_value(close IGNORE NULLS) OVER ({BY}) AS close FROM b)"""
+#: How the registered queries fill orders: cash, fee, slippage.
+CASH, FEE, SLIP = "1000.0", "0.00075", "0.0001"
+
+
+def walk(s: str) -> str:
+    """Accounts bar by bar: `s` is a table of symbol, variant, idx, close, signal, sl, tp; gives tables w, trades and equity."""
+    d = lambda e, name: f"({e})::DOUBLE AS {name}"
+    held, sold = "x_why IS NOT NULL", "qty * (c * (1 - side * {slip}))".format(slip=SLIP)
+    names = "symbol, variant, rn, i, c, fin, free, side, fill, qty, quote, fee, eidx, prev, cnt, why, o_cnt, o_side, o_eidx, o_fill, o_exit, o_qty, o_quote, o_got, o_fee, o_xfee, o_gross"
+    start = (
+        f"SELECT DISTINCT symbol, variant, 0::BIGINT AS rn, 0::BIGINT AS i, 0::DOUBLE AS c, false AS fin, {d(CASH, 'free')}, 0 AS side, {', '.join(d('0', x) for x in ('fill', 'qty', 'quote', 'fee'))}, 0::BIGINT AS eidx, 0 AS prev, 0 AS cnt, "
+        f"NULL::VARCHAR AS why, 0 AS o_cnt, 0 AS o_side, 0::BIGINT AS o_eidx, {', '.join(d('0', x) for x in ('o_fill', 'o_exit', 'o_qty', 'o_quote', 'o_got', 'o_fee', 'o_xfee', 'o_gross'))} FROM n"
+    )
+    one = """SELECT p.symbol, p.variant, n.rn, n.idx AS x_i, n.close AS c2, n.fin AS x_fin, n.signal AS g, p.free, p.side, p.fill, p.qty, p.quote, p.fee, p.eidx, p.prev, p.cnt,
+    CASE WHEN p.side <> 0 AND p.side * (n.close - p.fill * (1 - p.side * n.sl)) <= 0 THEN 'sl' WHEN p.side <> 0 AND p.side * (n.close - p.fill * (1 + p.side * n.tp)) >= 0 THEN 'tp'
+         WHEN p.side <> 0 AND n.signal <> p.side THEN 'signal_exit' END AS x_why FROM w p JOIN n ON n.symbol = p.symbol AND n.variant = p.variant AND n.rn = p.rn + 1"""
+    two = f"SELECT *, {sold.replace('(c *', '(c2 *')} AS x_got FROM ({one})"
+    three = f"SELECT *, side * (x_got - quote) AS x_gross, x_got * {FEE} AS x_fee FROM ({two})"
+    four = f"SELECT *, CASE WHEN {held} THEN free + (quote + x_gross - x_fee) ELSE free END AS x_free FROM ({three})"
+    five = f"SELECT *, (side = 0 OR {held}) AND g <> prev AND g <> 0 AND x_free > 0 AS x_in FROM ({four})"
+    follow = (
+        f"SELECT symbol, variant, rn, x_i, c2, x_fin, CASE WHEN x_in THEN x_free - (x_free + x_free * {FEE}) ELSE x_free END, CASE WHEN x_in THEN g WHEN {held} THEN 0 ELSE side END, CASE WHEN x_in THEN c2 * (1 + g * {SLIP}) ELSE fill END, "
+        f"CASE WHEN x_in THEN x_free / (c2 * (1 + g * {SLIP})) ELSE qty END, CASE WHEN x_in THEN x_free ELSE quote END, CASE WHEN x_in THEN x_free * {FEE} ELSE fee END, CASE WHEN x_in THEN x_i ELSE eidx END, g, cnt + x_in::INT, "
+        f"x_why, cnt, side, eidx, fill, c2 * (1 - side * {SLIP}), qty, quote, x_got, fee, x_fee, x_gross FROM ({five})"
+    )
+    record = "symbol, variant, {cnt} AS trade_id, CASE WHEN {side} > 0 THEN 'long' ELSE 'short' END AS direction, {eidx} AS entry_idx, i AS exit_idx, {fill} AS entry_fill, {exit} AS exit_fill, {qty} AS qty, {quote} AS entry_quote, {got} AS exit_quote, {fee} AS entry_fee, {xfee} AS exit_fee, {gross} AS gross_pnl, {gross} - {fee} - {xfee} AS net_pnl, 0.0::DOUBLE AS locked, {why} AS reason"
+    done = record.format(**{x: f"o_{x}" for x in ("cnt", "side", "eidx", "fill", "exit", "qty", "quote", "got", "fee", "xfee", "gross")}, why="why")
+    forced = record.format(**{x: x for x in ("cnt", "side", "eidx", "fill", "qty", "quote", "fee")}, exit=f"c * (1 - side * {SLIP})", got=sold, xfee=f"({sold}) * {FEE}", gross=f"side * ({sold} - quote)", why="'forced_close'")
+    value = f"CASE WHEN side = 0 THEN free WHEN fin THEN free + (quote + side * ({sold} - quote) - ({sold}) * {FEE}) ELSE free + quote + side * (qty * c - quote) END"
+    return f"""n AS MATERIALIZED (SELECT symbol, variant, idx, close, signal, sl, tp, row_number() OVER h AS rn, lead(idx) OVER h IS NULL AS fin FROM {s} WINDOW h AS (PARTITION BY symbol, variant ORDER BY idx)),
+w({names}) AS ({start} UNION ALL {follow}),
+trades AS (SELECT {done} FROM w WHERE why IS NOT NULL UNION ALL SELECT {forced} FROM w WHERE fin AND side <> 0),
+e AS (SELECT symbol, variant, i AS idx, {value} AS equity, CASE WHEN side <> 0 THEN quote WHEN why IS NOT NULL THEN o_quote ELSE 0 END AS used FROM w WHERE rn > 0),
+equity AS (SELECT symbol, variant, idx, equity, used > 0 AS in_position, CASE WHEN equity = 0 THEN 0 ELSE used / equity END AS exposure FROM e)"""
+
+
+def simulation_sql() -> dict[str, str]:
+    """Trades, equity and figures of the conjunction of two moving averages, with stops."""
+    means = f"m AS (SELECT *, {agg('avg', 'close', 3)} AS a, {agg('avg', 'close', 6)} AS z FROM c)"
+    crossing = f"s AS (SELECT symbol, 0::BIGINT AS variant, idx, close, {signal('close > a AND close > z', 'close < a AND close < z')} AS signal, 0.2 AS sl, 0.5 AS tp FROM m)"
+    base = f"WITH RECURSIVE {CARRIED}, {means}, {crossing}, {walk('s')}"
+    by = "PARTITION BY symbol, variant ORDER BY idx"
+    r = lambda names, n: ", ".join(f"round({x}, {n}) AS {x}" for x in names)
+    doubles = ("entry_fill", "exit_fill", "qty", "entry_quote", "exit_quote", "entry_fee", "exit_fee", "gross_pnl", "net_pnl", "locked")
+    pct, ms = "100 * net_pnl / entry_quote", "(exit_idx - entry_idx) * 3600000"
+    stats = (
+        f"SELECT symbol, variant, count(*) AS num_trades, 100 * avg((net_pnl > 0)::DOUBLE) AS win_rate_pct, max({pct}) AS best_trade_pct, min({pct}) AS worst_trade_pct, avg({pct}) AS avg_trade_pct, max({ms})::BIGINT AS max_trade_ms, (sum({ms}) // count(*))::BIGINT AS avg_trade_ms, "
+        f"avg({pct}) AS expectancy, sqrt(count(*)) * avg(net_pnl) / nullif(stddev_samp(net_pnl), 0) AS sqn, sum(greatest(net_pnl, 0)) / nullif(-sum(least(net_pnl, 0)), 0) AS profit_factor FROM trades GROUP BY symbol, variant"
+    )
+    stat_doubles = ("win_rate_pct", "best_trade_pct", "worst_trade_pct", "avg_trade_pct", "expectancy", "sqn", "profit_factor")
+    report = f"""{base}, st AS ({stats}), p AS (SELECT *, max(equity) OVER ({by}) AS peak, coalesce(lead(idx) OVER ({by}), idx) AS nxt FROM equity), d AS (SELECT *, 1 - equity / nullif(peak, 0) AS dd FROM p),
+q AS (SELECT *, dd > 1e-12 AS down, coalesce(lag(dd) OVER ({by}), 0) > 1e-12 AS was FROM d), g AS (SELECT *, sum((down AND NOT was)::INT) OVER ({by}) AS episode FROM q),
+ep AS (SELECT symbol, variant, episode, (max(nxt) - min(idx)) * 3600000 AS ms FROM g WHERE down GROUP BY ALL), et AS (SELECT symbol, variant, max(ms)::BIGINT AS max_drawdown_ms, (sum(ms) // count(*))::BIGINT AS avg_drawdown_ms FROM ep GROUP BY ALL),
+dep AS (SELECT symbol, variant, min(idx) AS first_idx, max(idx) AS last_idx, last(equity ORDER BY idx) AS final_equity, 100 * avg(in_position::DOUBLE) AS coverage_pct, avg(exposure) AS gross_exposure, 100 * max(dd) AS max_drawdown_pct, 100 * avg(dd) AS avg_drawdown_pct FROM d GROUP BY ALL),
+y AS (SELECT symbol, variant, (idx + 1) * 3600000 // 86400000 AS day, last(equity ORDER BY idx) AS equity FROM equity GROUP BY ALL), yr AS (SELECT symbol, variant, equity / nullif(lag(equity) OVER (PARTITION BY symbol, variant ORDER BY day), 0) - 1 AS r FROM y),
+ra AS (SELECT symbol, variant, CASE WHEN count(*) >= 2 AND min(r) > -1 THEN exp(avg(ln(1 + r)) * 365) - 1 END AS annual_return, stddev_samp(r) AS sd, sqrt(avg(least(r, 0) * least(r, 0))) AS lo FROM yr WHERE r IS NOT NULL GROUP BY ALL),
+bm AS (SELECT symbol, variant, 100 * (last(close ORDER BY idx) / first(close ORDER BY idx) - 1) AS benchmark_pct FROM s WHERE close IS NOT NULL GROUP BY ALL),
+al AS (SELECT *, final_equity - {CASH} AS total_profit, 100 * (final_equity - {CASH}) / {CASH} AS total_return_pct, annual_return / nullif(sd * sqrt(365), 0) AS sharpe, annual_return / nullif(lo * sqrt(365), 0) AS sortino, annual_return / nullif(max_drawdown_pct / 100, 0) AS calmar
+  FROM dep LEFT JOIN bm USING (symbol, variant) LEFT JOIN et USING (symbol, variant) LEFT JOIN st USING (symbol, variant) LEFT JOIN ra USING (symbol, variant))
+SELECT symbol, variant, first_idx, last_idx, coalesce(num_trades, 0) AS num_trades, max_trade_ms, avg_trade_ms, max_drawdown_ms, avg_drawdown_ms, round(total_return_pct / nullif(max_drawdown_pct, 0), 4) AS return_over_max_drawdown, """
+    report += r(("final_equity", "coverage_pct", "gross_exposure", "total_profit", "total_return_pct", "benchmark_pct", "max_drawdown_pct", "avg_drawdown_pct", "annual_return", "sharpe", "sortino", "calmar", *stat_doubles), 4) + " FROM al"
+
+    keys = "SELECT i * 2 + j AS variant, a, z, sha256('{{\"0:ma.sma\":{{\"window\":' || a || '}},\"1:momentum.roc\":{{\"window\":' || z || '}}}}') AS key, i, j FROM (VALUES (0, 3), (1, 5), (2, 8)) x(i, a), (VALUES (0, 2), (1, 4)) y(j, z)".replace("{{", "{").replace("}}", "}")
+    roc = lambda n: f"close / nullif({lag('close', n)}, 0) - 1"
+    values = f"m AS (SELECT *, {', '.join(f'{agg("avg", "close", n)} AS a{n}' for n in (3, 5, 8))}, {', '.join(f'{roc(n)} AS z{n}' for n in (2, 4))} FROM c), k AS ({keys}), "
+    values += "v AS (SELECT symbol, idx, close, variant, CASE a WHEN 3 THEN a3 WHEN 5 THEN a5 ELSE a8 END AS a, CASE z WHEN 2 THEN z2 ELSE z4 END AS z FROM m, k)"
+    plain = f"s AS (SELECT symbol, variant::BIGINT AS variant, idx, close, {signal('close > a AND z > 0', 'close < a AND z < 0')} AS signal, NULL::DOUBLE AS sl, NULL::DOUBLE AS tp FROM v)"
+    total = f"f AS (SELECT symbol, variant, 100 * (last(equity ORDER BY idx) / {CASH} - 1) AS total_return_pct FROM equity GROUP BY ALL)"
+    stage_a = f"{CARRIED}, {values}, {plain}, {walk('s')}, {total}, top AS (SELECT symbol, f.variant, key, total_return_pct FROM f JOIN k USING (variant) ORDER BY total_return_pct DESC NULLS LAST, key, symbol LIMIT 10)"
+    best = f"WITH RECURSIVE {stage_a}"
+    return {
+        "exec_trades": f"{base} SELECT symbol, variant, trade_id::BIGINT AS trade_id, direction, entry_idx, exit_idx, {r(doubles, 6)}, reason FROM trades",
+        "exec_equity": f"{base} SELECT symbol, variant, idx, round(equity, 6) AS equity, in_position, round(exposure, 6) AS exposure FROM equity",
+        "metrics_trades": f"{base}, st AS ({stats}) SELECT symbol, variant, num_trades, max_trade_ms, avg_trade_ms, {r(stat_doubles, 4)} FROM st",
+        "metrics_report": report,
+        "search_grid": f"WITH k AS ({keys}) SELECT variant::BIGINT AS variant, key, 0 AS part, i AS point FROM k UNION ALL SELECT variant::BIGINT, key, 1, j FROM k",
+        "search_stage_a_topk": f"{best} SELECT symbol, variant, key, round(total_return_pct, 4) AS total_return_pct FROM top",
+        "search_stage_b_topk": risky_sql(values, plain, total),
+    }
+
+
+def risky_sql(values: str, plain: str, total: str) -> str:
+    """Stage B: the five best of stage A, each with four pairs of stops. The walk comes twice, so the second one's tables are renamed."""
+    import re
+
+    first = f"{plain}, {walk('s')}, {total}, top AS (SELECT symbol, variant, key FROM f JOIN k USING (variant) ORDER BY total_return_pct DESC NULLS LAST, key, symbol LIMIT 5)"
+    second = "s2 AS (SELECT s.symbol, s.variant * 4 + risk AS variant, idx, close, signal, x.sl, x.tp FROM s JOIN top USING (symbol, variant), (VALUES (0, NULL, NULL), (1, NULL, 0.3), (2, 0.1, NULL), (3, 0.1, 0.3)) x(risk, sl, tp))"
+    again = re.sub(r"\b(n|w|trades|e|equity) AS\b(?= (?:MATERIALIZED )?\()", r"\g<1>2 AS", walk("s2")).replace("w(symbol", "w2(symbol")
+    again = re.sub(r"\bFROM (n|w|e)\b", r"FROM \g<1>2", again).replace("JOIN n ON", "JOIN n2 n ON").replace("FROM w2 p", "FROM w2 p")
+    last = total.replace("f AS", "f2 AS").replace("FROM equity", "FROM equity2")
+    return f"WITH RECURSIVE {CARRIED}, {values}, {first}, {second}, {again}, {last} SELECT f2.symbol, f2.variant, key, (f2.variant % 4)::INT AS risk, round(total_return_pct, 4) AS total_return_pct FROM f2 JOIN top ON top.symbol = f2.symbol AND top.variant = f2.variant // 4 ORDER BY f2.total_return_pct DESC NULLS LAST, key, f2.symbol, risk LIMIT 8"
+
+
+def recursive_psar() -> str:
+    """Row by row over each symbol's bars: the stop, the extreme so far, and its speed."""
+    start = "CASE WHEN ok THEN true END AS up, CASE WHEN ok THEN low END AS stop, CASE WHEN ok THEN high END AS best, 0.02::DOUBLE AS speed"
+    one = "SELECT p.symbol, n.idx, n.ok, n.high, n.low, p.up, p.best, p.speed, p.ok AS was, CASE WHEN p.up THEN least(p.stop + p.speed * (p.best - p.stop), p.low) ELSE greatest(p.stop + p.speed * (p.best - p.stop), p.high) END AS x FROM walk p JOIN d n ON n.symbol = p.symbol AND n.idx = p.idx + 1"
+    two = f"SELECT *, CASE WHEN up THEN low < x ELSE high > x END AS turn, CASE WHEN up THEN high > best ELSE low < best END AS more FROM ({one})"
+    follow = (
+        "SELECT symbol, idx, ok, high, low, CASE WHEN ok AND was THEN up <> turn WHEN ok THEN true END, CASE WHEN NOT ok THEN NULL WHEN NOT was THEN low WHEN turn THEN best ELSE x END, "
+        "CASE WHEN NOT ok THEN NULL WHEN NOT was THEN high WHEN turn THEN CASE WHEN up THEN low ELSE high END WHEN more THEN CASE WHEN up THEN high ELSE low END ELSE best END, "
+        f"CASE WHEN NOT was OR turn OR NOT ok THEN 0.02 WHEN more THEN least(0.2, speed + 0.02) ELSE speed END::DOUBLE FROM ({two})"
+    )
+    d = "d AS MATERIALIZED (SELECT symbol, idx, high, low, high IS NOT NULL AND low IS NOT NULL AS ok FROM b)"
+    walk_ = f"walk AS (SELECT symbol, idx, ok, high, low, {start} FROM d WHERE idx = (SELECT min(idx) FROM r WHERE r.symbol = d.symbol) UNION ALL {follow})"
+    return f"WITH RECURSIVE {EVENT_BARS}, {d}, {walk_} SELECT symbol, idx, round(stop, 6) AS value FROM walk"
+
+
 def service_sql() -> dict[str, str]:
     from barloom.plans.queries import FIRST_MINUTE, NOW_MINUTE
 
@@ -289,5 +399,5 @@ SELECT symbol, kind, minute, CASE WHEN kind = 'gap' THEN last + 1 END AS start_m
 
 def oracle_sql() -> dict[str, str]:
     out = {f"ind_{i.replace('.', '_')}": s.value() for i, s in indicator_steps().items()}
-    out["ind_trend_supertrend"] = recursive_supertrend()
-    return out | signal_sql() | bars_sql() | metrics_sql() | service_sql()
+    out["ind_trend_supertrend"], out["ind_trend_psar"] = recursive_supertrend(), recursive_psar()
+    return out | signal_sql() | bars_sql() | metrics_sql() | simulation_sql() | service_sql()

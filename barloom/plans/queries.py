@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from barloom.functions.scalars import epoch_ms
 from barloom.operators import bars, execution, metrics, reference_data, search, signals
 from barloom.operators.indicators import registry, registry_rows
+from barloom.sources.scratch import scratch_path
 from barloom.streaming import live
 
 HOUR, DAY = 3_600_000, 86_400_000
@@ -104,10 +103,16 @@ def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_bars(spark, sf_dir).select("symbol", F.lit(0).cast("long").alias("variant"), "idx", F.col("close").alias("equity"))
 
 
+def _figures(df: DataFrame, places: int = 4) -> DataFrame:
+    """Doubles to so many places; counts and times as longs."""
+    kinds = {"double": lambda c: F.round(c, places), "bigint": F.col, "int": lambda c: F.col(c).cast("long")}
+    return df.select(*(kinds.get(t, F.col)(c).alias(c) for c, t in df.dtypes))
+
+
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = carried_signals(spark, sf_dir)
     t, e = execution.trades(s, EXECUTION), execution.equity_curve(s, EXECUTION)
-    return metrics.report(s, t, e, EXECUTION.cash, HOUR)
+    return _figures(metrics.report(s, t, e, EXECUTION.cash, HOUR))
 
 
 def _ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,32 +175,23 @@ def signal_queries() -> dict[str, Query]:
 
 def search_queries() -> dict[str, Query]:
     return {
-        "exec_trades": lambda s, d: execution.trades(carried_signals(s, d), EXECUTION),
-        "exec_equity": lambda s, d: execution.equity_curve(carried_signals(s, d), EXECUTION),
+        "exec_trades": lambda s, d: _figures(execution.trades(carried_signals(s, d), EXECUTION), 6),
+        "exec_equity": lambda s, d: _figures(execution.equity_curve(carried_signals(s, d), EXECUTION), 6),
         "metrics_benchmark": lambda s, d: metrics.benchmark(event_bars(s, d)).select("symbol", F.round("benchmark_pct", 4).alias("benchmark_pct")),
         "metrics_drawdown": _drawdown,
         "metrics_ratios": _ratios,
-        "metrics_trades": lambda s, d: metrics.trade_stats(execution.trades(carried_signals(s, d), EXECUTION), HOUR),
+        "metrics_trades": lambda s, d: _figures(metrics.trade_stats(execution.trades(carried_signals(s, d), EXECUTION), HOUR)),
         "metrics_report": _report,
-        "search_grid": lambda s, d: search.grid(s, _search_parts()),
+        "search_grid": lambda s, d: search.grid(s, _search_parts()).select("variant", "key", F.posexplode("points").alias("part", "point")),
         "search_stage_a_topk": stage_a,
         "search_stage_b_topk": stage_b,
         "registry_listing": lambda s, d: s.createDataFrame(registry_rows(), "id string, family string, parameters string, outputs string, main string"),
     }
 
 
-def _shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one where none is set (tests)."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = f"file://{tempfile.mkdtemp(prefix='barloom-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/barloom/{name}-{uuid.uuid4().hex}"
-
-
 def _streamed(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """All that a stream's source has by now, through its state, as a table."""
-    at = _shared_folder(spark, name)
+    at = scratch_path(spark, name)
     live.write_batches(stream, f"{at}/rows", f"{at}/checkpoint").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows/batch=*")
 
@@ -203,13 +199,13 @@ def _streamed(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 def stream_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     minute = F.floor(epoch_ms("ts") / 60_000).cast("long")
     rows = _read(spark, sf_dir, "events").where("event_type is not null and ts is not null").select(F.col("event_type").alias("symbol"), minute.alias("minute"), F.col("event_id").alias("seq"))
-    return _streamed(spark, live.track_gaps(live.in_order(spark, rows, _shared_folder(spark, "events"))), "gaps")
+    return _streamed(spark, live.track_gaps(live.in_order(spark, rows, scratch_path(spark, "events"))), "gaps")
 
 
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minute bars as a stream, rolled up to pairs of minutes that are both there."""
     minutes = event_bars(spark, sf_dir, 60_000).select("symbol", F.col("idx").cast("long").alias("minute"), *bars.OHLCV, F.col("idx").cast("long").alias("seq"))
-    return _rounded(_streamed(spark, live.rollup_strict_stream(live.in_order(spark, minutes, _shared_folder(spark, "minutes")), 2), "pairs"))
+    return _rounded(_streamed(spark, live.rollup_strict_stream(live.in_order(spark, minutes, scratch_path(spark, "minutes")), 2), "pairs"))
 
 
 def _market(key: str) -> F.Column:

@@ -174,3 +174,54 @@ def test_guards():
         search.Part("ma.sma", {"window": [2, 2]}).points()
     with pytest.raises(ValueError):
         search.ranking("sharpe")
+
+
+def test_side_by_side_accounts_are_single_ones(spark):
+    """Every direction, sizing and pair of stops, over random signals: figures of one pass against trades and equity."""
+    import random
+
+    r = random.Random(11)
+    closes = [100.0]
+    for _ in range(120):
+        closes.append(closes[-1] * (1 + r.gauss(0, 0.03)))
+    sig = [[r.choice([1, 0, -1]) for _ in range(3)] for _ in closes]
+    signals_ = spark.createDataFrame([("s", i, c, s) for i, (c, s) in enumerate(zip(closes, sig, strict=True))] + [("s", 500, None, [1, 1, 1])], "symbol string, idx long, close double, signals array<byte>")
+    plans = [([0], None, None), ([1], 0.04, None), ([0, 2], None, 0.05), ([2], 0.03, 0.03)]
+    variants = spark.createDataFrame([("s", k % 2, k, p, a, b) for k, (p, a, b) in enumerate(plans)], "symbol string, block long, variant long, points array<int>, stop_loss double, take_profit double")
+    for how in (E.Execution(fee=0.001, slippage=0.0005), E.Execution(direction="long-only", sizing="fixed_quote", fixed_quote=300.0, fee=0.002), E.Execution(direction="short-only", sizing="strategy_compound_profit_lock", safe_percent=30.0)):
+        got = {x["variant"]: x for x in E.figures(variants, signals_, how).collect()}
+        assert len(got) == len(plans)
+        for k, (points, a, b) in enumerate(plans):
+            joint = [1 if min(s[p] for p in points) == 1 else -1 if max(s[p] for p in points) == -1 else 0 for s in sig]
+            one = E.Execution(**{**how.__dict__, "stop_loss": a, "take_profit": b})
+            t, e = E.trades(frame(spark, closes, joint), one), E.equity_curve(frame(spark, closes, joint), one)
+            net = [x["net_pnl"] for x in t.collect()]
+            d = metrics.drawdowns(e, DAY).first()
+            last = e.orderBy(F.desc("idx")).first()["equity"]
+            want = (last, d["max_drawdown_pct"] / 100, sum(x for x in net if x > 0), -sum(x for x in net if x < 0))
+            assert got[k]["num_trades"] == len(net) and all(math.isclose(got[k][c], w, rel_tol=1e-9, abs_tol=1e-9) for c, w in zip(("final", "max_drawdown", "won", "lost"), want, strict=True))
+
+
+def test_grids_are_numbers(spark):
+    big = search.Part("trend.ichimoku", {"conversion_window": range(2, 50), "base_window": range(2, 50), "span_b_window": range(2, 52)})
+    assert big.size == 115_200
+    parts = [search.Part("ma.sma", {"window": [3, 5]}, {}), search.Part("momentum.rsi", {"window": [4, 6, 8]}, {"long_threshold": 30, "short_threshold": 70})]
+    rows = sorted(search.grid(spark, parts).collect())
+    from barloom.functions.scalars import encode_radix, variant_key
+
+    assert [tuple(x) for x in rows] == [
+        (encode_radix((i, j), (2, 3)), variant_key({"0:ma.sma": {"window": a}, "1:momentum.rsi": {"window": b, "long_threshold": 30, "short_threshold": 70}}), [i, j])
+        for i, a in enumerate((3, 5)) for j, b in enumerate((4, 6, 8))
+    ]
+
+
+def test_requests_use_either_name_and_meet_the_guard(spark):
+    from barloom import api
+
+    bars = spark.createDataFrame([("s", i, 1.0 + i % 3, 3.0, 1.0, 2.0 - i % 2, 1.0) for i in range(20)], "symbol string, idx long, open double, high double, low double, close double, volume double")
+    same = [signals.evaluate(bars, "candle_stats", **{n: 0.2}).select("idx", "signal").collect() for n in ("threshold", "min_body_pct")]
+    assert sorted(same[0]) == sorted(same[1])
+    got = api.compute(bars, "ma.sma", {"window": [2, 3]})
+    assert got.count() == 40 and {r["variant"] for r in got.collect()} == {0, 1}
+    with pytest.raises(ValueError):
+        api.compute(bars, "ma.sma", {"window": [2, 3]}, most_bytes=(64 << 20) + 28 * 20 + 4 * 20 * 2 - 1)

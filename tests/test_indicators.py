@@ -1,7 +1,9 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
+from barloom.operators import scan
 from barloom.operators.indicators import registry, registry_rows
 from barloom.plans.indicator_ids import IDS
 
@@ -141,3 +143,51 @@ def test_empty_bars(spark):
     b = bars(spark, [1.0]).where("false")
     for i in ("ma.sma", "ma.ema", "trend.psar", "volume.obv"):
         assert registry()[i](b).count() == 0
+
+
+def plain_scan(x, decay, gain):
+    out, y = [], None
+    for v in x:
+        y = None if v is None else v if y is None else decay * y + gain * v
+        out.append(y)
+    return out
+
+
+def gappy(n, seed):
+    import random
+
+    r = random.Random(seed)
+    return [None if r.random() < 0.02 else r.gauss(100, 5) for _ in range(n)]
+
+
+def test_scans_over_many_stretches(spark, monkeypatch):
+    """Stretches far shorter than a scan's memory, and blocks shorter than runs, give what one loop over all rows gives."""
+    monkeypatch.setattr(scan, "SIZE", 64)
+    monkeypatch.setattr(scan, "BLOCK", 8)
+    xs = gappy(700, 3)
+    df = spark.createDataFrame([("s", i + 1000, x) for i, x in enumerate(xs)], "symbol string, idx long, x double").repartition(3)
+    got = sorted(scan.running_sums(scan.linear_scans(df, [("x", "a", 0.8, 0.2), ("a", "b", 0.5, 0.5), ("x", "c", 0.0, 1.0)]), [("x", "sum"), ("a", "both")]).collect(), key=lambda r: r["idx"])
+    a = plain_scan(xs, 0.8, 0.2)
+    for name, want in (("a", a), ("b", plain_scan(a, 0.5, 0.5)), ("c", xs), ("sum", plain_scan(xs, 1, 1)), ("both", plain_scan(a, 1, 1))):
+        for r, w in zip(got, want, strict=True):
+            assert (r[name] is None) == (w is None) and (w is None or abs(r[name] - w) < 1e-9 * max(1, abs(w))), (name, r["idx"])
+    top = sorted(scan.running_max(scan.running_max(df, ["symbol"], F.col("x"), "m", True), ["symbol"], F.col("x"), "e", False).collect(), key=lambda r: r["idx"])
+    best = None
+    for r, x in zip(top, xs, strict=True):
+        assert r["e"] == best
+        best = x if best is None else best if x is None else max(best, x)
+        assert r["m"] == best
+
+
+@pytest.mark.parametrize("name", ["ma.sma", "ma.ema", "volatility.stddev", "momentum.rsi"])
+def test_points_in_one_pass_are_single_computations(spark, name):
+    xs = gappy(90, 4)
+    bars = spark.createDataFrame([("s", i, *[x] * 4, 1.0, 7) for i, x in enumerate(xs)], "symbol string, idx long, open double, high double, low double, close double, volume double, extra int")
+    ind = registry()[name]
+    points = [{"window": w, "source": s} for w in (3, 8) for s in ("close", "hl2")]
+    wide = {r["idx"]: r for r in ind.values(bars, points, ["a", "b", "c", "d"]).collect()}
+    assert wide[5]["extra"] == 7
+    for column, p in zip("abcd", points, strict=True):
+        for r in ind(bars, **p).collect():
+            x, y = r["value"], wide[r["idx"]][column]
+            assert (x is None) == (y is None) and (x is None or abs(x - y) < 1e-9)
