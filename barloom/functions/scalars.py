@@ -43,6 +43,22 @@ def minute_ceil(ms: Column) -> Column:
     return -bucket_open(-ms, MINUTE_MS)
 
 
+def on_minute(ms: Column) -> Column:
+    """Whether a time is a whole minute."""
+    return F.pmod(ms, F.lit(MINUTE_MS)) == 0
+
+
+def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
+    """Whether two ranges [start, end) have a part in common; empty ones have none."""
+    return (a_start < a_end) & (b_start < b_end) & (a_start < b_end) & (b_start < a_end)
+
+
+def intersection(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
+    """(start, end) of what two ranges have in common; NULL if nothing."""
+    both = F.struct(F.greatest(a_start, b_start).alias("start"), F.least(a_end, b_end).alias("end"))
+    return F.when(overlaps(a_start, a_end, b_start, b_end), both)
+
+
 def div(a: Column, b: Column) -> Column:
     """a / b, NULL where b is 0."""
     return a / F.nullif(b, F.lit(0.0))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import instrument_key
-from barloom.operators.bars import latest_per_key
+from barloom.operators.bars import gap_ranges, latest_per_key
 
 #: The markets (fixed values): id, exchange, type, code.
 MARKETS = ((1, "binance", "spot", "binance:spot"), (2, "binance", "futures", "binance:futures"), (3, "bybit", "spot", "bybit:spot"), (4, "bybit", "futures", "bybit:futures"))
@@ -69,7 +69,7 @@ METADATA = ("base_asset", "quote_asset", "price_step", "qty_step", "min_notional
 def enrichment(instruments: DataFrame, metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Versions to append for enabled instruments whose metadata differ, and the instruments without metadata."""
     on = enabled_instruments(instruments)
-    m = latest_per_key(metadata.withColumn("symbol", F.upper(F.trim("symbol"))), INSTRUMENT_KEY, ["symbol"])
+    m = latest_per_key(metadata.withColumn("symbol", F.upper(F.trim("symbol"))), INSTRUMENT_KEY, [*METADATA])  # of repeated rows a fixed one
     fresh = on.select(*INSTRUMENT_KEY, "status", "is_tradable").join(m.select(*INSTRUMENT_KEY, *METADATA), INSTRUMENT_KEY)
     return changed_rows(fresh, instruments, METADATA), on.join(m, INSTRUMENT_KEY, "left_anti")
 
@@ -108,6 +108,29 @@ def tail_tasks(instruments: DataFrame, bounds: DataFrame, now_minute: int, boots
     return instruments.select(*INSTRUMENT_KEY).join(bounds.select(*INSTRUMENT_KEY, "max_minute"), INSTRUMENT_KEY, "left").select(*INSTRUMENT_KEY, F.lit("reconnect_tail").alias("reason"), start.cast("long").alias("start_minute"), F.lit(now_minute).cast("long").alias("end_minute")).where("start_minute < end_minute")
 
 
+def catch_up_tasks(instruments: DataFrame, minutes: DataFrame, now_minute: int) -> DataFrame:
+    """Minutes [start, end) that an instrument with history lacks: its tail up to now, and the gaps before it.
+
+    `minutes` has market_id, symbol and minute of the candles kept. Instruments without any before now get no task: they
+    need a first backfill (`backfill_tasks`).
+    """
+    kept = minutes.where(F.col("minute") < now_minute).join(instruments.select(*INSTRUMENT_KEY).distinct(), INSTRUMENT_KEY, "left_semi")
+    last = kept.groupBy(*INSTRUMENT_KEY).agg(F.max("minute").alias("max_minute"))
+    tail = last.select(*INSTRUMENT_KEY, F.lit("catch_up_tail").alias("reason"), (F.col("max_minute") + 1).cast("long").alias("start_minute"), F.lit(now_minute).cast("long").alias("end_minute"))
+    key = F.struct(*INSTRUMENT_KEY).alias("symbol")
+    gaps = gap_ranges(kept.select(key, F.col("minute").cast("long").alias("idx"), F.lit(0.0).alias("close")))
+    fill = gaps.select("symbol.*", F.lit("gap_fill").alias("reason"), F.col("start_idx").alias("start_minute"), F.col("end_idx").alias("end_minute"))
+    return tail.where("start_minute < end_minute").unionByName(fill)
+
+
+def catch_up(instruments: DataFrame, kept: DataFrame, source: DataFrame, now_minute: int) -> DataFrame:
+    """Rows of `source` (market_id, symbol, minute, ...) that `catch_up_tasks` ask for, without those that are kept by now."""
+    tasks = catch_up_tasks(instruments, kept, now_minute)
+    wanted = tasks.select(*INSTRUMENT_KEY, F.explode(F.sequence("start_minute", F.col("end_minute") - 1)).alias("minute")).distinct()
+    key = [*INSTRUMENT_KEY, "minute"]
+    return source.join(wanted, key, "left_semi").join(kept.select(*key).distinct(), key, "left_anti").dropDuplicates(key)
+
+
 def pending(tasks: DataFrame) -> DataFrame:
     """Each (instrument, range, reason) once."""
     return tasks.dropDuplicates([*INSTRUMENT_KEY, "start_minute", "end_minute", "reason"])

@@ -166,6 +166,23 @@ def merge_top(best: DataFrame | None, more: DataFrame, k: int, primary: str, sec
     return both.orderBy(*ranking(primary, secondary)).limit(k)
 
 
+def snapshots(shortlist: DataFrame, signals: DataFrame, risks: Sequence[tuple[float | None, float | None]], execution: Execution, tf_ms: int, path: str, block: int = 4096, every: int = 4, top_k: int = 300, primary: str = "total_return_pct", secondary: str | None = None) -> DataFrame:
+    """Stage B by blocks of about `block` rows of the shortlist, whose best so far are written after every `every` blocks and at the end.
+
+    The shortlist is bounded by stage A's limit; a snapshot is a folder of its own in `path`, so a reader always has a whole one.
+    """
+    spark, blocks = shortlist.sparkSession, max(1, -(-shortlist.count() // block))
+    best, last = None, None
+    for k in range(blocks):
+        some = shortlist.where(F.pmod(F.xxhash64("symbol", "variant"), F.lit(blocks)) == k)
+        best = merge_top(best, stage_b(some, signals, risks, execution, tf_ms, top_k, primary, secondary), top_k, primary, secondary)
+        if (k + 1) % every == 0 or k + 1 == blocks:
+            last = f"{path}/blocks={k + 1}"
+            best.write.mode("overwrite").parquet(last)
+            best = spark.read.schema(best.schema).parquet(last)
+    return best
+
+
 def page(df: DataFrame, size: int, after: tuple | None = None) -> DataFrame:
     """Rows by (created_at, job_id) from the newest on, after a cursor; one more than `size` tells whether there's a next page."""
     if after is not None:

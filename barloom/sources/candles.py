@@ -126,37 +126,39 @@ def raw_to_canonical(raw: DataFrame, exchange: str) -> DataFrame:
 
 
 class _Page(InputPartition):
-    def __init__(self, start: int, end: int) -> None:
-        self.start, self.end = start, end
+    def __init__(self, file: str) -> None:
+        self.file = file
 
 
 class KlineReader(DataSourceReader):
-    """Pages of at most 1000 minutes of [start, end), read from recorded pages in place of an exchange's address."""
+    """Minutes of [start, end) from recorded pages in place of an exchange's address: one partition a page, each read once.
+
+    `path` is a folder that driver and executors share.
+    """
 
     def __init__(self, options: Mapping[str, str]) -> None:
         self.path, self.start, self.end = options["path"], int(options["start_ms"]), int(options["end_ms"])
         self.exchange = options.get("exchange", "binance")
 
     def partitions(self) -> list[_Page]:
-        step = 1000 * 60_000
-        return [_Page(a, min(self.end, a + step)) for a in range(self.start, self.end, step)]
+        import os
+
+        return [_Page(os.path.join(self.path, name)) for name in sorted(os.listdir(self.path)) if name.endswith(".json")] or [_Page("")]
 
     def read(self, page: _Page) -> Iterator[tuple]:
         import json
-        import os
 
-        for name in sorted(os.listdir(self.path)):
-            with open(os.path.join(self.path, name)) as f:
-                body = json.load(f)
-            if self.exchange == "bybit":
-                if body.get("retCode") != 0:
-                    raise ValueError(f"the exchange answered {body.get('retCode')}: {body.get('retMsg')}")
-                rows = [(int(r[0]), *map(float, r[1:7]), None) for r in body["result"]["list"]]
-            else:
-                rows = [(int(r[0]), float(r[1]), float(r[2]), float(r[3]), float(r[4]), float(r[5]), float(r[7]), int(r[8])) for r in body]
-            for r in sorted(rows):
-                if page.start <= r[0] < page.end:
-                    yield r
+        if not page.file:
+            return
+        with open(page.file, encoding="utf-8") as f:
+            body = json.load(f)
+        if self.exchange == "bybit":
+            if body.get("retCode") != 0:
+                raise ValueError(f"the exchange answered {body.get('retCode')}: {body.get('retMsg')}")
+            rows = [(int(r[0]), *map(float, r[1:7]), None) for r in body["result"]["list"]]
+        else:
+            rows = [(int(r[0]), float(r[1]), float(r[2]), float(r[3]), float(r[4]), float(r[5]), float(r[7]), int(r[8])) for r in body]
+        yield from (r for r in sorted(rows) if self.start <= r[0] < self.end)
 
 
 class KlineSource(DataSource):
@@ -171,3 +173,34 @@ class KlineSource(DataSource):
 
     def reader(self, schema: object) -> KlineReader:
         return KlineReader(self.options)
+
+
+BINANCE_INFO = "symbols array<struct<symbol: string, baseAsset: string, quoteAsset: string, filters: array<struct<filterType: string, tickSize: string, stepSize: string, minNotional: string>>>>"
+BYBIT_INFO = (
+    "retCode string, result struct<list: array<struct<symbol: string, baseCoin: string, quoteCoin: string, priceFilter: struct<tickSize: string>, "
+    "lotSizeFilter: struct<qtyStep: string, minNotionalValue: string, minOrderAmt: string, minOrderQty: string>>>>"
+)
+
+
+def _positive(text: Column) -> Column:
+    number = text.try_cast("double")
+    return F.when(number > 0, number)
+
+
+def read_instrument_metadata(spark: SparkSession, path: str, exchange: str, market_id: int) -> DataFrame:
+    """Instruments of a market (assets, steps, least notional) from recorded exchange answers; missing numbers are NULL."""
+    there = lambda c: F.nullif(F.trim(c), F.lit(""))
+    if exchange == "binance":
+        rows = spark.read.schema(BINANCE_INFO).json(path, multiLine=True).select(F.explode("symbols").alias("i"))
+        first = lambda kind, name: F.get(F.transform(F.filter("i.filters", lambda f: f["filterType"] == kind), lambda f: f[name]), 0)
+        numbers = [first("PRICE_FILTER", "tickSize"), first("LOT_SIZE", "stepSize"), F.coalesce(first("MIN_NOTIONAL", "minNotional"), first("NOTIONAL", "minNotional"))]
+        assets = ["i.baseAsset", "i.quoteAsset"]
+    else:
+        answers = spark.read.schema(BYBIT_INFO).json(path, multiLine=True)
+        bad = F.raise_error(F.concat(F.lit("the exchange answered "), F.col("retCode")))
+        rows = answers.select(F.explode(F.when(F.coalesce("retCode", F.lit("0")) == "0", F.col("result.list")).otherwise(bad)).alias("i"))
+        lot = "i.lotSizeFilter"
+        numbers = [F.col("i.priceFilter.tickSize"), F.col(f"{lot}.qtyStep"), F.coalesce(*(there(F.col(f"{lot}.{c}")) for c in ("minNotionalValue", "minOrderAmt", "minOrderQty")))]
+        assets = ["i.baseCoin", "i.quoteCoin"]
+    named = [there(F.col(c)).alias(n) for c, n in zip(assets, ("base_asset", "quote_asset"), strict=True)] + [_positive(x).alias(n) for x, n in zip(numbers, ("price_step", "qty_step", "min_notional"), strict=True)]
+    return rows.select(F.lit(market_id).alias("market_id"), F.upper(there(F.col("i.symbol"))).alias("symbol"), *named).where("symbol is not null")

@@ -140,14 +140,25 @@ def live_runs(candles: DataFrame, minutes: int) -> DataFrame:
     return _keyed(candles, "run_id", step, RUN_EVENTS, "checkpoint long, state string, n int, bars int")
 
 
-def write_batches(stream: DataFrame, path: str, checkpoint: str, every: str | None = None, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
+def repaired(events: DataFrame, canonical: DataFrame) -> DataFrame:
+    """Candles to feed back for the `repair` events of runs: those kept in [start, end), and the one that showed the jump.
+
+    `canonical` has run_id, minute, warmup and seq, as `live_runs` takes them. A minute that isn't kept yet gives nothing, and
+    the next attempt asks again, as the run's checkpoint has stayed.
+    """
+    wanted = events.where("kind = 'repair'").select("run_id", F.explode(F.sequence("start_minute", "end_minute")).alias("minute")).distinct()
+    return canonical.join(wanted, ["run_id", "minute"], "left_semi").dropDuplicates(["run_id", "minute"])
+
+
+def write_batches(stream: DataFrame, path: str, checkpoint: str, every: str | None = None, transform: Callable[[DataFrame], DataFrame] = lambda df: df, most_rows: int = 0) -> StreamingQuery:
     """Each micro-batch as a folder of its own, so that one that is tried again replaces itself.
 
-    `every` is the flush interval; without it all that is there is written and the query ends.
+    `every` is the flush interval; without it all that is there is written and the query ends. A file of a flush has
+    `most_rows` rows at most (0: any number); the source's options bound a micro-batch.
     """
 
     def flush(batch: DataFrame, number: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        transform(batch).write.mode("overwrite").option("maxRecordsPerFile", most_rows).parquet(f"{path}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -141,7 +141,7 @@ def test_signal_rules(spark):
     assert sum(map(len, signals.RULES.values())) == 52
 
 
-def test_search_against_single_runs(spark):
+def test_search_against_single_runs(spark, tmp_path):
     import random
 
     r = random.Random(4)
@@ -163,6 +163,8 @@ def test_search_against_single_runs(spark):
     assert order == sorted(order, reverse=True)
     top = search.stage_b(best, sig, search.risk_variants((None, 0.02), (0.05,)), how, DAY, top_k=3).collect()
     assert len(top) == 3 and {r["risk"] for r in top} <= {0, 1}
+    written = search.snapshots(best, sig, search.risk_variants((None, 0.02), (0.05,)), how, DAY, str(tmp_path), block=1, every=1, top_k=3).collect()
+    assert [(r["variant"], r["risk"]) for r in written] == [(r["variant"], r["risk"]) for r in top] and list(tmp_path.iterdir())
     assert search.merge_top(best, best.limit(0), 1, "total_return_pct").count() == 1
 
 

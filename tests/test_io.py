@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import reference_data as R
@@ -138,3 +139,60 @@ def test_the_registered_streams_bound_their_micro_batches(spark, monkeypatch):
     got = queries.stream_gaps(spark, "/root/testdata/sf0.001")
     sizes = [r["count"] for r in got.groupBy(F.input_file_name().substr(F.lit(1), F.instr(F.input_file_name(), "/part-"))).count().collect()]
     assert events > 600 and sum(sizes) == events and max(sizes) <= 300
+
+
+def test_instrument_metadata(spark, tmp_path):
+    info = {"symbols": [{"symbol": "btcusdt", "baseAsset": "BTC", "quoteAsset": "USDT", "filters": [{"filterType": "PRICE_FILTER", "tickSize": "0.01"}, {"filterType": "LOT_SIZE", "stepSize": "0.001"}, {"filterType": "NOTIONAL", "minNotional": "5"}]}, {"symbol": "X", "filters": [{"filterType": "LOT_SIZE", "stepSize": "0"}]}, {"baseAsset": "Y"}]}
+    (tmp_path / "a.json").write_text(json.dumps(info, indent=1))
+    got = {r["symbol"]: tuple(r)[2:] for r in C.read_instrument_metadata(spark, f"{tmp_path}/a.json", "binance", 1).collect()}
+    assert got == {"BTCUSDT": ("BTC", "USDT", 0.01, 0.001, 5.0), "X": (None, None, None, None, None)}
+    bybit = {"retCode": 0, "result": {"list": [{"symbol": "ETHUSDT", "baseCoin": "ETH", "quoteCoin": "USDT", "priceFilter": {"tickSize": "0.1"}, "lotSizeFilter": {"minOrderAmt": "1", "minOrderQty": "9"}}]}}
+    (tmp_path / "b.json").write_text(json.dumps(bybit))
+    assert [tuple(r) for r in C.read_instrument_metadata(spark, f"{tmp_path}/b.json", "bybit", 3).collect()] == [(3, "ETHUSDT", "ETH", "USDT", 0.1, None, 1.0)]
+    (tmp_path / "c.json").write_text(json.dumps({"retCode": 10001, "result": {"list": []}}))
+    with pytest.raises(Exception, match="10001"):
+        C.read_instrument_metadata(spark, f"{tmp_path}/c.json", "bybit", 3).collect()
+
+
+def test_catch_up_is_the_tail_then_the_gaps(spark):
+    kept = [("A", m) for m in (10, 11, 14, 15)] + [("B", 18), ("B", 25)]
+    minutes = spark.createDataFrame([(1, s, m) for s, m in kept], "market_id int, symbol string, minute long")
+    instruments = spark.createDataFrame([(1, s) for s in "ABC"], "market_id int, symbol string")
+    got = {tuple(r) for r in R.catch_up_tasks(instruments, minutes, 20).collect()}
+    assert got == {(1, "A", "catch_up_tail", 16, 20), (1, "A", "gap_fill", 12, 14), (1, "B", "catch_up_tail", 19, 20)}
+    source = spark.range(0, 40).selectExpr("1 AS market_id", "explode(array('A', 'B', 'C')) AS symbol", "id AS minute", "1.0 AS close")
+    assert {(r["symbol"], r["minute"]) for r in R.catch_up(instruments, minutes, source, 20).collect()} == {("A", m) for m in (12, 13, 16, 17, 18, 19)} | {("B", 19)}
+
+
+def test_ranges_and_minutes(spark):
+    from barloom.functions import scalars as S
+
+    rows = spark.createDataFrame([(0, 10, 5, 20), (0, 5, 5, 9), (3, 3, 0, 9), (0, 9, 2, 4)], "a long, b long, c long, d long")
+    cols = [F.col(x) for x in "abcd"]
+    got = rows.select(S.overlaps(*cols).alias("o"), S.intersection(*cols).alias("i"), S.on_minute(F.col("a") * 60_000 + F.col("c") - 5).alias("m")).collect()
+    assert [r["o"] for r in got] == [True, False, False, True] and [r["i"] and tuple(r["i"]) for r in got] == [(5, 10), None, None, (2, 4)]
+    assert [r["m"] for r in got] == [True, True, False, False]
+
+
+def test_default_grids(tmp_path):
+    from barloom.operators import defaults
+
+    spec = {"defaults": {"ma.sma": {"inputs": {"source": {"mode": "explicit", "values": ["close", "open"]}}, "params": {"window": {"mode": "range", "start": 5, "stop_incl": 9, "step": 2}}}, "zscore": {"params": {"x": {"mode": "range", "start": 0.1, "stop_incl": 0.3, "step": 0.1}}}}}
+    (tmp_path / "d.json").write_text(json.dumps(spec))
+    got = defaults.read_defaults(str(tmp_path / "d.json"))
+    assert got == {"ma.sma": {"source": ["close", "open"], "window": [5, 7, 9]}, "zscore": {"x": [0.1, 0.2, 0.3]}}
+    part = defaults.requested("ma.sma", got, {"window": [3]})
+    assert part.size == 2 and part.points()[0] == {"source": "close", "window": 3}
+    pytest.importorskip("yaml")
+    (tmp_path / "d.yaml").write_text("defaults:\n  ma.sma:\n    params:\n      window: {mode: range, start: 5, stop_incl: 6, step: 1}\n")
+    assert defaults.read_defaults(str(tmp_path / "d.yaml")) == {"ma.sma": {"window": [5, 6]}}
+    with pytest.raises(ValueError):
+        defaults.axis_values({"mode": "other"})
+
+
+def test_repairs_are_fed_from_what_is_kept(spark):
+    from barloom.streaming import live
+
+    events = spark.createDataFrame([("r", "repair", 9, 6, 9, "running"), ("r", "repair", 10, 6, 10, "running"), ("r", "accepted", 5, None, None, "running")], live.RUN_EVENTS)
+    kept = spark.range(0, 30).selectExpr("'r' AS run_id", "id AS minute", "1 AS warmup", "id AS seq")
+    assert sorted(r["minute"] for r in live.repaired(events, kept).collect()) == [6, 7, 8, 9, 10]
