@@ -150,9 +150,11 @@ def vectors(seed=2):
     return [(int(k), *rows[k]) for k in order]
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_vectors_against_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hopeful"), [(256, 4), (4, 4), (4, 0), (256, 0.6)])
+def test_vectors_against_all_pairs(spark, monkeypatch, block, hopeful):
+    """With blocks cut, and with all or some vectors heavy."""
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "HOPEFUL", hopeful)
     rows = vectors()
     want = {i: x for (i, _, _), x in zip(rows, link_rows(rows), strict=True)}
     frame = spark.createDataFrame([(i, v, lab, 5) for i, v, lab in rows], "vec_id long, embedding array<double>, label int, n_links int")
