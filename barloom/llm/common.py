@@ -26,7 +26,7 @@ def doc_hash(col: str) -> F.Column:
 
 
 def text_steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into slices of about `limit` bytes, so that long texts don't pile up."""
+    """Cut Arrow batches into slices of about `limit` bytes, so that long texts don't pile up; then give memory back."""
     for batch in batches:
         rows = batch.num_rows
         if rows == 0:
@@ -34,6 +34,7 @@ def text_steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> It
         step = max(1, int(rows * limit / max(batch.nbytes, 1)))
         for at in range(0, rows, step):
             yield batch.slice(at, step)
+        pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

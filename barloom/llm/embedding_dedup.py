@@ -148,11 +148,13 @@ def _linked(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame
             for at in range(0, batch.num_rows, 4096):
                 b = batch.slice(at, 4096)
                 keep = np.zeros(b.num_rows, bool)
-                x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
-                for size in {len(v) for v in x}:
-                    k = [i for i, v in enumerate(x) if len(v) == size == len(y[i])]
-                    if k:
-                        u, w = (_unit(np.array([v[i] for i in k])) for v in (x, y))
+                sizes = [b.column(k).value_lengths().to_numpy() for k in (2, 3)]
+                ends = [np.cumsum(n) for n in sizes]
+                flat = [b.column(k).flatten().to_numpy() for k in (2, 3)]
+                for size in np.unique(sizes[0]):
+                    k = np.flatnonzero((sizes[0] == size) & (sizes[1] == size))
+                    if len(k):
+                        u, w = (_unit(f[(e[k] - size)[:, None] + np.arange(size)]) for f, e in zip(flat, ends, strict=True))
                         keep[k] = (u * w).sum(1) >= threshold
                 mask = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
