@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,15 +25,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/barloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/barloom/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables whose paths are made inside are removed at the end: what is needed later must have been given a path before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
 
 
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: later jobs neither recompute nor lose it."""
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
