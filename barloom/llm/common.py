@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.sources.scratch import materialize, remove, scratch_path, shared_dir
+from barloom.sources.scratch import materialize, remove, scratch_path, scratch_scope, shared_dir
 
-__all__ = ["materialize", "remove", "scratch_path", "shared_dir", "table", "doc_hash", "text_steps", "texts_of", "smallest_hashes", "unused"]
+__all__ = ["materialize", "remove", "scratch_path", "scratch_scope", "shared_dir", "table", "doc_hash", "text_steps", "texts_of", "smallest_hashes", "unused"]
 
 #: UTF-8 bytes of text that a Python task handles at once.
 STEP_BYTES = 8 << 20

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import check_unused, materialize, smallest_hashes, text_steps, unused
+from barloom.llm.common import check_unused, materialize, scratch_scope, smallest_hashes, text_steps, unused
 from barloom.llm.tokens import windows
 
 #: Bound of the sample of labelled rows, and rows that a view teaches the other per class and round.
@@ -333,7 +333,9 @@ def classify(docs: DataFrame, labels: DataFrame, to: str = "quality", keep: list
     check_unused(docs, to)
     views = unused(docs, "views")
     featured = materialize(with_views(docs, views, keep), "quality-views")
-    return score(featured, train(featured, labels, views), views, to)
+    with scratch_scope(docs.sparkSession):
+        model = train(featured, labels, views)
+    return score(featured, model, views, to)
 
 
 def op1_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import materialize, text_steps, texts_of
+from barloom.llm.common import materialize, scratch_path, scratch_scope, text_steps, texts_of
 from barloom.llm.components import connected_components
 
 BANDS, ROWS, MANTISSA = 32, 5, 10
@@ -357,21 +357,8 @@ def _salted(rows: DataFrame, nodes: DataFrame, big: list[int]) -> tuple[DataFram
     return rows.withColumn("salt", salt), nodes.withColumn("salt", salts)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row.
-
-    Words are lower-cased in A-Z and cut at ASCII white space; a document is its set of distinct runs of `words`
-    words, or of all its words if fewer. Documents link when 100 * intersection >= percent * union.
-
-    A null or blank text has an empty set and links with nothing. Rows of one doc_id are one document: any of its texts
-    can link it, and all that have shingles get one component. Repeated rows come back as often as they came. A row with
-    a null doc_id links with nothing, has a null component, and is kept. Other columns are ignored. An empty table gives
-    an empty result.
-    """
-    sigs = materialize(signatures(docs, words), "signatures")
-    usable = sigs.where("n_shingles > 0 and doc_id is not null")
-    nodes = materialize(usable.groupBy(*SET).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("registers").alias("registers")), "nodes")
-
+def _all_links(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): links that connect `nodes` as all pairs of similar sets would."""
     least = percent / 100 - SLACK
     band = 2 * ROWS
     keys = F.array(*(F.xxhash64(F.lit(k), F.expr(f"substring(registers, {band * k + 1}, {band})")) for k in range(BANDS)))
@@ -388,13 +375,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     placed = crowded.join(first.withColumnRenamed("id", "node"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
     rest = materialize(placed.join(mixed, "bucket"), "mixed")
-    more = materialize(_verify_blocks(rest, regs, sets, percent, least), "more-links")
+    more = _verify_blocks(rest, regs, sets, percent, least)
+    return first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row.
+
+    Words are lower-cased in A-Z and cut at ASCII white space; a document is its set of distinct runs of `words`
+    words, or of all its words if fewer. Documents link when 100 * intersection >= percent * union.
+
+    A null or blank text has an empty set and links with nothing. Rows of one doc_id are one document: any of its texts
+    can link it, and all that have shingles get one component. Repeated rows come back as often as they came. A row with
+    a null doc_id links with nothing, has a null component, and is kept. Other columns are ignored. An empty table gives
+    an empty result.
+    """
+    sigs = materialize(signatures(docs, words), "signatures")
+    usable = sigs.where("n_shingles > 0 and doc_id is not null")
+    nodes = materialize(usable.groupBy(*SET).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("registers").alias("registers")), "nodes")
+
+    links_at = scratch_path(docs.sparkSession, "all-links")
+    with scratch_scope(docs.sparkSession):
+        links = materialize(_all_links(docs, nodes, words, percent), "all-links", links_at)
 
     # a doc_id with several sets links their nodes
     several = usable.groupBy("doc_id").agg(F.min(F.struct(*SET)).alias("x"), F.max(F.struct(*SET)).alias("y")).where("x <> y").select("doc_id")
     own = usable.join(several, "doc_id").select("doc_id", *SET).join(nodes.select(*SET, "node"), SET).where("doc_id <> node")
-    stars = first.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    final = connected_components(stars.unionByName(more).unionByName(own.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))))
+    final = connected_components(links.unionByName(own.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))))
     settled = nodes.join(final.withColumnRenamed("id", "node"), "node", "left").select(*SET, F.coalesce("component", "node").alias("component"))
     big = [r[0] for r in nodes.where(F.col("copies") >= COPIES).select(F.pmod("set_a", F.lit(PLACES)).cast("int")).distinct().collect()]  # PLACES numbers at most
     rows, settled = _salted(sigs.select("doc_id", *SET), settled, big)
