@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import cotraining, language_id, minhash, packing
-from barloom.llm.common import materialize, unused
+from barloom.llm.common import materialize, scratch_path, scratch_scope, unused
 
 #: SQL can't express trained models and sketches; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
@@ -40,9 +40,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     row = unused(docs, "row")
     keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
-    found = minhash.near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    found_at = scratch_path(spark, "components")
+    with scratch_scope(spark):
+        found = minhash.near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+        found = materialize(found, "components", found_at)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), row)
-    found = materialize(found, "components")
     ranked = keyed.select(row, order.alias("order")).join(found, row)
     kept = ranked.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col(f"first.{row}").alias(row))
     gone = materialize(found.join(kept, row, "left_anti").select(row), "copies")  # broadcast if the table is small
