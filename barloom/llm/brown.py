@@ -35,7 +35,7 @@ HEAD, CLASSES, ENDINGS, WORDS, LONGEST = 6000, 64, 32, 150_000, 64
 #: that have to move in two of them for more.
 EVIDENCE, ROUNDS, MOVES, FEW = 4, 5, 10, 0.01
 #: Tokens that a task gathers before it counts their pairs, pairs in a bucket (about), and cells of a step of `assign`.
-PAIR_TOKENS, BUCKET_PAIRS, CELLS = 4 << 20, 2 << 20, 8 << 20
+PAIR_TOKENS, BUCKET_PAIRS, CELLS = 4 << 20, 2 << 20, 1 << 20
 #: Counts of a neighbour's class whose gains are looked up.
 LOOKED_UP = 8
 #: Weight of the unigrams, and prior counts of a class transition.
@@ -435,8 +435,10 @@ def best_classes(words: np.ndarray, side: np.ndarray, kind: np.ndarray, n: np.nd
     take only one of the empty classes, by its id in `names`, or all would take the first.
     """
     both = np.stack([table[:, :classes].T, table[:classes]])  # before: rows are classes, columns what precedes them
-    plain = _xlogx(both)
-    looked = np.stack([(_xlogx(both + a) - plain).transpose(0, 2, 1) for a in range(1, LOOKED_UP + 1)]).astype(np.float32)
+    plain, size = _xlogx(both), len(table)
+    small = [(_xlogx(both + a) - plain).transpose(0, 2, 1).reshape(-1, classes) for a in range(1, LOOKED_UP + 1)]
+    looked = np.concatenate([*small, np.zeros((1, classes))]).astype(np.float32)  # by count, side and kind; larger counts take the zeros
+    rows = np.where(n > LOOKED_UP, len(looked) - 1, ((n - 1) * 2 + side) * size + kind)
     sums = both.sum(2)
     empty = np.flatnonzero(sums.sum(0) == 0)
     out = own.copy()
@@ -446,28 +448,30 @@ def best_classes(words: np.ndarray, side: np.ndarray, kind: np.ndarray, n: np.nd
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CELLS // classes, "right")) - 1)
         e = slice(bounds[at], bounds[to])
         w, d, k, a = words[e] - at, side[e], kind[e], n[e]
-        gain = looked[np.minimum(a, LOOKED_UP) - 1, d, k].astype(float)
+        total = np.add.reduceat(looked.take(rows[e], axis=0), bounds[at:to] - bounds[at], axis=0).astype(float)
         big = np.flatnonzero(a > LOOKED_UP)
-        x = both[d[big], :, k[big]]
-        gain[big] = _xlogx(x + a[big, None]) - _xlogx(x)
-        mine = own[at:to][w]
-        stay = np.flatnonzero(mine < classes)
-        x = both[d[stay], mine[stay], k[stay]]
-        gain[stay, mine[stay]] = _xlogx(x) - _xlogx(np.maximum(x - a[stay], 0))
-        total = np.add.reduceat(gain, bounds[at:to] - bounds[at], axis=0)
+        if len(big):
+            x = both[d[big], :, k[big]]
+            first = np.flatnonzero(np.diff(w[big], prepend=-1))
+            total[w[big][first]] += np.add.reduceat(_xlogx(x + a[big, None]) - _xlogx(x), first, axis=0)
+        settled = np.flatnonzero(own[at:to] < classes)
+        present = own[at:to][settled]
+        # in its own class a word's counts are there already
+        stay = np.flatnonzero(own[at:to][w] < classes)
+        x = both[d[stay], own[at:to][w[stay]], k[stay]]
+        less = 2 * _xlogx(x) - _xlogx(np.maximum(x - a[stay], 0)) - _xlogx(x + a[stay])
+        total[settled, present] += np.bincount(w[stay], less, to - at)[settled]
         for s in range(2):
             m = np.bincount(w[d == s], a[d == s], to - at)
-            cost = _xlogx(sums[s] + m[:, None]) - _xlogx(sums[s])
-            i = np.flatnonzero(own[at:to] < classes)
-            c = own[at:to][i]
-            cost[i, c] = _xlogx(sums[s][c]) - _xlogx(np.maximum(sums[s][c] - m[i], 0))
-            total -= cost
+            sizes, which = np.unique(m, return_inverse=True)
+            total -= (_xlogx(sums[s] + sizes[:, None]) - _xlogx(sums[s]))[which]
+            x, m = sums[s][present], m[settled]
+            total[settled, present] -= 2 * _xlogx(x) - _xlogx(np.maximum(x - m, 0)) - _xlogx(x + m)
         # a class that stands both before and after the word: both counts go to one cell
-        two = np.zeros((2, to - at, classes))
-        inside = np.flatnonzero(k < classes)
-        two[d[inside], w[inside], k[inside]] = a[inside]
-        i, c = np.nonzero((two[0] > 0) & (two[1] > 0))
-        x, y, z = both[1][c, c], two[0][i, c], two[1][i, c]
+        key, prior, later = w * classes + k, np.flatnonzero((d == 0) & (k < classes)), np.flatnonzero((d == 1) & (k < classes))
+        twice, y, z = np.intersect1d(key[prior], key[later], assume_unique=True, return_indices=True)
+        i, c, y, z = twice // classes, twice % classes, a[prior][y], a[later][z]
+        x = both[1][c, c]
         sign = np.where(own[at:to][i] == c, -1, 1)
         y, z = sign * y, sign * z
         total[i, c] += sign * (_xlogx(np.maximum(x + y + z, 0)) - _xlogx(np.maximum(x + y, 0)) - _xlogx(np.maximum(x + z, 0)) + _xlogx(x))
