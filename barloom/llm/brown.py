@@ -3,7 +3,7 @@
 Every training word that occurs EVIDENCE times or more gets its class by exchange clustering. The HEAD most frequent ones
 seed the classes; these are split into more as the vocabulary grows, and then all words move in parallel rounds on Spark:
 each word's neighbours over all training text are kept together, and it goes to the class that raises the corpus's
-likelihood most. Only words with fewer occurrences, and unseen ones, are classed by their endings. Their emissions are
+likelihood most. As many move at once, gains are weighed with counts of chance, or all would go to the smallest classes. Only words with fewer occurrences, and unseen ones, are classed by their endings. Their emissions are
 smoothed so that each ending's class has room for unseen words, and the model is mixed with smoothed unigrams; both parts
 sum to one over all words and the end of text.
 
@@ -36,6 +36,8 @@ HEAD, CLASSES, ENDINGS, WORDS, LONGEST = 6000, 64, 32, 150_000, 64
 EVIDENCE, ROUNDS, MOVES, FEW = 4, 5, 10, 0.01
 #: Tokens that a task gathers before it counts their pairs, pairs in a bucket (about), and cells of a step of `assign`.
 PAIR_TOKENS, BUCKET_PAIRS, CELLS = 4 << 20, 2 << 20, 1 << 20
+#: Counts of chance, as a share of all, that moves are weighed with.
+BACKGROUND = 0.5
 #: Counts of a neighbour's class whose gains are looked up.
 LOOKED_UP = 8
 #: Weight of the unigrams, and prior counts of a class transition.
@@ -275,7 +277,7 @@ def neighbours(texts: DataFrame, kinds: np.ndarray, low: np.ndarray, end: int) -
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
-    return x * np.log(np.maximum(x, 1))
+    return x * np.log(np.where(x > 0, x, 1))
 
 
 def exchange(counts: np.ndarray, kinds: np.ndarray, movable: np.ndarray) -> np.ndarray:
@@ -485,10 +487,19 @@ def best_classes(words: np.ndarray, side: np.ndarray, kind: np.ndarray, n: np.nd
     return out
 
 
+def with_background(table: np.ndarray) -> np.ndarray:
+    """`table` and BACKGROUND of its counts once more, dealt as if kinds followed each other by chance.
+
+    To a class of few words any word would seem a gain, and all that move at once would go there, where they lose.
+    """
+    share = (table.sum(0) / max(table.sum(), 1) + 1 / len(table)) / 2
+    return table + BACKGROUND * table.sum() * np.outer(share, share)
+
+
 def assign(edges: DataFrame, kinds: np.ndarray, table: np.ndarray, classes: int, ids: Ids, turn: tuple[int, int] | None) -> tuple[np.ndarray, int]:
     """Kinds after the words whose turn it is have moved (all that have no class yet, without one), and how many moved."""
     size = len(table)
-    shared = edges.sparkSession.sparkContext.broadcast((kinds, table))
+    shared = edges.sparkSession.sparkContext.broadcast((kinds, with_background(table)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, table_ = shared.value

@@ -161,6 +161,22 @@ def test_a_word_goes_to_its_best_class():
         assert moved[got[0]] == pytest.approx(max(moved), rel=1e-12)  # two empty classes are alike
 
 
+def test_words_that_move_at_once_do_not_all_go_to_a_small_class():
+    """Rare words in random order: each alone would gain most in the class of one word. Weighed with counts of chance, few would."""
+    r = np.random.default_rng(6)
+    classes, words = 10, 4000
+    size = classes + 2
+    stream, kinds = r.integers(words, size=40_000), r.integers(1, classes, size=words)
+    kinds[0] = 0
+    left, right = stream[:-1], stream[1:]
+    table = np.zeros((size, size))
+    np.add.at(table, (kinds[left], kinds[right]), 1)
+    cells, n = np.unique(np.concatenate([left * 2 * size + size + kinds[right], right * 2 * size + kinds[left]]), return_counts=True)
+    names, w = np.unique(cells // (2 * size), return_inverse=True)
+    plain, weighed = (brown.best_classes(w, cells // size % 2, cells % size, n, kinds[names], t, classes, names) for t in (table, brown.with_background(table)))
+    assert (plain == 0).mean() > 0.5 and (weighed == 0).mean() < 1 / classes
+
+
 def test_brown_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = brown.score_documents(docs, F.lit(False), F.lit(True)).collect()
