@@ -11,6 +11,7 @@ import pytest
 from barloom.llm.queries import queries
 from test_dedup import components, every_pair, link_rows
 from test_models import base_scores, is_held
+from test_runs_and_bytes import plain_digest, plain_rearranged
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -158,6 +159,36 @@ def test_op10(spark, documents):
     assert sum(r["lang_pred"] == documents[r["doc_id"]]["lang"] for r in held) >= 0.95 * len(held)
 
 
+def test_op11(spark, documents):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    ids = {i: library.encode_ordinary(r["text"] or "") for i, r in documents.items()}
+    want = {i: (len(x), sha(" ".join(map(str, x))), sha(documents[i]["text"] or "")) for i, x in ids.items()}
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in run(spark, 11)} == want
+
+
+def test_op12(spark, documents):
+    got = run(spark, 12)
+    assert {r["doc_id"]: tuple(r)[1:] for r in got} == {i: plain_digest(i, r["text"] or "") for i, r in documents.items()} and len(got) == len(documents)
+    assert sum(r["n_runs"] > 0 for r in got) > 0.05 * len(got)
+
+
+def test_op13(spark, documents):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {}
+    for i, r in documents.items():
+        *row, output = plain_rearranged(i, r["text"] or "")
+        want[i] = (*row, sha(output), sha(r["text"] or ""))
+    assert {r["doc_id"]: tuple(r)[1:] for r in run(spark, 13)} == want
+
+
 def test_pipeline(spark, documents):
     """Each stage takes what its predecessor kept; the last one packs every kept document whole."""
     import corpus_pipeline
