@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import permutations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,13 @@ class Template:
     accepts: frozenset[str]
     other: tuple[str, str, str] = ("[ROLE]", "[TEXT]", "[/ROLE]")
 
+    def __post_init__(self) -> None:
+        openings, closings = [before for before, _ in self.marks.values()] + [self.other[0]], [after for _, after in self.marks.values()] + [*self.other[1:]]
+        if any(len(m) < 2 for m in openings + closings) or any(a.startswith(b) for a, b in permutations(openings, 2)):
+            raise ValueError("marks have two characters at least, and none that opens a turn may begin with another one")
+        if any(m.startswith(m[k:]) for m in closings for k in range(1, len(m))) or any(ESCAPE in m for m in openings + closings):
+            raise ValueError("marks that close may not end as they begin, and none may hold the escape character")
+
     def controls(self) -> list[str]:
         return sorted({m for pair in self.marks.values() for m in pair} | set(self.other), key=lambda m: (-len(m), m))
 
@@ -55,19 +63,37 @@ class Template:
         name, before, after = self.other
         return [(name + self.escape(role) + before, False), body, (after, False)]
 
-    def read(self, formatted: str) -> tuple[str, str]:
-        """Role and text of one formatted turn, from its marks alone."""
-        parts = re.split("(" + "|".join(map(re.escape, self.controls())) + ")", formatted)
-        if parts[1] == self.other[0]:
-            _, _, role, between, text, after, end = parts
-            if (between, after) != self.other[1:] or end:
-                raise ValueError("a turn's marks don't match")
-            return unescape(role), unescape(text)
-        _, before, text, after, end = parts
-        for role, pair in self.marks.items():
-            if pair == (before, after) and not end:
-                return role, unescape(text)
-        raise ValueError("a turn's marks don't match")
+    def read_turn(self, formatted: str, at: int = 0) -> tuple[str, str, int]:
+        """Role and text of the turn that starts at a place, and where it ends.
+
+        The mark that opens it says which one closes it, and only that one is looked for: what looks like another one may be a
+        text's end and the first characters of the closing mark.
+        """
+        name, between, end = self.other
+        if formatted.startswith(name, at):
+            role, at = self._until(formatted, at + len(name), between)
+        else:
+            role, (before, end) = next(((r, pair) for r, pair in self.marks.items() if formatted.startswith(pair[0], at)), ("", ("", "")))
+            if not before:
+                raise ValueError("no mark that opens a turn")
+            at += len(before)
+        text, at = self._until(formatted, at, end)
+        return role, text, at
+
+    @staticmethod
+    def _until(formatted: str, at: int, mark: str) -> tuple[str, int]:
+        to = formatted.find(mark, at)
+        if to < 0:
+            raise ValueError("a turn isn't closed")
+        return unescape(formatted[at:to]), to + len(mark)
+
+    def read(self, formatted: str) -> list[tuple[str, str]]:
+        """Role and text of each turn, from the marks alone."""
+        at, out = 0, []
+        while at < len(formatted):
+            role, text, at = self.read_turn(formatted, at)
+            out.append((role, text))
+        return out
 
 
 def unescape(text: str) -> str:
@@ -136,7 +162,7 @@ def read_digests(turns: DataFrame, template: Template = TEMPLATE) -> DataFrame:
                         out.append(row())
                     now, n, chars, learned, valid, all_, loss = (conv,), 0, 0, 0, True, hashlib.sha256(), hashlib.sha256()
                 formatted = "".join(s["text"] for s in segments)
-                role, text = template.read(formatted)
+                ((role, text),) = template.read(formatted)
                 all_.update(f"{role}\n{text}\n".encode())
                 for s in segments:
                     if s["loss"]:
@@ -152,6 +178,10 @@ def read_digests(turns: DataFrame, template: Template = TEMPLATE) -> DataFrame:
 
 
 def op8_role_machine_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation of `conversations`, and of conversation -1, read back from the formatted turns.
+
+    A null role or text is an empty one, rows with a null conv_id are one conversation, and repeated rows are turns of their own.
+    """
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     hard = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], rows.schema)

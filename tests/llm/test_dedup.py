@@ -170,3 +170,19 @@ def test_odd_vector_tables(spark):
     rows = [(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "a"), (None, [1.0, 0.0], "a"), (3, [1.0, 0.01], "a"), (4, [1.0, 0.0], "b")]
     got = embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, 0, True), (1, 2, 1, True), (1, 2, 1, True), (3, 2, 1, False), (4, 0, 4, True)]
+
+
+def test_no_table_is_left_after_a_scope(spark, tmp_path):
+    """What op7's result reads is removed when its reader's scope ends."""
+    import os
+
+    from barloom.llm.common import scratch_scope, shared_dir
+
+    rows = [(i, f"these are some words of text number {i // 3} and so on") for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    folder = shared_dir(spark).removeprefix("file://") + "/barloom"
+    os.makedirs(folder, exist_ok=True)
+    before = {*os.listdir(folder)}
+    with scratch_scope(spark):
+        assert len(minhash.op7_hyperminhash_dedup(spark, str(tmp_path)).collect()) == 30
+    assert {*os.listdir(folder)} == before

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import struct
 import zlib
@@ -185,11 +186,51 @@ def test_escaping_is_reversible_and_leaves_no_mark():
     for role in ("user", "assistant", "system", "tool", "[TEXT]", ""):
         for text in HARD:
             segments = t.segments(role, text)
-            assert t.read("".join(s for s, _ in segments)) == (role, text)
+            assert t.read("".join(s for s, _ in segments)) == [(role, text)]
             body = next(s for s, _ in segments[1:] if s == t.escape(text))
             assert chat.unescape(body) == text and not any(m in body for m in t.controls())
 
 
+def test_all_short_texts_of_marks_come_back():
+    """Every text of up to three pieces of marks, whole or cut, in every role, alone and with turns after it."""
+    t = chat.TEMPLATE
+    pieces = [*t.controls(), "[INST]", "[/INST]", " ", "\\", "<", "s>", "</", "<<", "[", "]", "a"]
+    after = [("user", "[INST]"), ("assistant", " [/INST"), ("tool", "[TEXT")]
+    tail = "".join(x for role, text in after for x, _ in t.segments(role, text))
+    for n in range(4):
+        for some in itertools.product(pieces, repeat=n):
+            text = "".join(some)
+            for role in ("system", "user", "assistant", "tool"):
+                assert t.read("".join(x for x, _ in t.segments(role, text)) + tail) == [(role, text), *after], (role, text)
+
+
+def test_templates_that_could_not_be_read_back():
+    for marks in ({"a": ("<", "</a>")}, {"a": ("<a>", "</a>"), "b": ("<a>b", "</b>")}, {"a": ("<a>", "|a|")}, {"a": ("<a>", "\\end")}, {"a": ("<a>", "</a>"), "b": ("<a>", "</b>")}):
+        with pytest.raises(ValueError, match="marks|mark"):
+            chat.Template(marks, frozenset(), {}, frozenset())
+    with pytest.raises(ValueError, match="opens"):
+        chat.TEMPLATE.read("plain")
+    with pytest.raises(ValueError, match="closed"):
+        chat.TEMPLATE.read("[INST] never ends")
+
+
+def test_op8_query_of_hard_texts(spark, tmp_path):
+    """Texts that end as marks begin, a very long text, and a long conversation."""
+    deal = random.Random(8)
+    pieces = [*chat.TEMPLATE.controls(), "[INST]", "hi [INST]", " ", "\\", "ok"]
+    rows = [(1, 0, "user", "hi [INST]"), (1, 1, "assistant", "[INST]"), (2, 0, "user", "[INST] word " * 200_000), (2, 1, "assistant", "\\</s>" * 100_000)]
+    rows += [(3, k, ("user", "assistant")[k % 2], "".join(deal.choices(pieces, k=deal.randint(0, 6)))) for k in range(5000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in chat.op8_role_machine_chat(spark, str(tmp_path)).collect()}
+    assert set(got) == {-1, 1, 2, 3}
+    for conv in (1, 2, 3):
+        mine = [r for r in rows if r[0] == conv]
+        loss = "".join(r[3] for r in mine if r[2] == "assistant")
+        g = got[conv]
+        assert (g["n_turns"], g["loss_chars"], g["valid"]) == (len(mine), len(loss), True)
+        assert g["turns_sha256"] == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in mine).encode()).hexdigest() and g["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
 def conversations(spark):
     rows = [(1, 0, "system", "be good"), (1, 1, "user", HARD[0]), (1, 2, "assistant", HARD[0]), (2, 0, "assistant", "first?"), (3, 0, "user", None), (3, 1, "assistant", "é\U0001f600"), (3, 1, "assistant", "é\U0001f600"), (4, None, None, None), (None, 0, "user", "hm"), (5, 0, "tool", "x")]
     return spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, segments string"), rows
