@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,24 +26,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_scopes: list[list[str]] = []
+#: Paths made in the innermost scope of this thread (or task of an event loop): others' tables are theirs to remove.
+_scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/barloom/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    made = _scope.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Tables whose paths are made inside are removed at the end: what is needed later must have been given a path before."""
-    _scopes.append([])
+    made: list[str] = []
+    outer = _scope.set(made)
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scope.reset(outer)
+        for path in made:
             remove(spark, path)
 
 
