@@ -380,7 +380,7 @@ def recursive_psar() -> str:
 
 
 def service_sql() -> dict[str, str]:
-    from barloom.plans.queries import FIRST_MINUTE, NOW_MINUTE
+    from barloom.plans.queries import FIRST_MINUTE, NOW_MINUTE, RUN_MINUTES, RUN_WARMUP
 
     minutes = EVENT_BARS.replace("3600000", "60000")
     minutes = minutes[: minutes.index("\nb AS")].rstrip(",")
@@ -393,6 +393,23 @@ UNION ALL SELECT 1, symbol, 'scheduler_tail', {NOW_MINUTE - 180}, {NOW_MINUTE} F
 p AS (SELECT *, max(minute) OVER (PARTITION BY symbol ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM m),
 k AS (SELECT *, CASE WHEN last IS NULL OR minute = last + 1 THEN 'accepted' WHEN minute = last THEN 'duplicate' WHEN minute < last THEN 'out_of_order' ELSE 'gap' END AS kind FROM p)
 SELECT symbol, kind, minute, CASE WHEN kind = 'gap' THEN last + 1 END AS start_minute, CASE WHEN kind = 'gap' THEN minute END AS end_minute FROM k""",
+        # live minutes are canonical ones, too, so a run goes on until the first day without any line
+        "stream_live_runs": f"""WITH l AS (SELECT l_returnflag || '-' || (l_orderkey % 3) AS run_id, epoch_ms(l_shipdate) // 86400000 AS minute, l_linenumber = 1 AS live FROM lineitem WHERE l_shipdate IS NOT NULL AND l_returnflag IS NOT NULL AND l_orderkey IS NOT NULL),
+a AS (SELECT run_id, min(minute) AS first FROM l WHERE live GROUP BY run_id),
+g AS (SELECT run_id, first, minute, minute - row_number() OVER (PARTITION BY run_id ORDER BY minute) AS g FROM (SELECT DISTINCT run_id, minute FROM l) JOIN a USING (run_id) WHERE minute >= first),
+h AS (SELECT run_id, first, max(minute) AS until FROM g WHERE g = first - 1 GROUP BY ALL),
+n AS (SELECT run_id, first, until, minute, row_number() OVER (PARTITION BY run_id, minute) AS k FROM l JOIN h USING (run_id) WHERE live),
+c AS (SELECT run_id, minute, lag(minute) OVER o AS before, greatest(0, (minute + 1) // {RUN_MINUTES} - (first + {RUN_MINUTES - 1}) // {RUN_MINUTES}) AS bars FROM n WHERE k = 1 AND minute <= until WINDOW o AS (PARTITION BY run_id ORDER BY minute)),
+s AS (SELECT *, coalesce(lag(bars) OVER (PARTITION BY run_id ORDER BY minute), 0) AS bars_before FROM c),
+e AS (SELECT run_id, max(minute) AS last FROM c GROUP BY run_id),
+u AS (SELECT run_id, 'accepted' AS kind, minute, NULL::BIGINT AS start_minute, NULL::BIGINT AS end_minute, NULL::BIGINT AS attempt, NULL::BIGINT AS bars, NULL AS state FROM c
+UNION ALL SELECT run_id, 'dropped', minute, NULL, NULL, NULL, NULL, NULL FROM n WHERE k > 1 AND minute <= until
+UNION ALL SELECT run_id, 'repaired', minute, before + 1, minute, 1, NULL, NULL FROM c WHERE before < minute - 1
+UNION ALL SELECT run_id, 'gave_up', minute, last + 1, minute, 2, NULL, NULL FROM n JOIN e USING (run_id) WHERE minute > until
+UNION ALL SELECT run_id, 'bar', minute, NULL, NULL, NULL, bars, NULL FROM s WHERE bars > bars_before
+UNION ALL SELECT run_id, 'state', NULL, NULL, NULL, NULL, NULL, 'warming_up' FROM a
+UNION ALL SELECT run_id, 'state', min(minute), NULL, NULL, NULL, NULL, 'running' FROM s WHERE bars >= {RUN_WARMUP} GROUP BY run_id)
+SELECT run_id, kind, minute, start_minute, end_minute, attempt, CAST(bars AS BIGINT) AS bars, state FROM u""",
         "stream_rollup": f"WITH {minutes} SELECT symbol, idx // 2 AS idx, round(first(open ORDER BY idx), 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low, round(last(close ORDER BY idx), 6) AS close, round(sum(volume), 6) AS volume FROM r GROUP BY symbol, idx // 2 HAVING count(*) = 2",
     }
 

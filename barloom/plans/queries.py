@@ -12,7 +12,7 @@ from barloom.functions.scalars import epoch_ms
 from barloom.operators import bars, execution, metrics, reference_data, search, signals
 from barloom.operators.indicators import registry, registry_rows
 from barloom.sources.scratch import scratch_path
-from barloom.streaming import live
+from barloom.streaming import live, runner
 
 HOUR, DAY = 3_600_000, 86_400_000
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,6 +208,21 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_streamed(spark, live.rollup_strict_stream(live.in_order(spark, minutes, scratch_path(spark, "minutes")), 2), "pairs"))
 
 
+def stream_live_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days as minutes: a flag's orders dealt to three runs, whose candles are first lines and whose canonical rows are all lines."""
+    lines = _read(spark, sf_dir, "lineitem").where("l_shipdate is not null and l_returnflag is not null and l_orderkey is not null")
+    lines = lines.select(F.concat_ws("-", "l_returnflag", F.col("l_orderkey") % 3).alias("run_id"), F.floor(epoch_ms("l_shipdate") / DAY).cast("long").alias("minute"), "l_linenumber")
+    candles = lines.where("l_linenumber = 1").select("run_id", F.lit("candle").alias("kind"), "minute", F.col("minute").alias("seq"), F.lit(RUN_WARMUP).alias("warmup"))
+    at = scratch_path(spark, "live-runs")
+    runs = runner.LiveRuns(live.in_order(spark, candles, f"{at}/candles"), lines.select("run_id", "minute"), at, RUN_MINUTES, retries=1, backoff_ms=0)
+    told = runs.drain().where(F.col("kind").isin("accepted", "dropped", "repaired", "gave_up", "bar", "state"))
+    return told.select("run_id", "kind", "minute", "start_minute", "end_minute", F.col("attempt").cast("long").alias("attempt"), F.when(F.col("kind") == "bar", F.col("bars")).alias("bars"), F.when(F.col("kind") == "state", F.col("state")).alias("state"))
+
+
+#: Minutes of a bar of the live runs, and bars of warm-up.
+RUN_MINUTES, RUN_WARMUP = 7, 3
+
+
 def _market(key: str) -> F.Column:
     return (F.col(key) % 4 + 1).cast("int").alias("market_id")
 
@@ -236,7 +251,7 @@ def backfill_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def service_queries() -> dict[str, Query]:
-    return {"ref_upsert_changed": upsert_changed, "plan_backfill_tasks": backfill_tasks, "stream_gap_tracker": stream_gaps, "stream_rollup": stream_rollup}
+    return {"ref_upsert_changed": upsert_changed, "plan_backfill_tasks": backfill_tasks, "stream_gap_tracker": stream_gaps, "stream_rollup": stream_rollup, "stream_live_runs": stream_live_runs}
 
 
 def queries() -> dict[str, Query]:

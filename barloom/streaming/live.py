@@ -1,4 +1,4 @@
-"""Live candles: gap tracking, strict rollup and run states as keyed state, and sinks by micro-batch.
+"""Live candles: gap tracking and strict rollup as keyed state, and sinks by micro-batch (runs of strategies are in `runner`).
 
 State is one small tuple a key. A key's rows of a micro-batch are taken in the order of `seq`; a live source's options bound
 a micro-batch, and `in_order` bounds it for a table. What is late is decided by the state alone, so nothing that a repair
@@ -17,7 +17,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 GAP_EVENTS = "symbol string, kind string, minute long, start_minute long, end_minute long"
 BARS = "symbol string, idx long, open double, high double, low double, close double, volume double"
-RUN_EVENTS = "run_id string, kind string, minute long, start_minute long, end_minute long, state string"
 #: Rows of a table's micro-batch at most, and of those that a step takes and gives at once.
 TRIGGER_ROWS, STEP_ROWS = 1 << 20, 1 << 16
 
@@ -107,49 +106,6 @@ def rollup_strict_stream(candles: DataFrame, minutes: int) -> DataFrame:
     return _keyed(candles, "symbol", step, BARS, "idx long, minute long, n int, open double, high double, low double, close double, volume double")
 
 
-def live_runs(candles: DataFrame, minutes: int) -> DataFrame:
-    """Events of strategy runs from their candles (run_id, minute, warmup, seq).
-
-    A candle at or before the checkpoint is dropped; a jump asks for a repair and doesn't advance; else the candle is
-    accepted, and a full bucket of `minutes` counts towards the warm-up, after which the run is running.
-    """
-
-    def step(now: tuple | None, run: str, chunk: pd.DataFrame) -> tuple[tuple | None, list[tuple]]:
-        checkpoint, state, n, bars = now or (None, "starting", 0, 0)
-        rows = []
-        for minute, warmup in zip(chunk["minute"].tolist(), chunk["warmup"].tolist(), strict=True):
-            minute = int(minute)
-            if checkpoint is not None and minute <= checkpoint:
-                rows.append((run, "dropped", minute, None, None, state))
-                continue
-            if checkpoint is not None and minute > checkpoint + 1:
-                rows.append((run, "repair", minute, checkpoint + 1, minute, state))
-                continue
-            checkpoint = minute
-            n = 1 if minute % minutes == 0 else n + 1 if n else 0
-            if n == minutes:
-                bars, n = bars + 1, 0
-                rows.append((run, "bar", minute, None, None, state))
-            if state == "starting":
-                state = "warming_up"
-            if state == "warming_up" and bars >= warmup:
-                state = "running"
-            rows.append((run, "accepted", minute, None, None, state))
-        return (None if checkpoint is None else (checkpoint, state, n, bars)), rows
-
-    return _keyed(candles, "run_id", step, RUN_EVENTS, "checkpoint long, state string, n int, bars int")
-
-
-def repaired(events: DataFrame, canonical: DataFrame) -> DataFrame:
-    """Candles to feed back for the `repair` events of runs: those kept in [start, end), and the one that showed the jump.
-
-    `canonical` has run_id, minute, warmup and seq, as `live_runs` takes them. A minute that isn't kept yet gives nothing, and
-    the next attempt asks again, as the run's checkpoint has stayed.
-    """
-    wanted = events.where("kind = 'repair'").select("run_id", F.explode(F.sequence("start_minute", "end_minute")).alias("minute")).distinct()
-    return canonical.join(wanted, ["run_id", "minute"], "left_semi").dropDuplicates(["run_id", "minute"])
-
-
 def write_batches(stream: DataFrame, path: str, checkpoint: str, every: str | None = None, transform: Callable[[DataFrame], DataFrame] = lambda df: df, most_rows: int = 0) -> StreamingQuery:
     """Each micro-batch as a folder of its own, so that one that is tried again replaces itself.
 

@@ -101,13 +101,6 @@ def test_strict_rollup_stream(spark, tmp_path):
     assert got == [(1, 3.0, 5.0, 3.0), (3, 9.0, 11.0, 3.0)]
 
 
-def test_live_runs_stream(spark, tmp_path):
-    rows = [("r", m, 1, k) for k, m in enumerate((0, 1, 2, 2, 5, 3, 4))]
-    s = stream(spark, tmp_path, [rows], "run_id string, minute long, warmup int, seq long")
-    got = [(r["kind"], r["minute"], r["state"]) for r in ran(spark, tmp_path, live.live_runs(s, 3)).collect()]
-    assert got.count(("dropped", 2, "running")) == 1 and ("repair", 5, "running") in got and ("accepted", 2, "running") in got and ("accepted", 0, "warming_up") in got and ("accepted", 4, "running") in got
-
-
 def test_windowed_bars_stream(spark, tmp_path):
     rows = [("a", "2026-01-01T00:00:01Z", 1.0, 1.0, 1), ("a", "2026-01-01T00:00:09Z", 3.0, 1.0, 2), ("a", "2026-01-01T00:05:00Z", 9.0, 1.0, 3)]
     s = stream(spark, tmp_path, [rows], "symbol string, ts string, price double, volume double, seq long").withColumn("ts", F.col("ts").cast("timestamp"))
