@@ -38,8 +38,10 @@ EVIDENCE, ROUNDS, MOVES, FEW = 4, 5, 10, 0.01
 PAIR_TOKENS, BUCKET_PAIRS, CELLS = 4 << 20, 2 << 20, 1 << 20
 #: Counts of chance, as a share of all, that moves are weighed with.
 BACKGROUND = 0.5
-#: Counts of a neighbour's class whose gains are looked up.
-LOOKED_UP = 8
+#: Counts of a neighbour's class whose gains are looked up, and cells of that table: fewer counts where there are many classes.
+LOOKED_UP, LOOKUP_CELLS = 8, 16 << 20
+#: Classes per seed at most, so that a task's tables stay below 250 MB however large the vocabulary is.
+MOST_SPLIT = 32
 #: Weight of the unigrams, and prior counts of a class transition.
 MIX, PRIOR = 0.1, 5.0
 FLUSH = 250_000
@@ -430,18 +432,30 @@ def likelihood(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
 
 
-def best_classes(words: np.ndarray, side: np.ndarray, kind: np.ndarray, n: np.ndarray, own: np.ndarray, table: np.ndarray, classes: int, names: np.ndarray) -> np.ndarray:
+class Gains:
+    """What a word's neighbours gain in each class, made once a task: `both` counts by side (0: before), class, and neighbour's class."""
+
+    def __init__(self, table: np.ndarray, classes: int) -> None:
+        self.size, self.classes = len(table), classes
+        self.both = np.stack([table[:, :classes].T, table[:classes]])
+        self.sums = self.both.sum(2)
+        rows = 2 * self.size
+        self.most = max(1, min(LOOKED_UP, LOOKUP_CELLS // max(rows * classes, 1)))
+        #: Gains by count, side and neighbour's class; counts above `most` take the zeros in the last row.
+        self.looked = np.zeros((self.most * rows + 1, classes), np.float32)
+        plain = _xlogx(self.both)
+        for a in range(1, self.most + 1):
+            self.looked[(a - 1) * rows : a * rows] = (_xlogx(self.both + a) - plain).transpose(0, 2, 1).reshape(-1, classes)
+
+
+def best_classes(words: np.ndarray, side: np.ndarray, kind: np.ndarray, n: np.ndarray, own: np.ndarray, gains: Gains, names: np.ndarray) -> np.ndarray:
     """The class of each word that raises the likelihood most; entries (words, side, kind, n) are sorted by word from 0.
 
     `own` are the words' present classes; one from `classes` on is no class to stay in. As all move at once, each may
     take only one of the empty classes, by its id in `names`, or all would take the first.
     """
-    both = np.stack([table[:, :classes].T, table[:classes]])  # before: rows are classes, columns what precedes them
-    plain, size = _xlogx(both), len(table)
-    small = [(_xlogx(both + a) - plain).transpose(0, 2, 1).reshape(-1, classes) for a in range(1, LOOKED_UP + 1)]
-    looked = np.concatenate([*small, np.zeros((1, classes))]).astype(np.float32)  # by count, side and kind; larger counts take the zeros
-    rows = np.where(n > LOOKED_UP, len(looked) - 1, ((n - 1) * 2 + side) * size + kind)
-    sums = both.sum(2)
+    both, sums, looked, classes = gains.both, gains.sums, gains.looked, gains.classes
+    rows = np.where(n > gains.most, len(looked) - 1, ((n - 1) * 2 + side) * gains.size + kind)
     empty = np.flatnonzero(sums.sum(0) == 0)
     out = own.copy()
     bounds = np.searchsorted(words, np.arange(len(own) + 1))
@@ -451,7 +465,7 @@ def best_classes(words: np.ndarray, side: np.ndarray, kind: np.ndarray, n: np.nd
         e = slice(bounds[at], bounds[to])
         w, d, k, a = words[e] - at, side[e], kind[e], n[e]
         total = np.add.reduceat(looked.take(rows[e], axis=0), bounds[at:to] - bounds[at], axis=0).astype(float)
-        big = np.flatnonzero(a > LOOKED_UP)
+        big = np.flatnonzero(a > gains.most)
         if len(big):
             x = both[d[big], :, k[big]]
             first = np.flatnonzero(np.diff(w[big], prepend=-1))
@@ -503,6 +517,7 @@ def assign(edges: DataFrame, kinds: np.ndarray, table: np.ndarray, classes: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, table_ = shared.value
+        gains = Gains(table_, classes)
         for b in batches:
             for raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 code, n = _read_pairs(*raw)
@@ -515,7 +530,7 @@ def assign(edges: DataFrame, kinds: np.ndarray, table: np.ndarray, classes: int,
                 cell = (at * 2 + ((code >> 31) & 1)) * size + kind[code & 0x7FFFFFFF]
                 cells, inverse = np.unique(cell, return_inverse=True)
                 own = kind[names].astype(np.int64)
-                best = best_classes(cells // (2 * size), cells // size % 2, cells % size, np.bincount(inverse, n).astype(np.int64), own, table_, classes, names)
+                best = best_classes(cells // (2 * size), cells // size % 2, cells % size, np.bincount(inverse, n).astype(np.int64), own, gains, names)
                 moved = np.flatnonzero(best != own)
                 yield pa.RecordBatch.from_arrays([pa.array([names[moved].astype("<i4").tobytes()]), pa.array([best[moved].astype("<i2").tobytes()])], names=["id", "kind"])
 
@@ -529,7 +544,7 @@ def assign(edges: DataFrame, kinds: np.ndarray, table: np.ndarray, classes: int,
 
 def class_count(words: int) -> int:
     """Classes of so many clustered words: each seed is split as the cube root of their number grows."""
-    return CLASSES * min(400, max(1, round((words / 6000) ** (1 / 3))))
+    return CLASSES * min(MOST_SPLIT, max(1, round((words / 6000) ** (1 / 3))))
 
 
 def cluster(texts: DataFrame, ids: Ids, tails: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -563,6 +578,32 @@ def cluster(texts: DataFrame, ids: Ids, tails: np.ndarray, tokens: int) -> tuple
     return kinds, table, classes
 
 
+class Model:
+    """Class bigrams mixed with unigrams: counts of known words and the end, kinds by id, and transitions between kinds.
+
+    `types` are the numbers of different words in the endings' classes, of which each has room for half an unseen one, as the
+    unigrams have for all unseen words together.
+    """
+
+    def __init__(self, counts: np.ndarray, kinds: np.ndarray, table: np.ndarray, classes: int, types: np.ndarray, total: int, words: int) -> None:
+        into = table.sum(0)
+        prior = (into + 1) / (into.sum() + len(into))
+        self.counts, self.kinds, self.classes, self.of_kind = counts, kinds, classes, np.maximum(into, 1)
+        self.mix = MIX if total else 1.0
+        self.step = (1 - self.mix) * (table + PRIOR * prior) / (table.sum(1, keepdims=True) + PRIOR)
+        self.room = total + 0.5 * (words + 1)
+        self.rare_room = into[classes + 1 :] + 0.5 * (types + 1)
+
+    def probabilities(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chances of a text's tokens, of `n` training occurrences each, under the unigrams and under the model."""
+        kind = self.kinds[ids].astype(np.int64)
+        rare = kind > self.classes
+        emit = n / self.of_kind[kind]
+        emit[rare] = (n[rare] + 0.5) / self.rare_room[kind[rare] - self.classes - 1]
+        base = (n + 0.5) / self.room
+        return base, self.step[np.append(self.classes, kind[:-1]), kind] * emit + self.mix * base
+
+
 def score_documents(docs: DataFrame, training: F.Column, held_out: F.Column) -> DataFrame:
     """Scores of every row under a model of the rows in `training`.
 
@@ -599,13 +640,8 @@ def score_documents(docs: DataFrame, training: F.Column, held_out: F.Column) ->
     types = np.zeros(ENDINGS)
     for r in vocabulary.where((F.col("word") != END) & (F.col("n") < EVIDENCE)).select("word").mapInArrow(endings, "ending int, n long").groupBy("ending").agg(F.sum("n").alias("n")).collect():
         types[r["ending"]] = r["n"]
-    into = table.sum(0)
-    prior = (into + 1) / (into.sum() + len(into))
-    step = (table + PRIOR * prior) / (table.sum(1, keepdims=True) + PRIOR)
-    mix = MIX if total else 1.0
-    room = total + 0.5 * (kinds_of_words + 1)
-    rare_room = into[classes + 1 :] + 0.5 * (types + 1)
-    model = {"n": np.array([r["n"] for r in known] + [texts_learnt], float), "kind": kinds, "of_kind": np.maximum(into, 1), "rare_room": rare_room, "step": (1 - mix) * step, "mix": mix}
+    known_counts = np.array([r["n"] for r in known] + [texts_learnt], float)
+    model = Model(known_counts, kinds, table, classes, types, total, kinds_of_words)
     shared = spark.sparkContext.broadcast(model)  # eight bytes a known word and two a clustered one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -616,14 +652,9 @@ def score_documents(docs: DataFrame, training: F.Column, held_out: F.Column) ->
                 at = np.append(_unpack(raw, "<i4", length), ids.end)
                 n = np.empty(len(at))
                 easy = at <= ids.end
-                n[easy] = m["n"][at[easy]]
+                n[easy] = m.counts[at[easy]]
                 n[~easy] = _unpack(counts, "<i8", more)
-                k = m["kind"][at].astype(np.int64)
-                rare = k > classes
-                emit = n / m["of_kind"][k]
-                emit[rare] = (n[rare] + 0.5) / m["rare_room"][k[rare] - classes - 1]
-                base = (n + 0.5) / room
-                p = m["step"][np.append(classes, k[:-1]), k] * emit + m["mix"] * base
+                base, p = m.probabilities(at, n)
                 out.append((len(at), int((n > 0).sum()), total, float(np.log10(base).sum()), float(np.log10(p).sum())))
             kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds_))], names=[x.split()[0] for x in SCORED.split(", ")])
@@ -635,6 +666,10 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def op5_brown_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every text of `documents` under a model of four in five of them; a null text is its end alone.
+
+    A row with a null doc_id is a training row; rows with equal ids, and repeated rows, are scored each.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = F.coalesce(doc_hash("doc_id") % 5 == 1, F.lit(False))
     return score_documents(docs, ~held, held)

@@ -1,8 +1,12 @@
 """Trained operators: plain arithmetic where it is exact, held-out accuracy where it isn't."""
 
 import math
+import os
 import random
 import re
+import subprocess
+import sys
+import textwrap
 import zlib
 from collections import Counter
 
@@ -121,6 +125,67 @@ def test_brown_scores(spark, monkeypatch):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def test_brown_scores_by_the_formula(spark, monkeypatch):
+    """Each text's score from classes and transitions, word by word; and all words, unseen ones and the end sum to one after any class."""
+    learnt, real = [], brown.cluster
+    monkeypatch.setattr(brown, "cluster", lambda *a: learnt.append(real(*a)) or learnt[-1])
+    rows = class_rows(120) + [(700, None), (702, "UNSEEN noun1 rare1 rare2"), (703, "rare1 Rare1 once,"), (704, "noun1 " * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = F.coalesce(doc_hash("doc_id") % 5 == 1, F.lit(False))
+    got = {r["doc_id"]: r["score"] for r in brown.score_documents(docs, ~held, held).collect()}
+    kinds, table, classes = learnt[0]
+    tokens = {i: [*brown.words_of(t or ""), b""] for i, t in rows}
+    counts = Counter(w for i, ws in tokens.items() if not is_held(i, 1) for w in ws)
+    total = sum(counts.values())
+    known = sorted((w for w in counts if w and counts[w] >= brown.EVIDENCE), key=lambda w: (-counts[w], w.decode()))
+    kind_of = {w: int(kinds[k]) for k, w in enumerate(known)} | {b"": classes}
+    kind = lambda w: kind_of.get(w, classes + 1 + brown.ending(w))
+    into = [sum(table[a][b] for a in range(len(table))) for b in range(len(table))]
+    types = Counter(brown.ending(w) for w in counts if w and counts[w] < brown.EVIDENCE)
+    base = lambda w: (counts[w] + 0.5) / (total + 0.5 * (len(counts) + 1))
+
+    def chance(before, k, n, base_):
+        prior = (into[k] + 1) / (sum(into) + len(into))
+        step = (table[before][k] + brown.PRIOR * prior) / (sum(table[before]) + brown.PRIOR)
+        emit = n / max(into[k], 1) if k <= classes else (n + 0.5) / (into[k] + 0.5 * (types[k - classes - 1] + 1))
+        return (1 - brown.MIX) * step * emit + brown.MIX * base_
+
+    for i, ws in tokens.items():
+        before = [classes, *map(kind, ws)]
+        assert got[i] == pytest.approx(sum(math.log10(chance(b, kind(w), counts[w], base(w))) for b, w in zip(before, ws, strict=False)), rel=1e-9)
+    used = {k for k in range(len(into)) if into[k]}
+    for before in range(len(table)):
+        seen = sum(chance(before, kind(w), counts[w], base(w)) for w in counts)
+        unseen = sum(chance(before, classes + 1 + e, 0, 0) for e in range(brown.ENDINGS)) + brown.MIX * base(b"never seen")
+        nowhere = sum(chance(before, k, max(into[k], 1), 0) for k in range(classes + 1) if k not in used)  # classes without words keep their prior
+        assert seen + unseen + nowhere == pytest.approx(1, rel=1e-9)
+
+
+def test_tables_of_many_classes_stay_small():
+    """At the most classes, a task's tables and what it takes to make them are a few hundred MB, and gains are the same however many counts are looked up."""
+    code = f"""
+        import resource
+        import numpy as np
+        from barloom.llm import brown
+        classes = brown.CLASSES * brown.MOST_SPLIT
+        table = np.random.default_rng(1).poisson(1, (classes + 33, classes + 33)).astype(float)
+        at = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        gains = brown.Gains(table, classes)
+        assert gains.most == 1
+        print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - at) // 1024)
+    """
+    got = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert int(got.stdout) < 500
+    r = np.random.default_rng(3)
+    w, d, k, n = np.repeat(np.arange(40), 6), np.tile([0, 0, 0, 1, 1, 1], 40), np.concatenate([np.sort(r.permutation(12)[:3]) for _ in range(80)]), r.integers(1, 12, size=240)
+    table, own, most = r.poisson(3, (12, 12)).astype(float), r.integers(10, 12, size=40), []
+    for cells in (1, 16 << 20):
+        brown.LOOKUP_CELLS, before = cells, brown.LOOKUP_CELLS
+        most.append(brown.best_classes(w, d, k, n, own, brown.Gains(table, 10), np.arange(40)))
+        brown.LOOKUP_CELLS = before
+    assert (most[0] == most[1]).all()
+
+
 def test_brown_clusters_words_beyond_the_head(spark, monkeypatch):
     """Four classes of words that all end alike, most of them outside the head, the broadcast table or 64 bytes."""
     for name, n in (("WORDS", 60), ("HEAD", 40), ("END_ID", 40), ("IDS", 41 + brown.ENDINGS)):
@@ -135,7 +200,7 @@ def test_brown_clusters_words_beyond_the_head(spark, monkeypatch):
 
 
 def test_brown_classes_grow_with_the_vocabulary():
-    assert [brown.class_count(n) for n in (0, 6000, 400_000)] == [64, 64, 256] and brown.class_count(10**7) > 700
+    assert [brown.class_count(n) for n in (0, 6000, 400_000)] == [64, 64, 256] and brown.class_count(10**7) > 700 and brown.class_count(10**10) == brown.CLASSES * brown.MOST_SPLIT
 
 
 def test_a_word_goes_to_its_best_class():
@@ -156,7 +221,7 @@ def test_a_word_goes_to_its_best_class():
         np.add.at(around, (0, kinds[stream[:-1][stream[1:] == w]]), 1)
         np.add.at(around, (1, kinds[stream[1:][stream[:-1] == w]]), 1)
         d, k = np.nonzero(around)
-        got = brown.best_classes(np.zeros(len(d), int), d, k, around[d, k], kinds[[w]].astype(np.int64), table(kinds), classes, np.array([w]))
+        got = brown.best_classes(np.zeros(len(d), int), d, k, around[d, k], kinds[[w]].astype(np.int64), brown.Gains(table(kinds), classes), np.array([w]))
         moved = [brown.likelihood(table(np.where(np.arange(words) == w, c, kinds))) for c in range(classes)]
         assert moved[got[0]] == pytest.approx(max(moved), rel=1e-12)  # two empty classes are alike
 
@@ -173,7 +238,7 @@ def test_words_that_move_at_once_do_not_all_go_to_a_small_class():
     np.add.at(table, (kinds[left], kinds[right]), 1)
     cells, n = np.unique(np.concatenate([left * 2 * size + size + kinds[right], right * 2 * size + kinds[left]]), return_counts=True)
     names, w = np.unique(cells // (2 * size), return_inverse=True)
-    plain, weighed = (brown.best_classes(w, cells // size % 2, cells % size, n, kinds[names], t, classes, names) for t in (table, brown.with_background(table)))
+    plain, weighed = (brown.best_classes(w, cells // size % 2, cells % size, n, kinds[names], brown.Gains(t, classes), names) for t in (table, brown.with_background(table)))
     assert (plain == 0).mean() > 0.5 and (weighed == 0).mean() < 1 / classes
 
 
