@@ -181,11 +181,3 @@ def test_default_grids(tmp_path):
     assert defaults.read_defaults(str(tmp_path / "d.yaml")) == {"ma.sma": {"window": [5, 6]}}
     with pytest.raises(ValueError):
         defaults.axis_values({"mode": "other"})
-
-
-def test_repairs_are_fed_from_what_is_kept(spark):
-    from barloom.streaming import live
-
-    events = spark.createDataFrame([("r", "repair", 9, 6, 9, "running"), ("r", "repair", 10, 6, 10, "running"), ("r", "accepted", 5, None, None, "running")], live.RUN_EVENTS)
-    kept = spark.range(0, 30).selectExpr("'r' AS run_id", "id AS minute", "1 AS warmup", "id AS seq")
-    assert sorted(r["minute"] for r in live.repaired(events, kept).collect()) == [6, 7, 8, 9, 10]
