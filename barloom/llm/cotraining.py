@@ -15,6 +15,7 @@ import math
 import pickle
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -26,9 +27,10 @@ from pyspark.sql import functions as F
 from barloom.llm.common import check_unused, materialize, scratch_scope, smallest_hashes, text_steps, unused
 from barloom.llm.tokens import windows
 
-#: Bound of the sample of labelled rows, and rows that a view teaches the other per class and round.
-LABELLED, TAUGHT = 6000, 200
-ROUNDS, CONFIDENT = 4, 0.97
+#: Bound of the sample of labelled rows, and rows that a view teaches the other a round: this share of the unlabelled ones, at most so
+#: many, and of each class in its share of the labelled rows.
+LABELLED, TAUGHT, TAUGHT_SHARE = 6000, 400, 0.1
+ROUNDS = 4
 #: Shares of the labelled rows that train, calibrate each view, weigh both, and set the threshold.
 PARTS = (0.64, 0.12, 0.12, 0.12)
 SHAPES, PLACES = 32, 64
@@ -157,6 +159,8 @@ class Model:
     threshold: float
     prior: float
     taught: int = 0
+    #: Rows that each view taught the other, by view and class.
+    lessons: dict[tuple[str, float], int] = field(default_factory=dict)
 
     def probability(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         if self.text is None:
@@ -179,7 +183,7 @@ def deal(y: np.ndarray, seed: int = 11) -> list[np.ndarray] | None:
     return parts if all(len(p) for rows in dealt for p in rows) else None
 
 
-#: What a view teaches: rows' views (text, meta) and labels.
+#: What a view teaches: rows' views (text, meta) and its calibrated chances that they are good.
 Taught = tuple[np.ndarray, np.ndarray, np.ndarray]
 #: From both views' regressions: what text teaches meta, and what meta teaches text. It remembers what it has taught.
 Teach = Callable[[Logistic, Logistic], tuple[Taught, Taught]]
@@ -248,11 +252,18 @@ def _matrices(text: list[bytes], meta: list[bytes]) -> tuple[np.ndarray, np.ndar
 TEACHING = "view string, label double, sure double, doc_id long, text binary, meta binary"
 
 
-def _most_confident(pool: DataFrame, text: Logistic, meta: Logistic, given: dict[str, set[int]], taught: int) -> list:
-    """The `taught` most confident rows of each view and label that the view hasn't given yet; ties by id, then views."""
+def quotas(rows: int, prior: float) -> dict[float, int]:
+    """Rows of each class that a view teaches a round, of so many unlabelled ones: as many of a class as its share of the labelled rows."""
+    total = min(TAUGHT, round(TAUGHT_SHARE * rows))
+    return {1.0: max(1, round(total * prior)), 0.0: max(1, round(total * (1 - prior)))}
+
+
+def _most_confident(pool: DataFrame, text: Logistic, meta: Logistic, given: dict[str, set[int]], quota: dict[float, int]) -> list:
+    """The `quota` most confident rows of each view and class that the view hasn't given yet; ties by id, then views."""
     models = {"text": text, "meta": meta}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = {name: np.array(sorted(ids), np.int64) for name, ids in given.items()}
         for b in batches:
             if not b.num_rows:
                 continue
@@ -260,16 +271,17 @@ def _most_confident(pool: DataFrame, text: Logistic, meta: Logistic, given: dict
             views = dict(zip(models, _matrices(texts, metas), strict=True))
             for name, m in models.items():
                 p = _expit(m.log_odds(views[name]))
+                new = np.flatnonzero(~np.isin(ids, before[name]))
                 for label, sure in ((1.0, p), (0.0, 1 - p)):
-                    at = [i for i in np.flatnonzero(sure >= CONFIDENT).tolist() if ids[i] not in given[name]]
-                    if len(at) > taught:  # rows of equal confidence as the last one are left for the ranking
-                        edge = np.sort(sure[at])[-taught]
-                        at = [i for i in at if sure[i] >= edge]
+                    at = new
+                    if len(at) > quota[label]:  # rows of equal confidence as the last one are left for the ranking
+                        at = at[sure[at] >= np.sort(sure[at])[-quota[label]]]
                     n = len(at)
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in (([name] * n, pa.string()), ([label] * n, pa.float64()), (sure[at], pa.float64()), ([ids[i] for i in at], pa.int64()), ([texts[i] for i in at], pa.binary()), ([metas[i] for i in at], pa.binary()))], names=[x.split()[0] for x in TEACHING.split(", ")])
 
     best = Window.partitionBy("view", "label").orderBy(F.desc("sure"), "doc_id", "text", "meta")
-    return pool.mapInArrow(run, TEACHING).withColumn("k", F.row_number().over(best)).where(F.col("k") <= taught).collect()  # 4 x taught rows
+    most = F.when(F.col("label") == 1.0, quota[1.0]).otherwise(quota[0.0])
+    return pool.mapInArrow(run, TEACHING).withColumn("k", F.row_number().over(best)).where(F.col("k") <= most).collect()  # both quotas of both views
 
 
 def train(featured: DataFrame, labels: DataFrame, views: str = "views") -> Model:
@@ -285,19 +297,26 @@ def train(featured: DataFrame, labels: DataFrame, views: str = "views") -> Model
     frame = F.broadcast(spark.createDataFrame([(i,) for i in sampled], "doc_id long"))
     known = sorted(rows.join(frame, "doc_id").join(marks, "doc_id").groupBy("doc_id").agg(F.min("v").alias("v"), F.first("y").alias("y")).collect(), key=lambda r: r["doc_id"])  # LABELLED rows
     pool = materialize(rows.join(marks, "doc_id", "left_anti").groupBy("doc_id").agg(F.min("v").alias("v")).select("doc_id", "v.*"), "quality-pool")
+    y = np.array([r["y"] for r in known], float)
+    quota = quotas(pool.count(), float(y.mean()) if len(y) else 1.0)
     given: dict[str, set[int]] = {"text": set(), "meta": set()}
+    lessons: Counter = Counter()
 
     def teach(text: Logistic, meta: Logistic) -> tuple[Taught, Taught]:
-        got = sorted(_most_confident(pool, text, meta, given, TAUGHT), key=lambda r: (r["view"], r["label"], r["k"]))
+        got = sorted(_most_confident(pool, text, meta, given, quota), key=lambda r: (r["view"], r["label"], r["k"]))
         out = []
         for name in ("text", "meta"):
             mine = [r for r in got if r["view"] == name]
             given[name].update(r["doc_id"] for r in mine)
-            out.append((*_matrices([bytes(r["text"]) for r in mine], [bytes(r["meta"]) for r in mine]), np.array([r["label"] for r in mine])))
+            lessons.update((name, r["label"]) for r in mine)
+            good = np.array([r["sure"] if r["label"] else 1 - r["sure"] for r in mine])
+            out.append((*_matrices([bytes(r["text"]) for r in mine], [bytes(r["meta"]) for r in mine]), good))
         return out[0], out[1]
 
     text, meta = _matrices([bytes(r["v"]["text"]) for r in known], [bytes(r["v"]["meta"]) for r in known])
-    return cotrain(text, meta, np.array([r["y"] for r in known], float), teach)
+    model = cotrain(text, meta, y, teach)
+    model.lessons = dict(lessons)
+    return model
 
 
 def score(featured: DataFrame, model: Model, views: str = "views", to: str = "quality") -> DataFrame:

@@ -323,6 +323,7 @@ def plain_cotraining(docs, marks):
     view = {d[0]: (cotraining.text_view(words, d[1] or "").astype("<f4").astype(float), meta(d)) for d in docs}
     known, pool = sorted(i for i in view if i in marks), sorted(i for i in view if i not in marks)
     given = (set(), set())
+    quota = cotraining.quotas(len(pool), np.mean([marks[i] for i in known]))
 
     def teach(*models):
         out = []
@@ -330,8 +331,8 @@ def plain_cotraining(docs, marks):
             p = {i: float(cotraining._expit(m.log_odds(view[i][k][None]))[0]) for i in pool}
             mine = []
             for label, sure in ((0.0, {i: 1 - x for i, x in p.items()}), (1.0, p)):
-                best = sorted((-s, i) for i, s in sure.items() if s >= cotraining.CONFIDENT and i not in given[k])[: cotraining.TAUGHT]
-                mine += [(i, label) for _, i in best]
+                best = sorted((-s, i) for i, s in sure.items() if i not in given[k])[: quota[label]]
+                mine += [(i, p[i]) for _, i in best]
             given[k].update(i for i, _ in mine)
             size = (cotraining.TEXT_SIZE, cotraining.META_SIZE)
             out.append((*(np.array([view[i][v] for i, _ in mine]).reshape(-1, size[v]) for v in (0, 1)), np.array([x for _, x in mine])))
@@ -343,7 +344,7 @@ def plain_cotraining(docs, marks):
 
 
 def test_cotraining_against_plain_lists(spark, monkeypatch):
-    monkeypatch.setattr(cotraining, "TAUGHT", 15)
+    monkeypatch.setattr(cotraining, "TAUGHT", 30)
     rows, labels = quality_rows(300, 7)
     model, want = plain_cotraining(rows, {i: q for i, q, _ in labels})
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
@@ -354,6 +355,21 @@ def test_cotraining_against_plain_lists(spark, monkeypatch):
         assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-6) and r["accepted"] == (want[r["doc_id"]] >= model.threshold)
 
 
+def test_both_views_teach_both_classes(spark):
+    """Each class in its share of the labelled rows, by either view, however sure the view is."""
+    path = "/root/testdata/sf0.01"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables")
+    docs, labels = (spark.read.parquet(f"{path}/{name}.parquet") for name in ("documents", "labels"))
+    featured = cotraining.materialize(cotraining.with_views(docs, keep=["doc_id"]), "views")
+    lessons = cotraining.train(featured, labels).lessons
+    good = labels.where("quality = 1").count() / labels.where("quality is not null").count()
+    for view in ("text", "meta"):
+        bad = lessons[view, 0.0] / (lessons[view, 0.0] + lessons[view, 1.0])
+        assert lessons[view, 0.0] >= 20 and abs(bad - (1 - good)) < 0.03, lessons
+    assert cotraining.quotas(10**9, 0.9) == {1.0: 360, 0.0: 40} and cotraining.quotas(0, 0.5) == {1.0: 1, 0.0: 1}
+
+
 def test_labelled_rows_are_dealt_into_parts_of_both_classes():
     y = np.array([1.0] * 90 + [0.0] * 10)
     parts = cotraining.deal(y)
