@@ -23,6 +23,8 @@ from barloom.llm.common import check_unused, doc_hash, smallest_hashes, text_ste
 from barloom.llm.tokens import windows
 
 BUCKETS, WIDTH = 1 << 16, 16
+#: Characters of words whose subwords are hashed at once.
+SPAN = 1 << 18
 #: Bound of the training sample: labelled documents, each with all of its subwords.
 TRAIN_DOCS = 4000
 #: Passes over the sample, and updates that a small one gets at least.
@@ -60,6 +62,41 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), (np.concatenate(hashes) * _SPREAD) >> np.uint32(16)
 
 
+def _of_long_word(word: str) -> Iterator[np.ndarray]:
+    """Buckets of the subwords of one long word, span by span; grams that go over a span's end are the span's where they begin."""
+    word = f"<{word}>"
+    whole = 0
+    powers = np.cumprod(np.full(SPAN, _PRIME, np.uint32), dtype=np.uint32)
+    for at in range(0, len(word), SPAN):
+        codes = np.frombuffer(word[at : at + SPAN + 3].encode("utf-32-le", "surrogatepass"), "<u4")
+        n = min(SPAN, len(word) - at)
+        rest = int((codes[:n] * powers[:n][::-1]).sum(dtype=np.uint32))
+        whole = (whole * int(powers[n - 1]) + rest) & 0xFFFFFFFF
+        h = codes
+        for k in (2, 3, 4):
+            h = h[:-1] * _PRIME + codes[k - 1 :] if len(h) else h
+            yield ((h[:n] + np.uint32(k)) * _SPREAD) >> np.uint32(16)
+    yield (np.array([whole], np.uint32) * _SPREAD) >> np.uint32(16)
+
+
+def subword_parts(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word, bucket) of all words' subwords, of about SPAN characters at a time, whatever words are long."""
+    at = 0
+    while at < len(words):
+        to, held = at, 0
+        while to < len(words) and held + len(words[to]) <= SPAN:
+            held += len(words[to]) + 2
+            to += 1
+        if to > at:
+            owner, bucket = subwords(words[at:to])
+            yield owner + at, bucket
+        else:
+            to = at + 1
+            for bucket in _of_long_word(words[at]):
+                yield np.full(len(bucket), at), bucket
+        at = to
+
+
 def letters(chunk: str) -> list[str]:
     """A chunk's words: runs of letters and their marks."""
     return [chunk] if chunk.isalpha() else _LETTERS.findall(chunk)
@@ -95,9 +132,9 @@ class _Words(dict):
             self.table = np.concatenate([self.table, np.zeros((max(len(self.table), len(new)), self.table.shape[1]))])
         words = [letters(x) for x in new]
         chunk = np.repeat(np.arange(len(new)), [len(w) for w in words])
-        word, bucket = subwords([w for ws in words for w in ws])
-        for k in range(self.table.shape[1]):
-            self.table[self.used : self.used + len(new), k] = np.bincount(chunk[word], self.of_bucket[bucket, k], len(new))
+        for word, bucket in subword_parts([w for ws in words for w in ws]):
+            for k in range(self.table.shape[1]):
+                self.table[self.used : self.used + len(new), k] += np.bincount(chunk[word], self.of_bucket[bucket, k], len(new))
         self.update(zip(new, range(self.used, self.used + len(new)), strict=True))
         self.used += len(new)
         self.bytes += sum(map(len, cores)) + sum(map(len, new))
@@ -203,7 +240,8 @@ def train(docs: DataFrame, usable: F.Column) -> Model | None:
             for t in texts_of(b):
                 counts = np.zeros(BUCKETS, np.int64)
                 for w in windows(t):
-                    counts += np.bincount(subwords([x for c in w.lower().split() for x in letters(c)])[1], minlength=BUCKETS)
+                    for _, bucket in subword_parts([x for c in w.lower().split() for x in letters(c)]):
+                        counts += np.bincount(bucket, minlength=BUCKETS)
                 hashes = np.flatnonzero(counts)
                 share = counts[hashes] / max(1, counts.sum())
                 out.append((hashes.astype("<u2").tobytes(), share.astype("<f4").tobytes()))

@@ -83,6 +83,33 @@ def test_training_sees_whole_texts_and_no_order(spark):
     assert all(x["lang"] == x["lang_pred"] for x in language_id.identify(ends, one).select("lang", "language.*").collect())
 
 
+def test_subwords_of_long_words_span_by_span(monkeypatch):
+    r = random.Random(12)
+    words = ["".join(r.choices("abcçé", k=n)) for n in (0, 1, 5, 37, 38, 39, 40, 41, 42, 80, 3, 400, 7)]
+    owner, bucket = language_id.subwords(words)
+    want = sorted(zip(owner.tolist(), bucket.tolist(), strict=True))
+    for span in (40, 4, 1000):
+        monkeypatch.setattr(language_id, "SPAN", span)
+        assert sorted((w, b) for o, k in language_id.subword_parts(words) for w, b in zip(o.tolist(), k.tolist(), strict=True)) == want
+
+
+def test_memory_of_one_long_word():
+    """A word of 64 million characters is scored in little more than its own copies."""
+    code = """
+        import resource
+        import numpy as np
+        from barloom.llm import language_id as L
+        model = L.Model(np.ones((L.BUCKETS, 4)), np.ones(L.BUCKETS), np.zeros(4), 1.0, 0.3, 0.0, ["a", "b", "c", "d"])
+        text = "abcdefgh" * (8 << 20)
+        at = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        best, score, _ = L.predict(model, L._Words(model), [text])
+        assert best[0] >= 0
+        print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - at) // 1024)
+    """
+    got = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert int(got.stdout) < 1000
+
+
 def test_languages_without_labels_or_rows(spark):
     schema = "doc_id long, text string, lang string"
     empty = spark.createDataFrame([], schema)
