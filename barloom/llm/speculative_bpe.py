@@ -28,6 +28,8 @@ from barloom.llm.tokens import PUNCTUATION, WORD_CHUNKS, byte_characters, lower_
 NEVER = np.iinfo(np.int64).max
 #: Characters from which a text is encoded window by window.
 LONG = 1 << 20
+#: Characters of a word from which it is encoded span by span.
+SPAN = 1 << 14
 
 
 class SpeculativeBpe:
@@ -70,6 +72,10 @@ class SpeculativeBpe:
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.array([*self.merge.values()], np.int64)[order]
         self.whole = self._whole()
+        #: Characters that each token stands for.
+        self.sizes = np.zeros(size, np.int64)
+        for s, i in vocab.items():
+            self.sizes[i] = len(s) - (len(self.suffix) if ends[i] else 0)
         self.characters = byte_characters()
         strings = {i: s for s, i in vocab.items()} | {i: s for s, i in self.specials.items()}
         self.strings = [strings.get(i, "").encode() for i in range(size)]
@@ -121,11 +127,18 @@ class SpeculativeBpe:
             whole[t] = meets[t] and whole[self.left[t]] and whole[self.right[t]]
         return whole
 
-    def propose(self, word: str) -> list[int]:
-        """Greedy longest match; the last token must hold the word's end. Takes time in proportion to the word's length."""
+    def propose(self, word: str, ends: bool = True) -> list[int]:
+        """Greedy longest match; the last token must hold the word's end (where it isn't a span of one). Takes time in proportion to the word's length."""
         out, at, n = [], 0, len(word)
         final, inner = self.final, self.inner
-        while True:
+        while not ends and at < n:
+            for stop in range(min(n, at + self.longest), at, -1):
+                token = inner.get(word[at:stop])
+                if token is not None:
+                    break
+            out.append(token)
+            at = stop
+        while ends:
             if n - at <= self.longest_final:
                 token = final.get(word[at:])
                 if token is not None:
@@ -137,14 +150,16 @@ class SpeculativeBpe:
                     break
             out.append(token)
             at = stop
+        return out
 
-    def merge_exactly(self, word: str) -> list[int]:
+    def merge_exactly(self, word: str, ends: bool = True) -> list[int]:
         """BPE by the rule: the lowest rank first, the leftmost of equal ones.
 
         Tokens are a linked list and pairs wait in a heap by rank and place; one whose tokens have changed is passed over.
         """
-        ids, size, rank = [self.inner[c] for c in word[:-1]], self.size, self.merge.get
-        ids.append(self.final[word[-1]])
+        ids, size, rank = [self.inner[c] for c in word], self.size, self.merge.get
+        if ends:
+            ids[-1] = self.final[word[-1]]
         n = len(ids)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(r, i) for i in range(n - 1) if (r := rank(ids[i] * size + ids[i + 1])) is not None]
@@ -164,9 +179,17 @@ class SpeculativeBpe:
                 heapq.heappush(heap, (more, h))
         return [x for x in ids if x >= 0]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[str]) -> list[list[int] | np.ndarray]:
         """Ids of words in byte-level characters."""
-        ids = [self.propose(w) for w in words]
+        out: list[list[int] | np.ndarray] = self._encode_parts([w for w in words if len(w) <= SPAN], [True] * len(words))
+        for i, w in enumerate(words):
+            if len(w) > SPAN:
+                out.insert(i, self._encode_long(w))
+        return out
+
+    def _encode_parts(self, words: list[str], ends: list[bool]) -> list[list[int]]:
+        """Ids of words, or of spans of them that don't hold their ends."""
+        ids = [self.propose(w, e) for w, e in zip(words, ends, strict=False)]
         sizes = np.array([len(x) for x in ids], np.int64)
         flat = np.array([i for x in ids for i in x], np.int64)
         word = np.repeat(np.arange(len(ids)), sizes)
@@ -175,11 +198,28 @@ class SpeculativeBpe:
         inside = np.flatnonzero(word[1:] == word[:-1])
         bad[word[inside[~self._pairs_hold(flat[inside], flat[inside + 1])]]] = True
         for i in np.flatnonzero(bad):
-            ids[i] = self.merge_exactly(words[i])
+            ids[i] = self.merge_exactly(words[i], ends[i])
         self.checked += len(ids)
         self.failed += int(bad.sum())
         return ids
 
+    def _encode_long(self, word: str) -> np.ndarray:
+        """Ids of a long word from overlapping spans: each begins at a token of the one before, after a pair that holds; of the whole word at once where spans don't meet."""
+        n, done, at = len(word), [], 0
+        (ids,) = self._encode_parts([word[:SPAN]], [n <= SPAN])
+        while at + SPAN < n:
+            stops = at + np.cumsum([self.sizes[x] for x in ids])
+            for k in range(len(ids) * 3 // 4, max(len(ids) * 3 // 4 - 64, 0), -1):
+                to = int(stops[k - 1])
+                (after,) = self._encode_parts([word[to : to + SPAN]], [to + SPAN >= n])
+                if after[0] == ids[k] or self._pairs_hold(np.array([ids[k - 1]]), np.array([after[0]]))[0]:
+                    break
+            else:
+                return np.array(self.merge_exactly(word), self.dtype)
+            done.append(np.array(ids[:k], self.dtype))
+            ids, at = after, to
+        return np.concatenate([*done, np.array(ids, self.dtype)])
+
     def _words(self, chunk: str) -> list[str | int]:
         """A chunk's words in lower case; special tokens as ids."""
         if not any(s in chunk for s in self.specials):
@@ -200,7 +240,7 @@ class SpeculativeBpe:
         words = list({w for p in parts for w in p if isinstance(w, str) and w not in self.ids_of_word})
         if words:
             ids = self.encode_words([w.encode().decode("latin-1").translate(self.characters) for w in words])
-            self.ids_of_word.update(zip(words, [array(code, x).tobytes() for x in ids], strict=True))
+            self.ids_of_word.update(zip(words, [x.tobytes() if isinstance(x, np.ndarray) else array(code, x).tobytes() for x in ids], strict=True))
         get = self.ids_of_word.__getitem__
         for c, p in zip(chunks, parts, strict=True):
             self.ids_of[c] = got = get(p[0]) if len(p) == 1 and isinstance(p[0], str) else b"".join([get(w) if isinstance(w, str) else array(code, [w]).tobytes() for w in p])

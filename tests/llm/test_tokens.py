@@ -1,5 +1,9 @@
 import hashlib
+import os
 import random
+import subprocess
+import sys
+import textwrap
 import zlib
 
 import numpy as np
@@ -72,6 +76,34 @@ def test_long_words_and_texts():
     assert np.frombuffer(enc.encode_bytes([text])[0], enc.dtype).tolist() == Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids
 
 
+def test_long_words_span_by_span(monkeypatch):
+    r = random.Random(6)
+    bpe = speculative_bpe.SpeculativeBpe(WORD)
+    characters = [*bpe.characters.values()]
+    words = ["".join(r.choices(some, k=r.randint(1, 500))) for some in ("ab", "abcdefghij", "the of and ing", "aaaaab") for _ in range(40)] + ["".join(map(chr, r.choices(characters, k=300))) for _ in range(40)]
+    words = [w for w in (w.replace(" ", "") for w in words) if w]
+    want = [bpe.merge_exactly(w) for w in words]
+    for span in (16, 50):
+        monkeypatch.setattr(speculative_bpe, "SPAN", span)
+        assert [list(x) for x in bpe.encode_words(words)] == want
+
+
+def test_time_and_memory_of_a_long_word():
+    code = f"""
+        import base64, random, resource, time
+        from barloom.llm.speculative_bpe import SpeculativeBpe
+        bpe = SpeculativeBpe({WORD!r})
+        bpe.encode(["warm up"])
+        word = base64.b64encode(random.Random(1).randbytes(3_000_000)).decode().replace("+", "a").replace("/", "b")
+        at, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+        assert len(bpe.encode([word])[0]) > 1_000_000
+        print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - at) // 1024, time.process_time() - began)
+    """
+    got = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    mb, seconds = got.stdout.split()
+    assert int(mb) < 300 and float(seconds) < 90, got.stdout  # the machine may be three times slower than usual
+
+
 def test_op6_operator(spark):
     lib = Tokenizer.from_file(WORD)
     got = {}
