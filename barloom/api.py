@@ -56,4 +56,5 @@ def variant_report(bars: DataFrame, indicators: Sequence[tuple[str, Mapping, Map
 
     each = [evaluate(bars, i, dict(p), **s).select("symbol", "idx", "signal") for i, p, s in indicators]
     signals = bars.select("symbol", "idx", "close").join(conjunction(reduce(DataFrame.unionByName, each)), ["symbol", "idx"])
-    return metrics.report(signals, execution.trades(signals, how), execution.equity_curve(signals, how), how.cash, tf_ms)
+    run = execution.Simulation(signals, how)
+    return metrics.report(signals, run.trades(), run.equity_curve(), how.cash, tf_ms)

@@ -11,10 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barloom.functions.scalars import div, sqrt_floor
 from barloom.operators.indicators import Indicator
-from barloom.operators.scan import Rolling, ewma, ordered_scan, rolled, running_sums
+from barloom.operators.scan import Rolling, ewma, rolled, running_sums, stretched_scan
 
 O, H, L, C, V = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
 #: Price series by name.
@@ -258,10 +259,10 @@ def _psar(df: DataFrame, p: dict) -> DataFrame:
     first, more, most = p["accel_start"], p["accel_step"], p["accel_max"]
 
     def step(s: dict, row: tuple) -> list[tuple]:
-        symbol, idx, high, low = row
+        high, low, *rest = row
         if high is None or low is None:
             s.clear()
-            return [(symbol, idx, None)]
+            return [(*rest, None)]
         if not s:
             s.update(long=True, stop=low, best=high, speed=first)
         else:
@@ -277,10 +278,9 @@ def _psar(df: DataFrame, p: dict) -> DataFrame:
                 if sign * (toward - s["best"]) > 0:
                     s.update(best=toward, speed=min(most, s["speed"] + more))
         s.update(high=high, low=low)
-        return [(symbol, idx, s["stop"])]
+        return [(*rest, s["stop"])]
 
-    out = ordered_scan(df, ["symbol"], ["idx"], ["symbol", "idx", "high", "low"], lambda k: {}, step, "symbol string, idx long, value double")
-    return df.join(out, ["symbol", "idx"])
+    return stretched_scan(df, ["symbol"], ["high", "low", *df.columns], lambda k: {}, step, StructType([*df.schema.fields]).add("value", "double"))
 
 
 @_define("trend.supertrend", window=5, mult=3.0)
@@ -289,10 +289,10 @@ def _supertrend(df: DataFrame, p: dict) -> DataFrame:
     mult = p["mult"]
 
     def step(s: dict, row: tuple) -> list[tuple]:
-        symbol, idx, high, low, close, atr = row
+        high, low, close, atr, *rest = row
         if None in (high, low, close, atr):
             s.clear()
-            return [(symbol, idx, None)]
+            return [(*rest, None)]
         mid = (high + low) * 0.5
         upper, lower = mid + mult * atr, mid - mult * atr
         if not s:
@@ -304,11 +304,9 @@ def _supertrend(df: DataFrame, p: dict) -> DataFrame:
                 s["lower"] = lower
             s["up"] = close >= s["lower"] if s["up"] else close > s["upper"]
         s["close"] = close
-        return [(symbol, idx, s["lower"] if s["up"] else s["upper"])]
+        return [(*rest, s["lower"] if s["up"] else s["upper"])]
 
-    withs = _with_atr(df, p["window"])
-    out = ordered_scan(withs, ["symbol"], ["idx"], ["symbol", "idx", "high", "low", "close", "atr"], lambda k: {}, step, "symbol string, idx long, value double")
-    return df.join(out, ["symbol", "idx"])
+    return stretched_scan(_with_atr(df, p["window"]), ["symbol"], ["high", "low", "close", "atr", *df.columns], lambda k: {}, step, StructType([*df.schema.fields]).add("value", "double"))
 
 
 @_define("trend.vortex", ("plus", "minus"), "plus", window=5)

@@ -1,12 +1,18 @@
-"""Close-fill trade simulation: one state machine for each (symbol, variant), streamed over its bars in order.
+"""Close-fill trade simulation: one state machine for each (symbol, variant), over its bars in order.
 
 On a bar's close, first the stops (loss before gain), then an exit by signal, then an entry where flat and where the
 signal differs from the bar before, and at the last bar whatever is open is closed.
+
+A history is many tasks. Which positions are held doesn't depend on money, and is known again after a position's end: stretches of
+bars settle it side by side (`Decisions`). A stretch's money then is a linear map of what enters it, known from its fills; the
+maps are chained, a row a stretch, and each stretch is simulated from the account that enters it. Only where an amount is fixed
+(sizing `fixed_quote`) the map isn't linear, and a history goes through one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators.scan import ordered_scan
+from barloom.operators.scan import Stretches, ordered_scan, unpack
 
 #: Default fees by market, in percent (fixed values).
 FEES_PCT = {1: 0.075, 2: 0.1, 3: 0.075, 4: 0.1}
@@ -51,10 +57,10 @@ class Execution:
 class Account:
     """State of one simulation: money free and set aside, the open position, and the signal before."""
 
-    __slots__ = ("e", "free", "safe", "open", "before", "count", "last", "stop_loss", "take_profit")
+    __slots__ = ("e", "free", "safe", "open", "before", "count", "stop_loss", "take_profit")
 
     def __init__(self, e: Execution, stop_loss: float | None, take_profit: float | None) -> None:
-        self.e, self.free, self.safe, self.open, self.before, self.count, self.last = e, e.cash, 0.0, None, 0, 0, None
+        self.e, self.free, self.safe, self.open, self.before, self.count = e, e.cash, 0.0, None, 0, 0
         self.stop_loss, self.take_profit = stop_loss, take_profit
 
     def enter(self, idx: int, close: float, side: int) -> None:
@@ -96,7 +102,7 @@ class Account:
             out.append(self.leave(idx, close, "signal_exit"))
         if not self.open and signal != self.before and signal:
             self.enter(idx, close, signal)
-        self.before, self.last = signal, (idx, close)
+        self.before = signal
         return out
 
     def value(self, close: float) -> float:
@@ -106,9 +112,84 @@ class Account:
         return self.free + self.safe + quote + side * (qty * close - quote)
 
 
-def _start(e: Execution):
-    # the stops' rates may come with the variant
-    return lambda key: Account(e, e.stop_loss if key[2] is None else key[2], e.take_profit if key[3] is None else key[3])
+def _stops(e: Execution, key: tuple) -> tuple[float | None, float | None]:
+    """The stops' rates, which may come with the variant."""
+    return e.stop_loss if key[2] is None else key[2], e.take_profit if key[3] is None else key[3]
+
+
+def _account(e: Execution, key: tuple, entry: bytes | None) -> Account:
+    """A new account, or the one that enters a stretch."""
+    account = Account(e, *_stops(e, key))
+    if entry is not None:
+        s = unpack(entry)
+        account.free, account.safe, account.before, account.count = s["free"], s["safe"], s["before"], s["count"]
+        if s["side"]:
+            account.open = (s["count"], s["side"], s["idx"], s["fill"], s["quote"] / s["fill"], s["quote"], s["quote"] * e.fee)
+    return account
+
+
+class Decisions:
+    """Positions without money: what `Account` holds and when, as long as there is money to enter with.
+
+    Beside them goes what a stretch does to money, as sums of what entered it (free, safe, and in the open position). A trade
+    that loses all that is free ends all entries.
+    """
+
+    def __init__(self, e: Execution) -> None:
+        self.e = e
+
+    def start(self, key: tuple) -> dict:
+        stop_loss, take_profit = _stops(self.e, key)
+        return {"side": 0, "idx": None, "fill": None, "before": 0, "stop_loss": stop_loss, "take_profit": take_profit}
+
+    def step(self, s: dict, row: tuple) -> list[tuple]:
+        idx, close, signal, e = int(row[0]), float(row[1]), int(row[2]), self.e
+        if "_free" not in s:
+            s.update(_free=(1.0, 0.0, 0.0), _safe=(0.0, 1.0, 0.0), _quote=(0.0, 0.0, 1.0), _count=0, _broke=False)
+        side, fill = s["side"], s["fill"]
+        if side:
+            loss, gain = s["stop_loss"], s["take_profit"]
+            out = (loss is not None and side * (close - fill * (1 - side * loss)) <= 0) or (gain is not None and side * (close - fill * (1 + side * gain)) >= 0)
+            if out or signal != side:
+                ratio = close * (1 - side * e.slippage) / fill
+                rate = side * (ratio - 1) - e.fee - ratio * e.fee
+                locked = rate * e.safe_percent / 100 if e.sizing == "strategy_compound_profit_lock" and rate > 0 else 0.0
+                back = 1 + side * (ratio - 1) - ratio * e.fee - locked
+                s["_free"] = tuple(x + back * q for x, q in zip(s["_free"], s["_quote"], strict=True))
+                s["_safe"] = tuple(x + locked * q for x, q in zip(s["_safe"], s["_quote"], strict=True))
+                s["_quote"] = (0.0, 0.0, 0.0)
+                s["_broke"] = s["_broke"] or back - e.fee <= 0
+                s.update(side=0, idx=None, fill=None)
+        if not s["side"] and signal != s["before"] and signal and not s["_broke"] and not (e.direction == "short-only" and signal > 0) and not (e.direction == "long-only" and signal < 0):
+            s["_quote"] = s["_free"]
+            s["_free"] = tuple(-e.fee * x for x in s["_free"])
+            s["_count"] += 1
+            s.update(side=signal, idx=idx, fill=close * (1 + signal * e.slippage))
+        s["before"] = signal
+        return []
+
+    @staticmethod
+    def summary(s: dict) -> tuple:
+        return s["_free"], s["_safe"], s["_quote"], s["_count"], s["_broke"]
+
+    def entries(self, cut: Stretches) -> DataFrame:
+        """(_key, _s, entry): the account that enters each stretch."""
+        settled, cash = cut.settle(self.start, self.step, self.summary), self.e.cash
+
+        def step(s: dict, row: tuple) -> list[tuple]:
+            at, entry, summary = row
+            state, (free, safe, quote, count, broke) = unpack(bytes(entry)), pickle.loads(bytes(summary))
+            money = (s["free"], s["safe"], s["quote"])
+            if s["broke"]:
+                state.update(side=0, idx=None, fill=None)
+            known = {k: v for k, v in state.items() if k in ("side", "idx", "fill", "before")}
+            out = (s["key"], at, pickle.dumps([*known.items(), ("free", money[0]), ("safe", money[1]), ("quote", money[2]), ("count", s["count"])]))
+            if not s["broke"]:
+                s["free"], s["safe"], s["quote"] = (sum(a * b for a, b in zip(form, money, strict=True)) for form in (free, safe, quote))
+                s["count"], s["broke"] = s["count"] + count, broke
+            return [out]
+
+        return ordered_scan(settled, ["_key"], ["_s"], ["_s", "entry", "summary"], lambda key: {"key": key[0], "free": cash, "safe": 0.0, "quote": 0.0, "count": 0, "broke": False}, step, "_key string, _s long, entry binary")
 
 
 def _prepared(signals: DataFrame) -> DataFrame:
@@ -120,54 +201,75 @@ def _prepared(signals: DataFrame) -> DataFrame:
     return df.where("close is not null")
 
 
-KEYS = ("symbol", "variant", "stop_loss", "take_profit")
+KEYS, COLUMNS = ("symbol", "variant", "stop_loss", "take_profit"), ("idx", "close", "signal")
 
 
-def trades(signals: DataFrame, execution: Execution) -> DataFrame:
-    """Trades of `signals` (symbol, idx, close, signal, and maybe variant, stop_loss, take_profit).
+class Simulation:
+    """The simulations of `signals` (symbol, idx, close, signal, and maybe variant, stop_loss, take_profit): their bars, and the accounts that enter their stretches."""
 
-    Trades are numbered by entry; two may end on one bar (a reversal on the last one), in that order.
-    """
+    def __init__(self, signals: DataFrame, execution: Execution) -> None:
+        self.bars, self.execution, self.cut, self.entering = _prepared(signals), execution, None, None
+        if execution.sizing != "fixed_quote":
+            self.cut = Stretches(self.bars, KEYS, COLUMNS)
+            self.entering = Decisions(execution).entries(self.cut) if self.cut.several else None
 
-    def start(key: tuple) -> list:
-        return [key, _start(execution)(key)]
+    def _run(self, load: Callable[[tuple, bytes | None], list], step: Callable[[list, tuple], list[tuple]], schema: str, end: Callable[[list, bool], list[tuple]]) -> DataFrame:
+        if self.cut is None:
+            return ordered_scan(self.bars, KEYS, ["idx"], COLUMNS, lambda key: load(key, None), step, schema, lambda s: end(s, True))
+        return self.cut.emit(self.entering, load, step, schema, end)
 
-    def step(s: list, row: tuple) -> list[tuple]:
-        return [(*s[0][:2], *t) for t in s[1].bar(int(row[0]), float(row[1]), int(row[2]))]
+    def trades(self) -> DataFrame:
+        """Trades, numbered by entry; two may end on one bar (a reversal on the last one), in that order."""
+        execution = self.execution
 
-    def end(s: list) -> list[tuple]:
-        return [(*s[0][:2], *s[1].leave(*s[1].last, "forced_close"))] if s[1].open else []
+        def load(key: tuple, entry: bytes | None) -> list:
+            return [key, _account(execution, key, entry), None]
 
-    return ordered_scan(_prepared(signals), KEYS, ["idx"], ["idx", "close", "signal"], start, step, TRADES, end)
+        def step(s: list, row: tuple) -> list[tuple]:
+            s[2] = (int(row[0]), float(row[1]))
+            return [(*s[0][:2], *t) for t in s[1].bar(*s[2], int(row[2]))]
 
+        def end(s: list, last: bool) -> list[tuple]:
+            return [(*s[0][:2], *s[1].leave(*s[2], "forced_close"))] if last and s[1].open else []
 
-def equity_curve(signals: DataFrame, execution: Execution) -> DataFrame:
-    """Value of each account at each bar's close, whether a trade covers the bar, and its entry's share of the value.
+        return self._run(load, step, TRADES, end)
 
-    A trade covers its bars from entry to exit, both included; at the last bar it's closed, with its costs.
-    """
+    def equity_curve(self) -> DataFrame:
+        """Value of each account at each bar's close, whether a trade covers the bar, and its entry's share of the value.
 
-    def start(key: tuple) -> list:
-        return [key, _start(execution)(key), None, 0.0]
+        A trade covers its bars from entry to exit, both included; at the last bar it's closed, with its costs.
+        """
+        execution = self.execution
 
-    def row(s: list) -> list[tuple]:
-        account, (idx, close), quote = s[1], s[2], s[3]
-        value = account.value(close)
-        return [(*s[0][:2], idx, value, quote > 0, quote / value if value else 0.0)]
+        def load(key: tuple, entry: bytes | None) -> list:
+            return [key, _account(execution, key, entry), None, 0.0]
 
-    def step(s: list, new: tuple) -> list[tuple]:
-        out = row(s) if s[2] else []  # a bar's row waits until it's known not to be the last
-        done = s[1].bar(int(new[0]), float(new[1]), int(new[2]))
-        s[2] = (int(new[0]), float(new[1]))
-        s[3] = s[1].open[5] if s[1].open else done[-1][7] if done else 0.0
-        return out
+        def row(s: list) -> list[tuple]:
+            account, (idx, close), quote = s[1], s[2], s[3]
+            value = account.value(close)
+            return [(*s[0][:2], idx, value, quote > 0, quote / value if value else 0.0)]
+
+        def step(s: list, new: tuple) -> list[tuple]:
+            out = row(s) if s[2] else []  # a bar's row waits until it's known not to be the last
+            done = s[1].bar(int(new[0]), float(new[1]), int(new[2]))
+            s[2] = (int(new[0]), float(new[1]))
+            s[3] = s[1].open[5] if s[1].open else done[-1][7] if done else 0.0
+            return out
+
+        def end(s: list, last: bool) -> list[tuple]:
+            if last and s[1].open:
+                s[1].leave(*s[2], "forced_close")
+            return row(s)
 
-    def end(s: list) -> list[tuple]:
-        if s[1].open:
-            s[1].leave(*s[2], "forced_close")
-        return row(s)
+        return self._run(load, step, EQUITY, end)
 
-    return ordered_scan(_prepared(signals), KEYS, ["idx"], ["idx", "close", "signal"], start, step, EQUITY, end)
+
+def trades(signals: DataFrame, execution: Execution) -> DataFrame:
+    return Simulation(signals, execution).trades()
+
+
+def equity_curve(signals: DataFrame, execution: Execution) -> DataFrame:
+    return Simulation(signals, execution).equity_curve()
 
 
 class Accounts:

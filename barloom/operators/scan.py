@@ -6,12 +6,15 @@
   after some rows is less than a double can tell, so a stretch gets copies of as many rows before it, as windows do, and
   all scans of an indicator, those of others' outputs too, are one pass over it in numpy.
 * `running_sums` and `running_max`: windows inside stretches, and what the stretches before carry over (a row a stretch).
+* `stretched_scan`: a state machine over stretches side by side. Each starts from what rows before it make of a cold start;
+  where that isn't what the stretch before leaves, it is run again from there, until all agree.
 * `ordered_scan`: any state machine, streamed in order with a carried state; a key's rows meet in one task, in batches.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -21,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from barloom.sources.scratch import materialize
+
 SIZE = 65_536
 
 
@@ -117,13 +122,13 @@ def linear_scans(df: DataFrame, scans: Sequence[tuple[str, str, float, float]])
     back: dict[str, int] = {}
     for name, to, decay, _ in scans:
         back[to] = back.get(name, 0) + _memory(decay)
-    idx, most = F.col("idx"), max(back.values())
+    idx, most, size = F.col("idx"), max(back.values()), SIZE
     columns = df.columns
 
     def run(part: pa.Table) -> pa.Table:
         at = part["idx"].to_numpy()
         part = part.take(pa.array(np.argsort(at, kind="stable")))
-        keep = pa.array(part["idx"].to_numpy() // SIZE == part["_s"][0].as_py())
+        keep = pa.array(part["idx"].to_numpy() // size == part["_s"][0].as_py())
         values: dict[str, np.ndarray] = {}
         for name, to, decay, gain in scans:
             x = values[name] if name in values else part[name].to_numpy().astype(float)
@@ -199,3 +204,128 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], colum
 
     ordered = df.select(*dict.fromkeys([*keys, *columns, *order])).repartition(*keys).sortWithinPartitions(*keys, *order)
     return ordered.mapInPandas(run, schema)
+
+
+#: Rows before a stretch from which its entry state is guessed.
+WARM = 4096
+Start, Step, End = Callable[[tuple], dict], Callable[[dict, tuple], list[tuple]], Callable[[dict], list[tuple]]
+
+
+def pack(state: dict) -> bytes:
+    """A state as bytes, the same for equal ones; what is under names with an underscore belongs to a stretch, not to the state."""
+    return pickle.dumps(sorted((k, v) for k, v in state.items() if not k.startswith("_")))
+
+
+def unpack(raw: bytes) -> dict:
+    return dict(pickle.loads(raw))
+
+
+def _values(part: pa.Table, names: Sequence[str]) -> list[tuple]:
+    """Rows of `names` in the order of idx; NaN is missing."""
+    part = part.take(pa.array(np.argsort(part["idx"].to_numpy(), kind="stable")))
+    return [*zip(*([None if x != x else x for x in part[n].to_pylist()] for n in names), strict=True)]
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = [*zip(*rows, strict=True)] or [[]] * len(schema)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+class Stretches:
+    """Rows of each key, by idx, cut into stretches of SIZE; they are written once, and every pass reads them as they are.
+
+    A group of a pass is a stretch, with WARM rows more in the first one, whatever a key's history is. Rows of a key have
+    different idx; nulls and repeated keys are keys of their own.
+    """
+
+    SETTLED = pa.schema([("_key", pa.string()), ("_s", pa.int64()), ("entry", pa.binary()), ("exit", pa.binary()), ("summary", pa.binary())])
+
+    def __init__(self, df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> None:
+        self.keys, self.columns, self.size = [*keys], [*columns], SIZE
+        # Spark keeps a table's own columns by name, so a key may be a column of the rows, too
+        d = df.select(*dict.fromkeys([*keys, "idx", *columns])).withColumn("_key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+        self.rows = materialize(d, "stretches").withColumn("_s", F.floor(F.col("idx") / self.size))
+        ends = self.rows.groupBy("_key").agg((F.max("_s") - F.min("_s")).alias("more"))
+        self.several = bool(ends.agg(F.coalesce(F.max("more"), F.lit(0))).first()[0])
+
+    def settle(self, start: Start, step: Step, summary: Callable[[dict], object] = lambda state: None) -> DataFrame:
+        """(_key, _s, entry, exit, summary) of each stretch, written: states before and after it, and what `summary` says at its end."""
+        keys, columns, size, schema, last = self.keys, self.columns, self.size, self.SETTLED, WARM
+
+        def run(key: tuple, s: int, part: pa.Table, entry: bytes | None) -> tuple:
+            rows = _values(part, [*keys, "idx", *columns])
+            own, width = rows[0][: len(keys)], len(keys)
+            state = start(own) if entry is None else unpack(entry)
+            if entry is None:
+                for r in rows:
+                    if r[width] < s * size:
+                        step(state, r[width + 1 :])
+                state = unpack(pack(state))
+            entry = pack(state)
+            for r in rows:
+                if r[width] >= s * size:
+                    step(state, r[width + 1 :])
+            return key, s, entry, pack(state), pickle.dumps(summary(state))
+
+        def guess(key: tuple, part: pa.Table) -> pa.Table:
+            s = key[1].as_py()
+            own = part["idx"].to_numpy().max() >= s * size  # else only copies that reach beyond the key's last stretch, or into a hole
+            return _table([run(key[0].as_py(), s, part, None)] if own else [], schema)
+
+        def again(key: tuple, part: pa.Table, known: pa.Table) -> pa.Table:
+            return _table([run(key[0].as_py(), key[1].as_py(), part, known["entry"][0].as_py())] if len(known) and len(part) else [], schema)
+
+        kind, idx = "_key string, _s long, entry binary, exit binary, summary binary", F.col("idx")
+        group = ("_key", "_s")
+        copies = self.rows.withColumn("_s", F.explode(F.sequence(F.col("_s"), F.floor((idx + last) / size))))
+        done = materialize(copies.groupBy(*group).applyInArrow(guess, kind), "settled")
+        while True:
+            before = F.lag("exit").over(Window.partitionBy("_key").orderBy("_s"))  # a row a stretch
+            wrong = materialize(done.withColumn("due", before).where("due is not null and due <> entry").select("_key", "_s", F.col("due").alias("entry")), "unsettled")
+            if not wrong.limit(1).count():
+                return done
+            rows = self.rows.join(wrong.select(*group), [*group], "left_semi")
+            mended = rows.groupBy(*group).cogroup(wrong.groupBy(*group)).applyInArrow(again, kind)
+            done = materialize(done.join(wrong, [*group], "left_anti").unionByName(mended), "settled")
+
+    def emit(self, entries: DataFrame | None, load: Callable[[tuple, bytes | None], object], step: Callable[[object, tuple], list[tuple]], schema: str | StructType, end: Callable[[object, bool], list[tuple]] | None = None) -> DataFrame:
+        """Rows of all stretches from their entry states (`entries`: _key, _s, entry; none: every key is one stretch), as `ordered_scan` has them.
+
+        `end` is told whether a stretch is its key's last.
+        """
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import _parse_datatype_string
+
+        keys, columns = self.keys, self.columns
+        out = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
+
+        def run(part: pa.Table, entry: bytes | None, last: bool) -> pa.Table:
+            rows, width, made = _values(part, [*keys, *columns]), len(keys), []
+            if rows:
+                state = load(rows[0][:width], entry)
+                for r in rows:
+                    made += step(state, r[width:])
+                if end:
+                    made += end(state, last)
+            return _table(made, out)
+
+        if entries is None:
+            return self.rows.groupBy("_key").applyInArrow(lambda part: run(part, None, True), schema)
+
+        def one(key: tuple, part: pa.Table, known: pa.Table) -> pa.Table:
+            return run(part, known["entry"][0].as_py(), known["last"][0].as_py()) if len(known) else _table([], out)
+
+        known = entries.withColumn("last", F.lead("_s").over(Window.partitionBy("_key").orderBy("_s")).isNull()).select("_key", "_s", "entry", "last")
+        return self.rows.groupBy("_key", "_s").cogroup(known.groupBy("_key", "_s")).applyInArrow(one, schema)
+
+
+def stretched_scan(df: DataFrame, keys: Sequence[str], columns: Sequence[str], start: Start, step: Step, schema: str | StructType, end: End | None = None) -> DataFrame:
+    """What `ordered_scan` gives by idx, with a key's history spread over tasks. A state is a dict of plain values.
+
+    The first stretch of a key starts as `start` says, so its states are right, and each round makes at least the next
+    one's right: the result doesn't depend on guesses. A machine that forgets needs one or two rounds; one that
+    remembers forever needs as many as there are stretches.
+    """
+    cut = Stretches(df, keys, columns)
+    load = lambda key, entry: start(key) if entry is None else unpack(entry)
+    return cut.emit(cut.settle(start, step) if cut.several else None, load, step, schema, end and (lambda state, last: end(state) if last else []))

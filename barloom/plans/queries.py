@@ -111,8 +111,8 @@ def _figures(df: DataFrame, places: int = 4) -> DataFrame:
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = carried_signals(spark, sf_dir)
-    t, e = execution.trades(s, EXECUTION), execution.equity_curve(s, EXECUTION)
-    return _figures(metrics.report(s, t, e, EXECUTION.cash, HOUR))
+    run = execution.Simulation(s, EXECUTION)
+    return _figures(metrics.report(run.bars, run.trades(), run.equity_curve(), EXECUTION.cash, HOUR))
 
 
 def _ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
