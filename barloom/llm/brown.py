@@ -238,9 +238,9 @@ def encode(docs: DataFrame, words: dict[bytes, int], others: DataFrame, vocabula
     return out
 
 
-def _streams(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[np.ndarray]:
+def _streams(batches: Iterator[pa.RecordBatch], end: int, limit: int = 1 << 20) -> Iterator[np.ndarray]:
     """Ids of texts one after another (length, ids), with `end` before, between and after them."""
-    for b in text_steps(batches, 1 << 20):
+    for b in text_steps(batches, limit):
         parts = [np.array([end], "<i4")]
         for n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             parts += [_unpack(raw, "<i4", n), parts[0]]
@@ -253,13 +253,14 @@ def neighbours(texts: DataFrame, kinds: np.ndarray, low: np.ndarray, end: int) -
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, low_ = shared.value
-        kind = kind.astype(np.int64)
+        kind, low_ = kind.astype(np.int64), low_.astype(np.int64)
         total = np.zeros((2, IDS * KINDS), np.int64)
-        for stream in _streams(batches, end):
-            stream = low_[stream].astype(np.int64)
-            left, right = stream[:-1], stream[1:]
-            total[0] += np.bincount(right * KINDS + kind[left], minlength=IDS * KINDS)
-            total[1] += np.bincount(left * KINDS + kind[right], minlength=IDS * KINDS)
+        for stream in _streams(batches, end, 4 << 20):
+            stream = low_[stream]
+            each = kind[stream]
+            stream *= KINDS
+            total[0] += np.bincount(stream[1:] + each[:-1], minlength=IDS * KINDS)
+            total[1] += np.bincount(stream[:-1] + each[1:], minlength=IDS * KINDS)
         both = np.ascontiguousarray(total.reshape(2, IDS, KINDS).transpose(1, 0, 2))
         used = np.flatnonzero(both.any((1, 2)))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([both[i].tobytes() for i in used], pa.binary())], names=["id", "counts"])
@@ -439,13 +440,27 @@ class Gains:
         self.size, self.classes = len(table), classes
         self.both = np.stack([table[:, :classes].T, table[:classes]])
         self.sums = self.both.sum(2)
+        #: The same by side, neighbour's class and class, and its logarithms.
+        self.rows = np.ascontiguousarray(self.both.transpose(0, 2, 1))
+        self.plain = _xlogx(self.rows)
         rows = 2 * self.size
         self.most = max(1, min(LOOKED_UP, LOOKUP_CELLS // max(rows * classes, 1)))
         #: Gains by count, side and neighbour's class; counts above `most` take the zeros in the last row.
         self.looked = np.zeros((self.most * rows + 1, classes), np.float32)
-        plain = _xlogx(self.both)
         for a in range(1, self.most + 1):
-            self.looked[(a - 1) * rows : a * rows] = (_xlogx(self.both + a) - plain).transpose(0, 2, 1).reshape(-1, classes)
+            self.looked[(a - 1) * rows : a * rows] = (_xlogx(self.rows + a) - self.plain).reshape(-1, classes)
+
+    def sums_of(self, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Sums of the looked-up rows between each two of `bounds`, those of as many rows together."""
+        counts, out = np.diff(bounds), np.zeros((len(bounds) - 1, self.classes))
+        order = np.argsort(counts, kind="stable")
+        sizes, first = np.unique(counts[order], return_index=True)
+        for m, a, b in zip(sizes.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+            step = max(1, CELLS // max(m * self.classes, 1))
+            for i in range(a, b, step):
+                some = order[i : min(i + step, b)]
+                out[some] = self.looked.take(rows[bounds[some][:, None] + np.arange(m)], axis=0).sum(1)
+        return out
 
 
 def best_classes(words: np.ndarray, side: np.ndarray, kind: np.ndarray, n: np.ndarray, own: np.ndarray, gains: Gains, names: np.ndarray) -> np.ndarray:
@@ -461,15 +476,14 @@ def best_classes(words: np.ndarray, side: np.ndarray, kind: np.ndarray, n: np.nd
     bounds = np.searchsorted(words, np.arange(len(own) + 1))
     at = 0
     while at < len(own):
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CELLS // classes, "right")) - 1)
+        to = min(len(own), at + max(1, 4 * CELLS // classes))
         e = slice(bounds[at], bounds[to])
         w, d, k, a = words[e] - at, side[e], kind[e], n[e]
-        total = np.add.reduceat(looked.take(rows[e], axis=0), bounds[at:to] - bounds[at], axis=0).astype(float)
-        big = np.flatnonzero(a > gains.most)
-        if len(big):
-            x = both[d[big], :, k[big]]
+        total = gains.sums_of(rows[e], bounds[at : to + 1] - bounds[at])
+        every = np.flatnonzero(a > gains.most)
+        for big in np.split(every, np.arange(0, len(every), max(1, CELLS // classes))[1:]) if len(every) else ():
             first = np.flatnonzero(np.diff(w[big], prepend=-1))
-            total[w[big][first]] += np.add.reduceat(_xlogx(x + a[big, None]) - _xlogx(x), first, axis=0)
+            total[w[big][first]] += np.add.reduceat(_xlogx(gains.rows[d[big], k[big]] + a[big, None]) - gains.plain[d[big], k[big]], first, axis=0)
         settled = np.flatnonzero(own[at:to] < classes)
         present = own[at:to][settled]
         # in its own class a word's counts are there already
@@ -526,7 +540,8 @@ def assign(edges: DataFrame, kinds: np.ndarray, table: np.ndarray, classes: int,
                 code, n, word = code[go], n[go], word[go]
                 if not len(code):
                     continue
-                names, at = np.unique(word, return_inverse=True)
+                new = np.append(True, word[1:] != word[:-1])  # codes are sorted by word
+                names, at = word[new], np.cumsum(new) - 1
                 cell = (at * 2 + ((code >> 31) & 1)) * size + kind[code & 0x7FFFFFFF]
                 cells, inverse = np.unique(cell, return_inverse=True)
                 own = kind[names].astype(np.int64)
