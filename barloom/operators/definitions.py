@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from barloom.functions.scalars import div, sqrt_floor
-from barloom.operators.indicators import Indicator
+from barloom.operators.indicators import Indicator, Registry
 from barloom.operators.scan import Rolling, ewma, rolled, running_sums, stretched_scan
 
 O, H, L, C, V = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
@@ -22,7 +22,7 @@ O, H, L, C, V = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
 SOURCES: dict[str, Column] = {"open": O, "high": H, "low": L, "close": C, "hl2": (H + L) / 2, "hlc3": (H + L + C) / 3, "ohlc4": (O + H + L + C) / 4}
 SOURCE_AXIS = ("close", "hl2", "hlc3", "ohlc4", "low", "high", "open")
 
-REGISTRY: dict[str, Indicator] = {}
+REGISTRY: dict[str, Indicator] = Registry()
 #: Values of several points of parameters in one pass, as columns of these names.
 Many = Callable[[DataFrame, list[dict], list[str]], DataFrame]
 
@@ -186,7 +186,7 @@ def _stoch(df: DataFrame, p: dict) -> DataFrame:
     return rolled(df, k + s, stages)
 
 
-@_define("momentum.trix", ("trix", "signal"), "trix", source="close", window=5)
+@_define("momentum.trix", ("trix", "signal"), "trix", source="close", window=5, signal_window=3)
 def _trix(df: DataFrame, p: dict) -> DataFrame:
     e = F.col("e3")
     return rolled(_chained(df, p, 3), 1, lambda d, r: d.withColumn("value", 100 * (div(e, r.lag(e)) - 1)))
@@ -196,8 +196,8 @@ def _fast_slow(df: DataFrame, p: dict) -> DataFrame:
     return ewma(_src(df, p), ("x", "f", EMA(p["fast"])), ("x", "s", EMA(p["slow"])))
 
 
-_define("momentum.macd", ("macd", "signal", "hist"), "macd", source="close", fast=3, slow=6)(lambda df, p: _fast_slow(df, p).withColumn("value", F.col("f") - F.col("s")))
-_define("momentum.ppo", ("ppo", "signal", "hist"), "ppo", source="close", fast=3, slow=6)(lambda df, p: _fast_slow(df, p).withColumn("value", 100 * div(F.col("f") - F.col("s"), F.col("s"))))
+_define("momentum.macd", ("macd", "signal", "hist"), "macd", source="close", fast=3, slow=6, signal_window=3)(lambda df, p: _fast_slow(df, p).withColumn("value", F.col("f") - F.col("s")))
+_define("momentum.ppo", ("ppo", "signal", "hist"), "ppo", source="close", fast=3, slow=6, signal_window=3)(lambda df, p: _fast_slow(df, p).withColumn("value", 100 * div(F.col("f") - F.col("s"), F.col("s"))))
 
 
 # Trend

@@ -9,6 +9,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: What ids of the structure family may be written with, and other names of parameters in requests and files (fixed values).
+PREFIX = "structure."
+_FAST_SLOW = {"fast_window": "fast", "slow_window": "slow"}
+OTHER_PARAMETERS = {"momentum.macd": _FAST_SLOW, "momentum.ppo": _FAST_SLOW, "momentum.stoch_rsi": {"rsi_window": "window"}}
+
+
+def canonical(id_: str) -> str:
+    """An indicator's id in this library."""
+    return id_.removeprefix(PREFIX)
+
+
+class Registry(dict):
+    """Definitions by id, however their family is written."""
+
+    def __missing__(self, id_: str) -> Indicator:
+        if canonical(id_) == id_:
+            raise KeyError(id_)
+        return self[canonical(id_)]
+
+
 @dataclass(frozen=True)
 class Indicator:
     """A definition: its family, default parameters, whether it has a source axis, outputs, and the computation."""
@@ -23,7 +43,12 @@ class Indicator:
     many: Callable[[DataFrame, list[dict], list[str]], DataFrame] | None = None
 
     def parameters(self, params: Mapping) -> dict:
-        """`params` over the defaults, checked."""
+        """`params` over the defaults, checked; their other names are understood."""
+        names = OTHER_PARAMETERS.get(self.id, {"atr_window": "window"} if self.id.startswith("candle_") else {})
+        given = [names.get(k, k) for k in params]
+        if len(set(given)) < len(given):
+            raise ValueError(f"{self.id}: a parameter is given under two names")
+        params = dict(zip(given, params.values(), strict=True))
         unknown = set(params) - set(self.defaults)
         if unknown:
             raise ValueError(f"{self.id} has no parameter {', '.join(sorted(unknown))}")

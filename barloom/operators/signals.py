@@ -11,6 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.operators.indicators import canonical
 from barloom.operators.scan import rolled
 
 LONG, NEUTRAL, SHORT = 1, 0, -1
@@ -43,7 +44,7 @@ DEPENDS = {"pivots": ("pivot_low", "pivot_high")}
 
 def rule_of(indicator: str) -> str:
     for rule, ids in RULES.items():
-        if indicator in ids:
+        if canonical(indicator) in ids:
             return rule
     raise ValueError(f"{indicator} has no signal rule")
 
@@ -172,4 +173,4 @@ def conjunction_of(columns: Sequence[Column]) -> Column:
 
 def expand_dependencies(ids: Sequence[str]) -> list[str]:
     """The indicators to compute for `ids`, each once, with those that their rules read."""
-    return list(dict.fromkeys(d for i in ids for d in (i, *DEPENDS.get(i, ()))))
+    return list(dict.fromkeys(d for i in ids for d in (i, *DEPENDS.get(canonical(i), ()))))

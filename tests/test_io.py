@@ -181,3 +181,43 @@ def test_default_grids(tmp_path):
     assert defaults.read_defaults(str(tmp_path / "d.yaml")) == {"ma.sma": {"window": [5, 6]}}
     with pytest.raises(ValueError):
         defaults.axis_values({"mode": "other"})
+
+
+def test_ids_and_names_of_requests(spark, tmp_path):
+    """Ids with their family, and parameters by requests' names, resolve and compute at their first point; signal defaults are read."""
+    from barloom.operators import defaults, search, signals
+    from barloom.operators.indicators import registry
+
+    axis = lambda *v: {"mode": "explicit", "values": [*v]}
+    entries = {
+        "momentum.macd": {"fast_window": axis(2, 4), "slow_window": axis(4, 8), "signal_window": axis(3)},
+        "momentum.ppo": {"fast_window": axis(2), "slow_window": axis(4), "signal_window": axis(3)},
+        "momentum.stoch_rsi": {"rsi_window": axis(3), "k_window": axis(2), "smoothing": axis(2), "d_window": axis(2)},
+        "momentum.trix": {"window": axis(2), "signal_window": axis(3)},
+        "structure.candle_stats": {},
+        "structure.candle_stats_atr_norm": {"atr_window": axis(2)},
+        "structure.distance_to_ma_norm": {"window": axis(3)},
+        "structure.percent_rank": {"window": axis(3)},
+        "structure.pivots": {"left": axis(2), "right": axis(2)},
+        "structure.zscore": {"window": axis(3)},
+    }
+    spec = {"defaults": {k: {"params": v} for k, v in entries.items()}}
+    spec["defaults"]["structure.zscore"]["signals"] = {"v1": {"params": {"Long_threshold": -1, "short_threshold": {"mode": "range", "start": 1, "stop_incl": 2, "step": 1}}}}
+    (tmp_path / "d.json").write_text(json.dumps(spec))
+    path = str(tmp_path / "d.json")
+    axes, signal = defaults.read_defaults(path), defaults.read_signal_defaults(path)
+    assert signal == {"structure.zscore": {"long_threshold": [-1], "short_threshold": [1, 2]}}
+    parts = defaults.requested_each("structure.zscore", axes, signal)
+    assert [dict(p.signal) for p in parts] == [{"long_threshold": -1, "short_threshold": 1}, {"long_threshold": -1, "short_threshold": 2}]
+    rows = [("a", i, 10.0 + i, 11.0 + i % 5 + i, 9.0 + i, 10.0 + i + (-1) ** i * 0.5, 5.0) for i in range(12)]
+    bars = spark.createDataFrame(rows, "symbol string, idx long, open double, high double, low double, close double, volume double")
+    for name in entries:
+        point = defaults.requested(name, axes).points()[0]
+        assert registry()[name](bars, **point).count() == 12 and signals.rule_of(name)
+    own = {r["idx"]: r["value"] for r in registry()["momentum.macd"](bars, fast=2, slow=4).collect()}
+    assert own == {r["idx"]: r["value"] for r in registry()["momentum.macd"](bars, fast_window=2, slow_window=4).collect()}
+    assert search.point_signals(bars, [*parts, defaults.requested("momentum.macd", axes)]).first()["signals"] is not None
+    assert signals.expand_dependencies(["structure.pivots"])[1:] == ["pivot_low", "pivot_high"]
+    for wrong, params in (("structure.other", {}), ("momentum.macd", {"fast": 2, "fast_window": 2}), ("zscore", {"fast_window": 2})):
+        with pytest.raises((KeyError, ValueError)):
+            registry()[wrong](bars, **params)
