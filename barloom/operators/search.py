@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property
-from itertools import product
+from itertools import groupby, product
 from math import prod
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from barloom.functions.scalars import canonical_json, decode_radix, div
 from barloom.operators.execution import TOGETHER, Execution, figures
 from barloom.operators.indicators import registry
+from barloom.operators.lengths import grid_signals, has_kernel
 from barloom.operators.signals import column_signals, evaluate
 from barloom.sources.scratch import materialize
 
@@ -96,21 +97,25 @@ def point_signals(bars: DataFrame, parts: Sequence[Part]) -> DataFrame:
         raise ValueError("a search needs at least one indicator")
     columns = bars.columns
     out, stages = bars.withColumn("_sig", F.array().cast("array<byte>")), 0
-    for p in parts:
-        points, indicator = p.points(), registry()[p.indicator]
-        step = SHARED if indicator.many else 1
-        for at in range(0, len(points), step):
-            some = points[at : at + step]
-            wide = column_signals(out, p.indicator, some, **p.signal) if indicator.many else None
-            if wide is None:
-                for point in some:
-                    s = evaluate(out, p.indicator, point, **p.signal)
-                    out = s.select(*columns, F.concat("_sig", F.array("signal")).alias("_sig"))
-            else:
-                out = wide[0].select(*columns, F.concat("_sig", F.array(*wide[1])).alias("_sig"))
-            stages += 1
-            if stages % STAGES == 0:
-                out = materialize(out, "point-signals")
+    for kernel, some in groupby(parts, lambda p: has_kernel(p.indicator)):
+        if kernel:  # windows of all lengths of all of them in one pass
+            out = grid_signals(out, [(p.indicator, p.points(), p.signal) for p in some], "_sig")
+            continue
+        for p in some:
+            points, indicator = p.points(), registry()[p.indicator]
+            step = SHARED if indicator.many else 1
+            for at in range(0, len(points), step):
+                few = points[at : at + step]
+                wide = column_signals(out, p.indicator, few, **p.signal) if indicator.many else None
+                if wide is None:
+                    for point in few:
+                        s = evaluate(out, p.indicator, point, **p.signal)
+                        out = s.select(*columns, F.concat("_sig", F.array("signal")).alias("_sig"))
+                else:
+                    out = wide[0].select(*columns, F.concat("_sig", F.array(*wide[1])).alias("_sig"))
+                stages += 1
+                if stages % STAGES == 0:
+                    out = materialize(out, "point-signals")
     return out.select("symbol", "idx", "close", F.col("_sig").alias("signals"))
 
 
