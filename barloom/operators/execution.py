@@ -335,23 +335,51 @@ class Accounts:
         return self.settle()
 
 
-#: Variants that a task simulates side by side.
-TOGETHER = 2048
+#: Variants of a symbol that are worth a task of their own, and those that a task simulates side by side at most.
+TOGETHER, MOST_TOGETHER = 2048, 131_072
 FIGURES = "symbol string, variant long, final double, max_drawdown double, won double, lost double, num_trades long"
 
 
+def tasks_of(variants: int, symbols: int, slots: int) -> int:
+    """Tasks that share a symbol's variants: enough for two a slot over all symbols, but each a copy of the symbol's bars, however many variants there are."""
+    most = -(-variants // TOGETHER)
+    return max(1, min(most, max(-(-2 * slots // max(symbols, 1)), -(-variants // MOST_TOGETHER))))
+
+
+def packed(signals: DataFrame) -> DataFrame:
+    """(symbol, idx, close, signals) with a bar's signals as bits: those that are long, then those that are short."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                sig = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                bits = np.hstack([np.packbits(sig == 1, axis=1), np.packbits(sig == -1, axis=1)])
+                ends = np.arange(b.num_rows + 1, dtype=np.int32) * bits.shape[1]
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(bits))])], names=["symbol", "idx", "close", "signals"])
+
+    return signals.select("symbol", "idx", "close", "signals").mapInArrow(run, "symbol string, idx long, close double, signals binary")
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """(bars, points): -1, 0 or 1, and zeros beyond the last point."""
+    bits = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2, -1)
+    both = np.unpackbits(bits, axis=2).view(np.int8)
+    return both[:, 0] - both[:, 1]
+
+
 def figures(variants: DataFrame, signals: DataFrame, execution: Execution) -> DataFrame:
     """FIGURES of each variant after one pass over its symbol's bars.
 
     `variants` has symbol, block, variant, points (places in a bar's `signals`, joined by AND) and stops (NULL: the
-    execution's own); a (symbol, block) has at most a few thousand. `signals` has symbol, idx, close and signals, an array.
-    A block's variants come first, then its bars stream by in order: a task holds one batch of them and the accounts.
+    execution's own); `tasks_of` says how many blocks a symbol's variants should be. `signals` has symbol, idx, close and signals, an array.
+    A block's variants come first, then its bars stream by in order: a task holds one batch of them and the accounts. Bars move
+    once a block, with two bits a point.
     """
-    bars = signals.where("close is not null")
+    bars = packed(signals.where("close is not null"))
     blocks = variants.select("symbol", "block").distinct()
     stop = lambda c: F.coalesce(F.col(c), F.lit(getattr(execution, c)).cast("double")).alias(c)
     none = lambda kind: F.lit(None).cast(kind)
-    first = variants.select("symbol", "block", F.lit(False).alias("bar"), F.col("variant").alias("at"), none("double").alias("close"), F.col("points"), none("array<byte>").alias("signals"), stop("stop_loss"), stop("take_profit"))
+    first = variants.select("symbol", "block", F.lit(False).alias("bar"), F.col("variant").alias("at"), none("double").alias("close"), F.col("points"), none("binary").alias("signals"), stop("stop_loss"), stop("take_profit"))
     rest = bars.join(blocks, "symbol").select("symbol", "block", F.lit(True).alias("bar"), F.col("idx").alias("at"), "close", none("array<int>").alias("points"), "signals", none("double").alias("stop_loss"), none("double").alias("take_profit"))
     names = ["symbol", "block", "bar", "at", "close", "points", "signals", "stop_loss", "take_profit"]
 
@@ -384,7 +412,7 @@ def figures(variants: DataFrame, signals: DataFrame, execution: Execution) -> Da
                         most = max(len(k[1]) for k in known)
                         points = np.array([[*k[1], *[k[1][0]] * (most - len(k[1]))] for k in known], np.int64)  # one signal more than once is one
                         accounts = Accounts(execution, stops[:, 0].copy(), stops[:, 1].copy())
-                    rows = part.column(6).flatten().to_numpy(zero_copy_only=False).reshape(to - at, -1)
+                    rows = _unpacked(part.column(6))
                     for close, row in zip(part.column(4).to_pylist(), rows, strict=True):
                         each = row[points]
                         low, high = each.min(1), each.max(1)

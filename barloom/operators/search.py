@@ -12,11 +12,11 @@ from functools import cached_property
 from itertools import groupby, product
 from math import prod
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import canonical_json, decode_radix, div
-from barloom.operators.execution import TOGETHER, Execution, figures
+from barloom.operators.execution import Execution, figures, tasks_of
 from barloom.operators.indicators import registry
 from barloom.operators.lengths import grid_signals, has_kernel
 from barloom.operators.signals import column_signals, evaluate
@@ -145,11 +145,12 @@ def stage_a(bars: DataFrame, parts: Sequence[Part], execution: Execution, tf_ms:
     sizes = [p.size for p in parts]
     firsts = [sum(sizes[:k]) for k in range(len(sizes))]
     places = F.array(*(F.col("points")[k] + F.lit(n) for k, n in enumerate(firsts)))
-    variants = grid(bars.sparkSession, parts).select("variant", "key", places.alias("points"), F.floor(F.col("variant") / TOGETHER).alias("block"))
+    total, symbols = prod(sizes), signals.select("symbol").distinct()
+    per = -(-total // tasks_of(total, symbols.count(), bars.sparkSession.sparkContext.defaultParallelism)) or 1  # variants of a block
+    variants = grid(bars.sparkSession, parts).select("variant", "key", places.alias("points"), F.floor(F.col("variant") / per).alias("block"))
     stops = [F.lit(None).cast("double").alias(c) for c in ("stop_loss", "take_profit")]
-    blocks = -(-prod(sizes) // TOGETHER)
-    every = signals.select("symbol").distinct().select("symbol", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))  # every symbol runs every variant
-    every = every.select("symbol", F.explode(F.sequence(F.col("b") * TOGETHER, F.least((F.col("b") + 1) * TOGETHER, F.lit(prod(sizes))) - 1)).alias("variant"))
+    every = symbols.select("symbol", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((total - 1) // per).cast("long"))).alias("b"))  # every symbol runs every variant
+    every = every.select("symbol", F.explode(F.sequence(F.col("b") * per, F.least((F.col("b") + 1) * per, F.lit(total)) - 1)).alias("variant"))
     each = every.join(variants.select("variant", "points", "block", *stops), "variant")
     scored = score(each, signals, replace(execution, stop_loss=None, take_profit=None)).join(variants.select("variant", "key", "points"), "variant")
     return materialize(scored.orderBy(*ranking(primary, secondary)).limit(preselect), "shortlist"), signals
@@ -159,8 +160,13 @@ def stage_b(shortlist: DataFrame, signals: DataFrame, risks: Sequence[tuple[floa
     """The best `top_k` of the shortlist with every pair of stops, None being none. A variant's new id counts its pairs too."""
     pairs = F.array(*(F.struct(F.lit(i).alias("risk"), F.lit(a).cast("double").alias("stop_loss"), F.lit(b).cast("double").alias("take_profit")) for i, (a, b) in enumerate(risks)))
     chosen = shortlist.select("symbol", "variant", "key", "points", F.explode(pairs).alias("r")).select("symbol", (F.col("variant") * len(risks) + F.col("r.risk")).alias("variant"), "key", "points", "r.*")
-    blocks = F.floor(F.col("variant") / TOGETHER).alias("block")
-    scored = score(chosen.select("symbol", "variant", "points", "stop_loss", "take_profit", blocks), signals, replace(execution, stop_loss=None, take_profit=None))
+    # places among a symbol's, so that blocks are full however sparse the shortlist's ids are
+    n, symbols = chosen.agg(F.count("*"), F.countDistinct("symbol")).first()
+    per = max(1, -(-n // max(symbols, 1)))  # a symbol's rows, about
+    blocks = tasks_of(per, symbols, shortlist.sparkSession.sparkContext.defaultParallelism)
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy("variant")) - 1  # the shortlist is bounded by stage A
+    numbered = chosen.select("symbol", "variant", "points", "stop_loss", "take_profit", (place % blocks).cast("long").alias("block"))
+    scored = score(numbered, signals, replace(execution, stop_loss=None, take_profit=None))
     order = ranking(primary, secondary)
     return scored.join(chosen.drop("points"), ["symbol", "variant"]).orderBy(*order, F.asc("risk")).limit(top_k)
 

@@ -227,3 +227,16 @@ def test_requests_use_either_name_and_meet_the_guard(spark):
     assert got.count() == 40 and {r["variant"] for r in got.collect()} == {0, 1}
     with pytest.raises(ValueError):
         api.compute(bars, "ma.sma", {"window": [2, 3]}, most_bytes=(64 << 20) + 28 * 20 + 4 * 20 * 2 - 1)
+
+
+def test_bars_move_as_often_as_there_are_tasks(spark):
+    """However many variants a symbol has, its bars are copied for tasks, not for blocks of variants; signals are two bits each."""
+    assert [E.tasks_of(n, 1, 4) for n in (1, 2048, 4097, 600_000, 10**9)] == [1, 1, 3, 8, 7630] and E.tasks_of(600_000, 500, 1000) == 5 and E.tasks_of(0, 0, 4) == 1
+    rows = [("s", i, 1.0, [(i * k) % 3 - 1 for k in range(11)]) for i in range(7)]
+    df = spark.createDataFrame(rows, "symbol string, idx long, close double, signals array<byte>").coalesce(1)
+    got = E.packed(df).orderBy("idx").collect()
+    assert {len(bytes(r["signals"])) for r in got} == {4}
+    import pyarrow as pa
+
+    back = E._unpacked(pa.array([bytes(r["signals"]) for r in got], pa.binary()))
+    assert back[:, :11].tolist() == [r[3] for r in rows] and not back[:, 11:].any()
