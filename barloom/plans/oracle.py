@@ -393,6 +393,10 @@ UNION ALL SELECT 1, symbol, 'scheduler_tail', {NOW_MINUTE - 180}, {NOW_MINUTE} F
 p AS (SELECT *, max(minute) OVER (PARTITION BY symbol ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM m),
 k AS (SELECT *, CASE WHEN last IS NULL OR minute = last + 1 THEN 'accepted' WHEN minute = last THEN 'duplicate' WHEN minute < last THEN 'out_of_order' ELSE 'gap' END AS kind FROM p)
 SELECT symbol, kind, minute, CASE WHEN kind = 'gap' THEN last + 1 END AS start_minute, CASE WHEN kind = 'gap' THEN minute END AS end_minute FROM k""",
+        "stream_raw_to_canonical": """SELECT event_type AS symbol, epoch_ms(ts) // 60000 AS minute, round(value, 6) AS close, event_id AS version FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY event_type, epoch_ms(ts) // 60000 ORDER BY event_id DESC) = 1""",
+        "join_asof": """WITH k AS (SELECT event_type, ts, max_by(value, event_id) AS known_value, max(event_id) AS known_id FROM events WHERE event_id % 7 = 0 AND event_type IS NOT NULL AND ts IS NOT NULL GROUP BY ALL)
+SELECT event_id, e.event_type, round(known_value, 6) AS known_value, known_id FROM (SELECT * FROM events WHERE ts IS NOT NULL) e ASOF LEFT JOIN k ON e.event_type = k.event_type AND e.ts >= k.ts""",
         # live minutes are canonical ones, too, so a run goes on until the first day without any line
         "stream_live_runs": f"""WITH l AS (SELECT l_returnflag || '-' || (l_orderkey % 3) AS run_id, epoch_ms(l_shipdate) // 86400000 AS minute, l_linenumber = 1 AS live FROM lineitem WHERE l_shipdate IS NOT NULL AND l_returnflag IS NOT NULL AND l_orderkey IS NOT NULL),
 a AS (SELECT run_id, min(minute) AS first FROM l WHERE live GROUP BY run_id),

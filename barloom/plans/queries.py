@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import epoch_ms
-from barloom.operators import bars, execution, metrics, reference_data, search, signals
+from barloom.operators import asof, bars, execution, metrics, reference_data, search, signals
 from barloom.operators.indicators import registry, registry_rows
+from barloom.sources.candles import CANONICAL
 from barloom.sources.scratch import scratch_path
-from barloom.streaming import live, runner
+from barloom.streaming import canonical, live, runner
 
 HOUR, DAY = 3_600_000, 86_400_000
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,6 +220,27 @@ def stream_live_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("run_id", "kind", "minute", "start_minute", "end_minute", F.col("attempt").cast("long").alias("attempt"), F.when(F.col("kind") == "bar", F.col("bars")).alias("bars"), F.when(F.col("kind") == "state", F.col("state")).alias("state"))
 
 
+def stream_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as raw minutes, several versions of each, merged into a canonical table by micro-batches, and compacted once."""
+    e = _read(spark, sf_dir, "events").where("event_type is not null and ts is not null")
+    given = {"market_id": F.lit(1), "symbol": F.col("event_type"), "ts_open": F.date_trunc("minute", "ts"), "close": F.col("value"), "ingested_at": F.timestamp_seconds("event_id"), "source": F.lit("rest")}
+    columns = [given.get(n, F.lit(None)).cast(t).alias(n) for n, t in (c.split() for c in CANONICAL.split(", "))]
+    at = scratch_path(spark, "canonical")
+    raw = live.in_order(spark, e.select(*columns, F.col("event_id").alias("seq")), f"{at}/raw")
+    canonical.merge_stream(raw, "binance", f"{at}/table", f"{at}/checkpoint").awaitTermination()
+    canonical.compact(spark, f"{at}/table")
+    got = canonical.canonical_table(spark, f"{at}/table")
+    return got.select("symbol", F.floor(epoch_ms("ts_open") / 60_000).cast("long").alias("minute"), F.round("close", 6).alias("close"), F.unix_seconds("ingested_at").alias("version"))
+
+
+def asof_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event and the value of the last event of its type with a number that 7 divides, at or before it."""
+    e = _read(spark, sf_dir, "events").where("ts is not null")
+    known = e.where("event_id % 7 = 0 and event_type is not null").groupBy("event_type", "ts").agg(F.max_by("value", "event_id").alias("known_value"), F.max("event_id").alias("known_id"))
+    got = asof.asof_join(e.select("event_id", "event_type", "ts"), known, ["event_type"], "ts", ["known_value", "known_id"])
+    return got.select("event_id", "event_type", F.round("known_value", 6).alias("known_value"), "known_id")
+
+
 #: Minutes of a bar of the live runs, and bars of warm-up.
 RUN_MINUTES, RUN_WARMUP = 7, 3
 
@@ -251,7 +273,7 @@ def backfill_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def service_queries() -> dict[str, Query]:
-    return {"ref_upsert_changed": upsert_changed, "plan_backfill_tasks": backfill_tasks, "stream_gap_tracker": stream_gaps, "stream_rollup": stream_rollup, "stream_live_runs": stream_live_runs}
+    return {"ref_upsert_changed": upsert_changed, "plan_backfill_tasks": backfill_tasks, "stream_gap_tracker": stream_gaps, "stream_rollup": stream_rollup, "stream_live_runs": stream_live_runs, "stream_raw_to_canonical": stream_canonical, "join_asof": asof_values}
 
 
 def queries() -> dict[str, Query]:

@@ -97,8 +97,12 @@ def closed_bybit(messages: DataFrame, market_id: int) -> DataFrame:
     return to_canonical(rows, "ws").where("open is not null and close is not null")
 
 
-def dead_letters(messages: DataFrame) -> DataFrame:
-    """Binance messages that are no JSON with a kline."""
+def dead_letters(messages: DataFrame, exchange: str = "binance") -> DataFrame:
+    """Messages that are no kline of the exchange; what is a kline and isn't closed, or has another length, is none of them."""
+    if exchange == "bybit":
+        m = F.from_json("value", BYBIT_WS)
+        klines = m["topic"].like("kline.%") & F.forall(m["data"], lambda d: d["start"].isNotNull() & d["confirm"].isNotNull())
+        return messages.where(~F.coalesce(klines, F.lit(False)))
     return messages.where(F.get_json_object(_payload(), "$.k.t").try_cast("long").isNull())
 
 
