@@ -210,7 +210,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*SET, "hashes"])
 
     made = docs.select("doc_id", "text").mapInArrow(run, "set_a long, set_b long, n_shingles long, hashes binary")
-    return materialize(made.groupBy(*SET).agg(F.first("hashes").alias("hashes")).join(nodes.select(*SET, "node"), SET).select("node", "hashes"), "sets")
+    known = nodes.select(*SET, "node", "registers", "n_shingles")  # registers go with the sets, so that blocks meet both in one join
+    return materialize(made.groupBy(*SET).agg(F.first("hashes").alias("hashes")).join(known, SET).select("node", "registers", "n_shingles", "hashes"), "sets")
 
 
 def _estimate_pairs(pairs: DataFrame, regs: DataFrame, least: float) -> DataFrame:
@@ -341,7 +342,7 @@ def _verify_blocks(members: DataFrame, regs: DataFrame, sets: DataFrame, percent
     slim = regs.select("node", "registers", "n_shingles")
     found = materialize(_by_group(each.join(slim, "node"), columns, pairs, schema), "block-pairs")
     few = materialize(found.where("a is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "few-pairs")
-    full = each.join(found.where("a is null").select(*GROUP), GROUP, "left_semi").join(slim, "node").join(sets, "node")
+    full = each.join(found.where("a is null").select(*GROUP), GROUP, "left_semi").join(sets, "node")
     many = _by_group(full, [*columns, "hashes"], links, schema).select("a", "b").distinct()
     return _verify_pairs(few, sets, percent).unionByName(many)
 
