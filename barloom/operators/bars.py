@@ -6,6 +6,8 @@ close, volume, of which a missing bar has NULLs.
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -92,6 +94,15 @@ def in_range(bars: DataFrame, start_ms: int, end_ms: int, tf_ms: int) -> DataFra
     return bars.where((close < end_ms) & (close >= start_ms))
 
 
+def rows_of(df: DataFrame, ts: str, start_ms: int, end_ms: int, tf_ms: int) -> DataFrame:
+    """Rows of a table that whole bars closing in [start, end) are made of: bounds on the column itself, which reach its scan."""
+    kind = dict(df.dtypes)[ts]
+    zone = "" if kind == "timestamp_ntz" else "Z"
+    bound = lambda ms: F.lit(f"{datetime.fromtimestamp(ms / 1000, UTC).replace(tzinfo=None).isoformat()}{zone}").cast(kind)
+    first, last = -(-start_ms // tf_ms) - 1, -(-end_ms // tf_ms) - 1  # the first bar that closes in the range, and the first beyond it
+    return df.where((F.col(ts) >= bound(first * tf_ms)) & (F.col(ts) < bound(last * tf_ms)))
+
+
 def target_slice(bars: DataFrame, start_ms: int, end_ms: int, tf_ms: int) -> DataFrame:
     """Bars whose closing time is in [start, end)."""
     close = (F.col("idx") + 1) * tf_ms

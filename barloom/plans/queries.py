@@ -16,6 +16,8 @@ from barloom.sources.scratch import scratch_path
 from barloom.streaming import canonical, live, runner
 
 HOUR, DAY = 3_600_000, 86_400_000
+#: A target range in milliseconds.
+TARGET = (1704326400000, 1704672000000)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -23,9 +25,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_bars(spark: SparkSession, sf_dir: str, tf_ms: int = HOUR) -> DataFrame:
-    """Bars of events: a symbol an event type, price the value, volume the number of events."""
+def event_bars(spark: SparkSession, sf_dir: str, tf_ms: int = HOUR, closing: tuple[int, int] | None = None) -> DataFrame:
+    """Bars of events: a symbol an event type, price the value, volume the number of events; of all, or of those that bars closing in a range need."""
     e = _read(spark, sf_dir, "events")
+    if closing:
+        e = bars.rows_of(e, "ts", *closing, tf_ms)
     return bars.rollup(e, F.floor(epoch_ms("ts") / tf_ms), F.col("value"), F.lit(1.0), ["ts", "event_id"], F.col("event_type"))
 
 
@@ -154,7 +158,7 @@ def bar_queries() -> dict[str, Query]:
         "bars_bounds": lambda s, d: long(bars.bounds(event_bars(s, d))),
         "bars_daily_counts": lambda s, d: long(_counts(s, d)),
         "bars_gap_days": lambda s, d: long(bars.gap_days(_counts(s, d), 19723 * 1440 + 60, 19752 * 1440 + 720)),
-        "bars_target_slice": lambda s, d: _rounded(bars.target_slice(event_bars(s, d), 1704326400000, 1704672000000, HOUR)),
+        "bars_target_slice": lambda s, d: _rounded(bars.target_slice(event_bars(s, d, closing=TARGET), *TARGET, HOUR)),
         "bars_latest_per_key": _latest,
         "bars_new_rows": _new_rows,
     }

@@ -104,3 +104,19 @@ def test_scalars(spark):
         S.float_range("0", "1", "0")
     with pytest.raises(ValueError):
         S.timeframe_ms("2m")
+
+
+def test_a_target_range_reaches_the_scan(spark, tmp_path):
+    """Bars that close in a range are the same from its rows alone, whatever kind of timestamp they have, and bounds on it are pushed down."""
+    from barloom.functions.scalars import epoch_ms
+
+    for kind in ("timestamp", "timestamp_ntz"):
+        df = spark.range(3000).selectExpr("'a' AS s", "timestamp_millis(id * 1700) AS t0", "id * 1.0D AS v").withColumn("t", F.col("t0").cast(kind)).drop("t0")
+        df.write.parquet(f"{tmp_path}/{kind}")
+        df = spark.read.parquet(f"{tmp_path}/{kind}")
+        rolled = lambda d: bars.rollup(d, F.floor(epoch_ms("t") / 60_000), F.col("v"), F.lit(1.0), ["t"], F.col("s"))
+        for start, end in ((600_000, 1_200_000), (600_001, 1_200_001), (599_999, 1_199_999), (0, 60_000)):
+            part = bars.rows_of(df, "t", start, end, 60_000)
+            assert rows(bars.target_slice(rolled(part), start, end, 60_000), "idx", "open", "volume") == rows(bars.target_slice(rolled(df), start, end, 60_000), "idx", "open", "volume")
+            assert rolled(part).count() == bars.target_slice(rolled(df), start, end, 60_000).count()
+        assert "GreaterThanOrEqual(t," in part._jdf.queryExecution().executedPlan().toString()
