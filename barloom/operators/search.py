@@ -6,6 +6,8 @@ parts are one array column, so that variants are places in it, and blocks of var
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property
@@ -141,8 +143,10 @@ def ranking(primary: str, secondary: str | None = None) -> list[Column]:
 
 def stage_a(bars: DataFrame, parts: Sequence[Part], execution: Execution, tf_ms: int, preselect: int = 20_000, primary: str = "total_return_pct", secondary: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The best `preselect` variants without stops, and the signals of all points; both are written, as stage B reads them again."""
-    signals = materialize(point_signals(bars, parts), "search-signals")
     sizes = [p.size for p in parts]
+    if prod(sizes) > MOST_VARIANTS:
+        raise ValueError(f"{prod(sizes)} variants; at most {MOST_VARIANTS} are allowed")
+    signals = materialize(point_signals(bars, parts), "search-signals")
     firsts = [sum(sizes[:k]) for k in range(len(sizes))]
     places = F.array(*(F.col("points")[k] + F.lit(n) for k, n in enumerate(firsts)))
     total, symbols = prod(sizes), signals.select("symbol").distinct()
@@ -177,20 +181,37 @@ def merge_top(best: DataFrame | None, more: DataFrame, k: int, primary: str, sec
     return both.orderBy(*ranking(primary, secondary)).limit(k)
 
 
-def snapshots(shortlist: DataFrame, signals: DataFrame, risks: Sequence[tuple[float | None, float | None]], execution: Execution, tf_ms: int, path: str, block: int = 4096, every: int = 4, top_k: int = 300, primary: str = "total_return_pct", secondary: str | None = None) -> DataFrame:
-    """Stage B by blocks of about `block` rows of the shortlist, whose best so far are written after every `every` blocks and at the end.
+def _last_snapshot(spark: SparkSession, path: str, blocks: int) -> tuple[int, str | None]:
+    """How many blocks the newest whole snapshot in `path` holds, and its folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for f in fs.listStatus(folder) if fs.exists(folder) else ():
+        name = re.fullmatch(r"blocks=(\d+)-of-(\d+)", f.getPath().getName())
+        if name and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")):
+            if int(name[2]) != blocks:
+                raise ValueError(f"{path} has snapshots of another search: of {name[2]} blocks, not {blocks}")
+            found.append((int(name[1]), f.getPath().toString()))
+    return max(found, default=(0, None))
+
+
+def snapshots(
+    shortlist: DataFrame, signals: DataFrame, risks: Sequence[tuple[float | None, float | None]], execution: Execution, tf_ms: int, path: str, block: int = 4096, every: int = 4, top_k: int = 300, primary: str = "total_return_pct", secondary: str | None = None, seconds: float | None = None
+) -> DataFrame:
+    """Stage B by blocks of about `block` rows of the shortlist, whose best so far are written after `every` blocks, after `seconds`, and at the end.
 
     The shortlist is bounded by stage A's limit; a snapshot is a folder of its own in `path`, so a reader always has a whole one.
+    A run with the same shortlist and `path` goes on after the newest snapshot: its blocks are not run again.
     """
     spark, blocks = shortlist.sparkSession, max(1, -(-shortlist.count() // block))
-    best, last = None, None
-    for k in range(blocks):
+    done, last = _last_snapshot(spark, path, blocks)
+    best, since = spark.read.parquet(last) if last else None, time.monotonic()
+    for k in range(done, blocks):
         some = shortlist.where(F.pmod(F.xxhash64("symbol", "variant"), F.lit(blocks)) == k)
-        best = merge_top(best, stage_b(some, signals, risks, execution, tf_ms, top_k, primary, secondary), top_k, primary, secondary)
-        if (k + 1) % every == 0 or k + 1 == blocks:
-            last = f"{path}/blocks={k + 1}"
-            best.write.mode("overwrite").parquet(last)
-            best = spark.read.schema(best.schema).parquet(last)
+        best = materialize(merge_top(best, stage_b(some, signals, risks, execution, tf_ms, top_k, primary, secondary), top_k, primary, secondary), "best")
+        if k + 1 - done >= every or k + 1 == blocks or (seconds is not None and time.monotonic() - since >= seconds):
+            best.write.mode("overwrite").parquet(f"{path}/blocks={k + 1}-of-{blocks}")
+            done, since = k + 1, time.monotonic()
     return best
 
 

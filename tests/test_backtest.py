@@ -240,3 +240,33 @@ def test_bars_move_as_often_as_there_are_tasks(spark):
 
     back = E._unpacked(pa.array([bytes(r["signals"]) for r in got], pa.binary()))
     assert back[:, :11].tolist() == [r[3] for r in rows] and not back[:, 11:].any()
+
+
+def test_a_killed_search_goes_on_after_its_last_snapshot(spark, tmp_path, monkeypatch):
+    closes = [100.0 + (k * 37) % 23 for k in range(40)]
+    b = spark.createDataFrame([("s", i, c, c, c, c, 1.0) for i, c in enumerate(closes)], "symbol string, idx long, open double, high double, low double, close double, volume double")
+    how, risks = E.Execution(), search.risk_variants((None, 0.02))
+    best, sig = search.stage_a(b, [search.Part("ma.sma", {"window": [2, 3, 4, 5]}), search.Part("momentum.roc", {"window": [1, 2]})], how, DAY, preselect=8)
+    whole = search.stage_b(best, sig, risks, how, DAY, top_k=5).select("variant", "total_return_pct").collect()
+    ran, real = [], search.stage_b
+
+    def counted(some, *rest, stop_after=None):
+        if stop_after is not None and len(ran) >= stop_after:
+            raise KeyboardInterrupt
+        ran.append({r["variant"] for r in some.collect()})
+        return real(some, *rest)
+
+    monkeypatch.setattr(search, "stage_b", lambda *a: counted(*a, stop_after=3))
+    with pytest.raises(KeyboardInterrupt):
+        search.snapshots(best, sig, risks, how, DAY, str(tmp_path / "log"), block=2, every=2, top_k=5)
+    assert len(ran) == 3 and {x.name for x in (tmp_path / "log").iterdir()} == {"blocks=2-of-4"}
+    monkeypatch.setattr(search, "stage_b", counted)
+    kept, ran[:] = ran[:2], []
+    got = search.snapshots(best, sig, risks, how, DAY, str(tmp_path / "log"), block=2, every=99, top_k=5, seconds=0.0)
+    assert len(ran) == 2 and not set().union(*kept) & set().union(*ran)
+    assert [(r["variant"], r["total_return_pct"]) for r in got.orderBy(*search.ranking("total_return_pct"), "risk").collect()] == [tuple(r) for r in whole]
+    assert {x.name for x in (tmp_path / "log").iterdir()} == {"blocks=2-of-4", "blocks=3-of-4", "blocks=4-of-4"}
+    with pytest.raises(ValueError, match="another"):
+        search.snapshots(best, sig, risks, how, DAY, str(tmp_path / "log"), block=1, top_k=5)
+    with pytest.raises(ValueError, match="variants"):
+        search.stage_a(b, [search.Part("ma.sma", {"window": [*range(2, 1002)]}), search.Part("momentum.roc", {"window": [*range(2, 1002)]})], how, DAY)
