@@ -34,6 +34,8 @@ RULES: dict[str, tuple[str, ...]] = {
     "pivot_events": ("pivots",),
     "threshold_centered": ("trend.vortex",),
 }
+#: Rules of users' indicators.
+OWN_RULES: dict[str, str] = {}
 #: Parameters that a rule can't do without.
 REQUIRED = {"threshold_band": ("long_threshold", "short_threshold"), "delta_sign": ("long_periods", "short_periods"), "candle_body_direction": ("threshold",), "threshold_centered": ("threshold",)}
 #: Other names of a rule's threshold in requests (fixed values).
@@ -43,6 +45,8 @@ DEPENDS = {"pivots": ("pivot_low", "pivot_high")}
 
 
 def rule_of(indicator: str) -> str:
+    if canonical(indicator) in OWN_RULES:
+        return OWN_RULES[canonical(indicator)]
     for rule, ids in RULES.items():
         if canonical(indicator) in ids:
             return rule

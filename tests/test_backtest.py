@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -270,3 +271,36 @@ def test_a_killed_search_goes_on_after_its_last_snapshot(spark, tmp_path, monkey
         search.snapshots(best, sig, risks, how, DAY, str(tmp_path / "log"), block=1, top_k=5)
     with pytest.raises(ValueError, match="variants"):
         search.stage_a(b, [search.Part("ma.sma", {"window": [*range(2, 1002)]}), search.Part("momentum.roc", {"window": [*range(2, 1002)]})], how, DAY)
+
+
+def test_an_indicator_of_ones_own_is_searched_over(spark):
+    from barloom.operators import extensions
+    from barloom.operators.scan import rolled
+
+    def momentum(df, p):
+        return rolled(df, p["window"], lambda d, r: d.withColumn("value", p["scale"] * (F.col("close") - r.lag(F.col("close"), p["window"]))))
+
+    closes = [100.0 + (k * 37) % 23 for k in range(40)]
+    b = spark.createDataFrame([("s", i, c, c, c, c, 1.0) for i, c in enumerate(closes)], "symbol string, idx long, open double, high double, low double, close double, volume double")
+    extensions.register_indicator("custom.momentum", momentum, "sign", {"window": 2, "scale": 1.0})
+    try:
+        parts = [search.Part("custom.momentum", {"window": [1, 3], "scale": [1.0, -1.0]}), search.Part("ma.sma", {"window": [2, 3]})]
+        best, _ = search.stage_a(b, parts, E.Execution(), DAY, preselect=20)
+        assert best.count() == 8
+        own = {r["idx"]: r["signal"] for r in signals.evaluate(b, "custom.momentum", {"window": 3, "scale": -1.0}).collect()}
+        assert own == {i: 0 if i < 3 else -1 if c > closes[i - 3] else 1 if c < closes[i - 3] else 0 for i, c in enumerate(closes)}
+        with pytest.raises(ValueError, match="already"):
+            extensions.register_indicator("custom.momentum", momentum, "sign")
+    finally:
+        extensions.remove_indicator("custom.momentum")
+    for wrong in (("ma.sma", "sign"), ("custom.other", "no rule")):
+        with pytest.raises(ValueError):
+            extensions.register_indicator(wrong[0], momentum, wrong[1])
+    with pytest.raises(ValueError, match="user"):
+        extensions.remove_indicator("ma.sma")
+    extensions.register_functions(spark)
+    spec = json.dumps([{"indicator": p.indicator, "axes": p.axes} for p in parts])
+    spark.createDataFrame([(0, 3), (3, 6), (6, 99)], "a int, b int").createOrReplaceTempView("ranges")
+    got = spark.sql(f"SELECT g.* FROM ranges, LATERAL grid_variants('{spec}', a, b) g").collect()
+    want = {(v, k, parts[k].indicator, json.dumps(parts[k].points()[at])) for v in range(8) for k, at in enumerate(divmod(v, 2))}
+    assert {tuple(r) for r in got} == want and len(got) == 16
