@@ -19,13 +19,14 @@ from barloom.sources.candles import CANDLE_KEY, CANONICAL, raw_to_canonical
 VERSION = ["ingested_at", "ingest_id"]
 
 
-def _written(rows: DataFrame, path: str) -> None:
+def write_rows(rows: DataFrame, path: str) -> None:
+    """Canonical rows as a folder of the table, by day."""
     rows.withColumn("day", F.date_format("ts_open", "yyyyMMdd")).write.mode("overwrite").partitionBy("day").parquet(path)
 
 
 def merge_batch(batch: DataFrame, number: int, exchange: str, path: str) -> None:
     """One micro-batch of a raw table; the same number again replaces it."""
-    _written(latest_per_key(raw_to_canonical(batch, exchange), CANDLE_KEY, VERSION), f"{path}/batch-{number:012d}")
+    write_rows(latest_per_key(raw_to_canonical(batch, exchange), CANDLE_KEY, VERSION), f"{path}/batch-{number:012d}")
 
 
 def merge_stream(raw: DataFrame, exchange: str, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -47,6 +48,6 @@ def compact(spark: SparkSession, path: str) -> None:
     if len(there) < 2:
         return
     rows = spark.read.schema(CANONICAL).option("recursiveFileLookup", "true").parquet(*(p.toString() for p in there))
-    _written(latest_per_key(rows, CANDLE_KEY, VERSION), f"{path}/base-{uuid.uuid4().hex}")
+    write_rows(latest_per_key(rows, CANDLE_KEY, VERSION), f"{path}/base-{uuid.uuid4().hex}")
     for p in there:
         fs.delete(p, True)
