@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import execution, metrics, search
+from barloom.operators import execution, lengths, metrics, reference_data, search
 from barloom.operators.indicators import registry, registry_rows
 from barloom.operators.signals import evaluate
 from barloom.sources.scratch import materialize
@@ -30,6 +30,9 @@ def compute(bars: DataFrame, indicator: str, axes: Mapping[str, Sequence] | None
     search.enforce_guards(search.estimate([part], 0), most_variants, most_bytes)
     search.enforce_guards(search.estimate([part], bars.count()), most_variants, most_bytes)
     points, columns = part.points(), bars.columns
+    if lengths.canonical(indicator) in lengths.KERNELS:  # all points in one pass
+        values = F.transform("_values", lambda v: v.cast("float"))
+        return lengths.grid_values(bars, indicator, points, "_values").select("symbol", "idx", F.posexplode(values).alias("variant", "value")).withColumn("variant", F.col("variant").cast("long"))
     out = bars.withColumn("_values", F.array().cast("array<float>"))
     definition = registry()[indicator]
     step = search.SHARED if definition.many else 1
@@ -58,3 +61,13 @@ def variant_report(bars: DataFrame, indicators: Sequence[tuple[str, Mapping, Map
     signals = bars.select("symbol", "idx", "close").join(conjunction(reduce(DataFrame.unionByName, each)), ["symbol", "idx"])
     run = execution.Simulation(signals, how)
     return metrics.report(signals, run.trades(), run.equity_curve(), how.cash, tf_ms)
+
+
+def markets(table: DataFrame) -> DataFrame:
+    """Enabled markets, by id."""
+    return reference_data.enabled_markets(table).select("market_id", "exchange_name", "market_type", "market_code")
+
+
+def instruments(table: DataFrame, market_id: int, prefix: str = "", limit: int = 50) -> DataFrame:
+    """Enabled tradable instruments of a market whose symbol begins so, by symbol."""
+    return reference_data.search_instruments(table, market_id, prefix, limit).select("market_id", "symbol")

@@ -96,3 +96,17 @@ def test_empty_tables_and_too_many_points(spark):
     assert lengths.grid_values(df, "ma.sma", [{"window": 3}]).count() == 0
     with pytest.raises(ValueError, match="points"):
         lengths.grid_values(df, "ma.sma", [{"window": 3}] * 40_000)
+
+
+def test_the_api_computes_a_grid_in_one_pass(spark):
+    from barloom import api
+
+    df = spark.createDataFrame(bars(30, 5), SCHEMA)
+    got = {(r["symbol"], r["idx"], r["variant"]): r["value"] for r in api.compute(df, "ma.sma", {"source": ["close", "low"], "window": [2, 5]}).collect()}
+    assert len(got) == 240
+    for variant, (source, w) in enumerate((s, w) for s in ("close", "low") for w in (2, 5)):
+        for r in registry()["ma.sma"](df, source=source, window=w).collect():
+            a, b = got[r["symbol"], r["idx"], variant], r["value"]
+            assert (a is None) == (b is None) and (a is None or a == pytest.approx(b, rel=1e-6))
+    i = spark.sql("select 1 market_id, 'BTC' symbol, 'ENABLED' status, 1 is_tradable, 1 updated_at")
+    assert [tuple(r) for r in api.instruments(i, 1, "b").collect()] == [(1, "BTC")]
