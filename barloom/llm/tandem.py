@@ -249,7 +249,7 @@ def find_runs(docs: DataFrame) -> DataFrame:
 
     Words are what stands between ASCII white space. Texts without runs (null, empty or short ones, too) have no rows;
     null ids and repeated rows are documents each; other columns are ignored. A task holds a batch of texts, or one long text,
-    with about 4 bytes a word for each doubling of its longest repeat and 100 more.
+    with about 150 bytes a word (a text of 2 million words took 310 MB).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
