@@ -27,11 +27,21 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return df.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(best.alias("r")).select("r.*")
 
 
+def placed(table: DataFrame) -> DataFrame:
+    """A Parquet table with `_row`, a row's number in its file, and `_file`, for `rollup` to settle ties by."""
+    return table.select("*", F.col("_metadata.row_index").alias("_row"), F.xxhash64("_metadata.file_name").alias("_file"))
+
+
 def rollup(ticks: DataFrame, idx: Column, price: Column, volume: Column, order: Sequence[str], symbol: Column) -> DataFrame:
-    """Bars of trades: first, highest, lowest and last price of a bucket by `order`, and its volume."""
-    t = ticks.select(symbol.alias("symbol"), idx.alias("idx"), finite(price.cast("double")).alias("p"), volume.cast("double").alias("v"), F.struct(*order).alias("o"))
+    """Bars of trades: first, highest, lowest and last price of a bucket by `order`, and its volume.
+
+    Of trades that `order` leaves equal the one that comes first in its file is both first and last, if `ticks` is `placed`.
+    """
+    row, file = ([F.col("_row")], [F.col("_file")]) if {"_row", "_file"} <= {*ticks.columns} else ([], [])
+    first, last = F.struct(*order, *row, *file), F.struct(*order, *(-r for r in row), *file)
+    t = ticks.select(symbol.alias("symbol"), idx.alias("idx"), finite(price.cast("double")).alias("p"), volume.cast("double").alias("v"), first.alias("first"), last.alias("last"))
     return t.where("p is not null and symbol is not null and idx is not null").groupBy("symbol", "idx").agg(
-        F.min_by("p", "o").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "o").alias("close"), F.sum("v").alias("volume")
+        F.min_by("p", "first").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "last").alias("close"), F.sum("v").alias("volume")
     )
 
 

@@ -27,20 +27,20 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def event_bars(spark: SparkSession, sf_dir: str, tf_ms: int = HOUR, closing: tuple[int, int] | None = None) -> DataFrame:
     """Bars of events: a symbol an event type, price the value, volume the number of events; of all, or of those that bars closing in a range need."""
-    e = _read(spark, sf_dir, "events")
+    e = bars.placed(_read(spark, sf_dir, "events"))
     if closing:
         e = bars.rows_of(e, "ts", *closing, tf_ms)
     return bars.rollup(e, F.floor(epoch_ms("ts") / tf_ms), F.col("value"), F.lit(1.0), ["ts", "event_id"], F.col("event_type"))
 
 
 def market_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _read(spark, sf_dir, "lineitem").withColumn("p", F.col("l_extendedprice") / F.nullif("l_quantity", F.lit(0.0)))
+    t = bars.placed(_read(spark, sf_dir, "lineitem")).withColumn("p", F.col("l_extendedprice") / F.nullif("l_quantity", F.lit(0.0)))
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     return bars.rollup(t, F.floor(epoch_ms("l_shipdate") / DAY), F.col("p"), F.col("l_quantity"), order, F.col("l_returnflag"))
 
 
 def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _read(spark, sf_dir, "orders")
+    t = bars.placed(_read(spark, sf_dir, "orders"))
     return bars.rollup(t, F.floor(epoch_ms("o_orderdate") / DAY), F.col("o_totalprice"), F.lit(1.0), ["o_orderdate", "o_orderkey"], F.col("o_orderpriority"))
 
 

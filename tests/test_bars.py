@@ -120,3 +120,27 @@ def test_a_target_range_reaches_the_scan(spark, tmp_path):
             assert rows(bars.target_slice(rolled(part), start, end, 60_000), "idx", "open", "volume") == rows(bars.target_slice(rolled(df), start, end, 60_000), "idx", "open", "volume")
             assert rolled(part).count() == bars.target_slice(rolled(df), start, end, 60_000).count()
         assert "GreaterThanOrEqual(t," in part._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trades_that_the_order_leaves_equal_go_by_their_place_in_the_file(spark, tmp_path):
+    t = spark.createDataFrame([("a", 1, 7, 5.0), ("a", 1, 7, 3.0), ("a", 1, 7, 9.0), ("b", 2, 1, 4.0), ("b", 3, 1, 8.0), ("b", 3, 1, 6.0)], "s string, t long, id long, p double")
+    t.coalesce(1).write.parquet(f"{tmp_path}/t")
+    t = bars.placed(spark.read.parquet(f"{tmp_path}/t"))
+    for given in (t, t.repartition(3, "p"), t.orderBy(F.desc("_row")), t.orderBy("_row")):
+        out = bars.rollup(given, F.floor(F.col("t") / 10), F.col("p"), F.lit(1.0), ["t", "id"], F.col("s"))
+        assert rows(out, "symbol", "open", "high", "low", "close") == [("a", 5, 9, 3, 5), ("b", 4, 8, 4, 8)]
+
+
+def test_bars_of_events_with_equal_times_and_numbers_match_their_sql(spark, tmp_path):
+    import duckdb
+
+    from barloom.plans import oracle, queries
+
+    t = spark.range(600).selectExpr("id div 3 AS event_id", "timestamp_millis(1704067200000 + id div 3 * 600000) AS ts", "id AS user_id", "'a' AS event_type", "id * 7 % 11 + 0.5D AS value")
+    t.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("bars_event_hours", "bars_rollup_best_effort", "ind_candle_body"):
+        assert sorted(map(tuple, queries.queries()[name](spark, str(tmp_path)).collect())) == sorted(con.execute(oracle.oracle_sql()[name]).fetchall())
