@@ -12,7 +12,7 @@ from barloom.functions.scalars import epoch_ms
 from barloom.operators import asof, bars, execution, metrics, reference_data, search, signals
 from barloom.operators.indicators import registry, registry_rows
 from barloom.sources.candles import CANONICAL
-from barloom.sources.scratch import scratch_path
+from barloom.sources.scratch import materialize, scratch_path
 from barloom.streaming import canonical, live, runner
 
 HOUR, DAY = 3_600_000, 86_400_000
@@ -219,7 +219,8 @@ def stream_live_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lines.select(F.concat_ws("-", "l_returnflag", F.col("l_orderkey") % 3).alias("run_id"), F.floor(epoch_ms("l_shipdate") / DAY).cast("long").alias("minute"), "l_linenumber")
     candles = lines.where("l_linenumber = 1").select("run_id", F.lit("candle").alias("kind"), "minute", F.col("minute").alias("seq"), F.lit(RUN_WARMUP).alias("warmup"))
     at = scratch_path(spark, "live-runs")
-    runs = runner.LiveRuns(live.in_order(spark, candles, f"{at}/candles"), lines.select("run_id", "minute"), at, RUN_MINUTES, retries=1, backoff_ms=0)
+    kept = materialize(lines.select("run_id", "minute").distinct(), "canonical", f"{at}/canonical")  # or each micro-batch would read all lines
+    runs = runner.LiveRuns(live.in_order(spark, candles, f"{at}/candles"), kept, at, RUN_MINUTES, retries=1, backoff_ms=0)
     told = runs.drain().where(F.col("kind").isin("accepted", "dropped", "repaired", "gave_up", "bar", "state"))
     return told.select("run_id", "kind", "minute", "start_minute", "end_minute", F.col("attempt").cast("long").alias("attempt"), F.when(F.col("kind") == "bar", F.col("bars")).alias("bars"), F.when(F.col("kind") == "state", F.col("state")).alias("state"))
 

@@ -6,6 +6,8 @@ and the answers are files that the same query reads as a second source, so that
 answer with a hole in it starts a timer, longer with each attempt; after the last one the candle is given up and the checkpoint stays.
 A request reaches to the last candle held, so that all of them share its answer; to each it is an attempt.
 
+Candles of the same minute that follow each other are one step and one entry of the state, with their number.
+
 As only contiguous minutes are accepted, the bars that a run has seen follow from its first minute and its checkpoint.
 """
 
@@ -17,6 +19,7 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +32,8 @@ _NAMES = [c.split()[0] for c in EVENTS.split(", ")]
 #: States in which candles are taken, and those that a run doesn't leave.
 ACTIVE, ENDED = ("starting", "warming_up", "running"), ("stopped", "failed")
 _LAST = 1 << 62
+#: Rows that a run gives at once, at most.
+STEP_ROWS = 1 << 16
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -55,11 +60,11 @@ class LiveRunner(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.kept_run = handle.getValueState("run", "checkpoint long, first long, state string, warmup int, bars long, pending long, asked long, waiting boolean")
-        self.kept_candles = handle.getListState("held", "minute long, answers int")
+        self.kept_candles = handle.getListState("held", "minute long, answers int, count long")
         self.kept_islands = handle.getListState("islands", "start long, end long")
 
     def _load(self, key: tuple) -> None:
-        self.key, self.out = key[0], []
+        self.key, self.out, self.times = key[0], [], []
         self.run = Run(*self.kept_run.get()) if self.kept_run.exists() else Run()
         self.held = deque(tuple(r) for r in self.kept_candles.get()) if self.kept_candles.exists() else deque()
         self.islands = [tuple(r) for r in self.kept_islands.get()] if self.kept_islands.exists() else []
@@ -71,10 +76,15 @@ class LiveRunner(StatefulProcessor):
                 state.put([*rows])
             elif state.exists():
                 state.clear()
-        yield pd.DataFrame(self.out, columns=_NAMES)
+        out = pd.DataFrame(self.out, columns=_NAMES)
+        rows = np.repeat(np.arange(len(out)), np.array(self.times, np.int64))
+        for at in range(0, max(1, len(rows)), STEP_ROWS):
+            yield out.iloc[rows[at : at + STEP_ROWS]].reset_index(drop=True)
 
-    def _say(self, kind: str, minute: int | None = None, start: int | None = None, end: int | None = None, attempt: int | None = None, message: str | None = None) -> None:
-        self.out.append((self.key, kind, minute, start, end, attempt, self.run.bars, self.run.asked if kind in ("repair", "answer") else None, self.run.state, message))
+    def _say(self, kind: str, minute: int | None = None, start: int | None = None, end: int | None = None, attempt: int | None = None, message: str | None = None, count: int = 1) -> None:
+        if count:
+            self.out.append((self.key, kind, minute, start, end, attempt, self.run.bars, self.run.asked if kind in ("repair", "answer") else None, self.run.state, message))
+            self.times.append(count)
 
     def _turn(self, state: str, message: str | None = None) -> None:
         self.run.state = state
@@ -105,18 +115,20 @@ class LiveRunner(StatefulProcessor):
         """Take held candles as far as they are contiguous, repaired, late or given up; then ask, or wait to ask again, if it's time."""
         run = self.run
         while self.held:
-            minute, answers = self.held[0]
+            minute, answers, count = self.held[0]
             if run.checkpoint is not None and minute <= run.checkpoint:
-                self._say("dropped", minute)
+                self._say("dropped", minute, count=count)
             elif run.checkpoint is None or minute == run.checkpoint + 1:
                 self._accept(minute)
+                self._say("dropped", minute, count=count - 1)
             else:
                 start = run.checkpoint + 1
                 if (k := bisect_right(self.islands, (start, _LAST))) and minute <= self.islands[k - 1][1]:
                     self._say("repaired", minute, start, minute, max(answers, 1))
                     self._accept(minute)
+                    self._say("dropped", minute, count=count - 1)
                 elif answers > self.retries:
-                    self._say("gave_up", minute, start, minute, answers)
+                    self._say("gave_up", minute, start, minute, answers, count=count)
                 elif run.pending or run.waiting or not ask:
                     return
                 elif answers and self.backoff_ms:
@@ -134,25 +146,32 @@ class LiveRunner(StatefulProcessor):
         run = self.run
         run.asked += 1
         run.pending = run.asked
-        self._say("repair", self.held[0][0], run.checkpoint + 1, max(m for m, _ in self.held), self.held[0][1] + 1)
+        self._say("repair", self.held[0][0], run.checkpoint + 1, max(m for m, *_ in self.held), self.held[0][1] + 1)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         self._load(key)
         now = timerValues.getCurrentProcessingTimeInMs()
         group = pd.concat(rows)
         group = group.assign(_order=(group["kind"] != "answer").astype(int)).sort_values(["_order", "seq"], kind="stable")
+        # candles that say the same as the one before them are one step
+        same = (group["kind"] == "candle") & (pd.to_numeric(group["warmup"]) >= 0) & group["minute"].notna()
+        for c in ("kind", "minute", "warmup"):
+            same &= group[c] == group[c].shift()
+        first = np.flatnonzero(~same.to_numpy(bool))
+        counts = np.diff(first, append=len(group)).tolist()
+        group = group.iloc[first]
         columns = [group[c].astype(object).where(group[c].notna(), None).tolist() for c in ("kind", "minute", "warmup", "message", "number", "until", "starts", "ends")]
-        for kind, minute, warmup, message, number, until, starts, ends in zip(*columns, strict=True):
+        for count, kind, minute, warmup, message, number, until, starts, ends in zip(counts, *columns, strict=True):
             run = self.run
             if kind == "answer":
                 if number == run.pending and run.pending:
                     self._say("answer")
                     run.pending = 0
                     self.islands = [*zip(map(int, starts), map(int, ends), strict=True)]
-                    self.held = deque((m, n + (m <= until)) for m, n in self.held)
+                    self.held = deque((m, n + (m <= until), k) for m, n, k in self.held)
                     self._go_on(now, ask=False)
             elif run.state in ENDED:
-                self._say("dropped", minute)
+                self._say("dropped", minute, count=count)
             elif kind == "stop":
                 self._turn("stopping")
                 self._end("stopped")
@@ -164,7 +183,9 @@ class LiveRunner(StatefulProcessor):
                     self._turn("warming_up")
                     if run.bars >= run.warmup:
                         self._turn("running")
-                self.held.append((int(minute), 0))
+                if self.held and self.held[-1][:2] == (int(minute), 0):
+                    count += self.held.pop()[2]
+                self.held.append((int(minute), 0, count))
                 if len(self.held) == 1:
                     self._go_on(now, ask=False)
         self._go_on(now)

@@ -113,3 +113,43 @@ def test_parameters(spark):
     for wrong in ((0, 1, 1), (1, -1, 1), (1, 1, -1)):
         with pytest.raises(ValueError, match="bar"):
             runner.LiveRunner(*wrong)
+
+
+def test_candles_of_the_same_minute_are_one_entry_of_the_state():
+    import pandas as pd
+
+    class Kept:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+        put = update
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        getValueState = getListState = lambda self, *_: Kept()
+
+    class Now:
+        getCurrentProcessingTimeInMs = lambda self: 0
+
+    live = runner.LiveRunner(2, 1, 0)
+    live.init(Handle())
+    names = [c.split()[0] for c in runner.ROWS.split(", ")]
+    minutes = [0] * 70_000 + [3] * 500 + [4] * 2 + [9] * 3
+
+    def step(rows):
+        frames = [*live.handleInputRows(("r",), iter([pd.DataFrame(rows, columns=names)]), Now())]
+        assert max(map(len, frames)) <= runner.STEP_ROWS
+        return pd.concat(frames)["kind"].value_counts().to_dict()
+
+    first = step([("r", "candle", m, k, 1, None, None, None, None, None) for k, m in enumerate(minutes)])
+    assert first == {"accepted": 1, "dropped": 69_999, "repair": 1, "state": 1}
+    assert len(live.kept_candles.value) == 3
+    answer = ("r", "answer", None, None, None, None, 1, 9, [1], [5])
+    assert step([answer]) == {"answer": 1, "repaired": 1, "accepted": 2, "dropped": 500, "bar": 1, "state": 1, "repair": 1}
+    assert step([(*answer[:6], 2, 9, [], [])]) == {"answer": 1, "gave_up": 3}
