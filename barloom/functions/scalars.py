@@ -64,6 +64,16 @@ def div(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
+def rounded(x: str | Column, places: int) -> Column:
+    """x to so many places as SQL engines on doubles do it: scaled, rounded half away from zero and scaled back.
+
+    F.round goes by a double's shortest decimal, which differs where the scaled value is a half.
+    """
+    x, scale = F.col(x) if isinstance(x, str) else x, F.lit(float(10**places))
+    scaled = F.round(x * scale) / scale
+    return F.when(F.isnan(scaled) | (F.abs(scaled) == F.lit(float("inf"))), x).otherwise(scaled)
+
+
 def finite(x: Column) -> Column:
     """x, NULL where it's NaN or infinite."""
     return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)

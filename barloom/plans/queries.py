@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import epoch_ms
+from barloom.functions.scalars import epoch_ms, rounded
 from barloom.operators import asof, bars, execution, metrics, reference_data, search, signals
 from barloom.operators.indicators import registry, registry_rows
 from barloom.sources.candles import CANONICAL
@@ -49,12 +49,12 @@ def dense_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select("symbol", F.col("idx").cast("long").alias("idx"), *(F.round(c, places).alias(c) for c in bars.OHLCV))
+    return df.select("symbol", F.col("idx").cast("long").alias("idx"), *(rounded(c, places).alias(c) for c in bars.OHLCV))
 
 
 def _indicator(id_: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return registry()[id_](dense_bars(spark, sf_dir)).select("symbol", "idx", F.round("value", 6).alias("value"))
+        return registry()[id_](dense_bars(spark, sf_dir)).select("symbol", "idx", rounded("value", 6).alias("value"))
 
     return run
 
@@ -93,14 +93,14 @@ def _search_parts() -> list[search.Part]:
 
 def stage_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars.carry_forward(event_bars(spark, sf_dir))
-    return search.stage_a(b, _search_parts(), EXECUTION, HOUR, preselect=10)[0].select("symbol", "variant", "key", F.round("total_return_pct", 4).alias("total_return_pct"))
+    return search.stage_a(b, _search_parts(), EXECUTION, HOUR, preselect=10)[0].select("symbol", "variant", "key", rounded("total_return_pct", 4).alias("total_return_pct"))
 
 
 def stage_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars.carry_forward(event_bars(spark, sf_dir))
     best, s = search.stage_a(b, _search_parts(), EXECUTION, HOUR, preselect=5)
     risks = search.risk_variants((None, 0.1), (None, 0.3))
-    return search.stage_b(best, s, risks, EXECUTION, HOUR, top_k=8).select("symbol", "variant", "key", "risk", F.round("total_return_pct", 4).alias("total_return_pct"))
+    return search.stage_b(best, s, risks, EXECUTION, HOUR, top_k=8).select("symbol", "variant", "key", "risk", rounded("total_return_pct", 4).alias("total_return_pct"))
 
 
 def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _figures(df: DataFrame, places: int = 4) -> DataFrame:
     """Doubles to so many places; counts and times as longs."""
-    kinds = {"double": lambda c: F.round(c, places), "bigint": F.col, "int": lambda c: F.col(c).cast("long")}
+    kinds = {"double": lambda c: rounded(c, places), "bigint": F.col, "int": lambda c: F.col(c).cast("long")}
     return df.select(*(kinds.get(t, F.col)(c).alias(c) for c, t in df.dtypes))
 
 
@@ -121,22 +121,22 @@ def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.ratios(_held(spark, sf_dir), HOUR).select("symbol", *(F.round(c, 4).alias(c) for c in ("annual_return", "sharpe", "sortino")))
+    return metrics.ratios(_held(spark, sf_dir), HOUR).select("symbol", *(rounded(c, 4).alias(c) for c in ("annual_return", "sharpe", "sortino")))
 
 
 def _drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = metrics.drawdowns(_held(spark, sf_dir), HOUR)
-    return d.select("symbol", F.round("max_drawdown_pct", 4).alias("max_drawdown_pct"), F.round("avg_drawdown_pct", 4).alias("avg_drawdown_pct"), F.col("max_drawdown_ms").cast("long").alias("max_drawdown_ms"), F.col("avg_drawdown_ms").cast("long").alias("avg_drawdown_ms"))
+    return d.select("symbol", rounded("max_drawdown_pct", 4).alias("max_drawdown_pct"), rounded("avg_drawdown_pct", 4).alias("avg_drawdown_pct"), F.col("max_drawdown_ms").cast("long").alias("max_drawdown_ms"), F.col("avg_drawdown_ms").cast("long").alias("avg_drawdown_ms"))
 
 
 def _new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events")
     even, odd = e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")
-    return bars.new_rows(odd, even, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", F.round("value", 6).alias("value"))
+    return bars.new_rows(odd, even, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", rounded("value", 6).alias("value"))
 
 
 def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars.latest_per_key(_read(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", F.round("value", 6).alias("value"))
+    return bars.latest_per_key(_read(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", rounded("value", 6).alias("value"))
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +182,7 @@ def search_queries() -> dict[str, Query]:
     return {
         "exec_trades": lambda s, d: _figures(execution.trades(carried_signals(s, d), EXECUTION), 6),
         "exec_equity": lambda s, d: _figures(execution.equity_curve(carried_signals(s, d), EXECUTION), 6),
-        "metrics_benchmark": lambda s, d: metrics.benchmark(event_bars(s, d)).select("symbol", F.round("benchmark_pct", 4).alias("benchmark_pct")),
+        "metrics_benchmark": lambda s, d: metrics.benchmark(event_bars(s, d)).select("symbol", rounded("benchmark_pct", 4).alias("benchmark_pct")),
         "metrics_drawdown": _drawdown,
         "metrics_ratios": _ratios,
         "metrics_trades": lambda s, d: _figures(metrics.trade_stats(execution.trades(carried_signals(s, d), EXECUTION), HOUR)),
@@ -235,7 +235,7 @@ def stream_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     canonical.merge_stream(raw, "binance", f"{at}/table", f"{at}/checkpoint").awaitTermination()
     canonical.compact(spark, f"{at}/table")
     got = canonical.canonical_table(spark, f"{at}/table")
-    return got.select("symbol", F.floor(epoch_ms("ts_open") / 60_000).cast("long").alias("minute"), F.round("close", 6).alias("close"), F.unix_seconds("ingested_at").alias("version"))
+    return got.select("symbol", F.floor(epoch_ms("ts_open") / 60_000).cast("long").alias("minute"), rounded("close", 6).alias("close"), F.unix_seconds("ingested_at").alias("version"))
 
 
 def asof_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +243,7 @@ def asof_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events").where("ts is not null")
     known = e.where("event_id % 7 = 0 and event_type is not null").groupBy("event_type", "ts").agg(F.max_by("value", "event_id").alias("known_value"), F.max("event_id").alias("known_id"))
     got = asof.asof_join(e.select("event_id", "event_type", "ts"), known, ["event_type"], "ts", ["known_value", "known_id"])
-    return got.select("event_id", "event_type", F.round("known_value", 6).alias("known_value"), "known_id")
+    return got.select("event_id", "event_type", rounded("known_value", 6).alias("known_value"), "known_id")
 
 
 #: Minutes of a bar of the live runs, and bars of warm-up.

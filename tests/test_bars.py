@@ -144,3 +144,11 @@ def test_bars_of_events_with_equal_times_and_numbers_match_their_sql(spark, tmp_
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     for name in ("bars_event_hours", "bars_rollup_best_effort", "ind_candle_body"):
         assert sorted(map(tuple, queries.queries()[name](spark, str(tmp_path)).collect())) == sorted(con.execute(oracle.oracle_sql()[name]).fetchall())
+
+
+def test_halves_round_as_in_sql(spark):
+    import duckdb
+
+    given = [0.6928125, 0.69281249999999999, -0.6928125, 1.0000005, 2.5e-7, 1e300, 0.1 + 0.2, None, *(k / 1600 for k in range(1, 1600, 2)), *(k * 0.0000005 for k in range(1, 2000, 2))]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x double").orderBy("i").select(S.rounded("x", 6)).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0] for x in given]
