@@ -152,3 +152,17 @@ def test_halves_round_as_in_sql(spark):
     given = [0.6928125, 0.69281249999999999, -0.6928125, 1.0000005, 2.5e-7, 1e300, 0.1 + 0.2, None, *(k / 1600 for k in range(1, 1600, 2)), *(k * 0.0000005 for k in range(1, 2000, 2))]
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x double").orderBy("i").select(S.rounded("x", 6)).collect()]
     assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0] for x in given]
+
+
+def test_asof_values_of_equal_times_and_numbers_match_their_sql(spark, tmp_path):
+    import duckdb
+
+    from barloom.plans import oracle, queries
+
+    t = spark.range(200).selectExpr("id div 4 AS event_id", "timestamp_millis(1704067200000 + id div 4 * 60000) AS ts", "'a' AS event_type", "id * 7 % 11 + 0.5D AS value")
+    t.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, queries.asof_values(spark, str(tmp_path)).collect()), key=key) == sorted(con.execute(oracle.oracle_sql()["join_asof"]).fetchall(), key=key)
