@@ -6,6 +6,7 @@ close, volume, of which a missing bar has NULLs.
 
 from __future__ import annotations
 
+import re
 from datetime import UTC, datetime
 
 from collections.abc import Sequence
@@ -28,17 +29,22 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 
 def placed(table: DataFrame) -> DataFrame:
-    """A Parquet table with `_row`, a row's number in its file, and `_file`, for `rollup` to settle ties by."""
-    return table.select("*", F.col("_metadata.row_index").alias("_row"), F.xxhash64("_metadata.file_name").alias("_file"))
+    """A Parquet table with `_row`, a row's number in its file, and `_file`, that file's number by path, for `rollup` to settle ties by."""
+    files = sorted({re.sub(r"^(\w+):///", r"\1:/", f) for f in table.inputFiles()})  # as _metadata spells them
+    if len(files) < 2:
+        return table.select("*", F.col("_metadata.row_index").alias("_row"), F.lit(0).alias("_file"))
+    numbers = table.sparkSession.createDataFrame([*enumerate(files)], "_file int, _path string")  # a row a file
+    rows = table.select("*", F.col("_metadata.row_index").alias("_row"), F.col("_metadata.file_path").alias("_path"))
+    return rows.join(F.broadcast(numbers), "_path", "left").drop("_path")
 
 
 def rollup(ticks: DataFrame, idx: Column, price: Column, volume: Column, order: Sequence[str], symbol: Column) -> DataFrame:
     """Bars of trades: first, highest, lowest and last price of a bucket by `order`, and its volume.
 
-    Of trades that `order` leaves equal the one that comes first in its file is both first and last, if `ticks` is `placed`.
+    Of trades that `order` leaves equal the one that comes first in the files is both first and last, if `ticks` is `placed`.
     """
-    row, file = ([F.col("_row")], [F.col("_file")]) if {"_row", "_file"} <= {*ticks.columns} else ([], [])
-    first, last = F.struct(*order, *row, *file), F.struct(*order, *(-r for r in row), *file)
+    place = [F.col("_file"), F.col("_row")] if {"_row", "_file"} <= {*ticks.columns} else []
+    first, last = F.struct(*order, *place), F.struct(*order, *(-x for x in place))
     t = ticks.select(symbol.alias("symbol"), idx.alias("idx"), finite(price.cast("double")).alias("p"), volume.cast("double").alias("v"), first.alias("first"), last.alias("last"))
     return t.where("p is not null and symbol is not null and idx is not null").groupBy("symbol", "idx").agg(
         F.min_by("p", "first").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "last").alias("close"), F.sum("v").alias("volume")

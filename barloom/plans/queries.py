@@ -241,7 +241,7 @@ def stream_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asof_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event and the value of the last event of its type with a number that 7 divides, at or before it."""
     e = bars.placed(_read(spark, sf_dir, "events")).where("ts is not null")
-    newest = F.struct("event_id", -F.col("_row"), "_file")
+    newest = F.struct("event_id", -F.col("_file"), -F.col("_row"))
     known = e.where("event_id % 7 = 0 and event_type is not null").groupBy("event_type", "ts").agg(F.max_by("value", newest).alias("known_value"), F.max("event_id").alias("known_id"))
     got = asof.asof_join(e.select("event_id", "event_type", "ts"), known, ["event_type"], "ts", ["known_value", "known_id"])
     return got.select("event_id", "event_type", rounded("known_value", 6).alias("known_value"), "known_id")

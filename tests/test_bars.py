@@ -166,3 +166,23 @@ def test_asof_values_of_equal_times_and_numbers_match_their_sql(spark, tmp_path)
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     key = lambda r: tuple(map(str, r))
     assert sorted(map(tuple, queries.asof_values(spark, str(tmp_path)).collect()), key=key) == sorted(con.execute(oracle.oracle_sql()["join_asof"]).fetchall(), key=key)
+
+
+def test_trades_that_the_order_leaves_equal_go_by_their_file_before_their_row(spark, tmp_path):
+    import duckdb
+
+    from barloom.plans import oracle, queries
+
+    at = tmp_path / "a table" / "events.parquet"
+    at.mkdir(parents=True)
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute("SET threads = 1")
+    # the hour's last time and number stand in the last row of one file and the first row of the next
+    con.execute("CREATE TABLE t AS SELECT i - i // 6 AS event_id, TIMESTAMP '2024-01-01' + to_seconds(600 * (i - i // 6)) AS ts, i AS user_id, 'a' AS event_type, (i * 7 % 11 + 0.5)::DOUBLE AS value FROM range(12) r(i)")
+    for k in range(2):
+        con.execute(f"COPY (SELECT * FROM t WHERE user_id // 6 = {k} ORDER BY user_id) TO '{at}/part-{k}.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{at}/*.parquet'")
+    assert con.execute("SELECT count(*) - count(DISTINCT (ts, event_id)) FROM events").fetchone() == (1,)
+    for name in ("bars_event_hours", "bars_rollup_best_effort", "flagship", "ind_candle_body"):
+        assert sorted(map(tuple, queries.queries()[name](spark, str(at.parent)).collect())) == sorted(con.execute(oracle.oracle_sql()[name]).fetchall()), name
