@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm.common import text_steps, texts_of
-from barloom.llm.tokens import PUNCTUATION, WORD_CHUNKS, byte_characters, lower_nfc, windows
+from barloom.llm.tokens import PUNCTUATION, byte_characters, lower_nfc, windows, word_chunks
 
 NEVER = np.iinfo(np.int64).max
 #: Characters from which a text is encoded window by window.
@@ -254,7 +254,7 @@ class SpeculativeBpe:
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         """Chunks and words seen before are looked up, in two generations of `max_chunks` or `max_bytes` each."""
-        parts = [WORD_CHUNKS.findall(t) for t in texts]
+        parts = [word_chunks(t) for t in texts]
         new, older = set(), self.older
         for p in parts:
             new.update([c for c in p if c not in self.ids_of])

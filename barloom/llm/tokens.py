@@ -44,6 +44,13 @@ def windows(text: str, size: int = WINDOW) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def word_chunks(text: str) -> list[str]:
+    """WORD_CHUNKS of a text: str.split takes the same white space, and U+001C to U+001F besides."""
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return WORD_CHUNKS.findall(text)
+    return text.split()
+
+
 def byte_characters() -> dict[int, int]:
     """Byte-level BPE's character of each byte: itself where it's printable Latin-1, else the next one from U+0100."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -53,7 +60,7 @@ def byte_characters() -> dict[int, int]:
 
 def lower_nfc(text: str) -> str:
     """NFC, then lower case of each character alone (no final sigma), as the tokenizers' normalizers do it."""
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
 def chunking(spec: dict) -> tuple[re.Pattern, regex.Pattern, bool] | None:
@@ -105,7 +112,9 @@ class ChunkEncoder(dict):
         return self.kind[1].findall(chunk)
 
     def _ids(self, word: str) -> bytes:
-        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.characters))
+        if not (word.isascii() and word.isalnum()):  # those characters stand for themselves
+            word = word.encode().decode("latin-1").translate(self.characters)
+        tokens = self.model.tokenize(word)
         return array(self.code, [t.id for t in tokens]).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
@@ -130,7 +139,8 @@ class ChunkEncoder(dict):
         """Each text's ids as little-endian integers of `dtype`."""
         if self.kind is None:
             return [self._whole(t) for t in texts]
-        find, get, out = self.kind[0].findall, self.__getitem__, []
+        find = word_chunks if self.kind[0] is WORD_CHUNKS else self.kind[0].findall
+        get, out = self.__getitem__, []
         for t in texts:
             if any(s in t for s in self.specials):
                 out.append(self._whole(t))
