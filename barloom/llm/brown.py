@@ -35,11 +35,13 @@ HEAD, CLASSES, ENDINGS, WORDS, LONGEST = 6000, 64, 32, 150_000, 64
 #: that have to move in two of them for more.
 EVIDENCE, ROUNDS, MOVES, FEW = 4, 5, 10, 0.01
 #: Tokens that a task gathers before it counts their pairs, pairs in a bucket (about), and cells of a step of `assign`.
-PAIR_TOKENS, BUCKET_PAIRS, CELLS = 4 << 20, 2 << 20, 1 << 20
+PAIR_TOKENS, BUCKET_PAIRS, CELLS = 4 << 20, 2 << 20, 1 << 18
 #: Counts of chance, as a share of all, that moves are weighed with.
 BACKGROUND = 0.5
 #: Counts of a neighbour's class whose gains are looked up, and cells of that table: fewer counts where there are many classes.
 LOOKED_UP, LOOKUP_CELLS = 8, 16 << 20
+#: Counts of a word on one side below which their losses are looked up, and cells of a step of `best_classes`, which stay in a core's cache.
+TAKEN, STEP_CELLS = 64, 1 << 19
 #: Classes per seed at most, so that a task's tables stay below 250 MB however large the vocabulary is.
 MOST_SPLIT = 32
 #: Weight of the unigrams, and prior counts of a class transition.
@@ -247,21 +249,22 @@ def _streams(batches: Iterator[pa.RecordBatch], end: int, limit: int = 1 << 20)
         yield np.concatenate(parts)
 
 
-def neighbours(texts: DataFrame, kinds: np.ndarray, low: np.ndarray, end: int) -> np.ndarray:
-    """(IDS, 2, KINDS): how often each class stands before and after each number of `low`, over all of `texts`."""
-    shared = texts.sparkSession.sparkContext.broadcast((kinds, low))
+def neighbours(edges: DataFrame, kinds: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """(IDS, 2, KINDS): how often each class stands before and after each number of `low`; before, of the head's words only."""
+    shared = edges.sparkSession.sparkContext.broadcast((kinds, low))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, low_ = shared.value
-        kind, low_ = kind.astype(np.int64), low_.astype(np.int64)
-        total = np.zeros((2, IDS * KINDS), np.int64)
-        for stream in _streams(batches, end, 4 << 20):
-            stream = low_[stream]
-            each = kind[stream]
-            stream *= KINDS
-            total[0] += np.bincount(stream[1:] + each[:-1], minlength=IDS * KINDS)
-            total[1] += np.bincount(stream[:-1] + each[1:], minlength=IDS * KINDS)
-        both = np.ascontiguousarray(total.reshape(2, IDS, KINDS).transpose(1, 0, 2))
+        each, low_ = kind[low_].astype(np.int64), low_.astype(np.int64)
+        total = np.zeros((2, IDS * KINDS))
+        for b in batches:
+            for raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                code, n = _read_pairs(*raw)
+                word, after = low_[code >> 32], (code >> 31) & 1 == 1
+                cell = word * KINDS + each[code & 0x7FFFFFFF]
+                for side, some in enumerate((~after & (word < HEAD), after)):
+                    total[side] += np.bincount(cell[some], n[some], IDS * KINDS)
+        both = np.ascontiguousarray(total.astype(np.int64).reshape(2, IDS, KINDS).transpose(1, 0, 2))
         used = np.flatnonzero(both.any((1, 2)))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([both[i].tobytes() for i in used], pa.binary())], names=["id", "counts"])
 
@@ -274,7 +277,7 @@ def neighbours(texts: DataFrame, kinds: np.ndarray, low: np.ndarray, end: int) -
 
     schema = "id int, counts binary"
     out = np.zeros((IDS, 2, KINDS), np.int64)
-    for r in texts.select("length", "ids").mapInArrow(count, schema).repartition("id").mapInArrow(add, schema).collect():  # IDS rows at most
+    for r in edges.mapInArrow(count, schema).repartition("id").mapInArrow(add, schema).collect():  # IDS rows at most
         out[r["id"]] = np.frombuffer(bytes(r["counts"]), np.int64).reshape(2, KINDS)
     return out
 
@@ -312,11 +315,11 @@ def exchange(counts: np.ndarray, kinds: np.ndarray, movable: np.ndarray) -> np.n
     return kinds
 
 
-def seed(texts: DataFrame, size: int, low: np.ndarray, end: int, rounds: int = ROUNDS) -> np.ndarray:
+def seed(edges: DataFrame, size: int, low: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Classes of the `size` words of the head after `rounds` of exchange; the first ones go by rank."""
     kinds = np.concatenate([np.arange(HEAD) % CLASSES, np.arange(CLASSES, KINDS)]).astype(np.int32)
     for k in range(rounds):
-        counts = neighbours(texts, kinds, low, end)
+        counts = neighbours(edges, kinds, low)
         # neighbours' classes are those of the last count, so only every other word moves at once
         kinds = exchange(counts, kinds, np.arange(k % 2, size, 2) if k else np.arange(size))
     return kinds[:size]
@@ -331,8 +334,8 @@ def pairs(texts: DataFrame, ids: Ids, tokens: int, path: str) -> DataFrame:
     buckets = max(1, -(-tokens // BUCKET_PAIRS))
 
     def sums(code: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(code, kind="stable")
-        code = code[order]
+        order = None if n is None else np.argsort(code)
+        code = np.sort(code) if n is None else code[order]
         first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
         return code[first], np.diff(np.append(first, len(code))) if n is None else np.add.reduceat(n[order], first)
 
@@ -351,7 +354,7 @@ def pairs(texts: DataFrame, ids: Ids, tokens: int, path: str) -> DataFrame:
             code, n = sums(np.concatenate([left << 32 | 1 << 31 | right, right[_movable(right, ids)] << 32 | left[_movable(right, ids)]]), None)
             word = code >> 32
             at = np.where(_movable(word, ids), word, code & 0x7FFFFFFF) % buckets
-            order = np.argsort(at, kind="stable")
+            order = np.argsort(at.astype(np.uint16) if buckets <= 1 << 16 else at, kind="stable")  # sixteen bits are sorted by radix
             code, n, at = code[order], n[order], at[order]
             first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
             out = [(int(at[a]), *write(code[a:b], n[a:b])) for a, b in zip(first, np.append(first[1:], len(at)), strict=True)]
@@ -443,6 +446,8 @@ class Gains:
         #: The same by side, neighbour's class and class, and its logarithms.
         self.rows = np.ascontiguousarray(self.both.transpose(0, 2, 1))
         self.plain = _xlogx(self.rows)
+        #: What a word of so many counts on a side loses in each class; counts from TAKEN on take the zeros in the last row.
+        self.taken = [np.append(self.takes(s, np.arange(TAKEN)), np.zeros((1, classes)), axis=0) for s in range(2)]
         rows = 2 * self.size
         self.most = max(1, min(LOOKED_UP, LOOKUP_CELLS // max(rows * classes, 1)))
         #: Gains by count, side and neighbour's class; counts above `most` take the zeros in the last row.
@@ -450,6 +455,9 @@ class Gains:
         for a in range(1, self.most + 1):
             self.looked[(a - 1) * rows : a * rows] = (_xlogx(self.rows + a) - self.plain).reshape(-1, classes)
 
+    def takes(self, side: int, counts: np.ndarray) -> np.ndarray:
+        return _xlogx(self.sums[side] + counts[:, None]) - _xlogx(self.sums[side])
+
     def sums_of(self, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Sums of the looked-up rows between each two of `bounds`, those of as many rows together."""
         counts, out = np.diff(bounds), np.zeros((len(bounds) - 1, self.classes))
@@ -476,7 +484,7 @@ def best_classes(words: np.ndarray, side: np.ndarray, kind: np.ndarray, n: np.nd
     bounds = np.searchsorted(words, np.arange(len(own) + 1))
     at = 0
     while at < len(own):
-        to = min(len(own), at + max(1, 4 * CELLS // classes))
+        to = min(len(own), at + max(1, STEP_CELLS // classes))
         e = slice(bounds[at], bounds[to])
         w, d, k, a = words[e] - at, side[e], kind[e], n[e]
         total = gains.sums_of(rows[e], bounds[at : to + 1] - bounds[at])
@@ -493,8 +501,11 @@ def best_classes(words: np.ndarray, side: np.ndarray, kind: np.ndarray, n: np.nd
         total[settled, present] += np.bincount(w[stay], less, to - at)[settled]
         for s in range(2):
             m = np.bincount(w[d == s], a[d == s], to - at)
-            sizes, which = np.unique(m, return_inverse=True)
-            total -= (_xlogx(sums[s] + sizes[:, None]) - _xlogx(sums[s]))[which]
+            total -= gains.taken[s].take(np.minimum(m, TAKEN).astype(np.int64), axis=0)
+            large = np.flatnonzero(m >= TAKEN)
+            if len(large):
+                sizes, which = np.unique(m[large], return_inverse=True)
+                total[large] -= gains.takes(s, sizes)[which]
             x, m = sums[s][present], m[settled]
             total[settled, present] -= 2 * _xlogx(x) - _xlogx(np.maximum(x - m, 0)) - _xlogx(x + m)
         # a class that stands both before and after the word: both counts go to one cell
@@ -571,12 +582,12 @@ def cluster(texts: DataFrame, ids: Ids, tails: np.ndarray, tokens: int) -> tuple
     low, words, head = ids.low(tails), len(tails), min(HEAD, ids.known)
     classes = class_count(words)
     kinds = classes + low - END_ID
-    seeds = seed(texts, head, low, ids.end) if head else np.empty(0, np.int64)
+    path = scratch_path(texts.sparkSession, "brown-pairs")
+    edges = pairs(texts, ids, tokens, path)
+    seeds = seed(edges, head, low) if head else np.empty(0, np.int64)
     kinds[:head] = seeds * (classes // CLASSES) + np.arange(head) % (classes // CLASSES)
     kinds = kinds.astype(np.int16)
     size = classes + 1 + ENDINGS
-    path = scratch_path(texts.sparkSession, "brown-pairs")
-    edges = pairs(texts, ids, tokens, path)
     kinds, _ = assign(edges, kinds, transitions(edges, kinds, size), classes, ids, None)
     table, quiet = transitions(edges, kinds, size), 0
     parts = 2  # of the words one part moves at once

@@ -402,3 +402,20 @@ def test_labelled_rows_are_dealt_into_parts_of_both_classes():
     parts = cotraining.deal(y)
     assert sorted(np.concatenate(parts).tolist()) == list(range(100)) and all(0 < y[p].mean() < 1 for p in parts)
     assert cotraining.deal(np.array([1.0] * 90 + [0.0] * 2)) is None
+
+
+def test_seeds_count_their_neighbours_in_the_table_of_pairs(spark, tmp_path):
+    r, ids = random.Random(3), brown.Ids(40)
+    streams = [[r.randrange(ids.more + 10) for _ in range(r.randrange(30))] for _ in range(50)]
+    streams = [[x for x in s if x != ids.end] for s in streams]
+    low = ids.low(np.array([r.randrange(brown.ENDINGS) for _ in range(50)]))
+    kinds = np.concatenate([np.arange(brown.HEAD) % brown.CLASSES, np.arange(brown.CLASSES, brown.KINDS)]).astype(np.int32)
+    texts = spark.createDataFrame([(len(s), brown._pack(np.array(s, "<i4"))) for s in streams], "length int, ids binary").repartition(3)
+    got = brown.neighbours(brown.pairs(texts, ids, sum(map(len, streams)), f"{tmp_path}/pairs"), kinds, low)
+    want = np.zeros_like(got)
+    for s in streams:
+        for x, y in zip([ids.end, *s], [*s, ids.end]):
+            want[low[x], 1, kinds[low[y]]] += 1
+            if low[y] < brown.HEAD:
+                want[low[y], 0, kinds[low[x]]] += 1
+    assert (got == want).all() and got.sum() > 0
