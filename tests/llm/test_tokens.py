@@ -72,6 +72,52 @@ def test_exact_merging_agrees_where_checks_pass():
     assert bpe.encode_words(words) == [bpe.merge_exactly(w) for w in words]
 
 
+def test_words_side_by_side():
+    """Words of every length up to the limit and over it; chunks that are forgotten and come back; special tokens between them."""
+    r = random.Random(8)
+    lib, bpe = Tokenizer.from_file(WORD), speculative_bpe.SpeculativeBpe(WORD, 200, 1 << 13)
+    characters = [*map(chr, bpe.characters.values())]
+    words = ["".join(r.choices(some, k=n)) for some in ("ab", "the of and ing".replace(" ", ""), characters) for n in [*range(1, 70), 127, 128, 191, 192, 193, 255, 256, 257, 300] * 4]
+    assert bpe.encode_words(words) == [bpe.merge_exactly(w) for w in words]
+    some = ["".join(r.choices(x, k=r.randint(1, 70))) for x in ("ethanoiß", "ÄéΣİ'sl.,", "中文12ab", "e\u0301\u0323a'") for _ in range(150)] + ["<|endoftext|>", "A<|startoftext|><|endoftext|>B'LL", "\x1cx"]
+    for _ in range(12):
+        t = [" ".join(r.choices(some, k=r.randint(0, 60))) for _ in range(8)]
+        got = bpe.encode(t)
+        assert len(bpe.chunks) <= 400 and bpe.bytes <= 1 << 13
+        for x, ids in zip(t, got, strict=True):
+            want = lib.encode(x, add_special_tokens=False).ids
+            assert ids.tolist() == want, x
+            assert bpe.decode(ids).decode() == lib.decode(want, skip_special_tokens=False)
+    assert bpe.encode([]) == [] and [x.tolist() for x in bpe.encode(["", " "])] == [[], []]
+
+
+def test_digests_in_parts(monkeypatch):
+    lib, bpe = Tokenizer.from_file(WORD), speculative_bpe.SpeculativeBpe(WORD)
+    ids = bpe.encode([*texts(40), "long word " * 100, ""])
+    want = [hashlib.sha256(lib.decode(x.tolist(), skip_special_tokens=False).encode()).hexdigest() for x in ids]
+    for most in (1 << 20, 64, 7):
+        monkeypatch.setattr(speculative_bpe, "DECODED", most)
+        assert bpe.decoded_digests(ids) == want and [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids] == want
+
+
+def test_new_words_cost_a_fraction_of_merging_each():
+    """Most words of a corpus come once, so what new ones take is what encoding takes."""
+    import time
+
+    r = random.Random(9)
+    parts = "the of and ing tion er est re on an in th ly ed he wh sch ung keit üb eau mente ción".split()
+    words = [*{"".join(r.choices(parts, k=r.randint(2, 5))) for _ in range(20_000)}]
+    bpe = speculative_bpe.SpeculativeBpe(WORD)
+    bpe.encode(["warm up"])
+    began = time.process_time()
+    got = bpe.encode([" ".join(words)])[0].tolist()
+    took = time.process_time() - began
+    coded = [w.encode().decode("latin-1").translate(bpe.characters) for w in words]
+    began = time.process_time()
+    want = [i for w in coded for i in bpe.merge_exactly(w)]
+    assert got == want and took < 0.5 * (time.process_time() - began)
+
+
 def test_long_words_and_texts():
     """A megabyte without a blank takes seconds, and windows of a long text give its ids."""
     import base64
